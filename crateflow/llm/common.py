@@ -50,7 +50,7 @@ def fnv_free_crc(df: DataFrame, name: str) -> Column:
     return F.crc32(col(df, name).cast("string").cast("binary"))
 
 
-def batches_of(it: Iterator[pa.RecordBatch], text_at: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(it: Iterator[pa.RecordBatch], text_at: int, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most most_bytes of text each (one row at least), to bound a worker's memory."""
     for batch in it:
         sizes = pc.binary_length(batch.column(text_at)).fill_null(0).to_pylist()
