@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crateflow.llm import oracles, packing, simhash, substring, token_files
+from crateflow.llm import crf_language, decontamination, html_text, oracles, packing, quality_cnn, simhash, substring, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -28,5 +33,29 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op6_simhash, op7_substring)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), least=0.5)
+
+
+def _fold(name: str, folds: int):
+    """crc32 of an id as text, modulo folds."""
+    return F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(folds))
+
+
+def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = crf_language.learn(docs, _fold("doc_id", 4) != 2)
+    found = crf_language.predict(docs, model)
+    return found.select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_cnn.learn(docs, _table(spark, sf_dir, "labels"), _fold("i", 5) != 0)
+    found = quality_cnn.predict(docs, model)
+    predicted = (F.col("score") >= quality_cnn.GOOD).cast("int")
+    return found.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_html_text, op6_simhash, op7_substring, op8_decontamination, op9_crf_language, op10_quality_cnn)}
 ORACLES: dict[str, str] = {"op7_substring": oracles.SUBSTRING}
