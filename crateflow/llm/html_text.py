@@ -328,11 +328,15 @@ def _holder(child: Node | str) -> Node:
     return box
 
 
+def text_of_node(node: Node) -> str:
+    return "\n".join(x.rstrip() for x in _inside(node)).strip("\n")
+
+
 def text_of(source: str | None) -> str:
     """All visible text of a page; of null or of nothing visible, an empty string."""
     if not source:
         return ""
-    return "\n".join(x.rstrip() for x in _inside(parse(source))).strip("\n")
+    return text_of_node(parse(source))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

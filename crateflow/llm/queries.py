@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import crf_language, decontamination, html_text, oracles, packing, quality_cnn, simhash, substring, token_files
+from crateflow.llm import crf_language, decontamination, html_text, licenses, media, oracles, packing, quality_cnn, simhash, substring, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.documents_as_media(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -57,5 +65,5 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_html_text, op6_simhash, op7_substring, op8_decontamination, op9_crf_language, op10_quality_cnn)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_html_text, op4_licenses, op5_media, op6_simhash, op7_substring, op8_decontamination, op9_crf_language, op10_quality_cnn)}
 ORACLES: dict[str, str] = {"op7_substring": oracles.SUBSTRING}
