@@ -116,25 +116,25 @@ def _scored(items: dict[int, np.ndarray], least: float):
     """Aligns each document's candidate passages with their items, some hundred at a time."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(it, 1):
+        for b in batches_of(it, 2):
             todo, found = [], []
-            for d, t, places in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for d, key, t, places in zip(*(b.column(i).to_pylist() for i in range(4))):
                 h = word_hashes(t)
                 for p in places:
                     item = items[p["item"]]
                     slack = len(item) // 2 + 2
                     lo, hi = max(0, p["low"] - slack), min(len(h), p["high"] + len(item) + slack)
-                    todo.append((d, p["item"], lo, item, h[lo:hi]))
+                    todo.append((d, key, lo, item, h[lo:hi], p["item"]))
             todo.sort(key=lambda x: len(x[4]))
             for k in range(0, len(todo), 256):
                 some = todo[k : k + 256]
                 score, first, last = align([x[3] for x in some], [x[4] for x in some])
                 for x, s, f, e in zip(some, score.tolist(), first.tolist(), last.tolist()):
                     if s >= least * MATCH * len(x[3]):
-                        found.append((x[0], x[1], x[2] + f, e - f, s / (MATCH * len(x[3]))))
-            cols = zip(*found) if found else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "item_id", "start", "length", "score"])
+                        found.append((x[0], x[1], x[5], x[2] + f, e - f, s / (MATCH * len(x[3]))))
+            cols = zip(*found) if found else [[]] * 6
+            types = [pa.int64()] * 5 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "key", "item_id", "start", "length", "score"])
 
     return run
 
@@ -163,16 +163,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 6, l
     given, the first on a tie. Null or empty texts, null ids of items and an empty benchmark give nothing; rows with a
     null doc_id are judged too. Items that share an id are one item with several texts. Other columns are not read.
     """
-    spark = docs.sparkSession
+    out = _passages(docs, benchmark, n, stretch, least, id_col, text_col, item_id_col, item_text_col)
+    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start", "length")
+    return out.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank", "key")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 6, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in which no passage aligns with a test item; rows with a null id are judged too."""
+    found = _passages(docs, benchmark, n, stretch, least, id_col, text_col, "item_id", "text").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct()
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    own = F.xxhash64(F.coalesce(F.col(names[docs.columns.index(text_col)]), F.lit("")).cast("binary"))
+    same = F.col(names[docs.columns.index(id_col)]).cast("long").eqNullSafe(F.col("__doc")) & (own == F.col("__key"))
+    return rows.join(found, same, "left_anti").toDF(*docs.columns)
+
+
+def _passages(docs: DataFrame, benchmark: DataFrame, n: int, stretch: int, least: float, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
+    """leaks() with all passages, and with `key`, the hash of the text they lie in."""
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t")).select("doc_id", F.xxhash64("t").alias("key"), "t")
     out = None
-    for part in _slices(benchmark, id_col if item_id_col is None else item_id_col, item_text_col):
+    for part in _slices(benchmark, item_id_col, item_text_col):
         got = _leaks_of(rows, [(i, h) for i, t in part if len(h := word_hashes(t))], n, stretch, least)
         out = got if out is None or got is None else out.unionByName(got)
     if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, start long, length long, score double")
-    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start", "length")
-    return out.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
+        out = docs.sparkSession.createDataFrame([], "doc_id long, key long, item_id long, start long, length long, score double")
+    return out
 
 
 def _leaks_of(rows: DataFrame, items: list[tuple[int, np.ndarray]], n: int, stretch: int, least: float) -> DataFrame | None:
@@ -196,7 +211,7 @@ def _leaks_of(rows: DataFrame, items: list[tuple[int, np.ndarray]], n: int, stre
     found = hits.join(F.broadcast(seeds), ["gram", "w"]).select("doc_id", "key", "item", (F.col("at") - F.col("place")).alias("low"))
     places = found.groupBy("doc_id", "key", "item", F.floor(F.col("low") / 32).alias("_cell")).agg(F.min("low").alias("low"), F.max("low").alias("high"))
     asked = places.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("item", "low", "high")).alias("_places"))
-    joined = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("doc_id", "t", "_places")
-    scored = joined.mapInArrow(_scored(numbered, least), "doc_id long, item_id long, start long, length long, score double")
+    joined = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "t", "_places")
+    scored = joined.mapInArrow(_scored(numbered, least), "doc_id long, key long, item_id long, start long, length long, score double")
     names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(items)], "_number long, _item long")
-    return scored.join(F.broadcast(names), F.col("item_id") == F.col("_number")).select("doc_id", F.col("_item").alias("item_id"), "start", "length", "score")
+    return scored.join(F.broadcast(names), F.col("item_id") == F.col("_number")).select("doc_id", "key", F.col("_item").alias("item_id"), "start", "length", "score")

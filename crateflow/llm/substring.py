@@ -13,6 +13,7 @@ Hashes of runs and windows are only compared under one anchor's hash: 128 bits t
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,23 +154,25 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = K_DEFAULT, id_col: s
     return equal.unionByName(ends.select("doc_id", "key", "begin", F.lit(1).alias("size")))
 
 
+def _stay(words: list[bytes], ranges: list, window: int) -> np.ndarray:
+    """Which words stay, given runs of windows to remove; the same windows elsewhere in the text go too."""
+    edge = np.zeros(len(words) - window + 2, np.int64)
+    np.add.at(edge, [r["begin"] for r in ranges], 1)
+    np.add.at(edge, [r["begin"] + r["size"] for r in ranges], -1)
+    found = np.cumsum(edge)[:-1] > 0
+    begin = np.arange(len(found))
+    win = Prefix(word_hashes(words), _ODD2).spans(begin, begin + window)
+    at = np.flatnonzero(np.isin(win, win[found]))
+    cover = np.zeros(len(words) + 1, np.int64)
+    cover[at] += 1
+    cover[at + window] -= 1
+    return np.cumsum(cover)[:-1] == 0
+
+
 def _without(window: int, give_text: bool):
     def kept(text: bytes, ranges: list | None) -> tuple[int, int, bytes]:
         words = text.split()
-        if not ranges:
-            return len(words), 0, b" ".join(words)
-        edge = np.zeros(len(words) - window + 2, np.int64)
-        np.add.at(edge, [r["begin"] for r in ranges], 1)
-        np.add.at(edge, [r["begin"] + r["size"] for r in ranges], -1)
-        found = np.cumsum(edge)[:-1] > 0
-        begin = np.arange(len(found))
-        win = Prefix(word_hashes(words), _ODD2).spans(begin, begin + window)
-        at = np.flatnonzero(np.isin(win, win[found]))  # the same words again within the document
-        cover = np.zeros(len(words) + 1, np.int64)
-        cover[at] += 1
-        cover[at + window] -= 1
-        stay = np.cumsum(cover)[:-1] == 0
-        left = [w for w, s in zip(words, stay.tolist()) if s]
+        left = [w for w, s in zip(words, _stay(words, ranges, window).tolist()) if s] if ranges else words
         return len(words), len(words) - len(left), b" ".join(left)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,3 +198,42 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K_DEFAULT, id
     joined = rows.join(by_doc, (F.col("doc_id") == F.col("_doc")) & (F.col("key") == F.col("_key")), "left").select("doc_id", "t", "_ranges")
     last = "kept binary" if give_text else "kept_sha256 string"
     return joined.mapInArrow(_without(window, give_text), f"doc_id long, n_words long, n_removed long, {last}")
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, k: int = K_DEFAULT, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of docs, all columns, with repeated words cut out of the texts; white space after a kept word stays.
+
+    length_col, if there is one, is set to the new text's characters where words were cut. Rows that lose all their
+    words are left out; texts that had none, null ones too, stay as they are.
+    """
+    ranges = repeats(docs, window, k, id_col, text_col)
+    by_doc = ranges.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("begin", "size")).alias("_ranges"))
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+    rows = docs.toDF(*names)
+    own = F.xxhash64(F.coalesce(F.col(names[at]), F.lit("")).cast("binary"))
+    joined = rows.join(by_doc, (F.col(names[docs.columns.index(id_col)]).cast("long") == F.col("_doc")) & (own == F.col("_key")), "left").select(*names, "_ranges")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(it, at):
+            arrays, texts = list(b.columns[:-1]), b.column(at).to_pylist()
+            lengths = arrays[length_at].to_pylist() if length_at is not None else []
+            keep = np.ones(len(texts), bool)
+            for i, r in enumerate(b.column(len(arrays)).to_pylist()):
+                if r:
+                    spans = _WORD.findall(texts[i].encode())
+                    stay = _stay([w.split()[0] for w in spans], r, window).tolist()
+                    texts[i] = b"".join(w for w, s in zip(spans, stay) if s).decode().rstrip()
+                    keep[i] = any(stay)
+                    if length_at is not None:
+                        lengths[i] = len(texts[i])
+            arrays[at] = pa.array(texts, arrays[at].type)
+            if length_at is not None:
+                arrays[length_at] = pa.array(lengths, arrays[length_at].type)
+            yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(keep))
+
+    return joined.mapInArrow(run, rows.schema).toDF(*docs.columns)
