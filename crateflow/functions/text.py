@@ -58,8 +58,12 @@ def chat_features(s: Column, most: int = 512) -> Column:
 
     def of_word(w: Column) -> Column:
         g = F.concat(F.lit("<"), w, F.lit(">"))
-        pieces = [F.when(F.length(g) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(g) - n + 1)), lambda i, n=n: F.concat(F.lit("c:"), F.substring(g, i, n)))).otherwise(F.array().cast("array<string>")) for n in (3, 4, 5)]
-        return F.concat(F.array(F.concat(F.lit("w:"), w)), *pieces)
+
+        def pieces(n: int) -> Column:
+            each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(g) - n + 1)), lambda i: F.concat(F.lit("c:"), F.substring(g, i, F.lit(n))))
+            return F.when(F.length(g) >= n, each).otherwise(F.array().cast("array<string>"))
+
+        return F.concat(F.array(F.concat(F.lit("w:"), w)), pieces(3), pieces(4), pieces(5))
 
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))
     return F.slice(F.concat(F.flatten(F.transform(words, of_word)), pairs), 1, most)
