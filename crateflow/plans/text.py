@@ -1 +1,226 @@
-"""Queries."""
+"""Queries: text normalization, parsing, features, and what messages ask for."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crateflow import adapters as A
+from crateflow.functions import text as X
+from crateflow.operators import requests as N
+from crateflow.operators import setlists as L
+from crateflow.plans import sqlparts as S
+from crateflow.plans.core import query
+
+
+def _rows(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else str(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+_TITLES = [(1, "Città di Vetro (Original Mix)"), (2, "Rock & Roll [Remastered 2011]"), (3, "Señorita feat. Nobody"), (4, "  ÀÉÎÕÜ -- Test_01 "), (5, ""), (6, None), (7, "Café del Mar (Live) ft. Someone Else")]
+
+
+@query("str_f01_fold", f"SELECT doc_id, md5({S.fold('text')}) AS folded FROM documents")
+def str_f01(spark: SparkSession, sf: str) -> DataFrame:
+    return A.table(spark, sf, "documents").select("doc_id", F.md5(X.fold(F.col("text")).cast("binary")).alias("folded"))
+
+
+@query("str_f02_normal_titles", f"SELECT CAST(id AS INT) AS id, {S.normal('t')} AS n, {S.bare('t')} AS b FROM (VALUES {_rows(_TITLES)}) AS v(id, t)")
+def str_f02(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(_TITLES, "id int, t string").select("id", X.normal(F.col("t")).alias("n"), X.bare(F.col("t")).alias("b"))
+
+
+@query("str_f03_page_titles", """SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_extract(html, '<title>(.*?)</title>', 1)), '\\s*[(\\[](official|lyrics?|audio|video)[^)\\]]*[)\\]]|\\s*\\|.*$|\\s+\\(\\d\\)$', '', 'g'), '\\s+', ' ', 'g')) AS title FROM pages""")
+def str_f03(spark: SparkSession, sf: str) -> DataFrame:
+    return A.table(spark, sf, "pages").select("page_id", L.site_title(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
+
+
+@query("str_f04_chat_normal", f"SELECT conv_id, turn, {S.chat_normal('text')} AS n FROM conversations WHERE role = 'user'")
+def str_f04(spark: SparkSession, sf: str) -> DataFrame:
+    return A.messages(spark, sf).select("conv_id", "turn", X.chat_normal(F.col("text")).alias("n"))
+
+
+@query("str_f05_clauses", """SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(lower(text), '[,;.!?]+|\\s+(?:e poi|e anche|poi|ma|e)\\s+'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> ''), '|') AS parts FROM conversations WHERE role = 'user'""")
+def str_f05(spark: SparkSession, sf: str) -> DataFrame:
+    return A.messages(spark, sf).select("conv_id", "turn", F.array_join(X.clauses(F.col("text")), "|").alias("parts"))
+
+
+_G = "('<' || w || '>')"
+_FEATURES = f"""m AS (SELECT conv_id, turn, string_split({S.chat_normal('text')}, ' ') AS ws FROM conversations WHERE role = 'user'),
+f AS (SELECT conv_id, turn, list_concat(flatten(list_transform(list_filter(ws, lambda w: w <> ''), lambda w: list_concat(['w:' || w],
+ list_transform(range(1, greatest(length(w) + 1, 1)), lambda i: 'c:' || substr({_G}, i, 3)), list_transform(range(1, greatest(length(w), 1)), lambda i: 'c:' || substr({_G}, i, 4)), list_transform(range(1, greatest(length(w) - 1, 1)), lambda i: 'c:' || substr({_G}, i, 5))))),
+ list_transform(range(1, len(ws)), lambda i: 'b:' || ws[i] || '_' || ws[i + 1]))[1:512] AS fs FROM m)"""
+
+
+@query("str_f06_features", f"WITH {_FEATURES} SELECT conv_id, turn, CAST(len(fs) AS INT) AS n, md5(array_to_string(fs, ' ')) AS digest FROM f")
+def str_f06(spark: SparkSession, sf: str) -> DataFrame:
+    f = A.messages(spark, sf).select("conv_id", "turn", F.explode(F.array(X.chat_features(F.col("text")))).alias("fs"))
+    return f.select("conv_id", "turn", F.size("fs").alias("n"), F.md5(F.array_join("fs", " ").cast("binary")).alias("digest"))
+
+
+@query("str_f07_hashed_features", f"WITH {_FEATURES}, x AS (SELECT conv_id, turn, unnest(fs) AS g FROM f WHERE turn = 0) SELECT conv_id, turn, sum({S.fnv1a('g')} % 32768 + 1)::BIGINT AS total, max({S.fnv1a('g')} % 32768 + 1) AS top FROM x GROUP BY conv_id, turn")
+def str_f07(spark: SparkSession, sf: str) -> DataFrame:
+    g = A.messages(spark, sf).where("turn = 0").select("conv_id", "turn", F.explode(X.chat_features(F.col("text"))).alias("g"))
+    bucket = X.fnv1a(F.col("g")) % 32768 + 1
+    return g.groupBy("conv_id", "turn").agg(F.sum(bucket).alias("total"), F.max(bucket).alias("top"))
+
+
+@query("str_f08_nearest_bars", "SELECT CAST(n AS INT) AS n, CAST(arg_min(c, abs(c - n) * 100 + o) AS INT) AS bars FROM (SELECT range AS n FROM range(1, 100)), (SELECT * FROM (VALUES (4, 0), (8, 1), (16, 2), (32, 3), (48, 4), (64, 5)) AS v(c, o)) GROUP BY n")
+def str_f08(spark: SparkSession, sf: str) -> DataFrame:
+    from crateflow.functions.music import nearest_choice
+
+    return spark.range(1, 100).select(F.col("id").cast("int").alias("n")).select("n", nearest_choice(F.col("n")).alias("bars"))
+
+
+_PHRASES = [(1, "voglio deep house e techno"), (2, "house, poi melodic techno"), (3, "niente"), (4, "Tech House!")]
+_VOCAB = ["melodic techno", "deep house", "tech house", "techno", "house"]
+
+
+@query("str_f09_genres_in_phrase", "SELECT CAST(id AS INT) AS id, found FROM (VALUES (1, 'deep house,techno'), (2, 'melodic techno,house'), (3, ''), (4, 'tech house')) AS v(id, found)")
+def str_f09(spark: SparkSession, sf: str) -> DataFrame:
+    p = spark.createDataFrame(_PHRASES, "id int, t string")
+    return p.select("id", F.array_join(N.phrases_found(F.col("t"), _VOCAB), ",").alias("found"))
+
+
+_TIMES = [(1, "2:30"), (2, "1:02:03"), (3, "45"), (4, "0:45.5"), (5, "0:45,5"), (6, "fine"), (7, ""), (8, None), (9, "1:2:3:4")]
+
+
+@query("str_f10_times", "SELECT CAST(id AS INT) AS id, s FROM (VALUES (1, 150e0), (2, 3723e0), (3, 45e0), (4, 45.5e0), (5, 45.5e0), (6, NULL), (7, NULL), (8, NULL), (9, NULL)) AS v(id, s)")
+def str_f10(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(_TIMES, "id int, t string").select("id", X.seconds_of(F.col("t")).alias("s"))
+
+
+@query("str_f11_cue_stamps", "SELECT CAST(id AS INT) AS id, m FROM (VALUES (1, 7e0), (2, 7.5e0), (3, 67.5e0), (4, NULL), (5, NULL)) AS v(id, m)")
+def str_f11(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(1, "[07]"), (2, "[07:30]"), (3, "[1:07:30]"), (4, "[??]"), (5, "no")], "id int, t string").select("id", L.cue_minutes(F.col("t")).alias("m"))
+
+
+@query("str_f12_label_split", f"WITH {A.TRACKS_SQL} SELECT id, artist, title FROM tracks")
+def str_f12(spark: SparkSession, sf: str) -> DataFrame:
+    t = A.tracks(spark, sf).select("id", F.concat("artist", F.when(F.col("id") % 2 == 0, " - ").otherwise(" – "), "title").alias("label"))
+    artist, title = X.label_parts(F.col("label"))
+    return t.select("id", artist.alias("artist"), title.alias("title"))
+
+
+@query("str_f13_truth", "SELECT CAST(id AS INT) AS id, b FROM (VALUES (1, true), (2, true), (3, false), (4, NULL), (5, true), (6, false), (7, NULL)) AS v(id, b)")
+def str_f13(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(1, "Sì"), (2, "on"), (3, "NO"), (4, "forse"), (5, "1"), (6, " falso "), (7, None)]
+    return spark.createDataFrame(rows, "id int, t string").select("id", X.truth(F.col("t")).alias("b"))
+
+
+@query("str_f14_versions", "SELECT CAST(id AS INT) AS id, newer FROM (VALUES (1, true), (2, false), (3, false), (4, true)) AS v(id, newer)")
+def str_f14(spark: SparkSession, sf: str) -> DataFrame:
+    v = spark.createDataFrame([(1, "1.10", "1.9"), (2, "2.0", "2.0.0"), (3, "1.2.3", "1.2.4"), (4, "3-1", "3.0.9")], "id int, a string, b string")
+    return v.select("id", (X.version_key(F.col("a")) > X.version_key(F.col("b"))).alias("newer"))
+
+
+@query("str_f15_summary_lines", "SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l: length(l) > 60)[1:8], lambda l: substr(l, 1, 20)), '|') AS lines FROM documents")
+def str_f15(spark: SparkSession, sf: str) -> DataFrame:
+    return A.table(spark, sf, "documents").select("doc_id", F.array_join(L.summary_lines(F.col("text"), 60, 8, 20), "|").alias("lines"))
+
+
+@query("str_f16_noise")
+def str_f16(spark: SparkSession, sf: str) -> DataFrame:
+    return N.with_typos(A.messages(spark, sf), "text", seed=11)
+
+
+@query("str_f17_identifiers", f"WITH {A.TRACKS_SQL} SELECT id, sha256(title) AS sha, substr(sha1(title), 1, 8) AS short FROM tracks")
+def str_f17(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("title").cast("binary")
+    return A.tracks(spark, sf).select("id", F.sha2(t, 256).alias("sha"), F.substring(F.sha1(t), 1, 8).alias("short"))
+
+
+_SETLIST = 'Here you go:\n```json\n{"titolo": "Night", "brani": [{"artista": "A", "brano": "One", "bpm": "124", }, // first\n {"artist": "B", "title": "Two", "at": "1:30"}, {"x": 1}],}\n```\nEnjoy'
+
+
+@query("src19_extract_json", "SELECT 'Night' AS title, CAST(3 AS INT) AS entries")
+def src19(spark: SparkSession, sf: str) -> DataFrame:
+    v = spark.createDataFrame([(_SETLIST,)], "t string").select(L.embedded_json(F.col("t")).alias("v"))
+    return v.select(F.try_variant_get("v", "$.titolo", "string").alias("title"), F.size(F.try_variant_get("v", "$.brani", "array<variant>")).alias("entries"))
+
+
+@query("src20_parse_setlist", "SELECT CAST(pos AS INT) AS pos, artist, title, sec, warning FROM (VALUES (0, 'A', 'One', NULL::DOUBLE, ''), (1, 'B', 'Two', 90e0, ''), (2, NULL, NULL, NULL, 'no title')) AS v(pos, artist, title, sec, warning)")
+def src20(spark: SparkSession, sf: str) -> DataFrame:
+    return L.entries(spark.createDataFrame([(_SETLIST,)], "t string"), "t")
+
+
+@query("src21_library_lines", f"WITH {A.KEYED_SQL} SELECT id, concat_ws(' | ', artist, title, genre, CASE WHEN bpm > 0 THEN CAST(CAST(bpm AS BIGINT) AS VARCHAR) END, code) AS line FROM keyed")
+def src21(spark: SparkSession, sf: str) -> DataFrame:
+    return A.keyed(spark, sf).select("id", F.concat_ws(" | ", "artist", "title", "genre", F.when(F.col("bpm") > 0, F.col("bpm").cast("bigint").cast("string")), "code").alias("line"))
+
+
+_TRACKLIST = "# comment\n@ k1|First mix|p1|src\n[00] | A - One | 300 | u1\n[05:30] | B - Two | | u2\n@ k2|Second|p2|src\n[??] | C - Three | 200 | u3"
+
+
+@query("src22_tracklist", "SELECT key, CAST(cue AS DOUBLE) AS cue, label FROM (VALUES ('k1', 0, 'A - One'), ('k1', 5.5, 'B - Two'), ('k2', NULL, 'C - Three')) AS v(key, cue, label)")
+def src22(spark: SparkSession, sf: str) -> DataFrame:
+    lines = spark.createDataFrame([("f", i, line) for i, line in enumerate(_TRACKLIST.split("\n"))], "file string, n int, line string")
+    return L.tracklist(lines).select("key", "cue", "label")
+
+
+@query("src23_tag_prefixes", f"WITH {A.TRACKS_SQL} SELECT id, array_to_string(list_filter(['genre---' || lower(genre), 'mood---' || (id % 3), 'genre---all'], lambda t: starts_with(t, 'genre---')), ',') AS genres FROM tracks")
+def src23(spark: SparkSession, sf: str) -> DataFrame:
+    tags = F.array(F.concat(F.lit("genre---"), F.lower("genre")), F.concat(F.lit("mood---"), (F.col("id") % 3).cast("string")), F.lit("genre---all"))
+    return A.tracks(spark, sf).select("id", F.array_join(F.filter(tags, lambda t: F.startswith(t, F.lit("genre---"))), ",").alias("genres"))
+
+
+@query("src24_last_wins", "SELECT user_id, event_type, arg_max(value, ts) AS value FROM events GROUP BY user_id, event_type")
+def src24(spark: SparkSession, sf: str) -> DataFrame:
+    return A.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "ts").alias("value"))
+
+
+_ASKS = [(1, "metti techno tra 120 e 128 bpm"), (2, "niente house per favore"), (3, "transizioni di 16 battute"), (4, "salta questo brano"), (5, "set crescente, anzi rilassato"), (6, "ciao"), (7, "più di 130 bpm"), (8, "attiva il mashup e togli la voce")]
+_ASKED = [
+    (1, "filters", "genres=techno;bpm=120-128"), (2, "filters", "exclude=house"), (3, "option", "bars=16"), (4, "control", "skip"), (5, "option", "strategy=chill"),
+    (6, "talk", "greeting"), (7, "filters", "bpm=130-0"), (8, "option", "mashup=on"), (8, "control", "vocals_off"),
+]
+
+
+@query("nlu01_parse_messages", f"SELECT CAST(id AS INT) AS id, kind, value FROM (VALUES {_rows(_ASKED)}) AS v(id, kind, value)")
+def nlu01(spark: SparkSession, sf: str) -> DataFrame:
+    return N.actions(spark.createDataFrame(_ASKS, "id int, t string"), "t").select("id", "kind", "value")
+
+
+@query("nlu02_rules_over_model", "SELECT CAST(id AS INT) AS id, head, label FROM (VALUES (1, 'filters', 'rule'), (1, 'option', 'model'), (2, 'filters', 'rule'), (3, 'option', 'rule'), (4, 'control', 'rule'), (5, 'option', 'rule'), (6, 'talk', 'rule'), (7, 'filters', 'rule'), (8, 'control', 'rule'), (8, 'option', 'rule')) AS v(id, head, label)")
+def nlu02(spark: SparkSession, sf: str) -> DataFrame:
+    rules = N.actions(spark.createDataFrame(_ASKS, "id int, t string"), "t").select("id", F.col("kind").alias("head"), F.lit("rule").alias("label")).distinct()
+    model = spark.createDataFrame([(1, "filters", "model"), (1, "option", "model"), (3, "option", "model")], "id int, head string, label string")
+    return N.with_precedence(rules, model)
+
+
+_P = "(xor(conv_id * 7 + turn * 3 + h * 5 + c * 11 + i * 13, 42) % 100) / 100e0"
+
+
+@query("nlu03_decide", f"""WITH g AS (SELECT conv_id, turn, h, c, i, {_P} AS p FROM (SELECT conv_id, turn FROM conversations WHERE role = 'user'), (SELECT range AS h FROM range(4)), (SELECT range AS c FROM range(3)), (SELECT range AS i FROM range(5))),
+b AS (SELECT conv_id, turn, h, c, arg_max(i, p * 1000 - i) AS i, max(p) AS p FROM g GROUP BY 1, 2, 3, 4), k AS (SELECT conv_id, turn, h, arg_max(i, p * 1000 - c) AS ci, max(p) AS cp FROM b WHERE c > 0 AND i > 0 GROUP BY 1, 2, 3),
+f AS (SELECT conv_id, turn, h, i AS fi, p AS fp FROM b WHERE c = 0)
+SELECT f.conv_id, f.turn, CAST(f.h AS INT) AS head, CAST(CASE WHEN k.cp >= 0.9e0 THEN ci WHEN fi > 0 AND fp >= 0.8e0 THEN fi ELSE 0 END AS INT) AS label FROM f LEFT JOIN k ON f.conv_id = k.conv_id AND f.turn = k.turn AND f.h = k.h""")
+def nlu03(spark: SparkSession, sf: str) -> DataFrame:
+    grid = spark.range(4 * 3 * 5).selectExpr("CAST(id DIV 15 AS INT) AS head", "CAST(id DIV 5 % 3 AS INT) AS clause", "CAST(id % 5 AS INT) AS label")
+    p = F.expr("((conv_id * 7 + turn * 3 + head * 5 + clause * 11 + label * 13) ^ 42) % 100 / 100D")
+    scores = A.messages(spark, sf).select("conv_id", "turn").crossJoin(F.broadcast(grid)).withColumn("p", p)
+    return N.decide(scores, ["conv_id", "turn"], 0.9, 0.8).select("conv_id", "turn", "head", "label")
+
+
+@query("nlu04_linear_scores")
+def nlu04(spark: SparkSession, sf: str) -> DataFrame:
+    return N.linear_scores(A.messages(spark, sf), "text", heads=4, labels=5, seed=3)
+
+
+@query("nlu07_corpus", f"""WITH c AS (SELECT conv_id, turn, {S.chat_normal('text')} AS k, (conv_id + turn) % 9 = 0 AS bad FROM conversations WHERE role = 'user') SELECT conv_id, turn FROM c WHERE NOT bad AND k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY conv_id, turn) = 1""")
+def nlu07(spark: SparkSession, sf: str) -> DataFrame:
+    c = A.messages(spark, sf).withColumn("k", X.chat_normal(F.col("text"))).where("(conv_id + turn) % 9 <> 0 AND k <> ''")
+    return c.groupBy("k").agg(F.min(F.struct("conv_id", "turn")).alias("m")).select("m.conv_id", "m.turn")
+
+
+@query("nlu09_apply_actions", "SELECT user_id, round(arg_max(value, ts) FILTER (event_type = 'view'), 6) AS volume, count(*) FILTER (event_type = 'purchase') AS applied FROM events WHERE event_type IN ('view', 'purchase') GROUP BY user_id")
+def nlu09(spark: SparkSession, sf: str) -> DataFrame:
+    e = A.table(spark, sf, "events").where("event_type IN ('view', 'purchase')")
+    return N.folded_state(e).select("user_id", F.round("volume", 6).alias("volume"), "applied")
+
+
+@query("nlu10_state_answers", f"WITH {A.TRACKS_SQL}, {A.HISTORY_SQL}, l AS (SELECT user_id, arg_max(id, played_at) AS now, count(*) AS n FROM history GROUP BY user_id) SELECT user_id, 'now ' || t.title || ', ' || n || ' played' AS answer FROM l JOIN tracks t ON t.id = l.now")
+def nlu10(spark: SparkSession, sf: str) -> DataFrame:
+    last = A.history(spark, sf).groupBy("user_id").agg(F.max_by("id", "played_at").alias("now"), F.count("*").alias("n"))
+    j = last.join(A.tracks(spark, sf).select("id", "title"), F.col("now") == F.col("id"))
+    return j.select("user_id", F.concat(F.lit("now "), "title", F.lit(", "), F.col("n").cast("string"), F.lit(" played")).alias("answer"))
