@@ -1 +1,259 @@
-"""Queries."""
+"""Queries: signal transforms, sequential algorithms and set planning. Tests hold them against numpy and invariants."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crateflow import adapters as A
+from crateflow.operators import planning as P
+from crateflow.operators import series as R
+from crateflow.operators import signals as G
+from crateflow.plans.core import query
+
+RATE = 64.0
+
+
+def _arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return A.table(spark, sf, "embeddings").select("vec_id", "embedding")
+
+
+def _mapped(function, kind: str, name: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _arrays(spark, sf).select("vec_id", G.array_map(function, kind, F.col("embedding")).alias(name))
+
+    return run
+
+
+query("sig02_band_waveform")(_mapped(lambda x: G.band_waveform(x).ravel(), "array<double>", "bands"))
+query("sig04_onset_envelope")(_mapped(G.onset_envelope, "array<double>", "envelope"))
+query("sig05_tempo")(_mapped(lambda x: list(G.tempo_of(x, 8.0)), "array<double>", "tempo_phase"))
+query("sig06_chroma")(_mapped(lambda x: G.chroma(x, 2000.0), "array<double>", "chroma"))
+query("sig08_log_mel")(_mapped(lambda x: G.log_mel(x, 2000.0).ravel(), "array<double>", "mel"))
+query("sig11_separation")(_mapped(lambda x: G.split_bands(x)[0], "array<double>", "slow"))
+
+
+@query("sig03_spectrum", """WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS i) WHERE vec_id < 50), k AS (SELECT unnest(range(0, 33, 8)) AS k)
+SELECT vec_id, CAST(k AS INT) AS k, round(sqrt(pow(sum(v * cos(6.283185307179586e0 * k * i / 64)), 2) + pow(sum(v * sin(6.283185307179586e0 * k * i / 64)), 2)), 6) AS mag FROM x, k GROUP BY 1, 2""")
+def sig03(spark: SparkSession, sf: str) -> DataFrame:
+    mags = _arrays(spark, sf).where("vec_id < 50").select("vec_id", G.array_map(lambda x: np.abs(np.fft.rfft(x)), "array<double>", F.col("embedding")).alias("m"))
+    return mags.select("vec_id", F.posexplode("m").alias("k", "mag")).where("k % 8 = 0").select("vec_id", "k", F.round("mag", 6).alias("mag"))
+
+
+@query("sig07_full_analysis")
+def sig07(spark: SparkSession, sf: str) -> DataFrame:
+    def analyse(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf["v"].to_numpy()
+        bpm, phase = G.tempo_of(v, 2.0)
+        rms = float(np.sqrt(np.mean(v * v)))
+        bars = np.array([np.sqrt(np.mean(v[i : i + 4] ** 2)) for i in range(0, len(v), 4)])
+        loud = bars / max(bars.max(), 1e-9) > 0.7
+        return pd.DataFrame([(key, bpm, phase, rms, float(loud.mean()), [float(b) for b in bars[:: -(-len(bars) // 256)]])], columns=["series", "bpm", "phase", "rms", "sustained", "bar_energy"])
+
+    return G.per_track(A.beats(spark, sf), "series", "idx", analyse, "series long, bpm double, phase double, rms double, sustained double, bar_energy array<double>")
+
+
+@query("sig09_chunks", """WITH f AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, CAST(s AS INT) AS start FROM (SELECT label, n, unnest(list_concat(range(0, greatest(n - 24, 0), 20), [greatest(n - 24, 0)])) AS s FROM f)""")
+def sig09(spark: SparkSession, sf: str) -> DataFrame:
+    n = A.table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    last = F.greatest(F.col("n") - 24, F.lit(0))
+    step = F.filter(F.sequence(F.lit(0).cast("long"), last, F.lit(20).cast("long")), lambda s: s < last)
+    return n.select("label", F.explode(F.array_append(step, last)).alias("s")).select("label", F.col("s").cast("int").alias("start"))
+
+
+@query("sig09_chunk_merge", "SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame, round(embedding[1]::DOUBLE, 6) AS v FROM embeddings")
+def sig09b(spark: SparkSession, sf: str) -> DataFrame:
+    frames = A.frames(spark, sf).select(F.col("track").alias("label"), "idx", F.col("embedding")[0].cast("double").alias("v"))
+    starts = sig09(spark, sf)
+    parts = frames.join(starts, "label").where("idx >= start AND idx < start + 24")
+    return parts.groupBy("label", F.col("idx").alias("frame")).agg(F.round(F.min_by("v", "start"), 6).alias("v"))
+
+
+@query("sig10_beat_grid")
+def sig10(spark: SparkSession, sf: str) -> DataFrame:
+    def grid(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.cumsum(0.48 + 0.002 * (pdf["v"].to_numpy() % 7 - 3))
+        g = G.beat_grid(t, t[::4])
+        return pd.DataFrame([(key, g["bpm"], g["offset"], g["confidence"])], columns=["series", "bpm", "beat_offset", "confidence"])
+
+    return G.per_track(A.beats(spark, sf), "series", "idx", grid, "series long, bpm double, beat_offset double, confidence double")
+
+
+@query("sig12_vocal_entry", f"WITH {A.BEATS_SQL}, b AS (SELECT series, idx // 4 AS bar, sqrt(avg(v * v)) AS e FROM beats GROUP BY 1, 2), m AS (SELECT *, max(e) OVER (PARTITION BY series) AS top FROM b) SELECT series, CAST(coalesce(min(bar) FILTER (e > 0.3e0 * top), 0) // 4 * 4 AS BIGINT) AS entry_bar FROM m GROUP BY series")
+def sig12(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    b = A.beats(spark, sf).groupBy("series", F.floor(F.col("idx") / 4).alias("bar")).agg(F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("e"))
+    m = b.withColumn("top", F.max("e").over(Window.partitionBy("series")))
+    first = F.coalesce(F.min(F.when(F.col("e") > 0.3 * F.col("top"), F.col("bar"))), F.lit(0))
+    return m.groupBy("series").agg((F.floor(first / 4) * 4).alias("entry_bar"))
+
+
+@query("sig13_pooled_features", "WITH f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding FROM embeddings) SELECT label, CAST(idx // 4 AS BIGINT) AS beat, CAST(d - 1 AS INT) AS dim, round(avg(embedding[d]::DOUBLE), 6) AS mean FROM f, (SELECT unnest(range(1, 5)) AS d) GROUP BY 1, 2, 3")
+def sig13(spark: SparkSession, sf: str) -> DataFrame:
+    f = A.frames(spark, sf).select(F.col("track").alias("label"), F.floor(F.col("idx") / 4).alias("beat"), F.posexplode(F.slice("embedding", 1, 4)).alias("dim", "x"))
+    return f.groupBy("label", "beat", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+@query("sig15_alignment")
+def sig15(spark: SparkSession, sf: str) -> DataFrame:
+    def align(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
+        z, start = [], []
+        for i in range(0, len(x) - 4, 4):
+            s = (x @ x[i : i + 4].mean(0)) - x.mean()
+            dev = np.median(np.abs(s - np.median(s))) + 1e-6
+            best = G.spaced_best(s, np.arange(len(s)), 3, 4)
+            z.append((s[best] - np.median(s)) / dev)
+            start.append(np.array(best))
+        pick = G.monotone_choice(z, start)
+        return pd.DataFrame([(key, i, int(start[i][c]) if c >= 0 else None) for i, c in enumerate(pick)], columns=["track", "part", "at"])
+
+    return G.per_track(A.frames(spark, sf), "track", "idx", align, "track int, part int, at int")
+
+
+@query("sig16_gains")
+def sig16(spark: SparkSession, sf: str) -> DataFrame:
+    def gains(x: np.ndarray) -> list[float]:
+        a, b = np.abs(x[:16]) + 0.1, np.abs(x[16:32]) + 0.1
+        fade = np.linspace(1, 0, 16)
+        return G.bounded_gains(a, b, fade * a + (1 - fade) * b)[0].tolist()
+
+    return _arrays(spark, sf).select("vec_id", G.array_map(gains, "array<double>", F.col("embedding")).alias("gains"))
+
+
+@query("sig17_transition_examples", f"WITH {A.PLAYLISTS_SQL}, t AS (SELECT playlist, pos, track, lead(track) OVER w AS nxt, lead(pos) OVER w AS np FROM playlists WINDOW w AS (PARTITION BY playlist ORDER BY pos)) SELECT playlist, pos, CAST(s AS INT) AS step, round((s + 0.5e0) / 8, 6) AS p FROM t, (SELECT unnest(range(8)) AS s) WHERE np = pos + 1 AND playlist % 10 = 0")
+def sig17(spark: SparkSession, sf: str) -> DataFrame:
+    w = "OVER (PARTITION BY playlist ORDER BY pos)"
+    t = A.playlists(spark, sf).selectExpr("playlist", "pos", f"lead(pos) {w} AS np").where("np = pos + 1 AND playlist % 10 = 0")
+    return t.select("playlist", "pos", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step")).select("playlist", "pos", "step", F.round((F.col("step") + 0.5) / 8, 6).alias("p"))
+
+
+@query("sig18_synthetic_transitions")
+def sig18(spark: SparkSession, sf: str) -> DataFrame:
+    u = [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 30)) / float(1 << 30) for k in range(3)]
+    length = F.element_at(F.array(*[F.lit(n) for n in (16, 32, 64)]), (F.floor(u[0] * 3) + 1).cast("int"))
+    curve = F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (i / length - u[1] * 0.3) / (0.4 + u[2] * 0.3))), 6))
+    return A.tracks(spark, sf).select("id", length.alias("beats"), curve.alias("curve"))
+
+
+@query("sig20_f_measure")
+def sig20(spark: SparkSession, sf: str) -> DataFrame:
+    def measure(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.arange(len(pdf)) * 0.5
+        est = t + np.where(pdf["v"].to_numpy() > 80, 0.2, 0.03)
+        return pd.DataFrame([(key, G.f_measure(t, est))], columns=["series", "f"])
+
+    return G.per_track(A.beats(spark, sf), "series", "idx", measure, "series long, f double")
+
+
+@query("sig23_labels")
+def sig23(spark: SparkSession, sf: str) -> DataFrame:
+    def label(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.cumsum(0.48 + np.where(pdf["v"].to_numpy() > 95, 0.1, 0.0))
+        g = G.beat_grid(t, t[::4])
+        kind = "grid" if g["confidence"] > 0.8 else "free"
+        return pd.DataFrame([(key, kind, g["bpm"], len(t))], columns=["series", "kind", "bpm", "beats"])
+
+    return G.per_track(A.beats(spark, sf), "series", "idx", label, "series long, kind string, bpm double, beats int")
+
+
+@query("win05_longest_run")
+def win05(spark: SparkSession, sf: str) -> DataFrame:
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.cumsum(0.5 + np.where(pdf["v"].to_numpy() > 90, 0.17, 0.0))
+        n, times = G.longest_run(t, 0.5)
+        return pd.DataFrame([(key, len(n), float(times[0]), float(times[-1]))], columns=["series", "n", "first", "last"])
+
+    return G.per_track(A.beats(spark, sf), "series", "idx", run, "series long, n int, first double, last double")
+
+
+@query("win06_merged_peaks")
+def win06(spark: SparkSession, sf: str) -> DataFrame:
+    peaks = R.local_peaks(A.beats(spark, sf), "series", "idx", "v", 1)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        m = G.merged_peaks(pdf["idx"].to_numpy(float), 2)
+        return pd.DataFrame({"series": key, "peak": m})
+
+    return G.per_track(peaks, "series", "idx", run, "series long, peak double")
+
+
+@query("win13_spaced_best")
+def win13(spark: SparkSession, sf: str) -> DataFrame:
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        best = G.spaced_best(pdf["v"].to_numpy(), pdf["idx"].to_numpy(), 5, 8)
+        return pd.DataFrame({"series": key, "place": range(len(best)), "idx": pdf["idx"].to_numpy()[best], "v": pdf["v"].to_numpy()[best]})
+
+    return G.per_track(A.beats(spark, sf), "series", "idx", run, "series long, place int, idx int, v double")
+
+
+@query("joi16_lag_similarity")
+def joi16(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out vectors against training ones: candidates share a band of 12 of the 62 sign bits, then all lags count."""
+    bits = F.zip_with(F.slice("embedding", 2, 62), F.slice("embedding", 1, 62), lambda a, b: F.when(a > b, 1.0).otherwise(-1.0))
+    v = _arrays(spark, sf).select("vec_id", bits.alias("bits"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(50)), lambda i: F.concat_ws("", F.transform(F.slice("bits", i + 1, 12), lambda b: F.when(b > 0, "1").otherwise("0"))))
+    keyed = v.select("vec_id", "bits", F.explode(F.array_distinct(bands)).alias("band"))
+    held, train = keyed.where("vec_id % 20 = 0"), keyed.where("vec_id % 20 <> 0")
+    pairs = held.select(F.col("vec_id").alias("a"), F.col("bits").alias("x"), "band").join(train.select(F.col("vec_id").alias("b"), F.col("bits").alias("y"), "band"), "band").drop("band").dropDuplicates(["a", "b"])
+
+    def run(it):
+        for pdf in it:
+            s = [G.lag_agreement(np.asarray(x), np.asarray(y), 40) for x, y in zip(pdf["x"], pdf["y"])]
+            yield pdf[["a", "b"]].assign(agreement=s)
+
+    return pairs.mapInPandas(run, "a long, b long, agreement double").where("agreement >= 0.75")
+
+
+@query("joi17_probes")
+def joi17(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames at eight places of each track looked up in all frames; places of two probes that agree are kept."""
+    f = A.frames(spark, sf)
+    n = f.groupBy("track").agg(F.count("*").alias("n"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.floor(i / 9 * F.col("n")).cast("int"))
+    probes = n.select("track", F.explode(F.array_distinct(at)).alias("idx")).join(f, ["track", "idx"]).select("track", F.col("idx").alias("probe"), F.col("embedding").alias("p"))
+    dot = F.aggregate(F.zip_with("p", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    # a probe is compared with the frames of its own mix, which is what it was taken for
+    scored = probes.join(f, "track").select("track", "probe", "idx", dot.alias("s"))
+    z = R.robust_z(scored.withColumn("k", F.concat_ws(":", "track", "probe")), "k", "s").where("z > 3")
+    d = z.select("track", "probe", "idx", (F.col("idx") - F.col("probe")).alias("d"))
+    return d.groupBy("track", F.floor(F.col("d") / 4).alias("diagonal")).agg(F.countDistinct("probe").alias("probes"), F.min("idx").alias("first")).where("probes >= 2")
+
+
+@query("top04_greedy_set")
+def top04(spark: SparkSession, sf: str) -> DataFrame:
+    return P.sets_per_group(A.keyed(spark, sf), "genre", 20, "rise")
+
+
+@query("top04_first_step", f"WITH {A.KEYED_SQL} SELECT genre, arg_min(id, abs(energy - 5) * 1000000 + id) AS id FROM keyed GROUP BY genre")
+def top04b(spark: SparkSession, sf: str) -> DataFrame:
+    return P.sets_per_group(A.keyed(spark, sf), "genre", 1, "rise").select("genre", "id")
+
+
+@query("str06_set_course")
+def str06(spark: SparkSession, sf: str) -> DataFrame:
+    t = A.keyed(spark, sf)
+    return P.set_course(P.sets_per_group(t, "genre", 10), t, "genre")
+
+
+@query("mus_f14_live_gestures")
+def mus_f14(spark: SparkSession, sf: str) -> DataFrame:
+    bars = A.beats(spark, sf).groupBy("series").agg(F.sort_array(F.collect_list(F.struct("idx", (F.col("v") / 100).alias("e")))).alias("b")).select("series", F.col("b.e").alias("e"))
+
+    def run(it):
+        for pdf in it:
+            g = [P.plan_gesture([float(v) for v in e], 20.0, 120.0, int(s)) for s, e in zip(pdf["series"], pdf["e"])]
+            yield pd.DataFrame({"series": pdf["series"], "gesture": g})
+
+    return bars.mapInPandas(run, "series long, gesture string")
+
+
+@query("nlu11_set_from_description")
+def nlu11(spark: SparkSession, sf: str) -> DataFrame:
+    from crateflow.operators.library import Filters
+
+    t = A.keyed(spark, sf).where(Filters(genres=("promo",), bpm_min=90, bpm_max=160).column(F.col("genre"), F.col("bpm")))
+    return P.sets_per_group(t, "genre", 8, "wave")

@@ -1 +1,121 @@
-"""Queries."""
+"""Queries: files, stores and streams. Streams run over the tables' files as they are found, then stop."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from crateflow import adapters as A
+from crateflow.plans.core import query
+from crateflow.sources import files
+from crateflow.streaming import arrivals as S
+
+
+def _place(spark: SparkSession, tag: str) -> str:
+    """A fresh folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="crateflow-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/crateflow/{tag}-{uuid.uuid4().hex}"
+
+
+def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there, written to a shared folder and read back."""
+    spark = stream.sparkSession
+    out = _place(spark, "stream")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch if mode == 'append' else 0}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", _place(spark, "offsets")).trigger(availableNow=True).foreachBatch(keep).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/*")
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table's files as a stream; a table that is one file is streamed from its folder by its name."""
+    schema = A.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query("src01_directory_scan", f"WITH {A.TRACKS_SQL} SELECT '/m/' || CASE WHEN id % 11 = 0 THEN '.hidden/' ELSE '' END || artist || '/' || id || CASE id % 4 WHEN 0 THEN '.mp3' WHEN 1 THEN '.FLAC' WHEN 2 THEN '.txt' ELSE '.part' END AS path, CAST(2 AS INT) - 1 AS depth FROM tracks WHERE id % 11 <> 0 AND id % 4 < 2")
+def src01(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("/m/"), F.when(F.col("id") % 11 == 0, ".hidden/").otherwise(""), "artist", F.lit("/"), F.col("id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in (".mp3", ".FLAC", ".txt", ".part")]), (F.col("id") % 4 + 1).cast("int")))
+    return files.audio_only(A.tracks(spark, sf).select(path.alias("path")), "/m")
+
+
+@query("src12_store_defaults", f"WITH {A.TRACKS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN title ELSE 'untitled' END AS title, CAST(CASE WHEN id % 2 = 0 THEN energy ELSE 5 END AS INT) AS energy FROM tracks WHERE id < 300")
+def src12(spark: SparkSession, sf: str) -> DataFrame:
+    t = A.tracks(spark, sf).where("id < 300").select("id", F.when(F.col("id") % 3 == 0, F.col("title")).alias("title"), F.when(F.col("id") % 2 == 0, F.col("energy")).alias("energy"))
+    path = _place(spark, "store")
+    files.save_store(t, path)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("energy", T.IntegerType())])
+    return files.json_store(spark, path, schema, {"title": "untitled", "energy": 5})[0]
+
+
+@query("src17_stem_store", f"WITH {A.TRACKS_SQL} SELECT id, id % 2 = 0 AS vocals, id % 3 = 0 AS backing FROM tracks")
+def src17(spark: SparkSession, sf: str) -> DataFrame:
+    t = A.tracks(spark, sf).select("id")
+    stems = t.where("id % 2 = 0").withColumn("kind", F.lit("vocals")).unionByName(t.where("id % 3 = 0").withColumn("kind", F.lit("backing")))
+    return files.kinds_present(t, stems, ("vocals", "backing"))
+
+
+@query("src25_incremental", "SELECT doc_id FROM documents WHERE doc_id % 2 <> 0 AND doc_id % 5 <> 0")
+def src25(spark: SparkSession, sf: str) -> DataFrame:
+    d = A.table(spark, sf, "documents").select("doc_id", "source")
+    path = _place(spark, "features")
+    files.append_features(d.where("doc_id % 2 = 0"), path)
+    return files.todo(d.select("doc_id"), spark.read.parquet(path), d.where("doc_id % 5 = 0"), "doc_id")
+
+
+@query("src26_project_clips", "SELECT path, CAST(sec0 AS DOUBLE) AS sec0, CAST(period AS DOUBLE) AS period, consistent FROM (VALUES ('a.wav', 0.5, 0.5, true), ('b.wav', 1.0, 0.25, true)) AS v(path, sec0, period, consistent)")
+def src26(spark: SparkSession, sf: str) -> DataFrame:
+    a = '<clip path="a.wav"><marker sec="0.5" beat="0"/><marker sec="8.5" beat="16"/></clip>'
+    b = '<clip path="b.wav"><marker sec="1.0" beat="0"/><marker sec="2.0" beat="4"/></clip>'
+    return files.project_clips(spark.createDataFrame([(f"<p>{a}{b}{a}</p>",)], "xml string"))
+
+
+@query("str01_settled_files", """WITH e AS (SELECT 'f' || user_id || '.mp3' AS name, CAST(trunc(value / 10) AS BIGINT) AS size, epoch_us(ts) / 1e6 AS t FROM events WHERE user_id % 5 <> 0), n AS (SELECT *, lead(size) OVER w AS ns, lead(t) OVER w AS nt FROM e WINDOW w AS (PARTITION BY name ORDER BY t))
+SELECT name, arg_min(size, t) AS size, round(min(t) + 1.2, 3) AS ready FROM n WHERE ns = size AND nt - t >= 1.2 GROUP BY name""")
+def str01(spark: SparkSession, sf: str) -> DataFrame:
+    e = A.table(spark, sf, "events").selectExpr("concat('f', user_id, if(user_id % 5 = 0, '.part', '.mp3')) AS name", "CAST(value / 10 AS BIGINT) AS size", "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 AS ts", "false AS at_start")
+    return S.settled(e, 1.2).select("name", "size", F.round("ready", 3).alias("ready"))
+
+
+@query("str02_paired_controllers")
+def str02(spark: SparkSession, sf: str) -> DataFrame:
+    e = A.table(spark, sf, "events").selectExpr("'d' || user_id % 3 AS device", "CAST(user_id % 16 AS INT) AS channel", "CAST(event_id % 8 + if(event_id % 2 = 0, 0, 32) AS INT) AS cc", "CAST(value AS INT) AS value", "event_id * 10.0D AS t_ms")
+    return S.paired_values(e)
+
+
+@query("str03_soft_takeover")
+def str03(spark: SparkSession, sf: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = _stream(spark, sf, "events").selectExpr("CAST(user_id AS STRING) AS control", "event_id AS seq", "if(event_type = 'view', 'software', 'hardware') AS source", "value / 100 AS value")
+    return _drained(S.soft_takeover(e))
+
+
+@query("str05_stream_bursts")
+def str05(spark: SparkSession, sf: str) -> DataFrame:
+    e = _stream(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return _drained(S.bursts(e, ["user_id", "event_type"], "at", "6 hours").select("event_id", "user_id", "event_type"))
+
+
+@query("ext_plays_per_window", "SELECT event_type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type, date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY event_type")
+def plays_window(spark: SparkSession, sf: str) -> DataFrame:
+    e = _stream(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    got = _drained(S.plays_per_window(e, "at", "1 day", "1 hour", "event_type"), "complete")
+    return got.groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query("ext_sessions", """WITH g AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR AS near FROM events) SELECT user_id, count(*) FILTER (near IS NULL OR NOT near) AS sessions FROM g GROUP BY user_id""")
+def play_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    e = _stream(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    got = _drained(S.sessions(e, "at", "6 hours", "40 days", "user_id"), "complete")
+    return got.groupBy("user_id").agg(F.count("*").alias("sessions"))
