@@ -51,14 +51,20 @@ def _pairs(data: np.ndarray) -> np.ndarray:
     return data.view(">u2").astype(np.int32)
 
 
-def _responses(paired: list[np.ndarray], bias: np.ndarray, pairs: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """All filters' responses in the blocks lo to hi: (blocks, places, filters)."""
+def _responses(paired: list[np.ndarray], bias: np.ndarray, pairs: np.ndarray, lo: int, hi: int, last: np.ndarray) -> np.ndarray:
+    """All filters' responses in the blocks lo to hi: (blocks, places, filters).
+
+    last: the texts' last blocks. Their last places, which begin in the padding, would reach into the next text and
+    don't count.
+    """
     per = BLOCK // 2
     out = np.take(paired[0], pairs[lo * per : hi * per], axis=0)
     for k in range(1, WIDTH // 2):
         out += np.take(paired[k], pairs[lo * per + k : hi * per + k], axis=0)
     out += bias
-    return out.reshape(hi - lo, per, -1)
+    out = out.reshape(hi - lo, per, -1)
+    out[last[(last >= lo) & (last < hi)] - lo, 1 - WIDTH // 2 :] = -np.inf
+    return out
 
 
 def _documents(pooled: np.ndarray, blocks: np.ndarray) -> np.ndarray:
@@ -77,7 +83,8 @@ def score(model: Model, paired: list[np.ndarray], texts: list[bytes], step: int
     """Probabilities of label 1."""
     data, blocks = _joined(texts)
     pairs, total = _pairs(data), int(blocks.sum())
-    pooled = np.concatenate([_responses(paired, model.bias, pairs, lo, min(total, lo + step)).max(1) for lo in range(0, total, step)])
+    last = np.cumsum(blocks) - 1
+    pooled = np.concatenate([_responses(paired, model.bias, pairs, lo, min(total, lo + step), last).max(1) for lo in range(0, total, step)])
     return 1 / (1 + np.exp(-model.head(_documents(pooled, blocks))[1].astype(np.float64)))
 
 
@@ -105,10 +112,10 @@ def train(rows: list[tuple[bytes, int]], share: float, seed: int = 3, rounds: in
             y = y_all[some]
             data, blocks = _joined([rows[i][0] for i in some])
             pairs, total = _pairs(data), int(blocks.sum())
-            paired = m.paired()
+            paired, last = m.paired(), np.cumsum(blocks) - 1
             pooled, place = np.empty((total, FILTERS), np.float32), np.empty((total, FILTERS), np.int64)
             for lo in range(0, total, 512):
-                r = _responses(paired, m.bias, pairs, lo, min(total, lo + 512))
+                r = _responses(paired, m.bias, pairs, lo, min(total, lo + 512), last)
                 place[lo : lo + 512] = r.argmax(1)
                 pooled[lo : lo + 512] = np.take_along_axis(r, place[lo : lo + 512, None, :], 1)[:, 0]
             docs = _documents(pooled, blocks)
