@@ -279,7 +279,7 @@ def _predict(model: Model, at: int, with_spans: bool):
         n = len(model.languages)
         for b in batches_of(it, at):
             texts = b.column(at).to_pylist()
-            post, counted = labeller.label([t or "" for t in texts])
+            post, counted = labeller.label([t or "" for t in texts]) if n else ([None] * len(texts),) * 2
             best, score, spans = [], [], []
             for t, p, c in zip(texts, post, counted):
                 if not t or n == 0 or not any(map(str.isalpha, t)):
