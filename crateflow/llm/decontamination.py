@@ -101,7 +101,7 @@ def _occurrences(known: np.ndarray, n: int):
             for d, key, t in zip(*(b.column(i).to_pylist() for i in range(3))):
                 g = grams(word_hashes(t), n)
                 at = np.flatnonzero(table[(g >> np.uint64(64 - bits)).astype(np.int64)])
-                at = at[np.isin(g[at], known)] if len(at) else at
+                at = at[known[np.minimum(np.searchsorted(known, g[at]), len(known) - 1)] == g[at]]
                 if len(at):
                     docs.append(np.full(len(at), d, object))
                     keys.append(np.full(len(at), key))
