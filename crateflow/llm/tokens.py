@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -27,19 +28,33 @@ _SHOWN = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(b f
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 
+class _Memo(dict):
+    """Stored ids of words, made where a word is first looked up; those of the generation before are taken over."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict):
+        self.make, self.old = make, old
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        self[word] = got
+        return got
+
+
 class Encoder:
     """ids of texts by a tokenizers JSON file; strings of special tokens in a text are ordinary text.
 
-    most_pieces bounds the memory of pieces (about 170 bytes each): when so many are new, those not met since the last
+    most_pieces bounds the memory of words (about 170 bytes each, twice): when so many are new, those not met since the last
     time are forgotten.
     """
 
-    def __init__(self, path: str, most_pieces: int = 150_000):
+    def __init__(self, path: str, most_pieces: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most_pieces, self.memo, self.old = most_pieces, {}, {}
+        self.most_pieces, self.memo = most_pieces, _Memo(self._word, {})
         pre, normalizer = spec["pre_tokenizer"] or {}, spec["normalizer"]
         parts = [p["type"] for p in pre.get("pretokenizers", [])]
         norms = [n["type"] for n in (normalizer or {}).get("normalizers", [])]
@@ -61,11 +76,14 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
-        """ids of one lower-case word: split and written as bytes' characters as the library does, merged by it."""
-        ids: list[bytes] = []
-        for p in self.split(word):
-            ids += [self.stored[t.id] for t in self.merge(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_SHOWN))]
-        return b"".join(ids)
+        """ids of one lower-case word: split and written as bytes' characters as the library does, merged by it.
+
+        The pieces of a word, its letters and the marks around them, are remembered as words of their own.
+        """
+        pieces = [word] if word.isalpha() else self.split(word)
+        if pieces != [word]:
+            return b"".join(map(self.memo.__getitem__, pieces))
+        return b"".join([self.stored[t.id] for t in self.merge(word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_SHOWN))])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """ids of each text, without any end id."""
@@ -78,16 +96,11 @@ class Encoder:
             for i in rest:
                 out[i] = self.ranks.encode_to_numpy(texts[i], disallowed_special=()).astype(self.dtype)
             return out
-        words = [texts[i].lower().split() for i in rest]
         if len(self.memo) > self.most_pieces:
-            self.memo, self.old = {}, self.memo
-        new = set().union(*words).difference(self.memo)
-        again = new.intersection(self.old)
-        self.memo.update((w, self.old[w]) for w in again)
-        self.memo.update((w, self._word(w)) for w in new - again)
+            self.memo = _Memo(self._word, dict(self.memo))
         get = self.memo.__getitem__
-        for i, w in zip(rest, words):
-            out[i] = np.frombuffer(b"".join(map(get, w)), self.dtype)
+        for i in rest:
+            out[i] = np.frombuffer(b"".join(map(get, texts[i].lower().split())), self.dtype)
         return out
 
 
