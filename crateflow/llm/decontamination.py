@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Every n-gram of the test items is counted in the corpus in one pass that also notes where it occurs. An item's rare
-n-grams become its seeds: all but those much more frequent than the item's median one. Rarity is judged within the
-item, so it keeps its seeds even if it is copied into a third of all documents; and half of all its n-grams are seeds
-at least, so an edited copy keeps some. Occurrences of seeds are joined to passages by document, item and diagonal, and
-each passage is aligned with its item, word by word, so edited and paraphrased copies score as well.
+Every n-gram of the test items is a seed, however frequent: what an edited copy keeps may be what most copies keep. One
+pass notes where seeds occur. Occurrences are joined to passages by document, item and diagonal; those that hold too few
+of the item's words to score are left out, and each of the others is aligned with its item, word by word, so edited and
+paraphrased copies score as well.
 """
 
 from __future__ import annotations
@@ -125,7 +124,9 @@ def _scored(items: dict[int, np.ndarray], least: float):
                     item = items[p["item"]]
                     slack = len(item) // 2 + 2
                     lo, hi = max(0, p["low"] - slack), min(len(h), p["high"] + len(item) + slack)
-                    todo.append((d, key, lo, item, h[lo:hi], p["item"]))
+                    # an alignment scores MATCH times its matches at most: fewer of the item's words can't reach least
+                    if np.isin(item, h[lo:hi]).sum() >= least * len(item) - 1e-9:
+                        todo.append((d, key, lo, item, h[lo:hi], p["item"]))
             todo.sort(key=lambda x: len(x[4]))
             for k in range(0, len(todo), 256):
                 some = todo[k : k + 256]
@@ -154,23 +155,23 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
         yield part
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, commoner: float = 4.0, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start, length and score of every passage that aligns with a test item.
 
     score: the local alignment's share of a perfect one (2 a match, -1 a mismatch or gap), least or more. start and
-    length count words (as word_hashes takes them). n: words of a seed. commoner: an n-gram more than so many
-    times as frequent in the corpus as the item's median n-gram is no seed; a copy is found if it keeps one seed. Items with fewer than n words are one seed of their own length. Per document and item the best passage is
+    length count words (as word_hashes takes them). n: words of a seed; a copy is found if it keeps one n-gram of the item.
+    Items with fewer than n words are one seed of their own length. Per document and item the best passage is
     given, the first on a tie. Null or empty texts, null ids of items and an empty benchmark give nothing; rows with a
     null doc_id are judged too. Items that share an id are one item with several texts. Other columns are not read.
     """
-    out = _passages(docs, benchmark, n, commoner, least, id_col, text_col, item_id_col, item_text_col)
+    out = _passages(docs, benchmark, n, least, id_col, text_col, item_id_col, item_text_col)
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start", "length")
     return out.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank", "key")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, commoner: float = 4.0, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no passage aligns with a test item; rows with a null id are judged too."""
-    found = _passages(docs, benchmark, n, commoner, least, id_col, text_col, "item_id", "text").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct()
+    found = _passages(docs, benchmark, n, least, id_col, text_col, "item_id", "text").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct()
     names = [f"__{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     own = F.xxhash64(F.coalesce(F.col(names[docs.columns.index(text_col)]), F.lit("")).cast("binary"))
@@ -178,19 +179,19 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, commoner: f
     return rows.join(found, same, "left_anti").toDF(*docs.columns)
 
 
-def _passages(docs: DataFrame, benchmark: DataFrame, n: int, commoner: float, least: float, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
+def _passages(docs: DataFrame, benchmark: DataFrame, n: int, least: float, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
     """leaks() with all passages, and with `key`, the hash of the text they lie in."""
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t")).select("doc_id", F.xxhash64("t").alias("key"), "t")
     out = None
     for part in _slices(benchmark, item_id_col, item_text_col):
-        got = _leaks_of(rows, [(i, h) for i, t in part if len(h := word_hashes(t))], n, commoner, least)
+        got = _leaks_of(rows, [(i, h) for i, t in part if len(h := word_hashes(t))], n, least)
         out = got if out is None or got is None else out.unionByName(got)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, key long, item_id long, start long, length long, score double")
     return out
 
 
-def _leaks_of(rows: DataFrame, items: list[tuple[int, np.ndarray]], n: int, commoner: float, least: float) -> DataFrame | None:
+def _leaks_of(rows: DataFrame, items: list[tuple[int, np.ndarray]], n: int, least: float) -> DataFrame | None:
     spark = rows.sparkSession
     if not items:
         return None
@@ -202,11 +203,7 @@ def _leaks_of(rows: DataFrame, items: list[tuple[int, np.ndarray]], n: int, comm
         known = np.unique(some["gram"].to_numpy(np.int64).view(np.uint64))
         got = rows.mapInArrow(_occurrences(known, int(w)), "doc_id long, key long, at int, gram long").withColumn("w", F.lit(int(w)))
         hits = got if hits is None else hits.unionByName(got)
-    hits = stored(hits, "seed-hits")
-    counts = hits.groupBy("gram", "w").agg(F.count("*").alias("n"))
-    seeds = spark.createDataFrame(table).join(counts, ["gram", "w"], "left")
-    seeds = seeds.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("mid", F.median("n").over(Window.partitionBy("item")))
-    seeds = stored(seeds.where(F.col("n") <= commoner * F.greatest("mid", F.lit(1.0))).select("gram", "w", "item", "place"), "seeds")
+    seeds = stored(spark.createDataFrame(table), "seeds")
     # seeds: a row for a word of one slice of the benchmark, at most
     found = hits.join(F.broadcast(seeds), ["gram", "w"]).select("doc_id", "key", "item", (F.col("at") - F.col("place")).alias("low"))
     places = found.groupBy("doc_id", "key", "item", F.floor(F.col("low") / 32).alias("_cell")).agg(F.min("low").alias("low"), F.max("low").alias("high"))

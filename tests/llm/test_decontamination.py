@@ -67,6 +67,18 @@ def test_a_leak_in_a_third_of_all_documents_is_found(spark):
     assert {r.doc_id for r in got} == set(range(0, 300, 3))
 
 
+def test_an_edited_passage_is_found_however_often_it_stands(spark):
+    rng = random.Random(6)
+    words = [f"q{i}" for i in range(32)]
+    edited = " ".join("other" if i % 4 == 1 else w for i, w in enumerate(words))
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    for copies in (5, 50, 500):
+        for whole in (0, 1):  # an unedited copy makes the other n-grams rarer than those that all copies keep
+            docs = [(d, (" ".join(words) if d < whole else edited if d < copies + whole else "") + " " + " ".join(f"x{rng.randrange(500)}" for _ in range(40))) for d in range(copies + 50)]
+            got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, least=0.5).collect()
+            assert {r.doc_id for r in got} == set(range(copies + whole))
+
+
 def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "shared3 shared4 shared5 shared6 shared7 shared8 shared9"), (2, None), (3, ""), (None, "shared1 shared2 shared3"), (4, "one")], "item_id long, text string")
     got = D.leaks(odd, items).collect()
