@@ -115,3 +115,18 @@ def test_widening_tiers(spark):
     assert sorted((r.id, r.tier) for r in got) == [(i, 3) for i in range(6)]
     got = library.widening_pool(t, F.col("genre") == "a", recent.where("id < 2"), F.col("last")).collect()
     assert sorted((r.id, r.tier) for r in got) == [(2, 1), (3, 1)]
+
+
+def test_a_long_list_is_matched_as_a_short_one_is(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FEW", 1)
+    entries = spark.createDataFrame([(1, "Glass", "Kaito Mori"), (2, "Golden Hour", "Nova Reyes"), (3, "Nothing", "")], "pos int, title string, artist string")
+    tracks = spark.createDataFrame([(5, "Track 05", "", "/m/Kaito Mori - Glass City.mp3"), (6, "Golden Hours", "Nova Reyes", "/m/a.mp3")], "id long, title string, artist string, path string")
+    got = {r.pos: (r.track_id, r.score) for r in matching.match_entries(entries, tracks).collect()}
+    assert got == {1: (5, 3.5), 2: (6, 3.5), 3: (None, None)}
+
+
+def test_titles_of_every_length_are_mentioned(spark):
+    titles = [" ".join(f"w{n}x{i}" for i in range(n)) for n in range(1, 71)]
+    texts = spark.createDataFrame([(n, f"play {t} now") for n, t in enumerate(titles)], "tid long, text string")
+    tracks = spark.createDataFrame([(t,) for t in titles], "title string")
+    assert {(r.tid, r.title, r.at) for r in matching.mentioned_titles(texts, tracks).collect()} == {(n, t, 1) for n, t in enumerate(titles)}
