@@ -3,11 +3,14 @@
 A word's features are its affixes, its character n-grams and whether the training texts' lexicon of a language holds
 it; their weights and the transitions between languages are learned by maximum likelihood with forward-backward. The
 training sequences join stretches of different texts, so switches of language within a text are part of the model.
-Every word of a text gets the posterior of each language; a text's language is the one with the largest mean.
+Every word of a text gets the posterior of each language; a text's language is the one with the largest mean. A chain's
+words cover the whole text: scripts that set no spaces and very long words are cut into consecutive pieces, each a
+place of the chain.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,20 +25,31 @@ from crateflow.llm.common import batches_of, col
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
 _WIDE = 24
+#: Scripts that set no spaces between words (South-East Asian, kana, Han); their runs are cut into pieces of RUN.
+_NO_SPACES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+RUN = 4
+_UNSPACED = re.compile(f"[{_NO_SPACES}]")
+_PIECES = re.compile(f"[{_NO_SPACES}]{{1,{RUN}}}|[^{_NO_SPACES}]{{1,{_WIDE}}}")
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¡¿|0123456789"
 
 
+def words_of(text: str) -> list[str]:
+    """The places of a text's chain, lower-cased: its words, the longer ones and runs of scripts without spaces in pieces."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= _WIDE and not _UNSPACED.search(text):
+        return words
+    return [p for w in words for p in _PIECES.findall(w)]
+
+
 def _cleaned(words: list[str]) -> list[str]:
-    """Words without punctuation at their ends; of long ones, the two ends."""
-    out = []
-    for w in words:
-        w = w.strip(_PUNCTUATION)
-        out.append(w if len(w) <= _WIDE else w[: _WIDE // 2] + w[-_WIDE // 2 :])
-    return out
+    """Words without punctuation at their ends."""
+    return [w.strip(_PUNCTUATION) for w in words]
 
 
 def features(words: list[str]) -> np.ndarray:
-    """Buckets of each word's affixes (2-4) and n-grams (1-3) within boundary marks; bucket 0 stands for none."""
+    """Buckets of each word's affixes (2-4) and n-grams (1-3) within boundary marks; bucket 0 stands for none.
+
+    words: of _WIDE characters at most, as words_of gives them."""
     n = len(words)
     chars = np.array(words, f"U{_WIDE}").reshape(n, 1).view(np.uint32).reshape(n, _WIDE).astype(np.uint64)
     size = np.array([min(len(w), _WIDE) for w in words])
@@ -155,7 +169,7 @@ def train(texts: list[tuple[str, str]], seed: int = 7, most_words: int = 300_000
     languages = sorted({lang for _, lang in texts})
     number = {lang: i for i, lang in enumerate(languages)}
     n = len(languages)
-    split = [(t.lower().split(), number[lang]) for t, lang in texts]
+    split = [(words_of(t), number[lang]) for t, lang in texts]
     split = [(w, y) for w, y in split if w]
     counts = [Counter() for _ in languages]
     for words, y in split:
@@ -245,7 +259,7 @@ class Labeller:
 
     def label(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per text: the posteriors of its words, and whether each word has a letter the model reads."""
-        words = [t.lower().split() for t in texts]
+        words = [words_of(t) for t in texts]
         if len(self.place) > self.most:
             self.place.clear()
             self.table = self.table[:0]
@@ -269,8 +283,6 @@ class Labeller:
         return np.split(post, ends[:-1]), np.split(counted, ends[:-1])
 
 
-
-
 def _predict(model: Model, at: int, with_spans: bool):
     """Adds lang_pred and score (and spans) behind the columns of each batch; the text is column `at`."""
 
@@ -304,27 +316,26 @@ def _predict(model: Model, at: int, with_spans: bool):
     return run
 
 
-def learn(docs: DataFrame, allowed: Column, most_per_language: int = 400, most_languages: int = 64, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """Fit on about most_per_language labelled rows of each language, drawn by a hash of the id, and whole texts.
+def learn(docs: DataFrame, allowed: Column, most_per_language: int = 400, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
+    """Fit on about most_per_language labelled rows of each language, drawn by a hash of id and text, and whole texts.
 
-    allowed: which rows may be learned from. Rows with a null text or language are never used. Languages beyond the
-    most_languages most frequent aren't learned. With no rows the model knows no language.
+    allowed: which rows may be learned from. Rows with a null text or language are never used. Every language of the
+    allowed rows is learned; the model holds a row of weights for each. With no rows the model knows no language. The
+    draw takes equal rows together, so of a text repeated beyond most_per_language at most twice as many rows are used.
     """
     rows = docs.where(allowed).select(col(docs, id_col).alias("i"), col(docs, text_col).alias("t"), col(docs, lang_col).cast("string").alias("l")).where("t is not null and l is not null")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
+    counts = sorted((r["l"], r["count"]) for r in rows.groupBy("l").count().collect())
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32), {}, np.zeros(0, np.float32), np.zeros((0, 0)), np.zeros(0))
-    draw = F.pmod(F.xxhash64("i"), F.lit(1_000_003))
-    wanted = None
-    for r in counts:
-        one = (F.col("l") == r["l"]) & (draw < int(1_000_003 * min(1.0, most_per_language / r["count"])) + 1)
-        wanted = one if wanted is None else wanted | one
-    drawn = rows.where(wanted).select("i", "t", "l").collect()
+    draw = F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003))
+    # a row for each language, as the model itself has
+    rates = docs.sparkSession.createDataFrame([(name, int(1_000_003 * min(1.0, most_per_language / n)) + 1) for name, n in counts], "_l string, _rate long")
+    drawn = rows.join(F.broadcast(rates), F.col("l") == F.col("_l")).where(draw < F.col("_rate")).select("i", "t", "l").limit(2 * most_per_language * len(counts)).collect()
     return train([(r["t"], r["l"]) for r in sorted(drawn, key=lambda r: (str(r["i"]), r["t"]))])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """doc_id, lang_pred and score of every row (with_spans: runs of words of one language as well).
+    """doc_id, lang_pred and score of every row (with_spans: runs of one language as well, in places of words_of).
 
     Null texts and texts without a letter are `und` with score 0. Repeated rows give equal rows; ties go to the first
     language in order. Only the text is read; an empty table gives no rows.

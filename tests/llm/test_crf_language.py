@@ -52,6 +52,33 @@ def test_held_out_accuracy_and_code_switching(spark):
     assert [s.lang for s in spans] == ["en", "fr"] and abs(spans[0].end - 12) <= 1
 
 
+def test_every_character_of_unspaced_and_long_words_is_read():
+    han = "\u4e2d\u6587" * 2500
+    assert "".join(C.words_of(han)) == han and max(map(len, C.words_of(han))) <= C.RUN
+    long = "".join(random.Random(3).choice("abcdefgh") for _ in range(5000))
+    assert "".join(C.words_of(f"x {long} y")) == f"x{long}y"
+    model = C.train([("ungsch keitder " * 30, "de"), ("eauxque oileet " * 30, "fr")])
+    labeller = C.Labeller(model)
+    # the middle of one long run decides, not its two ends
+    (post,), (counted,) = labeller.label(["keit" + "eauxque" * 700 + "keit"])
+    assert post[counted].mean(0).argmax() == model.languages.index("fr") and len(post) > 200
+    spaced, joined = (labeller.label([t])[0][0].mean(0) for t in ("keitder " * 50, "keitder" * 50))
+    assert spaced.argmax() == joined.argmax() == model.languages.index("de")
+
+
+def test_all_languages_are_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rng, rows = random.Random(8), []
+    for k in range(65):
+        own = [letters[k % 26] + letters[(k * 7 + j) % 26] + letters[k // 26] for j in range(4)]
+        rows += [(k * 4 + j, " ".join("".join(rng.choice(own) for _ in range(2)) for _ in range(30)), f"l{k:02}") for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = C.learn(docs, docs["doc_id"] >= 0)
+    assert len(model.languages) == 65
+    got = {r.doc_id: r.lang_pred for r in C.predict(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) / len(rows) > 0.95
+
+
 def test_odd_rows(spark, odd, none):
     model = C.learn(odd, odd["doc_id"] >= 0)
     assert model.languages == ["de", "en"]
