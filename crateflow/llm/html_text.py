@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from unicodedata import east_asian_width
 
 import pyarrow as pa
@@ -36,12 +37,17 @@ CLOSES = {
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}), "body": ({"head"}, {"html"}),
 }
 SCOPE = {"table", "td", "th", "caption", "html", "button", "object", "template"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: One attribute, or what stands between two. An opening quote without its end leaves `=` to the caller.
+_ATTRIBUTE = re.compile(r"[\s/]++|(=?[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|(?![\"'])([^\s>]*+)))?+")
+_OPEN_QUOTE = re.compile(r"\s*+=\s*+[\"']")
+_COMMENT_END = re.compile(r"--!?>")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Deeper elements than this are put next to each other instead of inside, as browsers do.
 DEEPEST = 200
+#: A wider cell stands in its column without widening it, so that padding stays in proportion to the page.
+MOST_PADDED = 120
 
 
 class Node:
@@ -51,11 +57,60 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes or {}, []
 
 
-def _attributes(raw: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, a, b, c in _ATTRIBUTE.findall(raw):
-        out.setdefault(name.lower(), html.unescape(a or b or c))
-    return out
+def _tag_at(source: str, at: int) -> tuple[dict[str, str] | None, int]:
+    """Attributes of the tag whose name ends at `at`, and the place after its `>`; (None, end) where the source ends first.
+
+    Every character is passed once: a quote that is never closed takes the rest of the source with it, as in browsers.
+    """
+    found: dict[str, str] | None = None
+    n = len(source)
+    while at < n:
+        if source[at] == ">":
+            return found or {}, at + 1
+        m = _ATTRIBUTE.match(source, at)
+        at = m.end()
+        if m[1]:
+            if m[2] is None and m[3] is None and m[4] is None and _OPEN_QUOTE.match(source, at):
+                break
+            found = found or {}
+            found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return None, n
+
+
+def _tokens(source: str) -> Iterator[tuple[str, str, dict[str, str], int]]:
+    """(kind, name or text, attributes, place after it): text, start tags and end tags in order, in linear time.
+
+    The consumer may send a place to go on from (after the raw text of a script, say). Comments and declarations are
+    passed over; a `<` that opens none of these is text.
+    """
+    at, n, kept = 0, len(source), 0
+    while at < n:
+        lt = source.find("<", at)
+        if lt < 0:
+            break
+        after = source[lt + 1 : lt + 2]
+        m = _NAME.match(source, lt + 2 if after == "/" else lt + 1)
+        if not m and after not in ("!", "?") and not (after == "/" and lt + 2 < n):
+            at = lt + 1
+            continue
+        if lt > kept:
+            yield "text", source[kept:lt], {}, lt
+        if m:
+            attributes, at = _tag_at(source, m.end())
+            if attributes is None:
+                return
+            to = yield "end" if after == "/" else "start", m[0].lower(), attributes, at
+            at = at if to is None else to
+        elif source.startswith("<!--", lt):
+            end = lt + 5 if source.startswith("<!-->", lt) else lt + 6 if source.startswith("<!--->", lt) else 0
+            found = None if end else _COMMENT_END.search(source, lt + 4)
+            at = end or (found.end() if found else n)
+        else:
+            end = source.find(">", lt)
+            at = end + 1 if end >= 0 else n
+        kept = at
+    if kept < n:
+        yield "text", source[kept:], {}, n
 
 
 def parse(source: str) -> Node:
@@ -71,21 +126,19 @@ def parse(source: str) -> Node:
             if stack[i].tag in stop:
                 return
 
-    at, n = 0, len(source)
-    while at < n:
-        m = _TOKEN.search(source, at)
-        text = source[at : m.start()] if m else source[at:]
-        if text:
-            if stack[-1].tag == "head" and text.strip():
+    tokens, to = _tokens(source), None
+    while True:
+        try:
+            kind, tag, attributes, at = tokens.send(to)
+        except StopIteration:
+            return root
+        to = None
+        if kind == "text":
+            if stack[-1].tag == "head" and tag.strip():
                 stack.pop()
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+            stack[-1].children.append(html.unescape(tag) if "&" in tag else tag)
             continue
-        if m[1]:
+        if kind == "end":
             if tag == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
@@ -95,7 +148,7 @@ def parse(source: str) -> Node:
                 pop_to({tag}, inside)
             continue
         if tag == "html" or (tag == "body" and any(x.tag == "body" for x in stack)):
-            stack[0 if tag == "html" else 1].attributes.update(_attributes(m[3]) if m[3] else {})
+            stack[0 if tag == "html" else 1].attributes.update(attributes)
             continue
         if tag in CLOSES:
             closed, stop = CLOSES[tag]
@@ -114,19 +167,24 @@ def parse(source: str) -> Node:
             row = Node("tr")
             stack[-1].children.append(row)
             stack.append(row)
-        node = Node(tag, _attributes(m[3]) if m[3] and m[3] != "/" else None)
+        node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            end = _ends_of(tag).search(source, at)
             raw = source[at : end.start()] if end else source[at:]
             node.children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
-            at = end.end() if end else n
+            to = source.find(">", end.end()) + 1 or len(source) if end else len(source)
         elif tag == "plaintext":
             node.children.append(source[at:])
-            at = n
+            to = len(source)
         elif tag not in VOID and len(stack) < DEEPEST:
             stack.append(node)
-    return root
+
+
+@lru_cache(maxsize=None)
+def _ends_of(tag: str) -> re.Pattern:
+    """The end tag of one of the RAW elements."""
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
 
 
 def visible(node: Node) -> bool:
@@ -148,7 +206,7 @@ class _Flow:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.open: list[str] = []  # parts of the line that is being written
         self.space = False
         self.gap = 0
 
@@ -161,34 +219,46 @@ class _Flow:
         body = text.strip(" ")
         if not body:
             return
-        self._open()
-        self.line += (" " if self.space and self.line else "") + body
+        self._begin()
+        if self.space and self.open:
+            self.open.append(" ")
+        self.open.append(body)
         self.space = text[-1] == " "
 
-    def _open(self) -> None:
-        if self.gap and self.lines and not self.line:
+    def kept(self, text: str) -> None:
+        """Preformatted text: its lines and spaces as they are."""
+        first, *rest = text.replace("\r\n", "\n").split("\n")
+        if first:
+            self._begin()
+            self.open.append(first)
+        for x in rest:
+            self.lines.append("".join(self.open))
+            self.open = [x] if x else []
+
+    def _begin(self) -> None:
+        if self.gap and self.lines and not self.open:
             self.lines.extend([""] * self.gap)
         self.gap = 0
 
     def end_line(self, gap: int = 0) -> None:
-        if self.line:
-            self.lines.append(self.line)
-            self.line = ""
+        if self.open:
+            self.lines.append("".join(self.open))
+            self.open = []
         self.space = False
         self.gap = max(self.gap, gap) if self.lines else 0
 
     def put(self, lines: list[str], gap: int) -> None:
         self.end_line(gap)
         if lines:
-            self._open()
+            self._begin()
             self.lines.extend(lines)
         self.end_line(gap)
 
     def break_line(self) -> None:
-        if self.line:
+        if self.open:
             self.end_line()
         else:
-            self._open()
+            self._begin()
             self.lines.append("")
         self.space = False
 
@@ -210,13 +280,7 @@ def _render(node: Node, flow: _Flow, depth: int, pre: bool) -> None:
     for child in node.children:
         if isinstance(child, str):
             if pre:
-                first, *rest = child.replace("\r\n", "\n").split("\n")
-                if first:
-                    flow._open()
-                    flow.line += first
-                for x in rest:
-                    flow.lines.append(flow.line)
-                    flow.line = x
+                flow.kept(child)
             else:
                 flow.words(child)
             continue
@@ -267,7 +331,8 @@ def _render(node: Node, flow: _Flow, depth: int, pre: bool) -> None:
 
 
 def _table(node: Node, depth: int) -> list[str]:
-    """Captions, then rows whose cells are padded to their columns' widths; a cell's lines stay in its column."""
+    """Captions, then rows whose cells are padded to their columns' widths; a cell's lines stay in its column. Cells of
+    more than MOST_PADDED places don't count for the width."""
     captions: list[str] = []
     rows: list[Node] = []
 
@@ -308,7 +373,7 @@ def _table(node: Node, depth: int) -> list[str]:
     width: dict[int, int] = {}
     for cells in grid:
         for k, lines in cells.items():
-            width[k] = max([width.get(k, 0), *map(wide, lines)])
+            width[k] = max([width.get(k, 0), *(n for n in map(wide, lines) if n <= MOST_PADDED)])
     out = list(captions)
     columns = sorted(width)
     for cells in grid:

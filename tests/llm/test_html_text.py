@@ -1,5 +1,7 @@
+import time
 from html.parser import HTMLParser
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -46,3 +48,65 @@ def test_every_word_is_kept(parts):
     plain.feed(page)
     got = [w for w in html_text.text_of(page).split() if w.startswith("w")]
     assert sorted(got) == sorted(plain.out)
+
+
+_word = st.sampled_from(["ab", "c", "d-e", "\u65e5\u672c", "x1"])
+_line = st.lists(_word, min_size=1, max_size=4).map(" ".join)
+_rows = st.lists(st.lists(_line, min_size=1, max_size=4), min_size=1, max_size=4)
+_items = st.recursive(_line, lambda deeper: st.tuples(_line, st.booleans(), st.lists(deeper, min_size=1, max_size=3)), max_leaves=6)
+_blocks = st.lists(st.one_of(st.tuples(st.just("p"), _line), st.tuples(st.just("h2"), _line), st.tuples(st.just("div"), _line), st.tuples(st.just("table"), _rows), st.tuples(st.sampled_from(["ul", "ol"]), st.lists(_items, min_size=1, max_size=4))), max_size=6)
+
+
+def _html_of(kind, x, closed):
+    """The page's source; with closed, all end tags are written, and else all that may be left out are."""
+    end = (lambda t: f"</{t}>") if closed else (lambda t: "")
+    if kind == "table":
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}{end('td')}" for c in r) + end("tr") for r in x) + "</table>"
+    if kind in ("ul", "ol"):
+        return f"<{kind}>" + "".join("<li>" + (i if isinstance(i, str) else i[0] + _html_of("ol" if i[1] else "ul", i[2], closed)) + end("li") for i in x) + f"</{kind}>"
+    return f"<{kind}>{x}" + (end("p") if kind == "p" else f"</{kind}>")
+
+
+def _drawn(kind, x):
+    """The lines of a block, from what it was made of and not from its source."""
+    places = lambda t: sum(2 if ord(c) > 0x2E80 else 1 for c in t)
+    if kind == "table":
+        wide = [max(places(r[k]) for r in x if k < len(r)) for k in range(max(map(len, x)))]
+        return ["  ".join((r[k] if k < len(r) else "") + " " * (w - places(r[k] if k < len(r) else "")) for k, w in enumerate(wide)).rstrip() for r in x]
+    if kind in ("ul", "ol"):
+        out = []
+        for i, item in enumerate(x):
+            mark = f"{i + 1}. " if kind == "ol" else "- "
+            lines = [item] if isinstance(item, str) else [item[0], *_drawn("ol" if item[1] else "ul", item[2])]
+            out += [(mark if j == 0 else " " * len(mark)) + t for j, t in enumerate(lines)]
+        return out
+    return [x]
+
+
+@pytest.mark.parametrize("closed", [True, False])
+@settings(max_examples=150, deadline=None)
+@given(blocks=_blocks)
+def test_layout_is_that_of_a_second_renderer(closed, blocks):
+    want, before = [], None
+    for kind, x in blocks:
+        if before is not None and not (kind == before == "div"):
+            want.append("")
+        want += _drawn(kind, x)
+        before = kind
+    assert html_text.text_of("".join(_html_of(k, x, closed) for k, x in blocks)) == "\n".join(want)
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a title="x ', "<!", "<?", "<!--", "<style></style ", "<b>x</b> ", "&", "<p a=1 ", "</"])
+def test_a_megabyte_of_broken_markup_takes_seconds(part):
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    html_text.text_of(page)
+    assert time.process_time() - began < 10
+
+
+def test_attributes_and_broken_tags():
+    got = html_text.parse("<p A=1 b='x>y' c=\"z\" d e=&amp;f a=2 it's>text</p>").children[0]
+    assert got.attributes == {"a": "1", "b": "x>y", "c": "z", "d": "", "e": "&f", "it's": ""} and got.children == ["text"]
+    assert html_text.text_of("1 < 2 <3 a<b>c</b> </ x>d") == "1 < 2 <3 ac d"
+    assert html_text.text_of("seen<a href='never closed <p>gone") == "seen"
+    assert html_text.text_of("a<!-->b<!---->c<!-- x --!>d<!doctype x>e<?y?>f") == "abcdef"
