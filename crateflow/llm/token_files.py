@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from crateflow.llm.common import batches_of, col, fresh_path
 from crateflow.llm.tokens import encoder
 
-_SHARD = "part int, shard int, first_key long, last_key long, n_ids long, keys binary, lengths binary, ids binary, id_bytes int, mph binary, slots binary"
+_SHARD = "part int, shard int, nulls int, first_key long, last_key long, n_ids long, keys binary, lengths binary, ids binary, id_bytes int, mph binary, slots binary"
+#: Bits of the hash between two stored counts.
+BLOCK = 256
 _ENTRY = np.dtype([("fingerprint", "<u4"), ("rows", "<u4"), ("first", "<i8"), ("length", "<i8")])
 
 
@@ -34,29 +36,45 @@ def mix64(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def mph_build(keys: np.ndarray) -> bytes:
-    """Minimal perfect hash of distinct unsigned keys: levels of bits, a key in the first level where it stands alone."""
+    """Minimal perfect hash of distinct unsigned keys: levels of bits, a key in the first level where it stands alone.
+
+    Stored as the number of levels, their sizes in blocks, and per level its blocks of BLOCK bits and, for each block, the
+    count of ones in all before it: a slot is a block's count and the ones of a part of one block.
+    """
     left, levels, seed = keys.astype(np.uint64), [], 0
     while len(left):
-        m = max(64, (2 * len(left) + 63) // 64 * 64)
+        m = -(-2 * len(left) // BLOCK) * BLOCK
         at = (mix64(left, seed) % np.uint64(m)).astype(np.int64)
         alone = np.bincount(at, minlength=m) == 1
-        levels.append(np.packbits(alone, bitorder="little").tobytes())
+        levels.append(np.packbits(alone, bitorder="little"))
         left, seed = left[~alone[at]], seed + 1
-    return struct.pack("<I", len(levels)) + b"".join(struct.pack("<I", len(x)) + x for x in levels)
+    ones = [np.bitwise_count(x).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32) for x in levels]
+    ahead = np.concatenate(([0], np.cumsum(np.concatenate(ones)[:-1]))) if ones else np.empty(0)
+    return b"".join((struct.pack(f"<{1 + len(levels)}I", len(levels), *map(len, ones)), ahead.astype("<u4").tobytes(), *(x.tobytes() for x in levels)))
 
 
 def mph_slots(mph: bytes, keys: np.ndarray) -> np.ndarray:
-    """The slot of each key in 0 .. n - 1; of a key that was not put in, any slot or -1."""
+    """The slot of each key in 0 .. n - 1; of a key that was not put in, any slot or -1.
+
+    The work for a key does not depend on how many the hash holds: one block a level, and 1.6 levels in the mean.
+    """
+    count = struct.unpack_from("<I", mph)[0]
+    blocks = np.frombuffer(mph, "<u4", count, 4).astype(np.int64)
+    first, at = np.concatenate(([0], np.cumsum(blocks))), 4 + 4 * count
+    ahead = np.frombuffer(mph, "<u4", int(first[-1]), at)
+    bits = np.frombuffer(mph, np.uint8, offset=at + 4 * int(first[-1])).reshape(-1, BLOCK // 8)
     keys = keys.astype(np.uint64)
-    out, todo, before, at = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0, 4
-    for seed in range(struct.unpack_from("<I", mph)[0]):
-        size = struct.unpack_from("<I", mph, at)[0]
-        bits = np.unpackbits(np.frombuffer(mph, np.uint8, size, at + 4), bitorder="little")
-        rank = np.concatenate(([0], np.cumsum(bits, dtype=np.int64)))
-        pos = (mix64(keys[todo], seed) % np.uint64(size * 8)).astype(np.int64)
-        hit = bits[pos] == 1
-        out[todo[hit]] = before + rank[pos[hit]]
-        todo, before, at = todo[~hit], before + int(rank[-1]), at + 4 + size
+    out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+    for seed in range(count):
+        if not len(todo):
+            break
+        pos = (mix64(keys[todo], seed) % np.uint64(blocks[seed] * BLOCK)).astype(np.int64)
+        block, byte, bit = first[seed] + pos // BLOCK, pos % BLOCK // 8, pos % 8
+        hit = bits[block, byte] >> bit & 1 == 1
+        block, byte, bit = block[hit], byte[hit], bit[hit]
+        part = bits[block] & np.where(np.arange(BLOCK // 8) < byte[:, None], 255, np.where(np.arange(BLOCK // 8) == byte[:, None], (1 << bit[:, None]) - 1, 0)).astype(np.uint8)
+        out[todo[hit]] = ahead[block].astype(np.int64) + np.bitwise_count(part).sum(1)
+        todo = todo[~hit]
     return out
 
 
@@ -64,29 +82,32 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix64(keys.astype(np.uint64), 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
 
-def _shard_row(part: int, shard: int, keys: list[int], ids: list[np.ndarray], id_bytes: int) -> tuple:
-    key = np.array(keys, "<i8")
+def _shard_row(part: int, shard: int, keys: list[int | None], ids: list[np.ndarray], id_bytes: int) -> tuple:
+    """A shard's row; null keys, which come first, are counted and not indexed."""
+    nulls = sum(k is None for k in keys)
+    key = np.array([0] * nulls + keys[nulls:], "<i8")
     length = np.array([len(x) for x in ids], "<i8")
     first = np.concatenate(([0], np.cumsum(length)[:-1])).astype("<i8")
-    distinct, begin, rows = np.unique(key, return_index=True, return_counts=True)
-    unsigned = distinct.view(np.uint64) if len(distinct) else distinct.astype(np.uint64)
+    distinct, begin, rows = np.unique(key[nulls:], return_index=True, return_counts=True)
+    unsigned = distinct.view(np.uint64)
     mph = mph_build(unsigned)
     slots = np.zeros(len(distinct), _ENTRY)
     slot = mph_slots(mph, unsigned)
     slots["fingerprint"][slot], slots["rows"][slot] = fingerprints(unsigned), rows
-    slots["first"][slot], slots["length"][slot] = first[begin], length[begin]
-    return (part, shard, keys[0], keys[-1], int(length.sum()), key.tobytes(), length.tobytes(), b"".join(x.tobytes() for x in ids), id_bytes, mph, slots.tobytes())
+    slots["first"][slot], slots["length"][slot] = first[begin + nulls], length[begin + nulls]
+    known = keys[nulls:] or [None]
+    return (part, shard, nulls, known[0], known[-1], int(length.sum()), key.tobytes(), length.tobytes(), b"".join(x.tobytes() for x in ids), id_bytes, mph, slots.tobytes())
 
 
 def _shards(path: str, end_id: int, shard_ids: int):
     names = [x.split()[0] for x in _SHARD.split(", ")]
-    types = [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.binary()] * 3 + [pa.int32()] + [pa.binary()] * 2
+    types = [pa.int32()] * 3 + [pa.int64()] * 3 + [pa.binary()] * 3 + [pa.int32()] + [pa.binary()] * 2
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, part, shard = encoder(path), TaskContext.get().partitionId(), 0
-        keys: list[int] = []
+        keys: list[int | None] = []
         ids: list[np.ndarray] = []
         held = 0
 
@@ -113,14 +134,15 @@ def _shards(path: str, end_id: int, shard_ids: int):
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str, shard_ids: int = 1 << 21, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode docs and write shards of about shard_ids ids in ascending order of key to path.
 
-    Null texts are empty (their end id only). Rows with a null id can't be looked up and are stored first, under the
-    smallest long. Rows that share an id are kept, ordered by text; the index leads to the first and counts them.
-    An empty table writes an empty index. Other columns are not read.
+    Null texts are empty (their end id only). Rows with a null id can't be looked up and are stored first. Rows that
+    share an id are kept, ordered by a hash of their texts; a shard's index leads to its first and counts them. Ranges are
+    cut by id and that hash, so neither null nor repeated ids pile up in one task. An empty table writes no shard. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(col(docs, id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(col(docs, text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), F.coalesce(col(docs, text_col), F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     rows.mapInArrow(_shards(tokenizer, end_id, shard_ids), _SHARD).write.option("compression", "snappy").parquet(path)
 
 
@@ -161,22 +183,26 @@ def documents_in(shards: DataFrame) -> DataFrame:
                 ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
                 first, n, rows = look_up(row, keys)
                 starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                again = rows > 1  # later rows of a repeated id follow the first, which the index leads to
+                # null keys have no entry; later rows of a repeated id follow the first, which the index leads to
+                null = np.arange(len(keys)) < row["nulls"]
+                again = (rows > 1) | null
                 first, n = np.where(again, starts, first), np.where(again, lengths, n)
                 if (n < 0).any():
                     raise ValueError("a stored document is not in its shard's index")
                 crc = [zlib.crc32(ids[a : a + m].astype("<u4").tobytes()) for a, m in zip(first.tolist(), n.tolist())]
-                doc = pa.array(keys, pa.int64(), mask=keys == -(1 << 63))
+                doc = pa.array(keys, pa.int64(), mask=null)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(first + row["before"], pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names)
 
-    wanted = shards.select("keys", "lengths", "ids", "id_bytes", "mph", "slots", "before")
+    wanted = shards.select("nulls", "keys", "lengths", "ids", "id_bytes", "mph", "slots", "before")
     return wanted.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def find(shards: DataFrame, keys: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """ids of the wanted keys: (doc_id, ids array<long>), no row for a key that no shard holds.
 
-    Keys meet the shards' key ranges in a range join over a row per shard, then each shard answers by its index.
+    Keys meet the shards' key ranges in a range join over a row per shard, then each shard answers by its index: a slot,
+    its fingerprint, and a slice of the shard's ids. The unit of reading is a shard (some MB). Of a repeated id the first
+    row of each shard that holds it is given.
     """
     wanted = keys.select(col(keys, id_col).cast("long").alias("_key")).where("_key is not null").distinct()
     heads = shards.select("part", "shard", "first_key", "last_key")

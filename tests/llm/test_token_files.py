@@ -24,9 +24,9 @@ def test_round_trip_in_order_of_id(spark, odd, none):
     plain = Tokenizer.from_file(PATH)
     plain.encode_special_tokens = True
     got = token_files.round_trip(odd, PATH, 2, shard_ids=1000).collect()
-    rows = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63), r.text or "", r.doc_id) for r in odd.collect()), key=lambda r: r[:2])
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "", r.doc_id) for r in odd.collect()), key=lambda r: r[:3])
     want, at = [], 0
-    for _, text, doc in rows:
+    for *_, text, doc in rows:
         ids = plain.encode(text, add_special_tokens=False).ids + [2]
         want.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -45,3 +45,24 @@ def test_keyed_access(spark, odd):
     got = {r.doc_id: r.ids for r in token_files.find(shards, wanted).collect()}
     assert set(got) == {7, 0, 9}
     assert all(got[k] == plain.encode(text[k], add_special_tokens=False).ids + [2] for k in got)
+
+
+def test_smallest_id_and_many_null_ids(spark):
+    rows = [(-(1 << 63), "least")] + [(None, f"text {i}") for i in range(400)] + [(3, f"row {i}") for i in range(300)] + [(i, "x") for i in range(4, 90)]
+    path = fresh_path(spark, "test")
+    token_files.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 2, path, shard_ids=200, partitions=8)
+    shards = token_files.read_shards(spark, path)
+    assert shards.groupBy("part").count().count() > 4  # null and repeated ids are dealt over several ranges
+    got = token_files.documents_in(shards).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda k: (k is not None, k or 0))
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert {r.doc_id for r in token_files.find(shards, spark.createDataFrame([(-(1 << 63),), (3,), (2,)], "doc_id long")).collect()} == {-(1 << 63), 3}
+
+
+def test_a_look_up_reads_one_block_a_level():
+    rng = np.random.default_rng(1)
+    for n in (1, 255, 256, 257, 100_000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        mph = token_files.mph_build(keys)
+        assert np.array_equal(np.sort(token_files.mph_slots(mph, keys)), np.arange(len(keys)))
+        assert len(mph) * 8 < 6 * len(keys) + 4096
