@@ -74,12 +74,10 @@ def _pack_partition(path: str, end_id: int, size: int, most: int, split: bool):
         rows: list[tuple] = []
         doc: list = [None, 0]
         held: dict[int, list[tuple]] = {}
-        filled: dict[int, int] = {}
 
         def emit(window: int, offset: int, start: int, ids: np.ndarray) -> None:
             held.setdefault(window, []).append((doc[0], start, len(ids), crc_of_ids(ids), doc[1], part << 32 | window, offset))
-            filled[window] = offset + len(ids)
-            if filled[window] == size:
+            if offset + len(ids) == size:
                 rows.extend(r + (False, part) for r in held.pop(window))
 
         windows = OpenWindows(size, most, split, emit)
