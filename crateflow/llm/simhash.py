@@ -147,9 +147,10 @@ def _spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[at].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
 
 
-def _links_at_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor. Every replica is compared with the homes of its anchor; links within it are joined
-    to trees, so an anchor gives fewer edges than rows."""
+def _links_at_anchors(it: Iterator[pa.RecordBatch], slice_rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by anchor, homes first. Every replica is compared with the homes of its anchor; links within it are
+    joined to trees, so an anchor gives fewer edges than rows. Of an anchor with very many replicas, the homes alone are
+    kept from one slice to the next."""
     held: list[tuple] = []
 
     def flush(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
@@ -187,6 +188,9 @@ def _links_at_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut:
             yield flush(*(x[:cut] for x in now))
         held = [tuple(x[cut:] for x in now)]
+        if len(held[0][0]) > slice_rows:
+            yield flush(*held[0])
+            held = [tuple(x[held[0][2]] for x in held[0])]
     if held and len(held[0][0]):
         yield flush(*held[0])
 
@@ -203,8 +207,8 @@ def _bridges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame, most_at_anchor: int = 2000) -> DataFrame:
     """Edges (a, b) that connect whatever distinct fingerprints `fp` lie within two bits of each other.
 
-    most_at_anchor: an anchor with more homes (or than a ten-thousandth of all, if that is more) is taken by bridging
-    words; there are 10,000 such anchors at most, the bound of what is broadcast.
+    most_at_anchor: an anchor with more homes is taken by bridging words. It is the same at every size; what is known of
+    such anchors is joined by key, never broadcast unasked.
     """
     spread = fps.select("fp").mapInArrow(_spread, "anchor long, fp long, home boolean")
 
@@ -213,19 +217,18 @@ def links(fps: DataFrame, most_at_anchor: int = 2000) -> DataFrame:
             x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(homes(x).view(np.int64))], ["anchor"])
 
-    most = max(most_at_anchor, fps.count() // 10_000)
-    hot = fps.select("fp").mapInArrow(home, "anchor long").groupBy("anchor").count().where(F.col("count") > most).select("anchor")
+    hot = fps.select("fp").mapInArrow(home, "anchor long").groupBy("anchor").count().where(F.col("count") > most_at_anchor).select("anchor")
     hot = stored(hot, "hot-anchors")
     if hot.isEmpty():
         usual, more = spread, None
     else:
-        usual = spread.join(F.broadcast(hot), "anchor", "left_anti")
-        crowd = spread.join(F.broadcast(hot), "anchor", "left_semi").select("fp").distinct()
+        usual = spread.join(hot, "anchor", "left_anti")
+        crowd = spread.join(hot, "anchor", "left_semi").select("fp").distinct()
         words = crowd.mapInArrow(_bridges, "word long, fp long")
         least = words.groupBy("word").agg(F.min("fp").alias("b"), F.max("fp").alias("_top"), F.collect_list("fp").alias("_all")).where("b != _top")
         more = least.select(F.explode("_all").alias("a"), "b").where("a != b")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = usual.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_links_at_anchors, "a long, b long")
+    found = usual.repartition(n, "anchor").sortWithinPartitions("anchor", F.desc("home")).mapInArrow(_links_at_anchors, "a long, b long")
     return found if more is None else found.unionByName(more)
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -45,6 +47,30 @@ def test_links_connect_what_brute_force_connects(spark, most):
     assert len(set(want.values())) < len(fps) - 100
 
 
+def test_an_anchor_in_slices_gives_the_same_links():
+    rng = random.Random(11)
+    base = rng.getrandbits(64)
+    fps = np.array(sorted({base} | {base ^ 1 << i ^ 1 << j for i in range(64) for j in range(i)}), np.uint64)
+    at, anchor = simhash.replicas(fps)
+    home = anchor.view(np.uint64) == simhash.homes(fps)[at]
+    order = np.lexsort((~home, anchor))
+    columns = [pa.array(anchor[order]), pa.array(fps[at][order].view(np.int64)), pa.array(home[order])]
+    whole = pa.RecordBatch.from_arrays(columns, ["anchor", "fp", "home"])
+    for rows in (3, 50, 1 << 17):
+        edges = {e for b in simhash._links_at_anchors((whole.slice(k, 64) for k in range(0, whole.num_rows, 64)), rows) for e in zip(*(c.to_pylist() for c in b.columns))}
+        assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 4 for a, b in edges)
+        label = {f: f for f in fps.view(np.int64).tolist()}
+
+        def root(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for a, b in edges:
+            label[max(root(a), root(b))] = min(root(a), root(b))
+        assert len({root(f) for f in label}) == 1
+
+
 def _fingerprint(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in low.encode().replace(b"\x0b", b" ").replace(b"\x0c", b" ").replace(b"\r", b" ").replace(b"\n", b" ").replace(b"\t", b" ").split(b" ") if w]
