@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,8 +17,11 @@ ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (where it is unset, as in tests) one made here."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests) gets one made
+    here, and a cluster, whose machines share no temporary folder, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="crateflow-"))
         found = spark.sparkContext.getCheckpointDir()
@@ -45,11 +49,6 @@ def text_bytes(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(col(df, name), F.lit("")).cast("binary")
 
 
-def fnv_free_crc(df: DataFrame, name: str) -> Column:
-    """crc32 of an id written as text: the fold of a row."""
-    return F.crc32(col(df, name).cast("string").cast("binary"))
-
-
 def batches_of(it: Iterator[pa.RecordBatch], text_at: int, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most most_bytes of text each (one row at least), to bound a worker's memory."""
     for batch in it:
