@@ -1,9 +1,10 @@
-"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Every n-gram of the test items is a seed, however frequent: what an edited copy keeps may be what most copies keep. One
-pass notes where seeds occur. Occurrences are joined to passages by document, item and diagonal; those that hold too few
-of the item's words to score are left out, and each of the others is aligned with its item, word by word, so edited and
-paraphrased copies score as well.
+A seed is an n-gram of a test item that few items share; where more do (a stock phrase of the benchmark), the run is
+doubled until it is rare, so no phrase joins most documents with most items. How often a seed stands in the documents
+doesn't matter: what an edited copy keeps may be what all its copies keep. One pass notes where seeds stand; occurrences
+are joined to passages by document, item and diagonal; those that hold too few of the item's words to score are left
+out, and each of the others is aligned with its item, word by word, so edited and paraphrased copies score as well.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from crateflow.llm.common import batches_of, col, stored, text_bytes
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Items are broadcast up to so many bytes of text; beyond, the benchmark is taken in slices of this size.
-ITEMS_AT_ONCE = 32 << 20
+#: Items (of different texts) that may share a seed; beyond, it is lengthened.
+MOST_ITEMS = 64
+#: Bits of the table of seeds that every task holds, two for each seed: 8 MB, whatever the size of the benchmark.
+TABLE_BITS = 26
+#: Words of items that are aligned with one document in one row, and cells of a step of the alignment.
+WORDS_AT_ONCE, CELLS_AT_ONCE = 1 << 16, 1 << 18
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -43,6 +48,35 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
+def widths_of(length: int, n: int) -> list[int]:
+    """Words of the seeds an item may have: n, or all it has, and doubles of that."""
+    w = min(n, length)
+    return [w << k for k in range((length // w).bit_length())] if w else []
+
+
+def grams_of(h: np.ndarray, widths: list[int], n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, a hash for each run of so many words) for each of the widths."""
+    for base in range(1, n + 1):
+        wanted = {w for w in widths if w % base == 0 and (w // base).bit_count() == 1 and (base == n or w == base)}
+        w, g = base, grams(h, base) if wanted else None
+        while wanted:
+            if w in wanted:
+                wanted.discard(w)
+                yield w, g
+            if len(g) <= w:
+                break
+            with np.errstate(over="ignore"):
+                g = (g[:-w] ^ (g[:-w] >> np.uint64(31))) * _BASE + g[w:]
+                g, w = g ^ (g >> np.uint64(29)), 2 * w
+
+
+def _bits(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a gram in the table of seeds."""
+    with np.errstate(over="ignore"):
+        again = g * np.uint64(0xBF58476D1CE4E5B9)
+    return tuple((x >> np.uint64(64 - TABLE_BITS)).astype(np.int64) for x in (g, again ^ (again >> np.uint64(31))))
+
+
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman scores of pairs of word sequences, where each best local alignment ends and begins in b.
 
@@ -88,32 +122,73 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, first, last
 
 
-def _occurrences(known: np.ndarray, n: int):
-    """Places in documents of the n-grams known (sorted hashes)."""
-    bits = 22
-    table = np.zeros(1 << bits, bool)
-    table[(known >> np.uint64(64 - bits)).astype(np.int64)] = True
+def _worded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items as hashes of their words, and a hash of those: items of equal words are compared once."""
+    for b in batches_of(it, 1):
+        h = [word_hashes(t) for t in b.column(1).to_pylist()]
+        same = np.array([xxh64_intdigest(x.tobytes(), 1) for x in h], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], ["item_id", "item", "words"])
+
+
+def _all_grams(n: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for item, words in zip(b.column(0).to_pylist(), b.column(1)):
+                h = words.values.to_numpy().view(np.uint64)
+                for w, g in grams_of(h, widths_of(len(h), n), n):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), item)), pa.array(np.full(len(g), w, np.int32)), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(g.view(np.int64))], ["item", "w", "place", "gram"])
+
+    return run
+
+
+def _rare(most: int):
+    """Of one item's grams (w, place, gram, shared: items that hold it) the seeds: for each place of the least width the
+    narrowest run from there (or up to the end) that at most `most` items share, or the widest there is."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        by_width = {int(w): some.sort_values("place") for w, some in pdf.groupby("w")}
+        least, widest = min(by_width), max(by_width)
+        open_, out = np.arange(len(by_width[least])), []
+        for w, some in sorted(by_width.items()):
+            at = np.minimum(open_, len(some) - 1)
+            ok = (some["shared"].to_numpy()[at] <= most) | (w == widest)
+            out.append(some.iloc[np.unique(at[ok])])
+            open_ = open_[~ok]
+        found = pd.concat(out)
+        first, second = _bits(found["gram"].to_numpy(np.int64).view(np.uint64))
+        return pd.DataFrame({"gram": found["gram"], "w": found["w"], "item": key[0], "place": found["place"], "first": first, "second": second})
+
+    return run
+
+
+def _with_seeds(table: np.ndarray, widths: list[int], n: int):
+    """The documents that hold runs the table of seeds knows, with those runs."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it, 2):
-            docs, keys, ats, hashes = [], [], [], []
-            for d, key, t in zip(*(b.column(i).to_pylist() for i in range(3))):
-                g = grams(word_hashes(t), n)
-                at = np.flatnonzero(table[(g >> np.uint64(64 - bits)).astype(np.int64)])
-                at = at[known[np.minimum(np.searchsorted(known, g[at]), len(known) - 1)] == g[at]]
-                if len(at):
-                    docs.append(np.full(len(at), d, object))
-                    keys.append(np.full(len(at), key))
-                    ats.append(at)
-                    hashes.append(g[at])
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs).tolist(), pa.int64()), pa.array(np.concatenate(keys)), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], ["doc_id", "key", "at", "gram"])
+            rows, ends, found = [], [0], []
+            for r, t in enumerate(b.column(2).to_pylist()):
+                hits = []
+                for w, g in grams_of(word_hashes(t), widths, n):
+                    at = np.arange(len(g))
+                    for bits in _bits(g):
+                        at = at[(table[bits[at] >> 6] >> (bits[at] & 63).astype(np.uint64) & np.uint64(1)) == 1]
+                    if len(at):
+                        hits.append((np.full(len(at), w, np.int32), at.astype(np.int32), g[at].view(np.int64)))
+                if hits:
+                    rows.append(r)
+                    found += hits
+                    ends.append(ends[-1] + sum(len(x[0]) for x in hits))
+            if rows:
+                fields = [pa.array(np.concatenate(x)) for x in zip(*found)]
+                hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["w", "at", "gram"]))
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows)).columns, hits], ["doc_id", "key", "t", "hits"])
 
     return run
 
 
-def _scored(items: dict[int, np.ndarray], least: float):
-    """Aligns each document's candidate passages with their items, some hundred at a time."""
+def _scored(least: float):
+    """Aligns each document's candidate passages with their items, many at a time."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it, 2):
@@ -121,57 +196,49 @@ def _scored(items: dict[int, np.ndarray], least: float):
             for d, key, t, places in zip(*(b.column(i).to_pylist() for i in range(4))):
                 h = word_hashes(t)
                 for p in places:
-                    item = items[p["item"]]
+                    item = np.array(p["words"], np.int64).view(np.uint64)
                     slack = len(item) // 2 + 2
                     lo, hi = max(0, p["low"] - slack), min(len(h), p["high"] + len(item) + slack)
                     # an alignment scores MATCH times its matches at most: fewer of the item's words can't reach least
                     if np.isin(item, h[lo:hi]).sum() >= least * len(item) - 1e-9:
                         todo.append((d, key, lo, item, h[lo:hi], p["item"]))
             todo.sort(key=lambda x: len(x[4]))
-            for k in range(0, len(todo), 256):
-                some = todo[k : k + 256]
+            while todo:
+                k = max(1, min(len(todo), CELLS_AT_ONCE // len(todo[0][4])))
+                while k > 1 and k * len(todo[k - 1][4]) > CELLS_AT_ONCE:
+                    k = (k + 1) // 2
+                some, todo = todo[:k], todo[k:]
                 score, first, last = align([x[3] for x in some], [x[4] for x in some])
                 for x, s, f, e in zip(some, score.tolist(), first.tolist(), last.tolist()):
                     if s >= least * MATCH * len(x[3]):
                         found.append((x[0], x[1], x[5], x[2] + f, e - f, s / (MATCH * len(x[3]))))
             cols = zip(*found) if found else [[]] * 6
             types = [pa.int64()] * 5 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "key", "item_id", "start", "length", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "key", "item", "start", "length", "score"])
 
     return run
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
-    """The benchmark in slices of bounded size: the driver never holds more than one."""
-    rows = benchmark.select(col(benchmark, id_col).cast("long").alias("item"), text_bytes(benchmark, text_col).alias("t")).where("item is not null and length(t) > 0")
-    part, size = [], 0
-    for r in rows.orderBy("item", "t").toLocalIterator():
-        part.append((r["item"], bytes(r["t"])))
-        size += len(r["t"])
-        if size > ITEMS_AT_ONCE:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start, length and score of every passage that aligns with a test item.
 
     score: the local alignment's share of a perfect one (2 a match, -1 a mismatch or gap), least or more. start and
-    length count words (as word_hashes takes them). n: words of a seed; a copy is found if it keeps one n-gram of the item.
-    Items with fewer than n words are one seed of their own length. Per document and item the best passage is
-    given, the first on a tie. Null or empty texts, null ids of items and an empty benchmark give nothing; rows with a
-    null doc_id are judged too. Items that share an id are one item with several texts. Other columns are not read.
+    length count words (as word_hashes takes them). n: words of a seed; a copy is found if it keeps one n-gram of the item
+    that at most MOST_ITEMS items share, or of a commoner one the doubled run that they share. Items with fewer than n
+    words are one seed of their own length. Per document and item the best passage is given, the first on a tie. Null or
+    empty texts, null ids of items and an empty benchmark give nothing; rows with a null doc_id are judged too. Items that
+    share an id are one item with several texts. Other columns are not read.
     """
-    out = _passages(docs, benchmark, n, least, id_col, text_col, item_id_col, item_text_col)
+    items, out = _passages(docs, benchmark, n, least, id_col, text_col, item_id_col, item_text_col)
+    names = items.select("item_id", F.col("item").alias("_item")).distinct()
+    out = out.join(names, F.col("item") == F.col("_item")).select("doc_id", "item_id", "start", "length", "score")
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start", "length")
-    return out.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank", "key")
+    return out.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no passage aligns with a test item; rows with a null id are judged too."""
-    found = _passages(docs, benchmark, n, least, id_col, text_col, "item_id", "text").select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct()
+    found = _passages(docs, benchmark, n, least, id_col, text_col, "item_id", "text")[1].select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct()
     names = [f"__{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     own = F.xxhash64(F.coalesce(F.col(names[docs.columns.index(text_col)]), F.lit("")).cast("binary"))
@@ -179,36 +246,43 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: floa
     return rows.join(found, same, "left_anti").toDF(*docs.columns)
 
 
-def _passages(docs: DataFrame, benchmark: DataFrame, n: int, least: float, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
-    """leaks() with all passages, and with `key`, the hash of the text they lie in."""
+def seeds_of(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(items, seeds): item_id, item (one for equal words) and words; gram, w, item and place of their rare runs."""
+    texts = benchmark.select(col(benchmark, id_col).cast("long").alias("item_id"), text_bytes(benchmark, text_col).alias("t")).where("item_id is not null")
+    items = stored(texts.mapInArrow(_worded, "item_id long, item long, words array<long>").where("size(words) > 0"), "items")
+    each = items.select("item", "words").dropDuplicates(["item"])
+    all_of = stored(each.mapInArrow(_all_grams(n), "item long, w int, place int, gram long"), "item-grams")
+    shared = all_of.groupBy(F.col("w").alias("_w"), F.col("gram").alias("_g")).agg(F.countDistinct("item").alias("shared"))
+    known = all_of.join(shared, (F.col("w") == F.col("_w")) & (F.col("gram") == F.col("_g"))).select("item", "w", "place", "gram", "shared")
+    return items, stored(known.groupBy("item").applyInPandas(_rare(MOST_ITEMS), "gram long, w int, item long, place int, first long, second long"), "seeds")
+
+
+def _passages(docs: DataFrame, benchmark: DataFrame, n: int, least: float, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The items, and doc_id, key (a hash of the text), item, start, length and score of all passages that score."""
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t")).select("doc_id", F.xxhash64("t").alias("key"), "t")
-    out = None
-    for part in _slices(benchmark, item_id_col, item_text_col):
-        got = _leaks_of(rows, [(i, h) for i, t in part if len(h := word_hashes(t))], n, least)
-        out = got if out is None or got is None else out.unionByName(got)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc_id long, key long, item_id long, start long, length long, score double")
-    return out
-
-
-def _leaks_of(rows: DataFrame, items: list[tuple[int, np.ndarray]], n: int, least: float) -> DataFrame | None:
-    spark = rows.sparkSession
-    if not items:
-        return None
-    numbered = dict(enumerate(h for _, h in items))
-    entries = [(g, i, at, w) for i, h in numbered.items() for w in [min(n, len(h))] for at, g in enumerate(grams(h, w).view(np.int64).tolist())]
-    table = pd.DataFrame(entries, columns=["gram", "item", "place", "w"])
-    hits = None
-    for w, some in table.groupby("w"):  # items shorter than n words have shorter seeds
-        known = np.unique(some["gram"].to_numpy(np.int64).view(np.uint64))
-        got = rows.mapInArrow(_occurrences(known, int(w)), "doc_id long, key long, at int, gram long").withColumn("w", F.lit(int(w)))
-        hits = got if hits is None else hits.unionByName(got)
-    seeds = stored(spark.createDataFrame(table), "seeds")
-    # seeds: a row for a word of one slice of the benchmark, at most
-    found = hits.join(F.broadcast(seeds), ["gram", "w"]).select("doc_id", "key", "item", (F.col("at") - F.col("place")).alias("low"))
-    places = found.groupBy("doc_id", "key", "item", F.floor(F.col("low") / 32).alias("_cell")).agg(F.min("low").alias("low"), F.max("low").alias("high"))
-    asked = places.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("item", "low", "high")).alias("_places"))
-    joined = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "t", "_places")
-    scored = joined.mapInArrow(_scored(numbered, least), "doc_id long, key long, item_id long, start long, length long, score double")
-    names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(items)], "_number long, _item long")
-    return scored.join(F.broadcast(names), F.col("item_id") == F.col("_number")).select("doc_id", "key", F.col("_item").alias("item_id"), "start", "length", "score")
+    items, seeds = seeds_of(benchmark, n, item_id_col, item_text_col)
+    places = candidates(rows, seeds, n)
+    # a document's candidates in rows of a bounded number of items' words
+    words = items.select(F.col("item").alias("_item"), "words").dropDuplicates(["_item"])
+    asked = places[1].join(words, F.col("item") == F.col("_item"))
+    so_far = F.sum(F.size("words")).over(Window.partitionBy("doc_id", "key").orderBy("item", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    asked = asked.withColumn("_chunk", F.floor(so_far / WORDS_AT_ONCE))
+    asked = asked.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_chunk").agg(F.collect_list(F.struct("item", "low", "high", "words")).alias("_places"))
+    joined = places[0].join(asked, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "t", "_places")
+    return items, joined.mapInArrow(_scored(least), "doc_id long, key long, item long, start long, length long, score double")
+
+
+def candidates(rows: DataFrame, seeds: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(documents with seeds, candidates): doc_id, key and t; doc_id, key, item and where its first word would stand."""
+    places = F.explode(F.array("first", "second"))
+    table = np.zeros(1 << TABLE_BITS - 6, np.uint64)
+    # a word of the table to a row: 2**20 rows at most
+    filled = seeds.select(places.alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits")).toArrow()
+    table[filled["at"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
+    widths = sorted(r["w"] for r in seeds.select("w").distinct().collect())
+    held = stored(rows.mapInArrow(_with_seeds(table, widths, n), "doc_id long, key long, t binary, hits array<struct<w:int,at:int,gram:bigint>>"), "documents-with-seeds")
+    hits = held.select("doc_id", "key", F.inline("hits"))
+    met = hits.join(seeds.select(F.col("w").alias("_w"), F.col("gram").alias("_g"), "item", "place"), (F.col("w") == F.col("_w")) & (F.col("gram") == F.col("_g")))
+    met = met.select("doc_id", "key", "item", (F.col("at") - F.col("place")).alias("low"))
+    found = met.groupBy("doc_id", "key", "item", F.floor(F.col("low") / 32).alias("_cell")).agg(F.min("low").alias("low"), F.max("low").alias("high"))
+    return held.drop("hits"), found

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from crateflow.llm import decontamination as D
+from crateflow.llm.common import stored
 
 
 def _smith_waterman(a, b):
@@ -79,6 +80,28 @@ def test_an_edited_passage_is_found_however_often_it_stands(spark):
             assert {r.doc_id for r in got} == set(range(copies + whole))
 
 
+def test_a_stock_phrase_of_items_and_documents_makes_no_pairs(spark):
+    rng = random.Random(9)
+    stock = "choose the best answer to the question that follows and explain".split()
+    items = [(i, " ".join(stock + [f"i{i}w{k}" for k in range(6)] + stock[:4] + [f"i{i}v{k}" for k in range(5)])) for i in range(300)]
+    docs = [(d, " ".join([f"x{rng.randrange(400)}" for _ in range(30)] + (items[d // 3][1].split() if d % 3 == 0 else stock) + [f"y{rng.randrange(400)}" for _ in range(20)])) for d in range(240)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    seeds = stored(D.seeds_of(items, 3)[1], "test")
+    assert seeds.groupBy("gram").count().where(f"count > {D.MOST_ITEMS}").count() == 0
+    assert {r.w for r in seeds.select("w").distinct().collect()} == {3, 6, 12}  # the phrase has eleven words
+    rows = docs.selectExpr("doc_id", "0L AS key", "CAST(text AS BINARY) AS t")
+    assert D.candidates(rows, seeds, 3)[1].count() <= 240
+    assert {(r.doc_id, r.item_id) for r in D.leaks(docs, items, least=0.5).collect()} == {(d, d // 3) for d in range(0, 240, 3)}
+
+
+def test_very_long_items_and_items_of_equal_words(spark):
+    rng = random.Random(12)
+    long = " ".join(f"z{rng.randrange(3000)}" for _ in range(4000))
+    docs = [(1, "before " + long + " after"), (2, long[: len(long) // 3]), (3, "nothing here")]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, long), (2, long.upper()), (3, "other words")], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.length) for r in got) == [(1, 1, 1, 4000), (1, 2, 1, 4000)]
+
+
 def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "shared3 shared4 shared5 shared6 shared7 shared8 shared9"), (2, None), (3, ""), (None, "shared1 shared2 shared3"), (4, "one")], "item_id long, text string")
     got = D.leaks(odd, items).collect()
