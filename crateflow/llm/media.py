@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ from crateflow.llm.common import batches_of, col, stored, text_bytes
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEME = "sha256:"
-ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,n_bytes:bigint,caption:string>>"
+#: Media shown on one page.
+PER_PAGE = 8
+ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,n_bytes:bigint,caption:string,name:string>>"
 FEATURES = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -77,17 +80,38 @@ def feature(payload: bytes) -> str:
     return f"mean={x.mean():.4f};std={x.std():.4f};entropy={max(0.0, float(-(p * np.log2(p)).sum())):.4f};step={step:.4f}"
 
 
+def figure_html(number: int, name: str, digest: str, n_bytes: int) -> str:
+    """A document's media as the number-th on a page: as a figure, in running text, in a list or in a table."""
+    image = f'<img id="{name}" data-bytes="{n_bytes}" src="{SCHEME}{digest}"'
+    caption = f"Bytes of {name}"
+    return (
+        f"<p>Document {name}</p><figure>{image}><figcaption>{caption}</figcaption></figure>",
+        f'<p>Document {name} is {image} alt="{caption}"> here, in a line.',
+        f'<ul><li>Document {name}<li>its bytes {image} alt="{caption}"></ul>',
+        f'<table><tr><th>Document<th>Bytes<tr><td>{name}<td>{image} alt="{caption}"></table>',
+    )[number % 4]
+
+
 def keep_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text's payload as media in the shared folder: doc_id, n_bytes, digest, media, as read back.
+    """Store each text's payload as media in the shared folder: doc_id, n_bytes, digest, media, page_id, html, as read back.
 
-    media is null where the same task has already stored the same payload. Null texts are empty.
+    media is null where the same task has already stored the same payload. html is a page that shows this document's
+    media and those of the PER_PAGE - 1 before it at most; it stands with the page's last document. Null texts are empty.
     """
+    names = ["doc_id", "n_bytes", "digest", "media", "page_id", "html"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        page, shown = TaskContext.get().partitionId() << 40, []
+
+        def html_of() -> str:
+            parts = "".join(figure_html(i, *x) for i, x in enumerate(shown))
+            shown.clear()
+            return f"<article><h1>Page {page & (1 << 40) - 1}</h1>{parts}<p>End.</p></article>"
+
         for b in batches_of(it, 1):
-            size, digest, media = [], [], []
-            for t in b.column(1).to_pylist():
+            size, digest, media, pages, html = [], [], [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 payload = padded(t)
                 key = hashlib.sha256(payload).digest()
                 size.append(len(t))
@@ -95,10 +119,17 @@ def keep_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 media.append(None if key in seen else encode(payload))
                 if len(seen) < 1 << 18:
                     seen.add(key)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(digest), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "digest", "media"])
+                shown.append(("?" if d is None else str(d), key.hex(), len(t)))
+                pages.append(page)
+                html.append(html_of() if len(shown) == PER_PAGE else None)
+                page += html[-1] is not None
+            if shown:  # pages end with the slice, so a page is written with all its documents
+                html[-1] = html_of()
+                page += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(digest), pa.array(media, pa.binary()), pa.array(pages, pa.int64()), pa.array(html, pa.string())], names)
 
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t"))
-    return stored(rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, media binary"), "media")
+    return stored(rows.mapInArrow(run, "doc_id long, n_bytes long, digest string, media binary, page_id long, html string"), "media")
 
 
 def describe(media: DataFrame) -> DataFrame:
@@ -132,7 +163,7 @@ def sequence_of(source: str) -> list[dict]:
         text = " ".join(" ".join(words).split())
         words.clear()
         if text:
-            out.append({"position": len(out), "kind": "text", "text": text, "digest": None, "n_bytes": None, "caption": None})
+            out.append({"position": len(out), "kind": "text", "text": text, "digest": None, "n_bytes": None, "caption": None, "name": None})
 
     def caption_in(figure: html_text.Node | None) -> str | None:
         for c in figure.children if figure else ():
@@ -149,7 +180,7 @@ def sequence_of(source: str) -> list[dict]:
                 a = c.attributes
                 digest = a["src"][len(SCHEME) :] if a.get("src", "").startswith(SCHEME) else None
                 size = a.get("data-bytes", "")
-                out.append({"position": len(out), "kind": "media", "text": None, "digest": digest, "n_bytes": int(size) if size.isdecimal() else None, "caption": caption_in(figure) or a.get("alt") or None})
+                out.append({"position": len(out), "kind": "media", "text": None, "digest": digest, "n_bytes": int(size) if size.isdecimal() else None, "caption": caption_in(figure) or a.get("alt") or None, "name": a.get("id")})
             elif c.tag == "figcaption" and figure is not None or not html_text.visible(c):
                 continue
             else:
@@ -166,7 +197,7 @@ def sequence_of(source: str) -> list[dict]:
 
 def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """page_id and items of every page; a null page has no items."""
-    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("caption", pa.string())]))
+    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64()), ("caption", pa.string()), ("name", pa.string())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it, 1):
@@ -177,29 +208,23 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def resolve(items: DataFrame, described: DataFrame) -> DataFrame:
-    """A row for each media reference: page_id, position, caption, n_bytes, digest and what is stored under it (nulls
+    """A row for each media reference: page_id, position, caption, name, n_bytes, digest and what is stored under it (nulls
     where nothing is). Both sides are joined as they lie, so a digest that many pages refer to is split when it is hot."""
     refs = items.select("page_id", F.explode("items").alias("i")).where("i.kind = 'media'")
-    refs = refs.select("page_id", "i.position", "i.caption", "i.n_bytes", "i.digest")
+    refs = refs.select("page_id", "i.position", "i.caption", "i.name", "i.n_bytes", "i.digest")
     return refs.join(described.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left").drop("_digest")
 
 
-def page_for(digest: str = "digest", n_bytes: str = "n_bytes", doc_id: str = "doc_id"):
-    """HTML of a page that shows one document's media, as a column."""
-    name = F.coalesce(F.col(doc_id).cast("string"), F.lit("?"))
-    return F.concat(
-        F.lit("<article><p>Document "), name, F.lit('</p><figure><img data-bytes="'), F.col(n_bytes).cast("string"), F.lit(f'" src="{SCHEME}'), F.col(digest),
-        F.lit('"><figcaption>Bytes of '), name, F.lit("</figcaption></figure><p>End.</p></article>"),
-    )
-
-
 def documents_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, position and caption of each document's media in its page, n_bytes, and what its stored bytes hold.
+    """doc_id, page_id, position and caption of each document's media in the page that shows it, n_bytes, and what its
+    stored bytes hold.
 
-    Null texts are empty payloads of WIDTH zeros; null ids and repeated rows keep their rows; other columns are not
-    read; an empty table gives no rows.
+    Pages show several documents' media among their texts, in figures, lines, lists and tables; they are parsed to
+    sequences of texts and references, and these resolved by digest. Null texts are empty payloads of WIDTH zeros; null
+    ids and repeated rows keep their rows; other columns are not read; an empty table gives no rows.
     """
     kept = keep_payloads(docs, id_col, text_col)
-    pages = stored(sequences(kept.select(F.col("doc_id").alias("page_id"), page_for().alias("html"))), "sequences")
+    pages = stored(sequences(kept.where("html is not null").select("page_id", "html")), "sequences")
     found = resolve(pages, stored(describe(kept), "media-features"))
-    return found.select(F.col("page_id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    doc = F.when(F.col("name") != "?", F.col("name").cast("long")).alias("doc_id")
+    return found.select(doc, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "page_id", "position", "caption")

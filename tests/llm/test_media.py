@@ -31,13 +31,29 @@ def test_documents(spark, odd, none):
     want = sorted((str(r.doc_id), len((r.text or "").encode()), hashlib.sha256(media.padded((r.text or "").encode())).hexdigest()) for r in rows)
     assert sorted((str(g.doc_id), g.n_bytes, g.payload_sha256) for g in got) == want
     for g in got:
-        assert g.payload_bytes % 64 == 0 and g.position == 1 and g.caption == f"Bytes of {g.doc_id if g.doc_id is not None else '?'}"
+        assert g.payload_bytes % 64 == 0 and g.caption == f"Bytes of {g.doc_id if g.doc_id is not None else '?'}"
     one = {g.doc_id: g for g in got}
+    assert len({(g.page_id, g.position) for g in got}) == len(got) > len({g.page_id for g in got})
     assert one[7].feature == one[8].feature and one[7].media_sha256 == one[8].media_sha256
     assert one[7].tail_crc32 == zlib.crc32(b"one".ljust(64, b"\0"))
     assert media.documents_as_media(none).count() == 0
 
 
+def test_a_page_shows_several_media_in_order(spark):
+    rows = [(i, f"text {i}") for i in range(20)]
+    got = media.documents_as_media(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).orderBy("page_id", "position").collect()
+    assert [g.doc_id for g in got] == list(range(20)) and [g.caption for g in got] == [f"Bytes of {i}" for i in range(20)]
+    for g in got:
+        assert g.payload_sha256 == hashlib.sha256(media.padded(f"text {g.doc_id}".encode())).hexdigest() and g.n_bytes == len(f"text {g.doc_id}")
+    page = "".join(media.figure_html(i, str(i), "0" * 64, i) for i in range(8))
+    items = media.sequence_of(page)
+    assert [i["name"] for i in items if i["kind"] == "media"] == [str(i) for i in range(8)] and [i["position"] for i in items] == list(range(len(items)))
+    at = {i["name"]: i["position"] for i in items if i["name"]}
+    for i in range(8):  # each reference follows the text that names its document
+        assert str(i) in items[at[str(i)] - 1]["text"] or str(i) in items[at[str(i)] - 2]["text"]
+    assert [g.position for g in got[:8]] == [1 + at[str(i)] for i in range(8)]  # after the heading
+
+
 def test_interleaving_keeps_order_and_captions(spark):
     page = '<h1>T</h1><p>a <img src="sha256:aa" data-bytes="3" alt="x">b</p><figure><img src="http://e"><figcaption>cap <i>two</i></figcaption></figure><p>c</p>'
     items = media.sequence_of(page)
