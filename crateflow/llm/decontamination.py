@@ -30,11 +30,25 @@ TABLE_BITS = 26
 WORDS_AT_ONCE, CELLS_AT_ONCE = 1 << 16, 1 << 18
 
 
+class _Hashes(dict):
+    """XXH64 of words without the ASCII punctuation at their ends, 0 where nothing is left; words met before are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        bare = word.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = got = (xxh64_intdigest(bare) or 1) if bare else 0
+        return got
+
+
+_HASHES = _Hashes()
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """XXH64 of each word, A-Z lower-cased and stripped of ASCII punctuation at its ends."""
-    words = [w.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in text.lower().split()]
-    words = [w for w in words if w]
-    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    words = text.lower().split()
+    found = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return found if found.all() else found[found != 0]
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -77,6 +91,15 @@ def _bits(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple((x >> np.uint64(64 - TABLE_BITS)).astype(np.int64) for x in (g, again ^ (again >> np.uint64(31))))
 
 
+def _known(g: np.ndarray, table: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+    """Places of the grams whose bits are both set; coarse: whether any of 16 neighbouring bits is."""
+    at = np.flatnonzero(coarse[(g >> np.uint64(68 - TABLE_BITS)).view(np.int64)])
+    for k in (0, 1):
+        bits = _bits(g[at])[k]
+        at = at[table[bits >> 6] >> (bits & 63).view(np.uint64) & np.uint64(1) == 1]
+    return at
+
+
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Smith-Waterman scores of pairs of word sequences, where each best local alignment ends and begins in b.
 
@@ -165,14 +188,13 @@ def _with_seeds(table: np.ndarray, widths: list[int], n: int):
     """The documents that hold runs the table of seeds knows, with those runs."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coarse = table.view("<u2") != 0
         for b in batches_of(it, 2):
             rows, ends, found = [], [0], []
             for r, t in enumerate(b.column(2).to_pylist()):
                 hits = []
                 for w, g in grams_of(word_hashes(t), widths, n):
-                    at = np.arange(len(g))
-                    for bits in _bits(g):
-                        at = at[(table[bits[at] >> 6] >> (bits[at] & 63).astype(np.uint64) & np.uint64(1)) == 1]
+                    at = _known(g, table, coarse)
                     if len(at):
                         hits.append((np.full(len(at), w, np.int32), at.astype(np.int32), g[at].view(np.int64)))
                 if hits:
