@@ -38,9 +38,9 @@ def joi02(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("base", "vocal", status.alias("status"))
 
 
-@query("joi03_untried_pairs", f"WITH {A.KEYED_SQL}, {A.MASHUPS_SQL}, {_PAIRS} SELECT p.base, p.vocal, p.score FROM pairs p WHERE p.base < 200 AND NOT EXISTS (SELECT 1 FROM mashups m WHERE m.base = p.base AND m.vocal = p.vocal) AND p.score >= 0.9")
+@query("joi03_untried_pairs", f"WITH {A.KEYED_SQL}, {A.MASHUPS_SQL}, {_PAIRS} SELECT p.base, p.vocal, p.score FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM mashups m WHERE m.base = p.base AND m.vocal = p.vocal) AND p.score >= 0.9")
 def joi03(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = M.compatible_pairs(A.keyed(spark, sf)).where("base < 200 AND score >= 0.9")
+    pairs = M.compatible_pairs(A.keyed(spark, sf), 0.9)
     return pairs.join(A.mashups(spark, sf), ["base", "vocal"], "left_anti").select("base", "vocal", "score")
 
 
@@ -51,7 +51,7 @@ def joi05(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("joi06_best_pair", f"WITH {A.KEYED_SQL}, {_PAIRS} SELECT base, vocal, score FROM pairs ORDER BY score DESC, base, vocal LIMIT 1")
 def joi06(spark: SparkSession, sf: str) -> DataFrame:
-    return M.compatible_pairs(A.keyed(spark, sf)).orderBy(F.desc("score"), "base", "vocal").limit(1).select("base", "vocal", "score")
+    return M.best_pair(A.keyed(spark, sf))
 
 
 _ENTRIES = [(1, "Golden Hour", "Nova Reyes"), (2, "golden hour (Extended)", "Kaito"), (3, "Citta' di Vetro [Remastered]", "Kaito Mori"), (4, "Nothing Here", ""), (5, "Perché no", "Aurélia feat. X"), (6, "Glass", "Kaito Mori")]
