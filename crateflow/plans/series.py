@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crateflow import adapters as A
 from crateflow.operators import series as R
+from crateflow.operators.signals import MAJOR, MINOR
 from crateflow.plans.core import query
 
 _B = f"WITH {A.BEATS_SQL}"
@@ -200,9 +201,7 @@ def agg16(spark: SparkSession, sf: str) -> DataFrame:
     return h.groupBy("series").agg(F.max(F.struct("w", (-F.col("cell")).alias("m"))).alias("b")).select("series", (-F.col("b.m")).alias("cell"), F.col("b.w").alias("w"))
 
 
-_MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
-_MINOR = (6.33, 2.68, 3.52, 5.38, 2.6, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
-_TEMPLATES = [(tonic, minor, note, (_MINOR if minor else _MAJOR)[(note - tonic) % 12]) for minor in (0, 1) for tonic in range(12) for note in range(12)]
+_TEMPLATES = [(tonic, minor, note, (MINOR if minor else MAJOR)[(note - tonic) % 12]) for minor in (0, 1) for tonic in range(12) for note in range(12)]
 
 
 @query("agg17_key_by_profile", f"""WITH p AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {c}, {d}e0)' for a, b, c, d in _TEMPLATES)}) AS v(tonic, is_minor, note, w)),

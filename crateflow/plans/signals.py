@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +29,72 @@ def _mapped(function, kind: str, name: str):
     return run
 
 
-query("sig02_band_waveform")(_mapped(lambda x: G.band_waveform(x).ravel(), "array<double>", "bands"))
-query("sig04_onset_envelope")(_mapped(G.onset_envelope, "array<double>", "envelope"))
-query("sig05_tempo")(_mapped(lambda x: list(G.tempo_of(x, 8.0)), "array<double>", "tempo_phase"))
-query("sig06_chroma")(_mapped(lambda x: G.chroma(x, 2000.0), "array<double>", "chroma"))
-query("sig08_log_mel")(_mapped(lambda x: G.log_mel(x, 2000.0).ravel(), "array<double>", "mel"))
-query("sig11_separation")(_mapped(lambda x: G.split_bands(x)[0], "array<double>", "slow"))
+#: Rate at which a vector is read as sound, and the same of all vectors of a label one after another.
+SOUND = 8000.0
+_A1, _A2 = (1 - math.exp(-2 * math.pi * f / SOUND) for f in (220, 2800))
+
+
+@query("sig02_band_waveform", f"""WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS i)),
+f AS (SELECT a.vec_id, a.i, any_value(a.v) AS v, sum(b.v * {_A1!r} * pow(1 - {_A1!r}, a.i - b.i)) AS l, sum(b.v * {_A2!r} * pow(1 - {_A2!r}, a.i - b.i)) AS h FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.i <= a.i GROUP BY 1, 2),
+p AS (SELECT vec_id, i // 53 AS bin, max(abs(v)) AS peak, sqrt(avg(l * l)) AS low, sqrt(avg((h - l) * (h - l))) AS mid, sqrt(avg((v - h) * (v - h))) AS high FROM f GROUP BY 1, 2)
+SELECT vec_id, CAST(bin AS INT) AS bin, round(peak / max(peak) OVER w, 6) AS peak, round(low / max(greatest(low, mid, high)) OVER w, 6) AS low, round(mid / max(greatest(low, mid, high)) OVER w, 6) AS mid, round(high / max(greatest(low, mid, high)) OVER w, 6) AS high FROM p WINDOW w AS (PARTITION BY vec_id)""")
+def sig02(spark: SparkSession, sf: str) -> DataFrame:
+    w = _arrays(spark, sf).select("vec_id", G.array_map(lambda x: list(G.band_waveform(x, SOUND)), "array<array<double>>", F.col("embedding")).alias("w"))
+    bins = w.select("vec_id", F.posexplode(F.arrays_zip(*[F.col("w")[k] for k in range(4)])).alias("bin", "x"))
+    return bins.select("vec_id", "bin", *[F.round(F.col("x")[str(k)], 6).alias(n) for k, n in enumerate(("peak", "low", "mid", "high"))])
+
+
+def _sounds(spark: SparkSession, sf: str, function, schema: str) -> DataFrame:
+    """function(all vectors of a label in order, as one sound) -> one row behind the label."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key, *function(np.concatenate(pdf["embedding"].to_list()).astype(float)))])
+
+    return G.per_track(A.frames(spark, sf), "track", "idx", run, f"track int, {schema}")
+
+
+@query("sig04_onset_envelope")
+def sig04(spark: SparkSession, sf: str) -> DataFrame:
+    def envelope(x: np.ndarray) -> tuple:
+        o = G.onset_envelope(x, SOUND, 256, 32)
+        return o.all.round(6), o.low.round(6), o.rate
+
+    return _sounds(spark, sf, envelope, "envelope array<double>, low array<double>, rate double")
+
+
+@query("sig05_tempo")
+def sig05(spark: SparkSession, sf: str) -> DataFrame:
+    return _sounds(spark, sf, lambda x: G.tempo_of(G.onset_envelope(x, 500.0, 64, 8)), "bpm double, first_beat double, confidence double")
 
 
-@query("sig03_spectrum", """WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS i) WHERE vec_id < 50), k AS (SELECT unnest(range(0, 33, 8)) AS k)
+@query("sig06_chroma")
+def sig06(spark: SparkSession, sf: str) -> DataFrame:
+    def read(x: np.ndarray) -> tuple:
+        c = G.chroma(x, SOUND)
+        return (c, *G.key_of(c))
+
+    return _sounds(spark, sf, read, "chroma array<double>, tonic int, is_minor boolean, fit double")
+
+
+query("sig08_log_mel")(_mapped(lambda x: G.log_mel(x, SOUND, 32, 16, 8).ravel(), "array<double>", "mel"))
+
+
+@query("sig11_separation")
+def sig11(spark: SparkSession, sf: str) -> DataFrame:
+    """The slow part of each label's sound, separated in overlapping chunks put together again, and the mix without it."""
+
+    def separate(x: np.ndarray) -> tuple:
+        starts = G.chunk_starts(len(x), 1024, 256)
+        slow = G.overlap_add([G.split_bands(x[s : s + 1024])[0] for s in starts], starts, len(x))
+        return slow.round(6), (x - slow).round(6)
+
+    return _sounds(spark, sf, separate, "slow array<double>, rest array<double>")
+
+
+@query("sig03_spectrum", """WITH x AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(64)) AS i)), k AS (SELECT unnest(range(0, 33, 8)) AS k)
 SELECT vec_id, CAST(k AS INT) AS k, round(sqrt(pow(sum(v * cos(6.283185307179586e0 * k * i / 64)), 2) + pow(sum(v * sin(6.283185307179586e0 * k * i / 64)), 2)), 6) AS mag FROM x, k GROUP BY 1, 2""")
 def sig03(spark: SparkSession, sf: str) -> DataFrame:
-    mags = _arrays(spark, sf).where("vec_id < 50").select("vec_id", G.array_map(lambda x: np.abs(np.fft.rfft(x)), "array<double>", F.col("embedding")).alias("m"))
+    mags = _arrays(spark, sf).select("vec_id", G.array_map(lambda x: np.abs(np.fft.rfft(x)), "array<double>", F.col("embedding")).alias("m"))
     return mags.select("vec_id", F.posexplode("m").alias("k", "mag")).where("k % 8 = 0").select("vec_id", "k", F.round("mag", 6).alias("mag"))
 
 
@@ -46,13 +102,13 @@ def sig03(spark: SparkSession, sf: str) -> DataFrame:
 def sig07(spark: SparkSession, sf: str) -> DataFrame:
     def analyse(key, pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf["v"].to_numpy()
-        bpm, phase = G.tempo_of(v, 2.0)
+        bpm, phase, sure = G.tempo_of(G.Onsets(v, v, 8.0, 0.0))
         rms = float(np.sqrt(np.mean(v * v)))
         bars = np.array([np.sqrt(np.mean(v[i : i + 4] ** 2)) for i in range(0, len(v), 4)])
         loud = bars / max(bars.max(), 1e-9) > 0.7
-        return pd.DataFrame([(key, bpm, phase, rms, float(loud.mean()), [float(b) for b in bars[:: -(-len(bars) // 256)]])], columns=["series", "bpm", "phase", "rms", "sustained", "bar_energy"])
+        return pd.DataFrame([(key, bpm, phase, sure, rms, float(loud.mean()), [float(b) for b in bars[:: -(-len(bars) // 256)]])], columns=["series", "bpm", "phase", "confidence", "rms", "sustained", "bar_energy"])
 
-    return G.per_track(A.beats(spark, sf), "series", "idx", analyse, "series long, bpm double, phase double, rms double, sustained double, bar_energy array<double>")
+    return G.per_track(A.beats(spark, sf), "series", "idx", analyse, "series long, bpm double, phase double, confidence double, rms double, sustained double, bar_energy array<double>")
 
 
 @query("sig09_chunks", """WITH f AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, CAST(s AS INT) AS start FROM (SELECT label, n, unnest(list_concat(range(0, greatest(n - 24, 0), 20), [greatest(n - 24, 0)])) AS s FROM f)""")
@@ -124,10 +180,10 @@ def sig16(spark: SparkSession, sf: str) -> DataFrame:
     return _arrays(spark, sf).select("vec_id", G.array_map(gains, "array<double>", F.col("embedding")).alias("gains"))
 
 
-@query("sig17_transition_examples", f"WITH {A.PLAYLISTS_SQL}, t AS (SELECT playlist, pos, track, lead(track) OVER w AS nxt, lead(pos) OVER w AS np FROM playlists WINDOW w AS (PARTITION BY playlist ORDER BY pos)) SELECT playlist, pos, CAST(s AS INT) AS step, round((s + 0.5e0) / 8, 6) AS p FROM t, (SELECT unnest(range(8)) AS s) WHERE np = pos + 1 AND playlist % 10 = 0")
+@query("sig17_transition_examples", f"WITH {A.PLAYLISTS_SQL}, t AS (SELECT playlist, pos, track, lead(track) OVER w AS nxt, lead(pos) OVER w AS np FROM playlists WINDOW w AS (PARTITION BY playlist ORDER BY pos)) SELECT playlist, pos, CAST(s AS INT) AS step, round((s + 0.5e0) / 8, 6) AS p FROM t, (SELECT unnest(range(8)) AS s) WHERE np = pos + 1")
 def sig17(spark: SparkSession, sf: str) -> DataFrame:
     w = "OVER (PARTITION BY playlist ORDER BY pos)"
-    t = A.playlists(spark, sf).selectExpr("playlist", "pos", f"lead(pos) {w} AS np").where("np = pos + 1 AND playlist % 10 = 0")
+    t = A.playlists(spark, sf).selectExpr("playlist", "pos", f"lead(pos) {w} AS np").where("np = pos + 1")
     return t.select("playlist", "pos", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step")).select("playlist", "pos", "step", F.round((F.col("step") + 0.5) / 8, 6).alias("p"))
 
 
@@ -170,15 +226,14 @@ def win05(spark: SparkSession, sf: str) -> DataFrame:
     return G.per_track(A.beats(spark, sf), "series", "idx", run, "series long, n int, first double, last double")
 
 
-@query("win06_merged_peaks")
+@query("win06_merged_peaks", f"""WITH RECURSIVE {A.BEATS_SQL}, p AS (SELECT series, idx, row_number() OVER (PARTITION BY series ORDER BY idx) AS n FROM (SELECT series, idx FROM beats QUALIFY v > 0 AND v = max(v) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))),
+s AS (SELECT series, n, idx::DOUBLE AS total, 1 AS k, 0 AS g FROM p WHERE n = 1 UNION ALL
+ SELECT p.series, p.n, CASE WHEN p.idx - s.total / s.k <= 2 THEN s.total + p.idx ELSE p.idx END, CASE WHEN p.idx - s.total / s.k <= 2 THEN s.k + 1 ELSE 1 END, CASE WHEN p.idx - s.total / s.k <= 2 THEN s.g ELSE s.g + 1 END FROM s JOIN p ON p.series = s.series AND p.n = s.n + 1)
+SELECT series, round(arg_max(total / k, n), 6) AS peak FROM s GROUP BY series, g""")
 def win06(spark: SparkSession, sf: str) -> DataFrame:
     peaks = R.local_peaks(A.beats(spark, sf), "series", "idx", "v", 1)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = G.merged_peaks(pdf["idx"].to_numpy(float), 2)
-        return pd.DataFrame({"series": key, "peak": m})
-
-    return G.per_track(peaks, "series", "idx", run, "series long, peak double")
+    groups = peaks.groupBy("series").agg(F.sort_array(F.collect_list("idx")).alias("at"))  # one track's peaks
+    return groups.select("series", F.explode(G.merged_peaks(F.col("at"), 2)).alias("peak")).select("series", F.round("peak", 6).alias("peak"))
 
 
 @query("win13_spaced_best")
