@@ -247,20 +247,10 @@ def win13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("joi16_lag_similarity")
 def joi16(spark: SparkSession, sf: str) -> DataFrame:
-    """Held-out vectors against training ones: candidates share a band of 12 of the 62 sign bits, then all lags count."""
-    bits = F.zip_with(F.slice("embedding", 2, 62), F.slice("embedding", 1, 62), lambda a, b: F.when(a > b, 1.0).otherwise(-1.0))
+    """Held-out vectors (ids divisible by 20) against all training ones, over all lags with 40 signs in common."""
+    bits = F.zip_with(F.slice("embedding", 2, 62), F.slice("embedding", 1, 62), lambda a, b: F.when(a > b, 1).otherwise(-1).cast("tinyint"))
     v = _arrays(spark, sf).select("vec_id", bits.alias("bits"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(50)), lambda i: F.concat_ws("", F.transform(F.slice("bits", i + 1, 12), lambda b: F.when(b > 0, "1").otherwise("0"))))
-    keyed = v.select("vec_id", "bits", F.explode(F.array_distinct(bands)).alias("band"))
-    held, train = keyed.where("vec_id % 20 = 0"), keyed.where("vec_id % 20 <> 0")
-    pairs = held.select(F.col("vec_id").alias("a"), F.col("bits").alias("x"), "band").join(train.select(F.col("vec_id").alias("b"), F.col("bits").alias("y"), "band"), "band").drop("band").dropDuplicates(["a", "b"])
-
-    def run(it):
-        for pdf in it:
-            s = [G.lag_agreement(np.asarray(x), np.asarray(y), 40) for x, y in zip(pdf["x"], pdf["y"])]
-            yield pdf[["a", "b"]].assign(agreement=s)
-
-    return pairs.mapInPandas(run, "a long, b long, agreement double").where("agreement >= 0.75")
+    return G.similar_signs(v.where("vec_id % 20 = 0"), v.where("vec_id % 20 <> 0"), 40, 0.75)
 
 
 @query("joi17_probes")
@@ -294,16 +284,16 @@ def str06(spark: SparkSession, sf: str) -> DataFrame:
     return P.set_course(P.sets_per_group(t, "genre", 10), t, "genre")
 
 
-@query("mus_f14_live_gestures")
+@query("mus_f14_live_gestures", f"""WITH {A.BEATS_SQL}, b AS (SELECT series, list(v / 100 ORDER BY idx) AS e FROM beats GROUP BY series),
+m AS (SELECT series, len(e) AS n, list_avg(e[9:16]) AS bef, list_avg(e[17:24]) AS aft, (series * 37 % 101) / 101e0 AS u, (series * 53 % 97) / 97e0 AS p FROM b),
+w AS (SELECT *, CASE WHEN aft - bef > 0.1e0 THEN 3 ELSE 1 END AS r, CASE WHEN aft - bef < -0.1e0 THEN 3 ELSE 1 END AS f, CASE WHEN aft - bef < -0.1e0 AND bef >= 0.8e0 THEN 3 ELSE 0 END AS x FROM m),
+a AS (SELECT series, CASE WHEN 2 * n < 64 THEN NULL WHEN u > 0.45e0 THEN 'none' WHEN p * (2 * r + f + x) <= r THEN 'roll' WHEN p * (2 * r + f + x) <= 2 * r THEN 'build' WHEN p * (2 * r + f + x) <= 2 * r + f THEN 'echo' ELSE 'repeat' END AS action FROM w)
+SELECT series, action, CASE action WHEN 'roll' THEN 31.5e0 WHEN 'build' THEN 28e0 WHEN 'echo' THEN 31e0 WHEN 'repeat' THEN 32e0 END AS at, CASE WHEN action IS NOT NULL THEN 32e0 END AS until, CAST(CASE WHEN action = 'repeat' THEN -32 WHEN action <> 'none' THEN 0 END AS INT) AS jump_beats FROM a""")
 def mus_f14(spark: SparkSession, sf: str) -> DataFrame:
-    bars = A.beats(spark, sf).groupBy("series").agg(F.sort_array(F.collect_list(F.struct("idx", (F.col("v") / 100).alias("e")))).alias("b")).select("series", F.col("b.e").alias("e"))
-
-    def run(it):
-        for pdf in it:
-            g = [P.plan_gesture([float(v) for v in e], 20.0, 120.0, int(s)) for s, e in zip(pdf["series"], pdf["e"])]
-            yield pd.DataFrame({"series": pdf["series"], "gesture": g})
-
-    return bars.mapInPandas(run, "series long, gesture string")
+    bars = A.beats(spark, sf).groupBy("series").agg(F.sort_array(F.collect_list(F.struct("idx", (F.col("v") / 100).alias("e")))).alias("b"))  # one track's bars
+    tracks = bars.selectExpr("series", "b.e AS bar_energy", "20D AS position", "120D AS bpm", "0D AS grid_offset", "2D * size(b) AS duration", "CAST(NULL AS DOUBLE) AS next_mix", "CAST(NULL AS STRING) AS last")
+    planned = P.plan_gestures(tracks, (F.col("series") * 37 % 101) / 101.0, (F.col("series") * 53 % 97) / 97.0)
+    return planned.select("series", "action", "at", "until", "jump_beats")
 
 
 @query("nlu11_set_from_description")

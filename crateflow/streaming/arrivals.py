@@ -26,32 +26,34 @@ def settled(events: DataFrame, settle: float) -> DataFrame:
 
 
 class Takeover(StatefulProcessor):
-    """A control takes over only when it comes within reach of the software's value or crosses it."""
+    """A control takes a parameter over only when it comes within reach of its value or crosses it, once something else
+    has moved the parameter away from what the control last set."""
 
     near, moved = 0.04, 0.03
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("control", "held boolean, soft double, hard double")
+        self.state = handle.getValueState("control", "now double, applied double, hard double")
+
+    @classmethod
+    def step(cls, state: tuple, source: str, value: float) -> tuple[tuple, bool]:
+        """(state after a message, whether the value is taken). state: the parameter's value, what the control last set,
+        and where the control stands; nulls where not known, and a control not heard before takes over at once."""
+        now, applied, hard = state
+        if source == "software":
+            return (value, applied, hard), False
+        if applied is not None and abs(now - applied) > cls.moved and abs(value - now) > cls.near and (hard - now) * (value - now) > 0:
+            return (now, applied, value), False
+        return (value, value, value), True
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, soft, hard = self.state.get() if self.state.exists() else (True, None, None)
-        for pdf in rows:
-            out = []
-            for seq, source, value in pdf.sort_values("seq")[["seq", "source", "value"]].itertuples(index=False):
-                if source == "software":
-                    if soft is None or abs(value - soft) > self.moved:
-                        held = False
-                    soft = value
-                    continue
-                if not held and soft is not None:
-                    crossed = hard is not None and (hard - soft) * (value - soft) <= 0
-                    held = crossed or abs(value - soft) <= self.near
-                hard = value
-                if held:
-                    soft = value
-                    out.append((key[0], int(seq), float(value)))
-            yield pd.DataFrame(out, columns=["control", "seq", "value"])
-        self.state.update((held, soft, hard))
+        state, out = self.state.get() if self.state.exists() else (None, None, None), []
+        # the messages of one control in one trigger, in order however they were cut into chunks
+        for seq, source, value in pd.concat(rows).sort_values("seq")[["seq", "source", "value"]].itertuples(index=False):
+            state, taken = self.step(state, source, float(value))
+            if taken:
+                out.append((key[0], int(seq), float(value)))
+        self.state.update(state)
+        yield pd.DataFrame(out, columns=["control", "seq", "value"])
 
     def close(self) -> None:
         pass
@@ -65,23 +67,6 @@ def soft_takeover(messages: DataFrame) -> DataFrame:
     return messages.groupBy("control").transformWithStateInPandas(Takeover(), TAKEN, "append", "None")
 
 
-def takeover_of(messages: list[tuple[str, float]], near: float = Takeover.near, moved: float = Takeover.moved) -> list[float]:
-    """The accepted values of one control's messages (source, value), in order: what the stream gives."""
-    held, soft, hard, out = True, None, None, []
-    for source, value in messages:
-        if source == "software":
-            held = held and soft is not None and abs(value - soft) <= moved
-            soft = value
-            continue
-        if not held and soft is not None:
-            held = abs(value - soft) <= near or (hard is not None and (hard - soft) * (value - soft) <= 0)
-        hard = value
-        if held:
-            soft = value
-            out.append(value)
-    return out
-
-
 def paired_values(messages: DataFrame, reach_ms: float = 40.0) -> DataFrame:
     """14-bit values of a controller: a coarse message (cc below 32) and the fine one (cc + 32) within reach after it.
 
