@@ -55,26 +55,37 @@ def joi06(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ENTRIES = [(1, "Golden Hour", "Nova Reyes"), (2, "golden hour (Extended)", "Kaito"), (3, "Citta' di Vetro [Remastered]", "Kaito Mori"), (4, "Nothing Here", ""), (5, "Perché no", "Aurélia feat. X"), (6, "Glass", "Kaito Mori")]
-_LIBRARY = [(1, "Golden Hour (Radio Edit)", "Nova Reyes", "/m/a.mp3"), (2, "Golden Hour", "Kaito Mori", "/m/b.mp3"), (3, "Città di Vetro", "Kaito Mori", "/m/c.mp3"), (4, "Perche no", "Aurelia", "/m/d.mp3"), (5, "Track 05", "", "/m/Kaito Mori - Glass City.mp3")]
-
+_LIBRARY = [(-1, "Golden Hour (Radio Edit)", "Nova Reyes", "/m/a.mp3"), (-2, "Golden Hour", "Kaito Mori", "/m/b.mp3"), (-3, "Città di Vetro", "Kaito Mori", "/m/c.mp3"), (-4, "Perche no", "Aurelia", "/m/d.mp3"), (-5, "Track 05", "", "/m/Kaito Mori - Glass City.mp3")]
 
 
 def _quote(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(str(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
+# the whole library and a few odd tracks; as a set-list and as texts, the tracks whose id is divisible by 20 (a stated query set)
+_LIBRARY_SQL = f"library AS (SELECT id, title, artist, '/m/' || artist || ' - ' || title || '.mp3' AS path FROM tracks UNION ALL SELECT * FROM (VALUES {_quote(_LIBRARY)}) AS v(id, title, artist, path))"
+_ENTRIES_SQL = f"entries AS (SELECT 100 + id AS pos, CASE WHEN id % 40 = 0 THEN upper(title) || ' (Extended Mix)' ELSE title END AS title, CASE WHEN id % 60 = 0 THEN '' ELSE artist END AS artist FROM tracks WHERE id % 20 = 0 UNION ALL SELECT * FROM (VALUES {_quote(_ENTRIES)}) AS v(pos, title, artist))"
+
+
+def _library(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat(F.lit("/m/"), "artist", F.lit(" - "), "title", F.lit(".mp3"))
+    return A.tracks(spark, sf).select("id", "title", "artist", path.alias("path")).unionByName(spark.createDataFrame(_LIBRARY, "id long, title string, artist string, path string"))
+
+
 _FILE = S.normal("regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '')")
 _FIT = "(ta = ea OR contains(ta, ea) OR contains(ea, ta))"
 
 
-@query("joi07_match_setlist", f"""WITH e AS (SELECT pos, {S.normal('title')} AS et, {S.bare('title')} AS eb, {S.bare('artist')} AS ea FROM (VALUES {_quote(_ENTRIES)}) AS v(pos, title, artist)),
-t AS (SELECT id, {S.normal('title')} AS tt, {S.bare('title')} AS tb, CASE WHEN {S.bare('artist')} <> '' THEN {S.bare('artist')} ELSE {_FILE} END AS ta, {_FILE} AS tf FROM (VALUES {_quote(_LIBRARY)}) AS v(id, title, artist, path)),
+@query("joi07_match_setlist", f"""WITH {A.TRACKS_SQL}, {_LIBRARY_SQL}, {_ENTRIES_SQL}, e AS (SELECT pos, {S.normal('title')} AS et, {S.bare('title')} AS eb, {S.bare('artist')} AS ea FROM entries),
+t AS (SELECT id, {S.normal('title')} AS tt, {S.bare('title')} AS tb, CASE WHEN {S.bare('artist')} <> '' THEN {S.bare('artist')} ELSE {_FILE} END AS ta, {_FILE} AS tf FROM library),
 s AS (SELECT pos, id, ea, ta, CASE WHEN et <> '' AND et = tt THEN 4e0 WHEN eb <> '' AND eb = tb THEN 3e0 WHEN length(et) >= 4 AND length(tt) >= 4 AND (contains(tt, et) OR contains(et, tt)) THEN 1.5e0 WHEN et <> '' AND contains(tf, et) THEN 1.5e0 ELSE 0e0 END AS s FROM e, t),
 r AS (SELECT pos, id, CASE WHEN s = 0 THEN 0e0 WHEN ea <> '' AND ta <> '' AND {_FIT} THEN s + 2 WHEN ea <> '' AND ta <> '' THEN s - 1.5e0 ELSE s END AS score FROM s),
 b AS (SELECT pos, id, score FROM r WHERE score >= 2.5e0 QUALIFY row_number() OVER (PARTITION BY pos ORDER BY score DESC, id) = 1)
-SELECT CAST(e.pos AS INT) AS pos, CAST(b.id AS BIGINT) AS track_id, b.score FROM e LEFT JOIN b ON e.pos = b.pos""")
+SELECT CAST(e.pos AS BIGINT) AS pos, CAST(b.id AS BIGINT) AS track_id, b.score FROM e LEFT JOIN b ON e.pos = b.pos""")
 def joi07(spark: SparkSession, sf: str) -> DataFrame:
-    return M.match_entries(spark.createDataFrame(_ENTRIES, "pos int, title string, artist string"), spark.createDataFrame(_LIBRARY, "id long, title string, artist string, path string"))
+    title = F.when(F.col("id") % 40 == 0, F.concat(F.upper("title"), F.lit(" (Extended Mix)"))).otherwise(F.col("title"))
+    asked = A.tracks(spark, sf).where("id % 20 = 0").select((F.col("id") + 100).alias("pos"), title.alias("title"), F.when(F.col("id") % 60 == 0, "").otherwise(F.col("artist")).alias("artist"))
+    return M.match_entries(asked.unionByName(spark.createDataFrame(_ENTRIES, "pos long, title string, artist string")), _library(spark, sf))
 
 
 _TEXTS = [(1, "golden hour"), (2, "Perche no by aurelia"), (3, "kaito mori"), (4, "glass"), (5, "x"), (6, "metti golden hour di nova reyes stasera")]
@@ -86,12 +97,15 @@ def _split_hit(sep: str) -> str:
     return f"(instr(q, '{sep}') > 1 AND ((title = {a} AND contains(artist, {b})) OR (artist = {a} AND title = {b})))"
 
 
-@query("joi08_match_texts", f"""WITH q AS (SELECT qid, {_CLEAN.format('q')} AS q FROM (VALUES {_quote(_TEXTS)}) AS v(qid, q) WHERE length(q) >= 2), t AS (SELECT id, {_CLEAN.format('title')} AS title, {_CLEAN.format('artist')} AS artist FROM (VALUES {_quote(_LIBRARY)}) AS v(id, title, artist, path)),
+@query("joi08_match_texts", f"""WITH {A.TRACKS_SQL}, {_LIBRARY_SQL}, a AS (SELECT 100 + id AS qid, CASE WHEN id % 40 = 0 THEN artist || ' ' || title ELSE 'play ' || title || ' by ' || artist END AS q FROM tracks WHERE id % 20 = 0 UNION ALL SELECT * FROM (VALUES {_quote(_TEXTS)}) AS v(qid, q)),
+q AS (SELECT qid, {_CLEAN.format('q')} AS q FROM a WHERE length(q) >= 2), t AS (SELECT id, {_CLEAN.format('title')} AS title, {_CLEAN.format('artist')} AS artist FROM library),
 s AS (SELECT qid, id, title, round(CASE WHEN title = q OR artist || ' ' || title = q OR title || ' ' || artist = q THEN 100e0 WHEN {_split_hit(' di ')} OR {_split_hit(' by ')} OR {_split_hit(' - ')} THEN 95e0
  WHEN length(title) >= 3 AND contains(q, title) AND artist <> '' AND contains(q, artist) THEN 90e0 WHEN length(q) >= 3 AND contains(title, q) THEN 60 + 30 * (length(q)::DOUBLE / length(title)) WHEN length(title) >= 4 AND contains(q, title) THEN 50 + 20 * (length(title)::DOUBLE / length(q)) WHEN artist <> '' AND artist = q THEN 45e0 ELSE 0e0 END, 6) AS score FROM q, t)
-SELECT CAST(qid AS INT) AS qid, CAST(id AS BIGINT) AS id, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, length(title), id) AS INT) AS place FROM s WHERE score > 0) WHERE place <= 5""")
+SELECT CAST(qid AS BIGINT) AS qid, CAST(id AS BIGINT) AS id, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, length(title), id) AS INT) AS place FROM s WHERE score > 0) WHERE place <= 5""")
 def joi08(spark: SparkSession, sf: str) -> DataFrame:
-    return M.match_queries(spark.createDataFrame(_TEXTS, "qid int, q string"), spark.createDataFrame(_LIBRARY, "id long, title string, artist string, path string"))
+    text = F.when(F.col("id") % 40 == 0, F.concat_ws(" ", "artist", "title")).otherwise(F.concat(F.lit("play "), "title", F.lit(" by "), "artist"))
+    asked = A.tracks(spark, sf).where("id % 20 = 0").select((F.col("id") + 100).alias("qid"), text.alias("q"))
+    return M.match_queries(asked.unionByName(spark.createDataFrame(_TEXTS, "qid long, q string")), _library(spark, sf))
 
 
 @query("joi09_mentioned_titles", f"""WITH m AS (SELECT conv_id * 100 + turn AS tid, {_CLEAN.format('text')} AS t FROM conversations WHERE role = 'user'), w AS (SELECT DISTINCT {_CLEAN.format("split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4)")} AS title FROM conversations WHERE role = 'assistant')

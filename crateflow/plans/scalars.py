@@ -60,11 +60,13 @@ def mus_f05(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("mus_f06_genre_similarity", f"WITH {A.TRACKS_SQL}, g AS (SELECT DISTINCT genre || CASE WHEN id % 2 = 0 THEN ', Club' ELSE '/Radio Mix' END AS g FROM tracks WHERE id < 60 UNION SELECT '') SELECT a.g AS a, b.g AS b, {S.genre_similarity('a.g', 'b.g')} AS s FROM g a, g b")
+@query("mus_f06_genre_similarity", f"WITH {A.TRACKS_SQL}, g AS (SELECT id, CASE WHEN id % 23 = 0 THEN '' ELSE genre || CASE WHEN id % 2 = 0 THEN ', Club' ELSE '/Radio Mix' END END AS g FROM tracks) SELECT a.id, b.id AS other, {S.genre_similarity('a.g', 'b.g')} AS s FROM g a JOIN g b ON b.id = (a.id * 13 + 7) % (SELECT count(*) FROM part)")
 def mus_f06(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.concat("genre", F.when(F.col("id") % 2 == 0, ", Club").otherwise("/Radio Mix"))
-    g = A.tracks(spark, sf).where("id < 60").select(name.alias("a")).union(spark.createDataFrame([("",)], "a string")).distinct()
-    return g.crossJoin(F.broadcast(g.withColumnRenamed("a", "b"))).select("a", "b", music.genre_similarity(F.col("a"), F.col("b")).alias("s"))
+    name = F.when(F.col("id") % 23 == 0, "").otherwise(F.concat("genre", F.when(F.col("id") % 2 == 0, ", Club").otherwise("/Radio Mix")))
+    g = A.tracks(spark, sf).select("id", name.alias("a"))
+    n = F.broadcast(g.agg(F.count("*").alias("n")))  # one row
+    pairs = g.crossJoin(n).withColumn("other", (F.col("id") * 13 + 7) % F.col("n"))
+    return pairs.join(g.select(F.col("id").alias("other"), F.col("a").alias("b")), "other").select("id", "other", music.genre_similarity(F.col("a"), F.col("b")).alias("s"))
 
 
 @query("mus_f07_candidate_score", f"WITH {A.KEYED_SQL}, p AS (SELECT a.id, b.id AS other, round({S.score('a', 'b')}, 6) AS score FROM keyed a JOIN keyed b ON b.id = (a.id * 13 + 7) % (SELECT count(*) FROM part)) SELECT * FROM p")
@@ -125,15 +127,15 @@ def mus_f12(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("mus_f13_mix_schedule", f"""WITH {A.TRACKS_SQL}, p AS (SELECT id, bpm, grid_offset, duration, sum(duration - 16 * {_BAR}) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM tracks WHERE bpm > 0 AND id < 300)
-SELECT id, round(coalesce(ahead, 0e0), 4) AS starts, round(grid_offset + floor((duration - 16 * {_BAR} - grid_offset) / {_BAR}) * {_BAR}, 6) AS mix_out FROM p""")
+@query("mus_f13_mix_schedule", f"""WITH {A.TRACKS_SQL}, {A.PLAYLISTS_SQL}, p AS (SELECT playlist, pos, bpm, grid_offset, duration, sum(duration - 16 * {_BAR}) OVER (PARTITION BY playlist ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM playlists JOIN tracks ON id = track WHERE bpm > 0)
+SELECT playlist, pos, round(coalesce(ahead, 0e0), 4) AS starts, round(grid_offset + floor((duration - 16 * {_BAR} - grid_offset) / {_BAR}) * {_BAR}, 6) AS mix_out FROM p""")
 def mus_f13(spark: SparkSession, sf: str) -> DataFrame:
     bar = music.bar_length(F.col("bpm"))
-    # one set: a list of at most 300 rows, ordered as a whole
-    t = A.tracks(spark, sf).where("bpm > 0 AND id < 300").withColumn("bar", bar)
-    ahead = F.expr("sum(duration - 16 * bar) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    t = A.tracks(spark, sf).where("bpm > 0").withColumn("bar", bar)
+    t = A.playlists(spark, sf).join(t, F.col("track") == F.col("id"))
+    ahead = F.expr("sum(duration - 16 * bar) OVER (PARTITION BY playlist ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     out = F.col("grid_offset") + F.floor((F.col("duration") - 16 * F.col("bar") - F.col("grid_offset")) / F.col("bar")) * F.col("bar")
-    return t.select("id", F.round(F.coalesce(ahead, F.lit(0.0)), 4).alias("starts"), F.round(out, 6).alias("mix_out"))
+    return t.select("playlist", "pos", F.round(F.coalesce(ahead, F.lit(0.0)), 4).alias("starts"), F.round(out, 6).alias("mix_out"))
 
 
 @query("mus_f14_rapid_timing", f"""WITH {A.TRACKS_SQL} SELECT id, round(least(greatest(grid_offset + floor((10 + 16 * {_BAR} - grid_offset) / {_BAR} + 0.5e0) * {_BAR}, grid_offset + ceil((20 + {_BAR} + 0.25e0 - grid_offset) / {_BAR}) * {_BAR}), duration - 0.5e0), 6) AS cut FROM tracks WHERE bpm > 0""")

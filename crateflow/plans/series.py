@@ -86,28 +86,28 @@ def win11(spark: SparkSession, sf: str) -> DataFrame:
     return R.bars(k, "series", "idx", "is_down").select("series", "idx", "bar", "beat_in_bar")
 
 
-_SIM = f"""{A.FRAMES_SQL}, s AS (SELECT a.track, a.idx AS i, b.idx AS j, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM frames a JOIN frames b ON a.track = b.track AND a.idx < 20 AND b.idx < 20)"""
+_SIM = f"""{A.FRAMES_SQL}, s AS (SELECT a.track, a.idx // 64 AS part, a.idx AS i, b.idx AS j, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM frames a JOIN frames b ON a.track = b.track AND a.idx // 64 = b.idx // 64)"""
 
 
 def _similarity(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.frames(spark, sf).where("idx < 20")
-    a = f.select("track", F.col("idx").alias("i"), F.col("embedding").alias("x"))
-    b = f.select("track", F.col("idx").alias("j"), F.col("embedding").alias("y"))
+    """All pairs of frames in parts of 64 frames of a track: a part's matrix is bounded, and every frame is in one."""
+    f = A.frames(spark, sf).withColumn("part", F.floor(F.col("idx") / 64))
+    a = f.select("track", "part", F.col("idx").alias("i"), F.col("embedding").alias("x"))
+    b = f.select("track", "part", F.col("idx").alias("j"), F.col("embedding").alias("y"))
     dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    # at most twenty frames a track
-    return a.join(b, "track").select("track", "i", "j", dot.alias("s"))
+    return a.join(b, ["track", "part"]).select("track", "part", "i", "j", dot.alias("s"))
 
 
-@query("win12_diagonal_means", f"WITH {_SIM} SELECT track, i, j, round(m, 6) AS m FROM (SELECT track, i, j, avg(s) OVER w AS m, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY track, j - i ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE n = 4")
+@query("win12_diagonal_means", f"WITH {_SIM} SELECT track, i, j, round(m, 6) AS m FROM (SELECT track, i, j, avg(s) OVER w AS m, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY track, part, j - i ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) WHERE n = 4")
 def win12(spark: SparkSession, sf: str) -> DataFrame:
     s = _similarity(spark, sf).withColumn("d", F.col("j") - F.col("i"))
-    w = Window.partitionBy("track", "d").orderBy("i").rowsBetween(0, 3)
+    w = Window.partitionBy("track", "part", "d").orderBy("i").rowsBetween(0, 3)
     return s.withColumn("m", F.round(F.avg("s").over(w), 6)).withColumn("n", F.count("*").over(w)).where("n = 4").select("track", "i", "j", "m")
 
 
-@query("sig14_double_centred", f"WITH {_SIM} SELECT track, i, j, round(s - avg(s) OVER (PARTITION BY track, i) - avg(s) OVER (PARTITION BY track, j) + avg(s) OVER (PARTITION BY track), 6) AS c FROM s")
+@query("sig14_double_centred", f"WITH {_SIM} SELECT track, i, j, round(s - avg(s) OVER (PARTITION BY track, part, i) - avg(s) OVER (PARTITION BY track, part, j) + avg(s) OVER (PARTITION BY track, part), 6) AS c FROM s")
 def sig14(spark: SparkSession, sf: str) -> DataFrame:
-    means = [F.avg("s").over(Window.partitionBy(*k)) for k in (("track", "i"), ("track", "j"), ("track",))]
+    means = [F.avg("s").over(Window.partitionBy(*k)) for k in (("track", "part", "i"), ("track", "part", "j"), ("track", "part"))]
     return _similarity(spark, sf).select("track", "i", "j", F.round(F.col("s") - means[0] - means[1] + means[2], 6).alias("c"))
 
 

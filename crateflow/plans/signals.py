@@ -119,12 +119,13 @@ def sig09(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("label", F.explode(F.array_append(step, last)).alias("s")).select("label", F.col("s").cast("int").alias("start"))
 
 
-@query("sig09_chunk_merge", "SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame, round(embedding[1]::DOUBLE, 6) AS v FROM embeddings")
+@query("sig09_chunk_merge", "SELECT label, frame, CAST(d - 1 AS INT) AS dim, round(embedding[d]::DOUBLE, 6) AS v FROM (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame, embedding FROM embeddings), (SELECT unnest(range(1, 65)) AS d)")
 def sig09b(spark: SparkSession, sf: str) -> DataFrame:
-    frames = A.frames(spark, sf).select(F.col("track").alias("label"), "idx", F.col("embedding")[0].cast("double").alias("v"))
+    frames = A.frames(spark, sf).select(F.col("track").alias("label"), "idx", "embedding")
     starts = sig09(spark, sf)
     parts = frames.join(starts, "label").where("idx >= start AND idx < start + 24")
-    return parts.groupBy("label", F.col("idx").alias("frame")).agg(F.round(F.min_by("v", "start"), 6).alias("v"))
+    kept = parts.groupBy("label", F.col("idx").alias("frame")).agg(F.min_by("embedding", "start").alias("e"))
+    return kept.select("label", "frame", F.posexplode("e").alias("dim", "v")).select("label", "frame", "dim", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
 @query("sig10_beat_grid")
@@ -147,9 +148,9 @@ def sig12(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("series").agg((F.floor(first / 4) * 4).alias("entry_bar"))
 
 
-@query("sig13_pooled_features", "WITH f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding FROM embeddings) SELECT label, CAST(idx // 4 AS BIGINT) AS beat, CAST(d - 1 AS INT) AS dim, round(avg(embedding[d]::DOUBLE), 6) AS mean FROM f, (SELECT unnest(range(1, 5)) AS d) GROUP BY 1, 2, 3")
+@query("sig13_pooled_features", "WITH f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding FROM embeddings) SELECT label, CAST(idx // 4 AS BIGINT) AS beat, CAST(d - 1 AS INT) AS dim, round(avg(embedding[d]::DOUBLE), 6) AS mean FROM f, (SELECT unnest(range(1, 65)) AS d) GROUP BY 1, 2, 3")
 def sig13(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.frames(spark, sf).select(F.col("track").alias("label"), F.floor(F.col("idx") / 4).alias("beat"), F.posexplode(F.slice("embedding", 1, 4)).alias("dim", "x"))
+    f = A.frames(spark, sf).select(F.col("track").alias("label"), F.floor(F.col("idx") / 4).alias("beat"), F.posexplode("embedding").alias("dim", "x"))
     return f.groupBy("label", "beat", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 

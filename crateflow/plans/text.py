@@ -58,9 +58,9 @@ def str_f06(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("conv_id", "turn", F.size("fs").alias("n"), F.md5(F.array_join("fs", " ").cast("binary")).alias("digest"))
 
 
-@query("str_f07_hashed_features", f"WITH {_FEATURES}, x AS (SELECT conv_id, turn, unnest(fs) AS g FROM f WHERE turn = 0) SELECT conv_id, turn, sum({S.fnv1a('g')} % 32768 + 1)::BIGINT AS total, max({S.fnv1a('g')} % 32768 + 1) AS top FROM x GROUP BY conv_id, turn")
+@query("str_f07_hashed_features", f"WITH {_FEATURES}, x AS (SELECT conv_id, turn, unnest(fs) AS g FROM f) SELECT conv_id, turn, sum({S.fnv1a('g')} % 32768 + 1)::BIGINT AS total, max({S.fnv1a('g')} % 32768 + 1) AS top FROM x GROUP BY conv_id, turn")
 def str_f07(spark: SparkSession, sf: str) -> DataFrame:
-    g = A.messages(spark, sf).where("turn = 0").select("conv_id", "turn", F.explode(X.chat_features(F.col("text"))).alias("g"))
+    g = A.messages(spark, sf).select("conv_id", "turn", F.explode(X.chat_features(F.col("text"))).alias("g"))
     bucket = X.fnv1a(F.col("g")) % 32768 + 1
     return g.groupBy("conv_id", "turn").agg(F.sum(bucket).alias("total"), F.max(bucket).alias("top"))
 
