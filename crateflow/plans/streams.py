@@ -72,7 +72,7 @@ def src12(spark: SparkSession, sf: str) -> DataFrame:
     path = _place(spark, "store")
     files.save_store(t, path)
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("energy", T.IntegerType())])
-    return files.json_store(spark, path, schema, {"title": "untitled", "energy": 5})[0]
+    return files.load_store(spark, path, schema, {"title": "untitled", "energy": 5})[0]
 
 
 @query("src17_stem_store", f"WITH {A.TRACKS_SQL} SELECT id, id % 2 = 0 AS vocals, id % 3 = 0 AS backing FROM tracks")

@@ -34,15 +34,54 @@ def _literal(s: str) -> str:
 def json_store(spark: SparkSession, path: str, schema: T.StructType, defaults: dict) -> tuple[DataFrame, DataFrame]:
     """(rows, corrupt): JSON documents with absent fields set from defaults, and the ones that don't parse."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    read = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    parsed = read.select("*", F.col("_corrupt").isNotNull().alias("_bad"))
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("v")).select("v.*", F.col("v._corrupt").isNotNull().alias("_bad"))
     rows = parsed.where("NOT _bad").select(*[F.coalesce(F.col(f.name), F.lit(defaults[f.name])).alias(f.name) if f.name in defaults else F.col(f.name) for f in schema.fields])
     return rows, parsed.where("_bad").select(F.col("_corrupt").alias("text"))
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path of any file system that Spark reaches, and that file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def store_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a store that were written to their end, oldest first."""
+    at, fs = _folder(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    found = sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+    return [v for v in found if fs.exists(_folder(spark, f"{path}/version-{v}/_SUCCESS")[0])]
+
+
 def save_store(df: DataFrame, path: str) -> None:
-    """Replace a store; readers see the old or the new one, as the committer renames what is complete."""
-    df.write.mode("overwrite").json(path)
+    """Write a new version of a store; the one before stays as its backup, older ones go.
+
+    Readers see the new version when its write has been committed, and until then the one before: nothing is replaced in
+    place. One writer at a time.
+    """
+    spark = df.sparkSession
+    before = store_versions(spark, path)
+    df.write.mode("overwrite").json(f"{path}/version-{max(before, default=0) + 1}")  # over the rest of a broken write
+    for old in before[:-1]:
+        at, fs = _folder(spark, f"{path}/version-{old}")
+        fs.delete(at, True)
+
+
+def load_store(spark: SparkSession, path: str, schema: T.StructType, defaults: dict) -> tuple[DataFrame, DataFrame]:
+    """(rows, corrupt) of a store's newest version whose documents all parse; without one, what parses of the newest.
+
+    corrupt: the texts that don't parse, of all versions passed over. A store never written is empty.
+    """
+    bad = spark.createDataFrame([], "text string")
+    newest = None
+    for version in reversed(store_versions(spark, path)):
+        rows, corrupt = json_store(spark, f"{path}/version-{version}", schema, defaults)
+        newest = newest or rows
+        if corrupt.isEmpty():
+            return rows, bad
+        bad = bad.unionByName(corrupt)
+    return newest or spark.createDataFrame([], schema), bad
 
 
 def todo(wanted: DataFrame, done: DataFrame, skipped: DataFrame, key: str) -> DataFrame:

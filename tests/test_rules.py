@@ -130,3 +130,28 @@ def test_titles_of_every_length_are_mentioned(spark):
     texts = spark.createDataFrame([(n, f"play {t} now") for n, t in enumerate(titles)], "tid long, text string")
     tracks = spark.createDataFrame([(t,) for t in titles], "title string")
     assert {(r.tid, r.title, r.at) for r in matching.mentioned_titles(texts, tracks).collect()} == {(n, t, 1) for n, t in enumerate(titles)}
+
+
+def test_store_keeps_a_backup_and_falls_back_on_it(spark, tmp_path):
+    from pathlib import Path
+
+    from pyspark.sql import types as T
+
+    from crateflow.sources import files
+
+    path, schema = str(tmp_path / "store"), T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType())])
+    load = lambda: tuple(sorted(tuple(r) for r in x.collect()) for x in files.load_store(spark, path, schema, {"title": "?"}))
+    assert load() == ([], [])
+    for n in range(4):
+        files.save_store(spark.createDataFrame([(n, None), (n + 10, "t")], "id long, title string"), path)
+        assert load() == ([(n, "?"), (n + 10, "t")], [])
+    assert files.store_versions(spark, path) == [3, 4]
+    (tmp_path / "store" / "version-5").mkdir()  # a write that was broken off is not seen, and is written over
+    (Path(path) / "version-5" / "part-0.json").write_text('{"id": 9}')
+    assert load()[0][0][0] == 3
+    files.save_store(spark.createDataFrame([(5, "five")], "id long, title string"), path)
+    assert load() == ([(5, "five")], [])
+    part = next((Path(path) / "version-5").glob("part-*.json"))
+    part.write_text('{"id": 5, "title"')
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    assert load() == ([(3, "?"), (13, "t")], [('{"id": 5, "title"',)])
