@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 
 from crateflow.functions.text import chat_features, clean, fnv1a
 
-# Words of the listeners' language and what they mean.
-GENRES = ("melodic techno", "deep house", "tech house", "drum and bass", "techno", "house", "trance", "disco", "funk")
-NEGATION = r"\b(niente|senza|no|evita|basta)\s+(?:la |il |lo )?"
-CONTROLS = (("skip", r"\b(salta|skip|prossimo brano)\b"), ("pause", r"\b(pausa|fermati)\b"), ("vocals_off", r"\b(togli|senza) la voce\b"))
-OPTIONS = (("mashup=on", r"\battiva (il|i) mashup\b"), ("mashup=off", r"\bdisattiva (il|i) mashup\b"))
-STRATEGIES = (("rise", r"crescente|in salita"), ("wave", r"a onde"), ("chill", r"rilassat[oa]"), ("peak", r"\bpicco\b"), ("steady", r"costante"))
-
-
 def phrases_found(text: Column, vocabulary: list[str] | tuple[str, ...]) -> Column:
     """The phrases of the vocabulary in a text as whole words, longest first; what one has used is not found again."""
     start = F.struct(F.concat(F.lit(" "), clean(text), F.lit(" ")).alias("t"), F.array().cast("array<string>").alias("f"))
@@ -30,34 +22,12 @@ def phrases_found(text: Column, vocabulary: list[str] | tuple[str, ...]) -> Colu
     return F.aggregate(words, start, take, lambda acc: acc["f"])
 
 
-def actions(messages: DataFrame, column: str) -> DataFrame:
-    """messages with (kind, value) for each thing asked: filters, options, controls; or talk, if nothing is."""
-    t = clean(F.col(column))
-    excluded = F.filter(F.array(*[F.lit(g) for g in GENRES]), lambda g: F.regexp_like(t, F.concat(F.lit(NEGATION), g, F.lit(r"\b"))))
-    genres = F.array_except(phrases_found(F.col(column), GENRES), excluded)
-    n = [F.coalesce(F.nullif(F.regexp_extract(t, r"\b(?:tra|da|fra) (\d{2,3}) (?:e|a) (\d{2,3}) bpm", i), F.lit("")), F.lit("0")) for i in (1, 2)]
-    more = F.coalesce(F.nullif(F.regexp_extract(t, r"\b(?:piu di|oltre|almeno) (\d{2,3}) bpm", 1), F.lit("")), F.lit("0"))
-    bpm = F.when(n[0] != "0", F.concat(F.lit("bpm="), n[0], F.lit("-"), n[1])).when(more != "0", F.concat(F.lit("bpm="), more, F.lit("-0")))
-    filters = F.concat_ws(";", F.when(F.size(genres) > 0, F.concat(F.lit("genres="), F.array_join(genres, ","))), F.when(F.size(excluded) > 0, F.concat(F.lit("exclude="), F.array_join(excluded, ","))), bpm)
-    bars = F.regexp_extract(t, r"\b(\d{1,2}) battute\b", 1)
-    # of several strategies the last one mentioned counts
-    places = F.array(*[F.struct(F.length(F.regexp_replace(t, f"(?:{p}).*?$", "")).alias("at"), F.lit(s).alias("s"), t.rlike(p).alias("ok")) for s, p in STRATEGIES])
-    strategy = F.array_max(F.filter(places, lambda x: x["ok"]))["s"]
-
-    def one(kind: str, value: Column) -> Column:
-        return F.when(value.isNotNull() & (value != ""), F.struct(F.lit(kind).alias("kind"), value.alias("value")))
-
-    found = [one("filters", filters), one("option", F.when(bars != "", F.concat(F.lit("bars="), bars))), one("option", F.when(strategy.isNotNull(), F.concat(F.lit("strategy="), strategy)))]
-    found += [one("option", F.when(t.rlike(p), v)) for v, p in OPTIONS]
-    found += [one("control", F.when(t.rlike(p), v)) for v, p in CONTROLS]
-    all_of = F.array_compact(F.array(*found))
-    talk = F.array(F.struct(F.lit("talk").alias("kind"), F.when(t.rlike(r"^(ciao|salve|hey)\b"), "greeting").otherwise("other").alias("value")))
-    return messages.select("*", F.explode(F.when(F.size(all_of) > 0, all_of).otherwise(talk)).alias("_a")).select(*messages.columns, "_a.kind", "_a.value")
-
-
-def with_precedence(rules: DataFrame, model: DataFrame) -> DataFrame:
-    """(id, head, label): what rules say, and the model's labels only for heads that no rule covers."""
-    return rules.unionByName(model.join(rules.select("id", "head"), ["id", "head"], "left_anti"))
+def with_precedence(rules: DataFrame, model: DataFrame, keys: list[str], alone: str) -> DataFrame:
+    """(keys, head, label): what rules say, and the model's labels for heads that no rule covers; its label of the head
+    `alone` counts only where no rule says anything."""
+    free = model.join(rules.select(*keys, "head"), [*keys, "head"], "left_anti")
+    silent = free.where(F.col("head") == alone).join(rules.select(*keys).distinct(), keys, "left_anti")
+    return rules.unionByName(free.where(F.col("head") != alone)).unionByName(silent)
 
 
 def decide(scores: DataFrame, keys: list[str], clause_least: float, full_least: float) -> DataFrame:
@@ -95,10 +65,28 @@ def linear_scores(messages: DataFrame, column: str, heads: int, labels: int, see
     return rows.mapInPandas(run, schema)
 
 
-def folded_state(events: DataFrame) -> DataFrame:
-    """Per user, the option state that their actions lead to: the last volume set and the number of changes applied."""
-    set_volume = F.when(F.col("event_type") == "view", F.struct("ts", "value"))
-    return events.groupBy("user_id").agg(F.max(set_volume).getField("value").alias("volume"), F.count_if(F.col("event_type") == "purchase").alias("applied"))
+def applied(actions: DataFrame, user: str, order: str) -> DataFrame:
+    """(user, state, applied, failed): the options that a user's actions lead to, in order.
+
+    actions: key and value; key 'undo' takes back the last change that still stands, an action without a value fails by
+    itself and changes nothing. state: key to value. A user's actions are gathered: as many as one person has made.
+    """
+    kind = "struct<stack:array<struct<key:string,value:string>>,failed:int>"
+    rows = actions.groupBy(user).agg(F.sort_array(F.collect_list(F.struct(order, "key", "value"))).alias("_a"))
+    empty = F.struct(F.array().cast("array<struct<key:string,value:string>>").alias("stack"), F.lit(0).alias("failed")).cast(kind)
+
+    def step(s: Column, a: Column) -> Column:
+        undo, bad = a["key"] == "undo", a["value"].isNull()
+        kept = F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0)))
+        more = F.array_append(s["stack"], F.struct(a["key"].alias("key"), a["value"].alias("value")))
+        stack = F.when(undo, kept).when(bad, s["stack"]).otherwise(more)
+        return F.struct(stack.alias("stack"), (s["failed"] + F.when(~undo & bad, 1).otherwise(0)).alias("failed")).cast(kind)
+
+    folded = rows.select(user, F.aggregate("_a", empty, step).alias("s"))
+    # of several changes to a key, the last one holds
+    last = F.filter(F.col("s.stack"), lambda x, i: ~F.exists(F.slice("s.stack", i + 2, F.size("s.stack")), lambda y: y["key"] == x["key"]))
+    state = F.map_from_entries(F.array_sort(last))
+    return folded.select(user, state.alias("state"), F.size("s.stack").alias("applied"), F.col("s.failed").alias("failed"))
 
 
 def with_typos(messages: DataFrame, column: str, seed: int) -> DataFrame:

@@ -299,7 +299,10 @@ def mus_f14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("nlu11_set_from_description")
 def nlu11(spark: SparkSession, sf: str) -> DataFrame:
-    from crateflow.operators.library import Filters
+    """A set for each genre as a description asks for it: the description is read by the rules for messages."""
+    from crateflow.operators import interpreter as I
 
-    t = A.keyed(spark, sf).where(Filters(genres=("promo",), bpm_min=90, bpm_max=160).column(F.col("genre"), F.col("bpm")))
-    return P.sets_per_group(t, "genre", 8, "wave")
+    description = spark.createDataFrame([("Crea una scaletta di 8 brani a onde, tra 90 e 160 bpm",)], "text string")
+    asked = dict(x.split("=", 1) for x in I.actions(description, "text").where("kind = 'buildSet'").first()["value"].split(";"))
+    low, high = (int(x) for x in asked["bpm"].split("-"))
+    return P.sets_per_group(A.keyed(spark, sf).where(F.col("bpm").between(low, high)), "genre", int(asked["length"]), asked["strategy"])

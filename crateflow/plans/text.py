@@ -169,25 +169,6 @@ def src24(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "ts").alias("value"))
 
 
-_ASKS = [(1, "metti techno tra 120 e 128 bpm"), (2, "niente house per favore"), (3, "transizioni di 16 battute"), (4, "salta questo brano"), (5, "set crescente, anzi rilassato"), (6, "ciao"), (7, "più di 130 bpm"), (8, "attiva il mashup e togli la voce")]
-_ASKED = [
-    (1, "filters", "genres=techno;bpm=120-128"), (2, "filters", "exclude=house"), (3, "option", "bars=16"), (4, "control", "skip"), (5, "option", "strategy=chill"),
-    (6, "talk", "greeting"), (7, "filters", "bpm=130-0"), (8, "option", "mashup=on"), (8, "control", "vocals_off"),
-]
-
-
-@query("nlu01_parse_messages", f"SELECT CAST(id AS INT) AS id, kind, value FROM (VALUES {_rows(_ASKED)}) AS v(id, kind, value)")
-def nlu01(spark: SparkSession, sf: str) -> DataFrame:
-    return N.actions(spark.createDataFrame(_ASKS, "id int, t string"), "t").select("id", "kind", "value")
-
-
-@query("nlu02_rules_over_model", "SELECT CAST(id AS INT) AS id, head, label FROM (VALUES (1, 'filters', 'rule'), (1, 'option', 'model'), (2, 'filters', 'rule'), (3, 'option', 'rule'), (4, 'control', 'rule'), (5, 'option', 'rule'), (6, 'talk', 'rule'), (7, 'filters', 'rule'), (8, 'control', 'rule'), (8, 'option', 'rule')) AS v(id, head, label)")
-def nlu02(spark: SparkSession, sf: str) -> DataFrame:
-    rules = N.actions(spark.createDataFrame(_ASKS, "id int, t string"), "t").select("id", F.col("kind").alias("head"), F.lit("rule").alias("label")).distinct()
-    model = spark.createDataFrame([(1, "filters", "model"), (1, "option", "model"), (3, "option", "model")], "id int, head string, label string")
-    return N.with_precedence(rules, model)
-
-
 _P = "(xor(conv_id * 7 + turn * 3 + h * 5 + c * 11 + i * 13, 42) % 100) / 100e0"
 
 
@@ -211,16 +192,3 @@ def nlu04(spark: SparkSession, sf: str) -> DataFrame:
 def nlu07(spark: SparkSession, sf: str) -> DataFrame:
     c = A.messages(spark, sf).withColumn("k", X.chat_normal(F.col("text"))).where("(conv_id + turn) % 9 <> 0 AND k <> ''")
     return c.groupBy("k").agg(F.min(F.struct("conv_id", "turn")).alias("m")).select("m.conv_id", "m.turn")
-
-
-@query("nlu09_apply_actions", "SELECT user_id, round(arg_max(value, ts) FILTER (event_type = 'view'), 6) AS volume, count(*) FILTER (event_type = 'purchase') AS applied FROM events WHERE event_type IN ('view', 'purchase') GROUP BY user_id")
-def nlu09(spark: SparkSession, sf: str) -> DataFrame:
-    e = A.table(spark, sf, "events").where("event_type IN ('view', 'purchase')")
-    return N.folded_state(e).select("user_id", F.round("volume", 6).alias("volume"), "applied")
-
-
-@query("nlu10_state_answers", f"WITH {A.TRACKS_SQL}, {A.HISTORY_SQL}, l AS (SELECT user_id, arg_max(id, played_at) AS now, count(*) AS n FROM history GROUP BY user_id) SELECT user_id, 'now ' || t.title || ', ' || n || ' played' AS answer FROM l JOIN tracks t ON t.id = l.now")
-def nlu10(spark: SparkSession, sf: str) -> DataFrame:
-    last = A.history(spark, sf).groupBy("user_id").agg(F.max_by("id", "played_at").alias("now"), F.count("*").alias("n"))
-    j = last.join(A.tracks(spark, sf).select("id", "title"), F.col("now") == F.col("id"))
-    return j.select("user_id", F.concat(F.lit("now "), "title", F.lit(", "), F.col("n").cast("string"), F.lit(" played")).alias("answer"))

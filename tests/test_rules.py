@@ -155,3 +155,76 @@ def test_store_keeps_a_backup_and_falls_back_on_it(spark, tmp_path):
     part.write_text('{"id": 5, "title"')
     (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
     assert load() == ([(3, "?"), (13, "t")], [('{"id": 5, "title"',)])
+
+
+ASKED = {
+    "metti techno tra 120 e 128 bpm": [("filters", "genres=techno;bpm=120-128")],
+    "niente house per favore": [("filters", "exclude=house")],
+    "transizioni di 16 battute": [("option", "bars=16")],
+    "quindici battute": [("option", "bars=16")],
+    "cambia il prossimo": [("control", "skip")],
+    "set crescente, anzi rilassato": [("option", "strategy=chill")],
+    "parte soft e poi esplode": [("option", "strategy=rise")],
+    "Ciao!": [("talk", "hello")],
+    "più di 130 bpm": [("filters", "bpm=130-")],
+    "da 140 a 90 bpm": [("filters", "bpm=90-140")],
+    "sotto 300 bpm": [],
+    "attiva il mashup": [("option", "mashup=on")],
+    "fai dei mashup ogni tanto": [("option", "mashup=on")],
+    "fai un mashup": [("mashup", "auto")],
+    "voce di Nova Reyes sulla base di Golden Hour": [("mashup", "voice=nova reyes;base=golden hour")],
+    "crea una scaletta di 20 brani deep house in crescendo": [("buildSet", "length=20;strategy=rise;genres=deep house")],
+    "fammi un set di mezz'ora": [("buildSet", "length=9")],
+    "cosa sta suonando?": [("info", "now")],
+    "perché questo?": [("info", "why")],
+    "svuota la coda": [("queue", "clear")],
+    "metti golden hour in coda": [("queue", "add=golden hour")],
+    "per i prossimi tre brani solo trance": [("temporary", "3:filters:genres=trance")],
+    "per il prossimo brano tagli netti": [("temporary", "1:option:style=cut")],
+    "togli tutti i filtri": [("filters", "clear")],
+    "anche disco": [("filters", "add=disco")],
+    "transizioni techno": [("option", "style=model-techno")],
+    "dissolvenze lunghe": [("option", "style=fade"), ("option", "bars=32")],
+    "fermati dopo questo": [("control", "endAfterCurrent")],
+    "": [],
+    "tech house e techno piacciono molto a tutti quanti": [],
+}
+
+
+def test_what_messages_ask_for(spark):
+    from crateflow.operators import interpreter
+
+    rows = list(enumerate([*ASKED, None]))
+    got = {i: [] for i, _ in rows}
+    for r in interpreter.actions(spark.createDataFrame(rows, "id int, text string"), "text").orderBy("id", "n").collect():
+        got[r.id].append((r.kind, r.value))
+    assert {t: got[i] for i, t in rows} == {**ASKED, None: []}
+
+
+def test_actions_are_applied_and_taken_back(spark):
+    from crateflow.operators import requests
+
+    rows = [("a", 1, "volume", "3"), ("a", 2, "bars", "16"), ("a", 3, "bars", None), ("a", 4, "bars", "32"), ("a", 5, "undo", None), ("b", 1, "undo", None), ("b", 2, "bars", "8"), ("b", 3, "undo", "x"), ("b", 4, "undo", None)]
+    got = {r.user: (r.state, r.applied, r.failed) for r in requests.applied(spark.createDataFrame(rows, "user string, n int, key string, value string"), "user", "n").collect()}
+    assert got == {"a": ({"volume": "3", "bars": "16"}, 2, 1), "b": ({}, 0, 0)}
+
+
+def test_partners_without_what_was_tried(spark):
+    import random
+
+    from crateflow.operators import matching
+
+    rng = random.Random(5)
+    tracks = spark.createDataFrame([(i, rng.choice([0.0, 100.0, 104.0, 124.0, 128.0, 62.0]), *(k := rng.choice([(8, "A"), (8, "B"), (9, "A"), (3, "B"), (None, None)])), f"{k[0]}{k[1]}" if k[0] else None) for i in range(150)], "id long, bpm double, camelot_n int, camelot_l string, code string")
+    every = [(r.base, r.vocal, r.pitch, r.score) for r in matching.compatible_pairs(tracks).collect()]
+    first = min(every, key=lambda r: (-r[3], r[0], r[1]))
+    assert tuple(matching.best_pair(tracks).first()) == (first[0], first[1], first[3])
+    tried = {(b, v) for b, v, *_ in every if (b * 7 + v) % 3 == 0 or b == 4}
+    for excluded in (set(), tried):
+        frame = spark.createDataFrame(sorted(excluded) or [], "base long, vocal long") if excluded else None
+        got = sorted((r.base, r.place, r.vocal, r.score) for r in matching.suggest_partners(tracks, 6, frame).collect())
+        want = []
+        for b in {r[0] for r in every}:
+            left = sorted((r for r in every if r[0] == b and (r[0], r[1]) not in excluded), key=lambda r: (-r[3], r[1]))[:6]
+            want += [(b, i + 1, r[1], r[3]) for i, r in enumerate(left)]
+        assert got == sorted(want)
