@@ -196,12 +196,12 @@ def sig18(spark: SparkSession, sf: str) -> DataFrame:
     return A.tracks(spark, sf).select("id", length.alias("beats"), curve.alias("curve"))
 
 
-@query("sig20_f_measure")
+@query("sig20_f_measure", f"WITH {A.BEATS_SQL} SELECT series, CASE WHEN count(*) FILTER (idx >= 10) = 0 THEN 1e0 ELSE round(count(*) FILTER (idx >= 10 AND v <= 80)::DOUBLE / count(*) FILTER (idx >= 10), 6) END AS f FROM beats GROUP BY series")
 def sig20(spark: SparkSession, sf: str) -> DataFrame:
     def measure(key, pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.arange(len(pdf)) * 0.5
         est = t + np.where(pdf["v"].to_numpy() > 80, 0.2, 0.03)
-        return pd.DataFrame([(key, G.f_measure(t, est))], columns=["series", "f"])
+        return pd.DataFrame([(key, round(G.f_measure(t, est), 6))], columns=["series", "f"])
 
     return G.per_track(A.beats(spark, sf), "series", "idx", measure, "series long, f double")
 
@@ -217,12 +217,13 @@ def sig23(spark: SparkSession, sf: str) -> DataFrame:
     return G.per_track(A.beats(spark, sf), "series", "idx", label, "series long, kind string, bpm double, beats int")
 
 
-@query("win05_longest_run")
+@query("win05_longest_run", f"""WITH {A.BEATS_SQL}, t AS (SELECT series, idx, sum(CASE WHEN v > 90 THEN 0.67e0 ELSE 0.5e0 END) OVER w AS t, sum(CASE WHEN v > 90 AND idx > 0 THEN 1 ELSE 0 END) OVER w AS island FROM beats WINDOW w AS (PARTITION BY series ORDER BY idx))
+SELECT series, CAST(n AS INT) AS n, first, last FROM (SELECT series, island, count(*) AS n, round(min(t), 6) AS first, round(max(t), 6) AS last FROM t GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY series ORDER BY n DESC, island) = 1""")
 def win05(spark: SparkSession, sf: str) -> DataFrame:
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.cumsum(0.5 + np.where(pdf["v"].to_numpy() > 90, 0.17, 0.0))
         n, times = G.longest_run(t, 0.5)
-        return pd.DataFrame([(key, len(n), float(times[0]), float(times[-1]))], columns=["series", "n", "first", "last"])
+        return pd.DataFrame([(key, len(n), round(float(times[0]), 6), round(float(times[-1]), 6))], columns=["series", "n", "first", "last"])
 
     return G.per_track(A.beats(spark, sf), "series", "idx", run, "series long, n int, first double, last double")
 
@@ -237,7 +238,17 @@ def win06(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select("series", F.explode(G.merged_peaks(F.col("at"), 2)).alias("peak")).select("series", F.round("peak", 6).alias("peak"))
 
 
-@query("win13_spaced_best")
+def _spaced_sql(k: int, apart: int) -> str:
+    """The best row, then the best of those far enough from all chosen before, k times."""
+    steps = []
+    for i in range(k):
+        far = " AND ".join(f"abs(b.idx - p{j}.idx) >= {apart}" for j in range(i))
+        joined = " ".join(f"JOIN p{j} ON p{j}.series = b.series" for j in range(i))
+        steps.append(f"p{i} AS (SELECT b.series, {i} AS place, b.idx, b.v FROM beats b {joined} {'WHERE ' + far if far else ''} QUALIFY row_number() OVER (PARTITION BY b.series ORDER BY b.v DESC, b.idx) = 1)")
+    return f"WITH {A.BEATS_SQL}, {', '.join(steps)} " + " UNION ALL ".join(f"SELECT series, place, CAST(idx AS INT) AS idx, v FROM p{i}" for i in range(k))
+
+
+@query("win13_spaced_best", _spaced_sql(5, 8))
 def win13(spark: SparkSession, sf: str) -> DataFrame:
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         best = G.spaced_best(pdf["v"].to_numpy(), pdf["idx"].to_numpy(), 5, 8)
