@@ -98,6 +98,42 @@ def with_typos(messages: DataFrame, column: str, seed: int) -> DataFrame:
     return messages.withColumn("noisy", F.when(n > 1, swapped).otherwise(s))
 
 
+def _draw(column: str, seed: int, k: int) -> Column:
+    """A number from 0 to 1 drawn from a text, a seed and a counter."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(column), F.lit("")), F.lit(str(seed)), F.lit(str(k)))), 1, 7)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 28)
+
+
+def _typo(s: Column, where: Column, place: Column, kind: Column) -> Column:
+    """A letter inside one of the words of five letters or more swapped with the next (0.4), left out (0.3) or doubled (0.3);
+    the draws tell which word, which letter and which of these. Without such a word the text stays."""
+    words = F.split(s, " ")
+    long = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.length(F.get(words, i)) >= 5)
+    chosen = F.get(long, F.floor(where * F.size(long)).cast("int"))
+    word = F.get(words, chosen)
+    j = (1 + F.floor(place * (F.length(word) - 2))).cast("int")
+    rest, letter = F.length(word), F.substring(word, j + 1, F.lit(1))
+    start, after = F.substring(word, F.lit(1), j), F.substring(word, j + 2, rest)
+    swapped = F.concat(start, F.substring(word, j + 2, F.lit(1)), letter, F.substring(word, j + 3, rest))
+    changed = F.when(kind < 0.4, swapped).when(kind < 0.7, F.concat(start, after)).otherwise(F.concat(start, letter, letter, after))
+    return F.when(F.size(long) > 0, F.array_join(F.transform(words, lambda w, i: F.when(i == chosen, changed).otherwise(w)), " ")).otherwise(s)
+
+
+def noisy(messages: DataFrame, column: str, seed: int, before: list[str], behind: list[str], first: float = 0.15, second: float = 0.05) -> DataFrame:
+    """messages with `noisy`: the text with a phrase before and one behind it, one typing error with a probability of
+    `first`, another with `second`. All draws come from the text and the seed, so equal texts get equal noise; null stays
+    null."""
+
+    def phrase(options: list[str], k: int) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in options]), (F.floor(_draw(column, seed, k) * len(options)) + 1).cast("int"))
+
+    out = messages.withColumn("noisy", F.concat(phrase(before, 0), F.col(column), phrase(behind, 1)))
+    for chance, k in ((first, 2), (second, 6)):
+        draws = [_draw(column, seed, k + i) for i in (1, 2, 3)]
+        out = out.withColumn("noisy", F.when(_draw(column, seed, k) < chance, _typo(F.col("noisy"), *draws)).otherwise(F.col("noisy")))
+    return out
+
+
 def tuned_threshold(rows: DataFrame, grid: DataFrame, penalty: float = 3.0) -> DataFrame:
     """The threshold of the grid with the best count of right answers less penalty times wrong ones, per head; rows are
     (head, p, right). Thresholds are few and rows are counted once per threshold they reach."""

@@ -58,3 +58,16 @@ def site_title(s: Column) -> Column:
 def summary_lines(s: Column, least: int, most: int, width: int) -> Column:
     """The first `most` lines longer than `least`, cut to `width`."""
     return F.transform(F.slice(F.filter(F.split(s, "\n"), lambda x: F.length(x) > least), 1, most), lambda x: F.substring(x, 1, width))
+
+
+# fixed values: lines of release notes that tell how to install
+INSTALL = r"(?i)Installazione|scarica|xattr|chmod|clic destro|\.dmg|\.msi|AppImage"
+
+
+def release_notes(body: Column, most: int = 8) -> Column:
+    """The first `most` bullets of release notes, as an array: without lines on installing, authors' links, stars and ticks.
+    Null gives null, a text without bullets an empty array."""
+    lines = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    bullets = F.filter(lines, lambda x: (x.startswith("* ") | x.startswith("- ")) & ~x.rlike(INSTALL))
+    plain = F.transform(bullets, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^[*-]\s+", ""), r"\s+by @\S+ in https://\S+$", ""), r"\*\*|`", ""))
+    return F.slice(plain, 1, most)

@@ -110,6 +110,29 @@ def str02(spark: SparkSession, sf: str) -> DataFrame:
     return S.paired_values(e)
 
 
+_FADER = [
+    "'d' || p % 3 AS device", "CAST(floor(p / 12) % 2 AS INT) AS channel", "CAST(p % 4 + 32 * (event_id % 2) AS INT) AS cc",
+    "CAST(floor(value) AS INT) % 128 AS value",
+    "CAST(p * 50 + CASE WHEN event_id % 2 = 0 THEN 0 WHEN p % 97 = 0 THEN 45 WHEN user_id % 7 = 0 THEN 20 ELSE 2 END AS DOUBLE) AS t_ms",
+]
+_PAIR = "CAST(floor(event_id / 2) AS BIGINT) AS p"
+
+
+@query("str02_learned_pairs", f"""WITH RECURSIVE m AS (SELECT device, channel, cc % 32 AS cc, cc >= 32 AS fine, value, t_ms FROM (SELECT {", ".join(_FADER)} FROM (SELECT *, {_PAIR} FROM events) WHERE event_id % 62 <> 1)),
+e AS (SELECT *, row_number() OVER (PARTITION BY device, channel, cc ORDER BY t_ms, fine, value) AS n FROM m),
+s AS (SELECT device, channel, cc, fine, t_ms, n, CASE WHEN NOT fine THEN value END AS hi, CASE WHEN NOT fine THEN t_ms END AS since, 0 AS streak, NOT fine AS opened, false AS wide, CASE WHEN NOT fine THEN value / 127e0 END AS v FROM e WHERE n = 1 UNION ALL
+ SELECT device, channel, cc, fine, t_ms, n, hi, since, streak, opened, wide, CASE WHEN NOT fine THEN value / 127e0 WHEN wide AND t_ms - since < 40 THEN (hi * 128 + value) / 16383e0 END FROM
+ (SELECT *, was_wide OR streak >= 4 AS wide FROM
+ (SELECT e.device, e.channel, e.cc, e.fine, e.t_ms, e.n, e.value, s.wide AS was_wide, CASE WHEN e.fine THEN s.hi ELSE e.value END AS hi, CASE WHEN e.fine THEN s.since ELSE e.t_ms END AS since,
+ CASE WHEN e.fine AND s.opened AND e.t_ms - s.since < 5 THEN s.streak + 1 WHEN NOT e.fine AND s.opened THEN 0 ELSE s.streak END AS streak,
+ CASE WHEN e.fine AND e.t_ms - s.since < 5 THEN false WHEN e.fine THEN s.opened ELSE true END AS opened
+ FROM s JOIN e ON e.device = s.device AND e.channel = s.channel AND e.cc = s.cc AND e.n = s.n + 1)))
+SELECT device, channel, CAST(cc AS INT) AS cc, t_ms, round(v, 9) AS value, fine FROM s WHERE v IS NOT NULL""")
+def str02_learned(spark: SparkSession, sf: str) -> DataFrame:
+    m = A.table(spark, sf, "events").where("event_id % 62 <> 1").selectExpr("*", _PAIR).selectExpr(*_FADER)
+    return S.learned_pairs(m).withColumn("value", F.round("value", 9))
+
+
 @query("str03_soft_takeover", """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS control, event_id AS seq, event_type = 'view' AS soft, value / 100 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 s AS (SELECT control, seq, n, v AS now, CASE WHEN NOT soft THEN v END AS applied, CASE WHEN NOT soft THEN v END AS hard, NOT soft AS taken FROM e WHERE n = 1 UNION ALL
  SELECT control, seq, n, CASE WHEN soft OR NOT blocked THEN v ELSE now END, CASE WHEN soft OR blocked THEN applied ELSE v END, CASE WHEN soft THEN hard ELSE v END, NOT soft AND NOT blocked

@@ -83,6 +83,33 @@ def paired_values(messages: DataFrame, reach_ms: float = 40.0) -> DataFrame:
     return j.select("device", "channel", "cc", F.col("t").alias("t_ms"), value.alias("value"), partner.isNotNull().alias("fine"))
 
 
+def learned_pairs(messages: DataFrame, declared: Column | None = None, window_ms: float = 40.0, tight_ms: float = 5.0, pairs: int = 4) -> DataFrame:
+    """Values a controller's faders take, message by message: rows (device, channel, cc, value, t_ms) in.
+
+    A coarse message (cc below 32) gives its seven bits. A fine one (cc + 32) less than `window_ms` after it gives 14 bits,
+    if the fader is `declared` to have them or once `pairs` coarse messages in a row have each had a fine one less than
+    `tight_ms` after them; until then, and without a coarse message that near, it gives nothing. At one time coarse
+    messages come first.
+    """
+    key = ["device", "channel", "cc"]
+    fine = F.col("cc").between(32, 63)
+    m = messages.where("cc < 64").select("*", fine.alias("_fine"), (declared if declared is not None else F.lit(False)).alias("_declared"))
+    m = m.withColumn("cc", F.when(fine, F.col("cc") - 32).otherwise(F.col("cc")))
+    seen = Window.partitionBy(*key).orderBy("t_ms", "_fine", "value").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("_turn", F.sum(F.when(~F.col("_fine"), 1).otherwise(0)).over(seen))
+    m = m.withColumn("_hi", F.last(F.when(~F.col("_fine"), F.col("value")), ignorenulls=True).over(seen))
+    m = m.withColumn("_gap", F.col("t_ms") - F.last(F.when(~F.col("_fine"), F.col("t_ms")), ignorenulls=True).over(seen))
+    tight = F.col("_fine") & (F.col("_gap") < tight_ms)
+    in_turn = Window.partitionBy(*key, "_turn").orderBy("t_ms", "_fine", "value").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("_closes", (tight & (F.sum(F.when(tight, 1).otherwise(0)).over(in_turn) == 1)).cast("int"))
+    turns = Window.partitionBy(*key).orderBy("_turn").rangeBetween(1 - pairs, 0)
+    m = m.withColumn("_learns", (F.col("_closes") == 1) & (F.sum("_closes").over(turns) == pairs))
+    wide = F.col("_declared") | F.max("_learns").over(seen)
+    gives = ~F.col("_fine") | (wide & (F.col("_gap") < window_ms))
+    value = F.when(F.col("_fine"), (F.col("_hi") * 128 + F.col("value")) / 16383.0).otherwise(F.col("value") / 127.0)
+    return m.select(*key, "t_ms", value.alias("value"), F.col("_fine").alias("fine"), gives.alias("_gives")).where("_gives").drop("_gives")
+
+
 def bursts(events: DataFrame, keys: list[str], time: str, within: str) -> DataFrame:
     """The first event of each key within a time: repeats are dropped by the stream's state, bounded by the watermark."""
     return events.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
