@@ -181,6 +181,37 @@ def sig16(spark: SparkSession, sf: str) -> DataFrame:
     return _arrays(spark, sf).select("vec_id", G.array_map(gains, "array<double>", F.col("embedding")).alias("gains"))
 
 
+@query("sig16_band_gains")
+def sig16_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 24 frames of a track as a transition of two of its parts, by a fader that moves from beat 6 to 18."""
+    names = [f"{p}_{x}" for p in ("gain_a", "gain_b") for x in ("low", "mid", "high")]
+    controls = ["crossfader", *(f"eq_{d}_{x}" for d in "ab" for x in ("low", "mid", "high"))]
+    band = np.repeat([0, 1, 2], 10)
+    fade = np.clip((18 - np.arange(24)) / 12, 0, 1)[:, None]
+
+    def gains(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.abs(np.stack(pdf["embedding"].to_numpy()).astype(float)) + 0.05
+        a, b, f = x[:, :30], x[:, 30:60], fade[: len(x)]
+        ga, gb, _ = G.band_gains(f * a + (1 - f) * b, a, b, band, slice(0, 6), slice(18, max(18, len(x))))
+        out = pd.DataFrame(np.round(np.concatenate((ga, gb, G.mixer_controls(ga, gb)), 1), 5), columns=names + controls)
+        return out.assign(part=key, beat=pdf["idx"].to_numpy() % 24)
+
+    parts = A.frames(spark, sf).withColumn("part", F.concat_ws(":", "track", F.floor(F.col("idx") / 24)))
+    return G.per_track(parts, "part", "idx", gains, "part string, beat int, " + ", ".join(f"{c} double" for c in names + controls))
+
+
+_HEARD = ["series", "idx AS beat", "CASE WHEN idx > n - 3 - series % 11 THEN 0e0 ELSE v / 330e0 END AS gain_a", "CASE WHEN idx < series % 7 THEN 0e0 ELSE v / 330e0 END AS gain_b", "idx + CAST(series % 5 AS INT) AS place"]
+
+
+@query("sig17_audible_windows", f"""WITH {A.BEATS_SQL}, h AS (SELECT {", ".join(_HEARD)} FROM (SELECT *, count(*) OVER (PARTITION BY series) AS n FROM beats)),
+b AS (SELECT series, beat AS e, place FROM h WHERE gain_b > 0.1e0 QUALIFY row_number() OVER (PARTITION BY series ORDER BY beat) = 1), a AS (SELECT series, max(beat) AS z FROM h WHERE gain_a > 0.1e0 GROUP BY 1), n AS (SELECT series, count(*) AS n FROM h GROUP BY 1),
+w AS (SELECT series, greatest(0, e - place % 4) AS beg, least(n, z + 4) AS fin FROM b JOIN a USING (series) JOIN n USING (series))
+SELECT series, CAST(beg AS INT) AS "begin", CAST(least(fin - beg, 256) AS INT) AS length, CAST(fin - beg AS INT) AS whole FROM w WHERE fin - beg >= 16""")
+def sig17_windows(spark: SparkSession, sf: str) -> DataFrame:
+    b = A.beats(spark, sf).selectExpr("*", "count(*) OVER (PARTITION BY series) AS n")
+    return R.audible_windows(b.selectExpr(*_HEARD), "series")
+
+
 @query("sig17_transition_examples", f"WITH {A.PLAYLISTS_SQL}, t AS (SELECT playlist, pos, track, lead(track) OVER w AS nxt, lead(pos) OVER w AS np FROM playlists WINDOW w AS (PARTITION BY playlist ORDER BY pos)) SELECT playlist, pos, CAST(s AS INT) AS step, round((s + 0.5e0) / 8, 6) AS p FROM t, (SELECT unnest(range(8)) AS s) WHERE np = pos + 1")
 def sig17(spark: SparkSession, sf: str) -> DataFrame:
     w = "OVER (PARTITION BY playlist ORDER BY pos)"
@@ -217,6 +248,28 @@ def sig23(spark: SparkSession, sf: str) -> DataFrame:
     return G.per_track(A.beats(spark, sf), "series", "idx", label, "series long, kind string, bpm double, beats int")
 
 
+@query("sig23_beat_labels")
+def sig23_beats(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of all series: beats half a second apart, with small errors, some far off and some missing; every third
+    series drifts. The teacher of every fifth has its bars a beat later."""
+
+    def label(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        v, i = pdf["v"].to_numpy(), pdf["idx"].to_numpy()
+        t = i * 0.5 + (v % 1 - 0.5) * 0.02 + np.where(v > 100, 0.1, 0.0)
+        if key % 3 == 0:
+            t = t + 0.0002 * i.astype(float) ** 2
+        keep = (i // 4) % 9 != 5
+        got = G.beat_labels(t[keep], t[::4])
+        if got is None:
+            return pd.DataFrame([(key, None, None, None, None, None, None, None)], columns=columns)
+        spans = [[[round(float(x), 6) for x in s] for s in spans] for spans in (got.mask, got.gaps)]
+        agree = G.teachers_agree(got, [t[int(key % 5 == 0) :: 4]])
+        return pd.DataFrame([(key, got.kind, round(got.bpm, 6), np.round(got.beats, 6).tolist(), np.round(got.down, 6).tolist(), *spans, agree)], columns=columns)
+
+    columns = ["series", "kind", "bpm", "beats", "down", "mask", "gaps", "agree"]
+    return G.per_track(A.beats(spark, sf), "series", "idx", label, "series long, kind string, bpm double, beats array<double>, down array<double>, mask array<array<double>>, gaps array<array<double>>, agree boolean")
+
+
 @query("win05_longest_run", f"""WITH {A.BEATS_SQL}, t AS (SELECT series, idx, sum(CASE WHEN v > 90 THEN 0.67e0 ELSE 0.5e0 END) OVER w AS t, sum(CASE WHEN v > 90 AND idx > 0 THEN 1 ELSE 0 END) OVER w AS island FROM beats WINDOW w AS (PARTITION BY series ORDER BY idx))
 SELECT series, CAST(n AS INT) AS n, first, last FROM (SELECT series, island, count(*) AS n, round(min(t), 6) AS first, round(max(t), 6) AS last FROM t GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY series ORDER BY n DESC, island) = 1""")
 def win05(spark: SparkSession, sf: str) -> DataFrame:
