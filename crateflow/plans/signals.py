@@ -154,6 +154,22 @@ def sig13(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("label", "beat", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
+@query("sig13_beat_features")
+def sig13_beats(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixteen vectors in a row as one track's signal, pooled over eight beats."""
+    kinds = ["chroma", "mel", "band", "fine"]
+
+    def features(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.concatenate(pdf["embedding"].to_numpy()).astype(float)
+        rate, beats = 22050.0, np.arange(8) * len(x) / 8 / 22050.0
+        frames = G.frame_features(x, rate, 256, 64)
+        pooled = {k: np.round(G.pooled_by_beat(v, rate / 64, beats, len(x) / rate), 5).tolist() for k, v in frames.items()}
+        return pd.DataFrame({"track": key, "beat": range(8), **pooled})
+
+    tracks = A.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("track"), "vec_id", "embedding")
+    return G.per_track(tracks, "track", "vec_id", features, "track long, beat int, " + ", ".join(f"{k} array<double>" for k in kinds))
+
+
 @query("sig15_alignment")
 def sig15(spark: SparkSession, sf: str) -> DataFrame:
     def align(key, pdf: pd.DataFrame) -> pd.DataFrame:

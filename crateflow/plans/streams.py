@@ -104,6 +104,24 @@ def str01(spark: SparkSession, sf: str) -> DataFrame:
     return S.settled(e, 1.2).select("name", "size", F.round("ready", 3).alias("ready"))
 
 
+@query("str01_stream_settled", """WITH e AS (SELECT 'f' || user_id || CASE WHEN user_id % 5 = 0 THEN '.part' ELSE '.mp3' END AS name, CAST(floor(value / 100) AS BIGINT) AS size, event_id * 130 AS t FROM events WHERE user_id % 5 <> 0),
+c AS (SELECT *, size IS DISTINCT FROM lag(size) OVER (PARTITION BY name ORDER BY t) AS changed FROM e), g AS (SELECT name, size, t AS since, lead(t) OVER (PARTITION BY name ORDER BY t) AS until FROM c WHERE changed)
+SELECT name, arg_min(size, since) AS size, CAST(min(since) + 1200 AS BIGINT) AS ready_ms FROM g WHERE size > 0 AND coalesce(until, (SELECT max(t) - 1000 FROM e)) - since >= 1200 GROUP BY name""")
+def str01_stream(spark: SparkSession, sf: str) -> DataFrame:
+    e = _stream(spark, sf, "events").selectExpr("concat('f', user_id, if(user_id % 5 = 0, '.part', '.mp3')) AS name", "CAST(floor(value / 100) AS BIGINT) AS size", "event_id * 130 AS t_ms", "timestamp_millis(event_id * 130) AS at", "false AS at_start")
+    with _state_in_rocksdb(spark):
+        return _drained(S.settling(e, "1 second"))
+
+
+@query("str01_idle_stop", """WITH e AS (SELECT user_id AS folder, epoch_us(ts) / 1e6 AS t FROM events), s AS (SELECT folder, min(t) - 3600 AS t FROM e GROUP BY 1),
+a AS (SELECT folder, t, 1 AS n FROM e UNION ALL SELECT folder, t, 0 FROM s), x AS (SELECT folder, t FROM (SELECT folder, t, lag(t) OVER (PARTITION BY folder ORDER BY t, n) AS b FROM a) WHERE t - b > 21600)
+SELECT folder, CAST(sum(n) AS BIGINT) AS arrived, round(max(t) + 21600, 3) AS stopped FROM a WHERE t < coalesce((SELECT min(t) FROM x WHERE x.folder = a.folder), 1e12) GROUP BY folder""")
+def str01_idle(spark: SparkSession, sf: str) -> DataFrame:
+    e = A.table(spark, sf, "events").selectExpr("user_id AS folder", "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 AS ts")
+    starts = e.groupBy("folder").agg((F.min("ts") - 3600).alias("ts"))
+    return S.watched(e, starts, 21600.0).withColumn("stopped", F.round("stopped", 3))
+
+
 @query("str02_paired_controllers")
 def str02(spark: SparkSession, sf: str) -> DataFrame:
     e = A.table(spark, sf, "events").selectExpr("'d' || user_id % 3 AS device", "CAST(user_id % 16 AS INT) AS channel", "CAST(event_id % 8 + if(event_id % 2 = 0, 0, 32) AS INT) AS cc", "CAST(value AS INT) AS value", "event_id * 10.0D AS t_ms")

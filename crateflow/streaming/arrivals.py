@@ -59,6 +59,71 @@ class Takeover(StatefulProcessor):
         pass
 
 
+SETTLED = "name string, size long, ready_ms long"
+
+
+class Settling(StatefulProcessor):
+    """A file is ready once its size has stayed above zero for a while, by the clock of the events. What was there at the
+    start counts only when it changes; a file is ready once."""
+
+    settle_ms = 1200
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("file", "size long, since long, known boolean, done boolean")
+
+    def _ready(self, key, size: int, since: int) -> pd.DataFrame:
+        self.state.update((size, since, False, True))
+        return pd.DataFrame([(key[0], size, since + self.settle_ms)], columns=["name", "size", "ready_ms"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        size, since, known, done = self.state.get() if self.state.exists() else (None, None, False, False)
+        for new, at, start in pd.concat(rows).sort_values(["t_ms", "size"])[["size", "t_ms", "at_start"]].itertuples(index=False):
+            if done:
+                return
+            if size and not known and at - since >= self.settle_ms:  # it was ready before this message
+                yield self._ready(key, size, since)
+                return
+            if size != new:
+                size, since, known = int(new), int(at), bool(start)
+        if done:
+            return
+        self.state.update((size, since, known, False))
+        if size and not known:
+            self.handle.registerTimer(since + self.settle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        size, since, known, done = self.state.get()
+        if size and not known and not done and since + self.settle_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            yield self._ready(key, size, since)
+        else:
+            yield pd.DataFrame(columns=["name", "size", "ready_ms"]).astype({"size": "int64", "ready_ms": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def settling(files: DataFrame, late: str) -> DataFrame:
+    """Files that settle, from a stream of (name, size, at timestamp, t_ms, at_start): partial downloads, hidden and other
+    files are left out; messages up to `late` behind are waited for."""
+    extension = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
+    wanted = extension.isin(*AUDIO) & ~F.col("name").rlike(r"^(\.|~\$)")
+    return files.where(wanted).withWatermark("at", late).groupBy("name").transformWithStateInPandas(Settling(), SETTLED, "append", "EventTime")
+
+
+def watched(arrivals: DataFrame, starts: DataFrame, timeout: float = 1800.0) -> DataFrame:
+    """How long each folder was watched: arrivals (folder, ts seconds) and starts (folder, ts) in; (folder, arrived,
+    stopped) out. Each arrival winds the clock anew; the watch stops when `timeout` seconds pass without one, and later
+    arrivals are not seen. Arrivals before the start don't count."""
+    begun = starts.groupBy("folder").agg(F.min("ts").alias("start"))
+    seen = arrivals.join(begun, "folder").where("ts >= start").select("folder", "ts", F.lit(1).alias("n"))
+    all_rows = seen.unionByName(begun.select("folder", F.col("start").alias("ts"), F.lit(0).alias("n")))
+    w = Window.partitionBy("folder").orderBy("ts", "n")
+    idle = (F.col("ts") - F.lag("ts").over(w) > timeout).cast("int")
+    kept = all_rows.withColumn("_idle", F.coalesce(idle, F.lit(0))).withColumn("_stops", F.sum("_idle").over(w)).where("_stops = 0")
+    return kept.groupBy("folder").agg(F.sum("n").alias("arrived"), (F.max("ts") + timeout).alias("stopped"))
+
+
 TAKEN = "control string, seq long, value double"
 
 
