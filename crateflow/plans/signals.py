@@ -187,6 +187,33 @@ def sig15(spark: SparkSession, sf: str) -> DataFrame:
     return G.per_track(A.frames(spark, sf), "track", "idx", align, "track int, part int, at int")
 
 
+@query("sig15_track_alignment")
+def sig15_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 64 vectors in a row as a mix of three overlapping parts of it, each with small errors: where each is played."""
+
+    def align(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda x: x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
+        mix = np.stack(pdf["embedding"].to_numpy()).astype(float)
+        parts = [mix[int(len(mix) * f) : int(len(mix) * t)] for f, t in ((0, 0.4), (0.3, 0.7), (0.6, 1))]
+        similar, found = [], []
+        for n, x in enumerate(parts):
+            s = unit(x + 0.01 * np.sin(np.arange(x.size).reshape(x.shape) + n)) @ unit(mix).T
+            similar.append(s - s.mean(1, keepdims=True) - s.mean(0, keepdims=True) + s.mean() if s.size else s)
+            found.append(G.diagonal_candidates(similar[-1], 4, 10, 4))
+        pick = G.monotone_choice([np.array([d.z for d in f]) for f in found], [np.array([d.shift for d in f]) for f in found])
+        rows = []
+        for n, c in enumerate(pick):
+            if c < 0:
+                rows.append((key, n, None, None, None, None))
+                continue
+            played = G.played_segments(similar[n], found[n][c], 4, 2, 2)
+            rows.append((key, n, found[n][c].shift, round(found[n][c].z, 4), played[0][0], played[-1][1]))
+        return pd.DataFrame(rows, columns=["mix", "part", "shift", "z", "first", "last"])
+
+    mixes = A.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("mix"), "vec_id", "embedding")
+    return G.per_track(mixes, "mix", "vec_id", align, "mix long, part int, shift int, z double, first int, last int")
+
+
 @query("sig16_gains")
 def sig16(spark: SparkSession, sf: str) -> DataFrame:
     def gains(x: np.ndarray) -> list[float]:
