@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import crf_language, decontamination, html_text, licenses, media, oracles, packing, quality_cnn, simhash, substring, token_files
+from crateflow.llm import crf_language, decontamination, html_text, licenses, media, oracles, packing, ppm, prefix_trie, quality_cnn, simhash, spelling, substring, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,5 +65,25 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_token_files, op3_html_text, op4_licenses, op5_media, op6_simhash, op7_substring, op8_decontamination, op9_crf_language, op10_quality_cnn)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), misspell=97)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))
+    own = F.col("conv_id")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(turns, own - own % 20, _fold("conv_id", 4), most=3))
+
+
+def op13_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_table(spark, sf_dir, "documents"), _fold("doc_id", 10) == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_token_files, op3_html_text, op4_licenses, op5_media, op6_simhash, op7_substring, op8_decontamination,
+        op9_crf_language, op10_quality_cnn, op11_spelling, op12_prefix_trie, op13_ppm,
+    )
+}
 ORACLES: dict[str, str] = {"op7_substring": oracles.SUBSTRING}
