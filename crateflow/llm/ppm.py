@@ -6,9 +6,10 @@ context with the counts of the bytes that followed it, and its parent is the con
 a node has not seen escapes to the parent: each kind of byte seen there gives ESCAPE of one occurrence to that. The bytes the
 node has seen are then excluded. Where nothing is left, all other byte values are equally likely.
 
-Texts never meet the whole trie. Map tasks read documents into blocks of bounded size and give a block's lexicon: its
-distinct runs of ORDER + 1 bytes and its distinct words, with their counts in the documents learned from. Runs and words are scored
-once each, by joins with the nodes, and only a block's own lexicon comes back to it, joined by key.
+Texts never meet the whole trie. Map tasks read documents into blocks of bounded size, each kept as one compressed value, and
+give a block's lexicon: its distinct runs of ORDER + 1 bytes and its distinct words, with their counts in the documents
+learned from. Runs are scored once each, by joins with the nodes, words are counted, and only what a block's own lexicon
+asks for comes back to it. Words are named by their XXH64 there.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from crateflow.llm.common import col, stored, text_bytes
 
@@ -34,7 +37,10 @@ BLOCK, BATCH = 32 << 20, 1 << 20
 KINDS = 256
 END = b"\n"
 
-_PIECES = "block long, row long, doc_id long, held_out boolean, t binary, gram long, word binary, n long"
+_PIECES = "block long, texts binary, gram long, word binary, n long"
+_TEXTS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("t", pa.binary())])
+_KEPT = pa.schema([("block", pa.int64()), ("texts", pa.binary()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+_ZSTD = pa.Codec("zstd")
 
 
 def pieces(text: bytes, order: int, most: int) -> Iterator[bytes]:
@@ -80,50 +86,62 @@ class _Block:
 
     def __init__(self, order: int):
         self.order = order
-        self.rows: list[tuple] = []
         self.size = 0
+        self.sink = pa.BufferOutputStream()
+        self.texts = pa.ipc.new_stream(self.sink, _TEXTS, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        self.rows: list[tuple] = []
         self.waiting: dict[bool, list[bytes]] = {False: [], True: []}
-        self.bytes = {False: 0, True: 0}
+        self.bytes = 0
         self.counts: list[tuple[np.ndarray, np.ndarray]] = []
         self.words: Counter = Counter()
         self.other: set[bytes] = set()
 
     def add(self, row: int, doc_id: int | None, held: bool, part: bytes) -> None:
         self.rows.append((row, doc_id, held, part))
-        self.size += len(part)
-        words = part[self.order :].split()
-        if part.endswith(END):
-            words.append(END)
+        words = words_of(part, self.order)
         self.other.update(words) if held else self.words.update(words)
         self.waiting[held].append(part)
-        self.bytes[held] += len(part)
-        if self.bytes[held] >= BATCH:
-            self._count(held)
-
-    def _count(self, held: bool) -> None:
-        if self.waiting[held]:
-            key = np.sort(grams(self.waiting[held], self.order)[0])
-            head = _heads(key)
-            self.counts.append((key[head], np.zeros(len(head), np.int64) if held else np.diff(np.append(head, len(key)))))
-            self.waiting[held], self.bytes[held] = [], 0
-            if len(self.counts) > 8:
-                self.counts = [_merged(self.counts)]
+        self.size += len(part)
+        self.bytes += len(part)
+        if self.bytes >= BATCH:
+            self._put()
 
-    def batches(self, block: int) -> Iterator[pa.RecordBatch]:
+    def _put(self) -> None:
+        self.texts.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows), _TEXTS)], schema=_TEXTS))
         for held in (False, True):
-            self._count(held)
+            if self.waiting[held]:
+                key = np.sort(grams(self.waiting[held], self.order)[0])
+                head = _heads(key)
+                self.counts.append((key[head], np.zeros(len(head), np.int64) if held else np.diff(np.append(head, len(key)))))
+                self.waiting[held] = []
+        self.rows, self.bytes = [], 0
+        if len(self.counts) > 8:
+            self.counts = [_merged(self.counts)]
+
+    def batches(self, block: int) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            self._put()
+        self.texts.close()
+        yield _batch(block, 1, texts=pa.array([self.sink.getvalue().to_pybytes()], pa.binary()))
         key, n = _merged(self.counts)
-        words = list(self.words.items()) + [(w, 0) for w in self.other - self.words.keys()]
-        row, doc_id, held, text = zip(*self.rows)
-        yield _batch(block, len(row), row=pa.array(row, pa.int64()), doc_id=pa.array(doc_id, pa.int64()), held_out=pa.array(held), t=pa.array(text, pa.binary()))
         yield _batch(block, len(key), gram=pa.array(key.astype(np.int64)), n=pa.array(n))
-        yield _batch(block, len(words), word=pa.array([w for w, _ in words], pa.binary()), n=pa.array([c for _, c in words], pa.int64()))
+        words = sorted(self.words.keys() | self.other)
+        for i in range(0, len(words), 100_000):
+            some = words[i : i + 100_000]
+            yield _batch(block, len(some), word=pa.array(some, pa.binary()), n=pa.array([self.words[w] for w in some], pa.int64()))
+
+
+def words_of(part: bytes, order: int) -> list[bytes]:
+    """The words of a piece, and the end if it has it."""
+    words = part[order:].split()
+    if part.endswith(END):
+        words.append(END)
+    return words
 
 
 def _batch(block: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
-    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "t": pa.binary(), "gram": pa.int64(), "word": pa.binary(), "n": pa.int64()}
-    rest = {c: columns.get(c, pa.nulls(rows, k)) for c, k in kinds.items()}
-    return pa.RecordBatch.from_pydict({"block": pa.array(np.full(rows, block)), **rest})
+    first = pa.array(np.full(rows, block))
+    return pa.RecordBatch.from_arrays([first, *(columns[f.name] if f.name in columns else pa.nulls(rows, f.type) for f in list(_KEPT)[1:])], schema=_KEPT)
 
 
 def _blocks(order: int, most: int):
@@ -138,7 +156,7 @@ def _blocks(order: int, most: int):
                         yield from block.batches(task + number)
                         number, block = number + 1, _Block(order)
                 row += 1
-        if block.rows:
+        if block.size:
             yield from block.batches(task + number)
 
     return run
@@ -189,44 +207,76 @@ def run_scores(runs: DataFrame, nodes: dict[int, DataFrame], order: int = ORDER,
     return seen.unionByName(rest.select("gram", (F.col("value") + equal).alias("value")))
 
 
-def _sums(order: int):
-    def batches(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-        begin = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= BATCH or i - begin >= 60_000:
-                yield begin, texts[begin : i + 1]
-                begin, size = i + 1, 0
-        if begin < len(texts):
-            yield begin, texts[begin:]
-
+def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, is_word, n, keys, values, distinct) from rows of (block, is_word, key, value, first): many rows of a block as one."""
+    waiting: list[pa.RecordBatch] = []
+
+    def given() -> pa.RecordBatch:
+        block, is_word, key, value, first = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in waiting]) for i in range(5))
+        waiting.clear()
+        order = np.lexsort((key, is_word, block))
+        block, is_word, key, value, first = (x[order] for x in (block, is_word, key, value, first))
+        ends = np.append(_heads(block * 2 + is_word), len(block))
+        out = []
+        for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            keys = np.diff(key[a:z], prepend=np.int64(0))
+            out.append((block[a], is_word[a], z - a, _ZSTD.compress(keys.tobytes(), asbytes=True), _ZSTD.compress(value[a:z].tobytes(), asbytes=True), int(first[a:z].sum())))
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["block", "is_word", "n", "keys", "values", "distinct"])
+
+    rows = 0
+    for b in it:
+        if b.num_rows:
+            waiting.append(b)
+            rows += b.num_rows
+        if rows >= 1 << 19:
+            yield given()
+            rows = 0
+    if waiting:
+        yield given()
+
+
+def _unpacked(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = [np.empty(0, np.int64)], [np.empty(0)]
+    for n, k, v in zip(*(rows.column(c).to_pylist() for c in ("n", "keys", "values"))):
+        keys.append(np.cumsum(np.frombuffer(_ZSTD.decompress(k, n * 8), np.int64)))
+        values.append(np.frombuffer(_ZSTD.decompress(v, n * 8), np.float64))
+    key, value = np.concatenate(keys).view(np.uint64), np.concatenate(values)
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def _sums(order: int, smooth: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Sums over the pieces of one block."""
-        is_run = right.column("gram").is_valid()
-        runs, words = right.filter(is_run), right.filter(right.column("word").is_valid())
-        key, value = runs.column("gram").to_numpy().astype(np.uint64), runs.column("value").to_numpy()
-        at = np.argsort(key)
-        key, value = key[at], value[at]
-        word_value = dict(zip(words.column("word").to_pylist(), words.column("value").to_pylist()))
-        unknown = set(words.filter(words.column("n").to_numpy() == 0).column("word").to_pylist())
-        texts, score = left.column("t").to_pylist(), np.zeros(len(left))
-        for begin, some in batches(texts):
-            gram, place = grams(some, order)
-            both = np.sort(gram << np.uint64(16) | place)
-            gram, place = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
-            head = _heads(gram)
-            each = np.repeat(value[np.searchsorted(key, gram[head])], np.diff(np.append(head, len(gram))))
-            score[begin : begin + len(some)] = np.bincount(place, each, len(some))
-        n, known, base = [], [], []
-        for t in texts:
-            ws = t[order:].split()
-            if t.endswith(END):
-                ws.append(END)
-            n.append(len(ws))
-            known.append(len(ws) - sum(map(unknown.__contains__, ws)) if unknown else len(ws))
-            base.append(sum(map(word_value.__getitem__, ws)))
-        columns = {c: left.column(c) for c in ("row", "doc_id", "held_out")}
-        return pa.table({**columns, "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score)})
+        """Sums over the pieces of one block; base_score is given without the words' common divisor."""
+        is_word = right.column("is_word")
+        key, value = _unpacked(right.filter(pc.invert(is_word)))
+        names, counts = _unpacked(right.filter(is_word))
+        of_word: dict[bytes, float] = {}
+        unknown: set[bytes] = set()
+        distinct, out = sum(right.column("distinct").to_pylist()), []
+        for blob in left.column("texts").to_pylist():
+            for batch in pa.ipc.open_stream(blob):
+                texts = batch.column("t").to_pylist()
+                score = np.zeros(len(texts))
+                for begin in range(0, len(texts), 1 << 16):
+                    gram, place = grams(texts[begin : begin + (1 << 16)], order)
+                    both = np.sort(gram << np.uint64(16) | place)
+                    gram, place = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
+                    head = _heads(gram)
+                    each = np.repeat(value[np.searchsorted(key, gram[head])], np.diff(np.append(head, len(gram))))
+                    score[begin : begin + (1 << 16)] = np.bincount(place, each, min(1 << 16, len(texts) - begin))
+                words = [words_of(t, order) for t in texts]
+                new = list({w for ws in words for w in ws} - of_word.keys())
+                count = counts[np.searchsorted(names, np.fromiter((xxh64_intdigest(w, 42) for w in new), np.uint64, len(new)))]
+                of_word.update(zip(new, np.log10(count + smooth).tolist()))
+                unknown.update(w for w, c in zip(new, count.tolist()) if not c)
+                known = [len(ws) - sum(map(unknown.__contains__, ws)) if unknown else len(ws) for ws in words]
+                base = [sum(map(of_word.__getitem__, ws)) for ws in words]
+                columns = {c: batch.column(c) for c in ("row", "doc_id", "held_out")}
+                out.append(pa.table({**columns, "n_tokens": pa.array(map(len, words), pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score), "distinct": pa.array([distinct] + [0] * (len(texts) - 1), pa.int64())}))
+                distinct = 0
+        return pa.concat_tables(out)
 
     return run
 
@@ -245,18 +295,24 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, escape: float =
     if not 0 < escape < 1:
         raise ValueError("escape is between 0 and 1")
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_bytes(docs, text_col).alias("t"))
-    read = stored(rows.mapInArrow(_blocks(order, block_bytes), _PIECES), "ppm-blocks")
+    read = stored(rows.mapInArrow(_blocks(order, block_bytes), _PIECES), "ppm-blocks", "zstd")
     counts = stored(read.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("c")), "ppm-runs")
     runs = stored(run_scores(counts, trie(counts, order), order, escape), "ppm-run-scores")
-    words = stored(read.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    share = F.log10((F.col("c") + F.lit(smooth)) / F.lit(total["n"] + smooth * (total["v"] + 1)))
-    by_run = read.where("gram is not null").select(F.col("block").alias("at"), F.col("gram").alias("_g")).join(runs, F.col("_g") == F.col("gram"))
-    by_word = read.where("word is not null").select(F.col("block").alias("at"), F.col("word").alias("_w")).join(words, F.col("_w") == F.col("word"))
-    lexicon = by_run.select("at", "gram", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n"), "value")
-    lexicon = lexicon.unionByName(by_word.select("at", F.lit(None).cast("long").alias("gram"), "word", F.col("c").alias("n"), share.alias("value")))
-    texts = read.where("t is not null").select("block", "row", "doc_id", "held_out", "t")
-    sums = texts.groupBy("block").cogroup(lexicon.groupBy("at")).applyInArrow(_sums(order), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    by_run = read.where("gram is not null").select("block", F.col("gram").alias("_g")).join(runs, F.col("_g") == F.col("gram"))
+    by_run = by_run.select("block", F.lit(False).alias("is_word"), F.col("gram").alias("key"), "value", F.lit(False).alias("first"))
+    # a word has a row in each block at most; it is counted as distinct in the first of them
+    of_word = Window.partitionBy("key")
+    words = read.where("word is not null").select("block", F.xxhash64("word").alias("key"), "n")
+    words = words.select("block", "key", F.sum("n").over(of_word).alias("c"), F.min("block").over(of_word).alias("_first"))
+    words = words.select("block", F.lit(True).alias("is_word"), "key", F.col("c").cast("double").alias("value"), ((F.col("block") == F.col("_first")) & (F.col("c") > 0)).alias("first"))
+    packed = "block long, is_word boolean, n long, keys binary, values binary, distinct long"
+    lexicon = by_run.mapInArrow(_packed, packed).unionByName(words.mapInArrow(_packed, packed)).withColumnRenamed("block", "at")
+    texts = read.where("texts is not null").select("block", "texts")
+    sums = texts.groupBy("block").cogroup(lexicon.groupBy("at")).applyInArrow(_sums(order, smooth), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, distinct long")
+    sums = stored(sums, "ppm-sums")
+    n = read.where("word is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    v = sums.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()["v"]
     each = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     found = sums.groupBy("row", "doc_id", "held_out").agg(*each)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+    base = F.col("base_score") - F.col("n_tokens") * F.log10(F.lit(n + smooth * (v + 1)))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
