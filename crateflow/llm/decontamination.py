@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
-
-A seed is an n-gram of a test item that few items share; where more do (a stock phrase of the benchmark), the run is
-doubled until it is rare, so no phrase joins most documents with most items. How often a seed stands in the documents
-doesn't matter: what an edited copy keeps may be what all its copies keep. One pass notes where seeds stand; occurrences
-are joined to passages by document, item and diagonal; those that hold too few of the item's words to score are left
-out, and each of the others is aligned with its item, word by word, so edited and paraphrased copies score as well.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
+
+Every n-gram of a test item is a seed. One pass notes where seeds stand in the documents. Seeds that few items share are joined
+to passages as a table, by document, item and diagonal. A seed that many items share (a stock phrase of the benchmark) would
+join most documents with most items, so the benchmark is then a query set that meets documents in blocks: for each
+document, the block's items with a seed of it are looked through at once, and only those that could score by the words it
+holds become candidates. How often a seed stands in the documents doesn't matter: what an edited copy keeps may be
+what all its copies keep. Each candidate is aligned with its item, word by word, so edited and paraphrased copies score as well.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -22,10 +24,15 @@ from crateflow.llm.common import batches_of, col, stored, text_bytes
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Items (of different texts) that may share a seed; beyond, it is lengthened.
+#: Items (of different texts) that may share a seed which is joined as a table; those that share a commoner one meet in blocks.
 MOST_ITEMS = 64
-#: Bits of the table of seeds that every task holds, two for each seed: 8 MB, whatever the size of the benchmark.
-TABLE_BITS = 26
+#: Words of a block of such items, and bytes of the documents that meet one at a time.
+BLOCK_WORDS, PART_BYTES = 1 << 21, 32 << 20
+#: Places of seeds in a document and in items that are put together at once.
+PLACES_AT_ONCE = 1 << 20
+#: Bits of the table of seeds that every task holds (128 MB at most), and bits for each seed: a foreign n-gram is taken for one
+#: of 32 million seeds in 1 of 250 cases, and is sorted out when seeds are joined.
+LEAST_BITS, MOST_BITS, BITS_A_SEED = 20, 30, 32
 #: Words of items that are aligned with one document in one row, and cells of a step of the alignment.
 WORDS_AT_ONCE, CELLS_AT_ONCE = 1 << 16, 1 << 18
 
@@ -48,41 +55,19 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         return out ^ (out >> np.uint64(29))
 
 
-def widths_of(length: int, n: int) -> list[int]:
-    """Words of the seeds an item may have: n, or all it has, and doubles of that."""
-    w = min(n, length)
-    return [w << k for k in range((length // w).bit_length())] if w else []
-
-
-def grams_of(h: np.ndarray, widths: list[int], n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(width, a hash for each run of so many words) for each of the widths."""
-    for base in range(1, n + 1):
-        wanted = {w for w in widths if w % base == 0 and (w // base).bit_count() == 1 and (base == n or w == base)}
-        w, g = base, grams(h, base) if wanted else None
-        while wanted:
-            if w in wanted:
-                wanted.discard(w)
-                yield w, g
-            if len(g) <= w:
-                break
-            with np.errstate(over="ignore"):
-                g = (g[:-w] ^ (g[:-w] >> np.uint64(31))) * _BASE + g[w:]
-                g, w = g ^ (g >> np.uint64(29)), 2 * w
-
-
-def _bits(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of a gram in the table of seeds."""
+def _bits(g: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of a gram in a table of 2**bits."""
     with np.errstate(over="ignore"):
         again = g * np.uint64(0xBF58476D1CE4E5B9)
-    return tuple((x >> np.uint64(64 - TABLE_BITS)).astype(np.int64) for x in (g, again ^ (again >> np.uint64(31))))
+    return tuple((x >> np.uint64(64 - bits)).astype(np.int64) for x in (g, again ^ (again >> np.uint64(31))))
 
 
-def _known(g: np.ndarray, table: np.ndarray, coarse: np.ndarray) -> np.ndarray:
+def _known(g: np.ndarray, table: np.ndarray, coarse: np.ndarray, bits: int) -> np.ndarray:
     """Places of the grams whose bits are both set; coarse: whether any of 16 neighbouring bits is."""
-    at = np.flatnonzero(coarse[(g >> np.uint64(68 - TABLE_BITS)).view(np.int64)])
+    at = np.flatnonzero(coarse[(g >> np.uint64(68 - bits)).view(np.int64)])
     for k in (0, 1):
-        bits = _bits(g[at])[k]
-        at = at[table[bits >> 6] >> (bits & 63).view(np.uint64) & np.uint64(1) == 1]
+        found = _bits(g[at], bits)[k]
+        at = at[table[found >> 6] >> (found & 63).view(np.uint64) & np.uint64(1) == 1]
     return at
 
 
@@ -144,43 +129,26 @@ def _all_grams(n: int):
         for b in it:
             for item, words in zip(b.column(0).to_pylist(), b.column(1)):
                 h = words.values.to_numpy().view(np.uint64)
-                for w, g in grams_of(h, widths_of(len(h), n), n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), item)), pa.array(np.full(len(g), w, np.int32)), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(g.view(np.int64))], ["item", "w", "place", "gram"])
-
-    return run
-
-
-def _rare(most: int):
-    """Of one item's grams (w, place, gram, shared: items that hold it) the seeds: for each place of the least width the
-    narrowest run from there (or up to the end) that at most `most` items share, or the widest there is."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        by_width = {int(w): some.sort_values("place") for w, some in pdf.groupby("w")}
-        least, widest = min(by_width), max(by_width)
-        open_, out = np.arange(len(by_width[least])), []
-        for w, some in sorted(by_width.items()):
-            at = np.minimum(open_, len(some) - 1)
-            ok = (some["shared"].to_numpy()[at] <= most) | (w == widest)
-            out.append(some.iloc[np.unique(at[ok])])
-            open_ = open_[~ok]
-        found = pd.concat(out)
-        first, second = _bits(found["gram"].to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame({"gram": found["gram"], "w": found["w"], "item": key[0], "place": found["place"], "first": first, "second": second})
+                w = min(n, len(h))
+                g = grams(h, w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), item)), pa.array(np.full(len(g), w, np.int32)), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(g.view(np.int64))], ["item", "w", "place", "gram"])
 
     return run
 
 
-def _with_seeds(table: np.ndarray, widths: list[int], n: int):
+def _with_seeds(table, bits: int, widths: list[int]):
     """The documents that hold runs the table of seeds knows, with those runs."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coarse = table.view("<u2") != 0
+        fine = table.value
+        coarse = fine.view("<u2") != 0
         for b in batches_of(it, 2):
             rows, ends, found = [], [0], []
             for r, t in enumerate(b.column(2).to_pylist()):
-                hits = []
-                for w, g in grams_of(word_hashes(t), widths, n):
-                    at = _known(g, table, coarse)
+                hits, h = [], word_hashes(t)
+                for w in widths:
+                    g = grams(h, w)
+                    at = _known(g, fine, coarse, bits)
                     if len(at):
                         hits.append((np.full(len(at), w, np.int32), at.astype(np.int32), g[at].view(np.int64)))
                 if hits:
@@ -195,6 +163,87 @@ def _with_seeds(table: np.ndarray, widths: list[int], n: int):
     return run
 
 
+def numbered(h: np.ndarray) -> np.ndarray:
+    """Words with the number of their occurrence: what two of these have in common is what an alignment can match at most."""
+    order = np.argsort(h, kind="stable")
+    x = h[order]
+    head = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+    nth = np.empty(len(h), np.uint64)
+    nth[order] = np.arange(len(h)) - np.repeat(head, np.diff(np.append(head, len(h))))
+    with np.errstate(over="ignore"):
+        return h ^ (nth * _BASE)
+
+
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of each range, and the range each is from."""
+    size = end - begin
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[which], which
+
+
+def _best_spans(matched: np.ndarray, which: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What an alignment of each item can score at most, if the marked ones of its words match: the best span of them, in which
+    every other word costs a mismatch or a gap."""
+    apart = (MATCH - MISMATCH + 1) * (int(size.max()) + 1)  # sums of an item stay below those of the item before
+    ends = np.cumsum(np.where(matched, MATCH, max(MISMATCH, GAP))) - which * apart
+    begins = np.concatenate(([0], ends[:-1]))
+    head = np.cumsum(size) - size
+    begins[head[1:]] = np.cumsum(np.add.reduceat(np.where(matched, MATCH, max(MISMATCH, GAP)), head))[:-1] - which[head[1:]] * apart
+    return np.maximum.reduceat(ends - np.minimum.accumulate(begins), head)
+
+
+def _in_blocks(least: float):
+    """Candidates among a block of items and a part of the documents: (doc_id, key, item, low, high)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        items = right.filter(pc.is_valid(right.column("words"))).combine_chunks()
+        postings = right.filter(pc.is_null(right.column("words")))
+        ids = items.column("item").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        words = [np.array(items.column("words")[int(i)].values, np.int64).view(np.uint64) for i in order]
+        size = np.array([len(w) for w in words])
+        begin = np.cumsum(size) - size
+        vocabulary, word = np.unique(np.concatenate([numbered(w) for w in words]), return_inverse=True) if words else (np.empty(0, np.uint64), None)
+        gram, place = postings.column("gram").to_numpy(), postings.column("place").to_numpy()
+        owner = np.searchsorted(ids, postings.column("item").to_numpy())
+        order = np.argsort(gram, kind="stable")
+        gram, place, owner = gram[order], place[order], owner[order]
+        held, out = np.zeros(len(vocabulary), bool), []
+        for d, key, t, hits in zip(*(left.column(c).to_pylist() for c in ("doc_id", "key", "t", "hits"))) if words else ():
+            at = np.array([x["at"] for x in hits])
+            found = np.array([x["gram"] for x in hits], np.int64)
+            low, high = np.searchsorted(gram, found, "left"), np.searchsorted(gram, found, "right")
+            distinct = np.unique(found)
+            among = np.unique(owner[_ranges(np.searchsorted(gram, distinct, "left"), np.searchsorted(gram, distinct, "right"))[0]])
+            if not len(among):
+                continue
+            own = numbered(word_hashes(t))
+            mine = np.searchsorted(vocabulary, own)
+            mine = mine[mine < len(vocabulary)]
+            mine = mine[np.isin(vocabulary[mine], own)]
+            held[mine] = True
+            spread, which = _ranges(begin[among], begin[among] + size[among])
+            best = _best_spans(held[word[spread]], which, size[among])
+            held[mine] = False
+            good = np.zeros(len(ids), bool)
+            good[among[best >= least * MATCH * size[among] - 1e-9]] = True
+            if not good.any():
+                continue
+            step = np.floor(np.cumsum(high - low) / PLACES_AT_ONCE)
+            for s in np.unique(step):
+                some = step == s
+                spread, which = _ranges(low[some], high[some])
+                spread, which = spread[good[owner[spread]]], which[good[owner[spread]]]
+                first = at[some][which] - place[spread]
+                pairs = pd.DataFrame({"item": ids[owner[spread]], "cell": first // 32, "low": first})
+                pairs = pairs.groupby(["item", "cell"])["low"].agg(["min", "max"]).reset_index()
+                out.append(pa.table({"doc_id": pa.array([d] * len(pairs), pa.int64()), "key": pa.array([key] * len(pairs), pa.int64()), "item": pairs["item"].to_numpy(), "low": pairs["min"].to_numpy(np.int64), "high": pairs["max"].to_numpy(np.int64)}))
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "key", "item", "low", "high")})
+
+    return run
+
+
 def _scored(least: float):
     """Aligns each document's candidate passages with their items, many at a time."""
 
@@ -255,21 +304,21 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: floa
 
 
 def seeds_of(benchmark: DataFrame, n: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(items, seeds): item_id, item (one for equal words) and words; gram, w, item and place of their rare runs."""
+    """(items, seeds): item_id, item (one for equal words) and words; gram, w, item, place and how many items share the gram."""
     texts = benchmark.select(col(benchmark, id_col).cast("long").alias("item_id"), text_bytes(benchmark, text_col).alias("t")).where("item_id is not null")
     items = stored(texts.mapInArrow(_worded, "item_id long, item long, words array<long>").where("size(words) > 0"), "items")
     each = items.select("item", "words").dropDuplicates(["item"])
     all_of = stored(each.mapInArrow(_all_grams(n), "item long, w int, place int, gram long"), "item-grams")
     shared = all_of.groupBy(F.col("w").alias("_w"), F.col("gram").alias("_g")).agg(F.countDistinct("item").alias("shared"))
-    known = all_of.join(shared, (F.col("w") == F.col("_w")) & (F.col("gram") == F.col("_g"))).select("item", "w", "place", "gram", "shared")
-    return items, stored(known.groupBy("item").applyInPandas(_rare(MOST_ITEMS), "gram long, w int, item long, place int, first long, second long"), "seeds")
+    known = all_of.join(shared, (F.col("w") == F.col("_w")) & (F.col("gram") == F.col("_g")))
+    return items, stored(known.select("gram", "w", "item", "place", "shared"), "seeds")
 
 
 def _passages(docs: DataFrame, benchmark: DataFrame, n: int, least: float, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
     """The items, and doc_id, key (a hash of the text), item, start, length and score of all passages that score."""
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t")).select("doc_id", F.xxhash64("t").alias("key"), "t")
     items, seeds = seeds_of(benchmark, n, item_id_col, item_text_col)
-    places = candidates(rows, seeds, n)
+    places = candidates(rows, items, seeds, least)
     # a document's candidates in rows of a bounded number of items' words
     words = items.select(F.col("item").alias("_item"), "words").dropDuplicates(["_item"])
     asked = places[1].join(words, F.col("item") == F.col("_item"))
@@ -280,17 +329,57 @@ def _passages(docs: DataFrame, benchmark: DataFrame, n: int, least: float, id_co
     return items, joined.mapInArrow(_scored(least), "doc_id long, key long, item long, start long, length long, score double")
 
 
-def candidates(rows: DataFrame, seeds: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with seeds, candidates): doc_id, key and t; doc_id, key, item and where its first word would stand."""
-    places = F.explode(F.array("first", "second"))
-    table = np.zeros(1 << TABLE_BITS - 6, np.uint64)
-    # a word of the table to a row: 2**20 rows at most
-    filled = seeds.select(places.alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits")).toArrow()
+def _table_of(seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """Which n-grams may be seeds: two bits for each, in a table that grows with the seeds up to 2**MOST_BITS bits."""
+    n = seeds.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (n * BITS_A_SEED).bit_length()))
+
+    def places(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(b.column(0).to_numpy().view(np.uint64), bits)))], ["b"])
+
+    marked = seeds.select("gram").mapInArrow(places, "b long")
+    # a word of the table to a row
+    filled = marked.groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(1 << bits - 6, np.uint64)
     table[filled["at"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
-    widths = sorted(r["w"] for r in seeds.select("w").distinct().collect())
-    held = stored(rows.mapInArrow(_with_seeds(table, widths, n), "doc_id long, key long, t binary, hits array<struct<w:int,at:int,gram:bigint>>"), "documents-with-seeds")
+    return table, bits
+
+
+def candidates(rows: DataFrame, items: DataFrame, seeds: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(documents with seeds, candidates): doc_id, key and t; doc_id, key, item and where its first word would stand."""
+    table, bits = _table_of(seeds)
+    widths = sorted(r["w"] for r in seeds.select("w").distinct().collect())  # n at most
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    held = stored(rows.mapInArrow(_with_seeds(shared, bits, widths), "doc_id long, key long, t binary, hits array<struct<w:int,at:int,gram:bigint>>"), "documents-with-seeds")
     hits = held.select("doc_id", "key", F.inline("hits"))
-    met = hits.join(seeds.select(F.col("w").alias("_w"), F.col("gram").alias("_g"), "item", "place"), (F.col("w") == F.col("_w")) & (F.col("gram") == F.col("_g")))
+    rare = seeds.where(F.col("shared") <= MOST_ITEMS).select(F.col("w").alias("_w"), F.col("gram").alias("_g"), "item", "place")
+    met = hits.join(rare, (F.col("w") == F.col("_w")) & (F.col("gram") == F.col("_g")))
     met = met.select("doc_id", "key", "item", (F.col("at") - F.col("place")).alias("low"))
-    found = met.groupBy("doc_id", "key", "item", F.floor(F.col("low") / 32).alias("_cell")).agg(F.min("low").alias("low"), F.max("low").alias("high"))
+    found = met.groupBy("doc_id", "key", "item", F.floor(F.col("low") / 32).alias("_cell")).agg(F.min("low").cast("long").alias("low"), F.max("low").cast("long").alias("high"))
+    found = found.select("doc_id", "key", "item", "low", "high")
+    common = seeds.where(F.col("shared") > MOST_ITEMS)
+    if not common.isEmpty():
+        found = found.unionByName(_common(held, items, common, least))
     return held.drop("hits"), found
+
+
+def _common(held: DataFrame, items: DataFrame, common: DataFrame, least: float) -> DataFrame:
+    """Candidates by seeds that many items share: blocks of items against parts of the documents that hold such seeds."""
+    grams_ = common.select(F.col("gram").alias("_g")).distinct()
+    hits = held.select("doc_id", "key", F.inline("hits")).join(grams_, F.col("gram") == F.col("_g"))
+    hits = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("at", "gram")).alias("hits"))
+    texts = held.select("doc_id", "key", "t").dropDuplicates(["doc_id", "key"])
+    docs = stored(texts.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))).select("doc_id", "key", "t", "hits"), "documents-in-blocks")
+    own = common.select(F.col("item").alias("_item")).distinct()
+    asked = items.select("item", "words").dropDuplicates(["item"]).join(own, F.col("item") == F.col("_item")).select("item", "words")
+    asked = stored(asked, "items-in-blocks")
+    size = docs.agg(F.coalesce(F.sum(F.length("t") + 16 * F.size("hits")), F.lit(0)).alias("docs")).crossJoin(asked.agg(F.sum(F.size("words")).alias("words"))).first()
+    blocks, parts = 1 + size["words"] // BLOCK_WORDS, 1 + size["docs"] // PART_BYTES
+    block = F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("words", "array<bigint>"), ("gram", "bigint"), ("place", "int"))]
+    right = asked.select(block, "item", "words", *none[1:]).unionByName(common.select(block, "item", none[0], "gram", "place"))
+    right = right.select("*", every(parts).alias("part"))
+    left = docs.select(every(blocks).alias("_block"), F.pmod(F.xxhash64("doc_id", "key"), F.lit(parts)).alias("_part"), "doc_id", "key", "t", "hits")
+    return left.groupBy("_block", "_part").cogroup(right.groupBy("block", "part")).applyInArrow(_in_blocks(least), "doc_id long, key long, item long, low long, high long")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,13 +88,64 @@ def test_a_stock_phrase_of_items_and_documents_makes_no_pairs(spark):
     docs = [(d, " ".join([f"x{rng.randrange(400)}" for _ in range(30)] + (items[d // 3][1].split() if d % 3 == 0 else stock) + [f"y{rng.randrange(400)}" for _ in range(20)])) for d in range(240)]
     docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     seeds = stored(D.seeds_of(items, 3)[1], "test")
-    assert seeds.groupBy("gram").count().where(f"count > {D.MOST_ITEMS}").count() == 0
-    assert {r.w for r in seeds.select("w").distinct().collect()} == {3, 6, 12}  # the phrase has eleven words
+    assert seeds.where(f"shared > {D.MOST_ITEMS}").select("gram").distinct().count() == 9  # the phrase has eleven words
     rows = docs.selectExpr("doc_id", "0L AS key", "CAST(text AS BINARY) AS t")
-    assert D.candidates(rows, seeds, 3)[1].count() <= 240
+    assert D.candidates(rows, D.seeds_of(items, 3)[0], seeds, 0.5)[1].select("doc_id", "item").distinct().count() <= 240
     assert {(r.doc_id, r.item_id) for r in D.leaks(docs, items, least=0.5).collect()} == {(d, d // 3) for d in range(0, 240, 3)}
 
 
+def _all_pairs(docs, items, least):
+    """(doc, item) of every pair that aligns, each with each other."""
+    strip = lambda t: [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in t.lower().split()]
+    number = {}
+    code = lambda t: np.array([number.setdefault(w, len(number) + 1) for w in strip(t)], np.uint64)
+    coded = [(i, code(t)) for i, t in items]
+    out = set()
+    for d, t in docs:
+        h = code(t)
+        score = D.align([x for _, x in coded], [h] * len(coded))[0]
+        out |= {(d, i) for (i, x), s in zip(coded, score.tolist()) if s >= least * 2 * len(x)}
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(items=st.lists(st.lists(st.booleans(), min_size=1, max_size=12), min_size=1, max_size=6))
+def test_best_spans(items):
+    size = np.array([len(x) for x in items])
+    got = D._best_spans(np.concatenate([np.array(x) for x in items]), np.repeat(np.arange(len(items)), size), size)
+    want = [max(sum(2 if v else -1 for v in x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)) for x in items]
+    assert got.tolist() == want
+
+
+@pytest.mark.parametrize("n", [10, 64, 65, 200, 2000])
+def test_items_that_share_half_of_their_words(spark, n):
+    """All items share a phrase of ten words of twenty: a document with that and ten other words aligns with each at 0.5."""
+    rng = random.Random(n)
+    phrase = [f"p{k}" for k in range(10)]
+    items = [(i, " ".join(phrase + [f"i{i}w{k}" for k in range(10)])) for i in range(n)]
+    docs = [(0, " ".join(phrase + [f"other{k}" for k in range(10)])), (1, "nothing of it"), (2, " ".join(phrase[:8] + ["x"] * 9)), (3, items[n // 2][1])]
+    docs += [(4, " ".join([*phrase[:4], "new", *phrase[4:7], "i3w0", "i3w1", "i3w2", "i3w3", "i3w4"])), (5, " ".join(rng.sample(phrase, 10)))]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least=0.5).collect()
+    want = _all_pairs(docs, items, 0.5)
+    assert len([x for x in want if x[0] == 0]) == n and (4, 3) in want
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
+def test_common_seeds_in_many_blocks_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WORDS", 500)
+    monkeypatch.setattr(D, "PART_BYTES", 2000)
+    monkeypatch.setattr(D, "MOST_ITEMS", 3)
+    rng = random.Random(8)
+    few = [f"c{k}" for k in range(7)]
+    items = [(i, " ".join(rng.choice(few) for _ in range(rng.randrange(3, 14)))) for i in range(120)]
+    docs = [(d, " ".join(rng.choice([*few, "x", "y"]) for _ in range(rng.randrange(1, 30)))) for d in range(60)]
+    got = {(r.doc_id, r.item_id) for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least=0.6).collect()}
+    want = _all_pairs(docs, items, 0.6)
+    grams = lambda t: {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+    sharing = {(d, i) for d, i in want if grams(docs[d][1].split()) & grams(items[i][1].split())}
+    assert got <= want and sharing <= got and len(sharing) > 50  # a copy keeps an n-gram
+
+
 def test_very_long_items_and_items_of_equal_words(spark):
     rng = random.Random(12)
     long = " ".join(f"z{rng.randrange(3000)}" for _ in range(4000))
