@@ -46,8 +46,13 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Deeper elements than this are put next to each other instead of inside, as browsers do.
 DEEPEST = 200
-#: A wider cell stands in its column without widening it, so that padding stays in proportion to the page.
-MOST_PADDED = 120
+#: Padding of a line of a table: so many places, and so many times the places its own texts take. Cells that would need more
+#: follow at two spaces. With it, a page's text stays in proportion to the page.
+PADDING, PADDING_TIMES = 64, 4
+#: Places of indent; what is nested deeper than that is not indented further.
+MOST_INDENT = 40
+#: Columns and rows that a cell spans at most.
+MOST_SPAN = 1000
 
 
 class Node:
@@ -201,11 +206,49 @@ def wide(text: str) -> int:
     return len(text) if text.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in text)
 
 
+class _Sub:
+    """Lines that are indented together: `first` stands before the first of them, `rest` before the others; before a blank one
+    nothing, or the mark of a quotation."""
+
+    __slots__ = ("first", "rest", "lines")
+
+    def __init__(self, first: str, rest: str, lines: list):
+        self.first, self.rest, self.lines = first, rest, lines
+
+
+def _flat(lines: list) -> list[str]:
+    """The lines with their indents, which are put together once for each line however deep it stands."""
+    out: list[str] = []
+    # of the boxes around a line: its indent, the one of the innermost quotation's blank lines, the marks not yet written
+    todo, around, fresh = [iter(lines)], [("", "")], []
+    while todo:
+        x = next(todo[-1], None)
+        if x is None:
+            todo.pop()
+            around.pop()
+            if fresh:
+                fresh.pop()
+        elif isinstance(x, _Sub):
+            before, blank = around[-1]
+            indent = before + x.rest if len(before) < MOST_INDENT else before
+            around.append((indent, indent.rstrip() if x.rest == "> " else blank))
+            todo.append(iter(x.lines))
+            fresh.append(x.first)
+        elif fresh:
+            at = len(around) - 1 - len(fresh)
+            marks = "".join(fresh if x else fresh[: next((i + 1 for i in range(len(fresh) - 1, -1, -1) if fresh[i].strip()), 0)])
+            out.append(around[at][0] + marks + x if x or marks else around[-1][1])
+            fresh = []
+        else:
+            out.append(around[-1][0] + x if x else around[-1][1])
+    return out
+
+
 class _Flow:
     """Lines of one box: words are joined by single spaces, blocks begin lines, `gap` blank lines stand between."""
 
     def __init__(self) -> None:
-        self.lines: list[str] = []
+        self.lines: list[str | _Sub] = []
         self.open: list[str] = []  # parts of the line that is being written
         self.space = False
         self.gap = 0
@@ -247,7 +290,7 @@ class _Flow:
         self.space = False
         self.gap = max(self.gap, gap) if self.lines else 0
 
-    def put(self, lines: list[str], gap: int) -> None:
+    def put(self, lines: list, gap: int) -> None:
         self.end_line(gap)
         if lines:
             self._begin()
@@ -263,11 +306,11 @@ class _Flow:
         self.space = False
 
 
-def _inside(node: Node, depth: int = 0, pre: bool = False) -> list[str]:
+def _inside(node: Node, depth: int = 0, pre: bool = False) -> list[str | _Sub]:
     flow = _Flow()
     _render(node, flow, depth, pre)
     flow.end_line()
-    while flow.lines and not flow.lines[-1].strip():
+    while flow.lines and isinstance(flow.lines[-1], str) and not flow.lines[-1].strip():
         flow.lines.pop()
     return flow.lines
 
@@ -309,12 +352,13 @@ def _render(node: Node, flow: _Flow, depth: int, pre: bool) -> None:
                 value = child.attributes.get("value", "").strip()
                 number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number + 1
             mark = f"{number}. " if node.tag == "ol" else "- "
-            lines = _inside(child, max(depth, 1))
-            flow.put([(mark if i == 0 else " " * len(mark)) + x if x or i == 0 else "" for i, x in enumerate(lines or [""])], 0)
+            flow.put([_Sub(mark, " " * len(mark), _inside(child, max(depth, 1)) or [""])], 0)
         elif tag == "dd":
-            flow.put(["    " + x if x else "" for x in _inside(child, depth)], 0)
+            lines = _inside(child, depth)
+            flow.put([_Sub("    ", "    ", lines)] if lines else [], 0)
         elif tag == "blockquote":
-            flow.put(["> " + x if x else ">" for x in _inside(child, depth)], 1)
+            lines = _inside(child, depth)
+            flow.put([_Sub("> ", "> ", lines)] if lines else [], 1)
         elif tag in ("pre", "listing", "xmp", "plaintext", "textarea"):
             lines = _inside(child, depth, True)
             flow.put(lines[1:] if lines and not lines[0] else lines, 1)
@@ -330,10 +374,14 @@ def _render(node: Node, flow: _Flow, depth: int, pre: bool) -> None:
             _render(child, flow, depth, pre)
 
 
+def _span(cell: Node, name: str) -> int:
+    v = cell.attributes.get(name, "1")
+    return max(1, min(MOST_SPAN, int(v))) if v.isascii() and v.isdigit() and len(v) < 5 else 1
+
+
 def _table(node: Node, depth: int) -> list[str]:
-    """Captions, then rows whose cells are padded to their columns' widths; a cell's lines stay in its column. Cells of
-    more than MOST_PADDED places don't count for the width."""
-    captions: list[str] = []
+    """Captions, then rows whose cells begin where their columns do, as far as PADDING allows; a cell's lines stay in its column."""
+    captions: list = []
     rows: list[Node] = []
 
     def walk(x: Node) -> None:
@@ -350,40 +398,47 @@ def _table(node: Node, depth: int) -> list[str]:
                     captions.extend(_inside(_holder(c), depth))
 
     walk(node)
-    grid: list[dict[int, list[str]]] = []
-    taken: dict[int, int] = {}
-    for row in rows:
-        cells: dict[int, list[str]] = {}
-        at, still = 0, {k: v - 1 for k, v in taken.items() if v > 1}
-        held = set(taken)
+    grid: list[list[tuple[int, list[str]]]] = []
+    width: dict[int, int] = {}
+    held: list[tuple[int, int, int]] = []  # columns that cells above span: begin, end, and the row where they end
+    for r, row in enumerate(rows):
+        cells, new, at, i = [], [], 0, 0
         for c in row.children:
             if isinstance(c, str) and not c.strip() or isinstance(c, Node) and not visible(c):
                 continue
-            while at in held:
-                at += 1
+            while i < len(held) and held[i][0] <= at:
+                at, i = max(at, held[i][1]), i + 1
             cell = c if isinstance(c, Node) and c.tag in ("td", "th") else _holder(c)
-            cells[at] = _inside(cell, depth)
-            across, down = (min(1000, int(v)) if (v := cell.attributes.get(k, "1")).isascii() and v.isdigit() and len(v) < 5 else 1 for k in ("colspan", "rowspan"))
-            for k in range(at, at + max(1, across)):
-                if down > 1:
-                    still[k] = down - 1
-            at += max(1, across)
-        taken = {k: v for k, v in still.items() if v > 0}
+            lines = _flat(_inside(cell, depth))
+            cells.append((at, lines))
+            width[at] = max([width.get(at, 0), *map(wide, lines)])
+            end, down = at + _span(cell, "colspan"), _span(cell, "rowspan")
+            if down > 1 and new and new[-1][1:] == (at, r + down):
+                new[-1] = (new[-1][0], end, r + down)
+            elif down > 1:
+                new.append((at, end, r + down))
+            at = end
+        if new or any(x[2] <= r + 1 for x in held):
+            held = sorted([x for x in held if x[2] > r + 1] + new)
         grid.append(cells)
-    width: dict[int, int] = {}
-    for cells in grid:
-        for k, lines in cells.items():
-            width[k] = max([width.get(k, 0), *(n for n in map(wide, lines) if n <= MOST_PADDED)])
-    out = list(captions)
-    columns = sorted(width)
+    begin, place = {}, 0
+    for k in sorted(width):
+        begin[k], place = place, place + width[k] + 2
+    out = _flat(captions)
     for cells in grid:
-        for i in range(max((len(x) for x in cells.values()), default=0)):
-            parts = []
-            for k in columns:
-                x = cells.get(k, [])
-                x = x[i] if i < len(x) else ""
-                parts.append(x + " " * (width[k] - wide(x)))
-            out.append("  ".join(parts).rstrip())
+        for i in range(max((len(lines) for _, lines in cells), default=0)):
+            texts = [(begin[k], lines[i]) for k, lines in cells if i < len(lines) and lines[i]]
+            left = PADDING + PADDING_TIMES * sum(wide(x) for _, x in texts)
+            parts, at = [], 0
+            for k, x in texts:
+                pad = k - at if at else k
+                least = 2 if parts else 0
+                if pad < least or pad - least > left:
+                    pad = least
+                left -= pad - least
+                parts += [" " * pad, x]
+                at += pad + wide(x)
+            out.append("".join(parts).rstrip())
     return out
 
 
@@ -394,7 +449,7 @@ def _holder(child: Node | str) -> Node:
 
 
 def text_of_node(node: Node) -> str:
-    return "\n".join(x.rstrip() for x in _inside(node)).strip("\n")
+    return "\n".join(x.rstrip() for x in _flat(_inside(node))).strip("\n")
 
 
 def text_of(source: str | None) -> str:

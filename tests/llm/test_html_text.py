@@ -104,6 +104,35 @@ def test_a_megabyte_of_broken_markup_takes_seconds(part):
     assert time.process_time() - began < 10
 
 
+_ROW = "<tr>" + "<td>c" * 4000 + ("<tr><td>x" * 4000)
+_WIDE = "<tr>" + ("<td>" + "w" * 120) * 1000 + "<tr><td colspan=999>a<td>x" * 200
+
+
+@pytest.mark.parametrize("page", [
+    "<table>" + "<tr>" + "<td>c" * 40_000 + "<tr><td>x" * 90_000, "<table>" + _ROW, "<table>" + _WIDE, "<table><tr>" + ("<td>" + "w" * 120) * 1000 + "<tr><td colspan=999>a<td>x" * 35_000,
+    ("<ul><li>text of an item " * 190 + "</ul>" * 190) * 190, ("<blockquote><p>some text " * 150 + "</blockquote>" * 150) * 170, "<ul><li>" * 190 + "<li>text here" * 65_000,
+    "<table><tr>" + "<td rowspan=999>a" * 20_000 + "<tr><td>x" * 70_000,
+])
+def test_layout_takes_time_and_space_in_proportion(page):
+    began = time.process_time()
+    text = html_text.text_of(page)
+    assert time.process_time() - began < 10 and len(text) < 8 * max(len(page), 1 << 18)
+    assert text.count("x") + text.count("c") >= page.count(">x") + page.count(">c")
+
+
+def test_padding_is_bounded_by_a_line_and_indents_by_depth():
+    page = "<table><tr><td>" + "w" * 300 + "<td>b<tr><td>a<td>x<tr><td>" + "v" * 80 + "<td>y</table>"
+    first, second, third = html_text.text_of(page).split("\n")
+    assert first == "w" * 300 + "  b" and second == "a  x" and third == "v" * 80 + " " * 222 + "y"
+    deep = html_text.text_of("<ul><li>t" * 30).split("\n")
+    assert [len(x) - len(x.lstrip()) for x in deep] == [min(40, 2 * i) for i in range(30)]
+
+
+def test_marks_and_quotations_in_each_other():
+    page = "<blockquote><p>a<p>b<ul><li>c<blockquote>d<p>e</blockquote><li><ol><li>f</ol></ul></blockquote><dl><dt>t<dd>u<p>v</dl><ul><li></ul>"
+    assert html_text.text_of(page).split("\n") == ["> a", ">", "> b", ">", "> - c", ">", ">   > d", ">   >", ">   > e", "> - 1. f", "", "t", "    u", "", "    v", "", "-"]
+
+
 def test_attributes_and_broken_tags():
     got = html_text.parse("<p A=1 b='x>y' c=\"z\" d e=&amp;f a=2 it's>text</p>").children[0]
     assert got.attributes == {"a": "1", "b": "x>y", "c": "z", "d": "", "e": "&f", "it's": ""} and got.children == ["text"]
