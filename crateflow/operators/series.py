@@ -128,3 +128,23 @@ def audible_windows(df: DataFrame, key: str, audible: float = 0.1, least: int =
     whole = F.least(F.col("n"), F.col("last") + 4) - F.col("begin")
     m = m.where("first IS NOT NULL AND last IS NOT NULL").withColumn("begin", begin).withColumn("whole", whole)
     return m.where(F.col("whole") >= least).select(key, "begin", F.least(F.col("whole"), F.lit(most)).alias("length"), "whole")
+
+
+def structure(bars: DataFrame, key: str, phrase: int = 8) -> DataFrame:
+    """Structure of tracks from (key, bar, energy): bars, mid, intro, outro, mix_out and sustained.
+
+    Energies are shares of the track's largest. A bar is loud from 0.8 of the upper median (mid) on. The intro ends at the
+    first loud bar, or at 0 if that is under 4; the outro begins at the end of the phrase that holds the last loud bar, or with
+    the last whole phrase if that is past the end. The way out is 16 bars before the end or at the outro, at a phrase, but not in
+    the first half; 8 bars before the end for under 24. sustained is the share of bars over 0.7. Bars are numbered from 0.
+    """
+    x = bars.withColumn("x", F.col("energy") / F.greatest(F.max("energy").over(Window.partitionBy(key)), F.lit(1e-9)))
+    whole = x.groupBy(key).agg(F.count("*").alias("bars"), upper_median(F.collect_list("x")).alias("mid"), F.avg(F.when(F.col("x") > 0.7, 1.0).otherwise(0.0)).alias("sustained"))
+    at = F.when(F.col("x") >= 0.8 * F.col("mid"), F.col("bar"))
+    loud = x.join(whole.select(key, "mid"), key).groupBy(key).agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    n, phrases = F.col("bars"), lambda c: F.floor(c / phrase) * phrase
+    end = F.ceil((F.col("last") + 1) / phrase) * phrase
+    outro = F.when(end <= n, end).when(n >= phrase, phrases(n)).otherwise(n)
+    out = F.when(n < 24, F.greatest(F.lit(0), n - 8)).otherwise(F.greatest(F.floor(n / 2), phrases(F.least(outro, n - 16))))
+    intro = F.when(F.col("first") < 4, 0).otherwise(F.col("first"))
+    return whole.join(loud, key).select(key, "bars", "mid", intro.cast("long").alias("intro"), outro.cast("long").alias("outro"), out.cast("long").alias("mix_out"), "sustained")

@@ -142,13 +142,13 @@ def sig24(spark: SparkSession, sf: str) -> DataFrame:
     return M.best_of_grid(A.table(spark, sf, "events"), grid, -F.abs(F.col("value") / 100.0 - 0.4 + F.col("delta")))
 
 
-@query("sig25_audible_span", f"WITH {A.BEATS_SQL}, l AS (SELECT series, idx, 20 * log10(v + 1e-9) AS db FROM beats), m AS (SELECT *, max(db) OVER (PARTITION BY series) AS top FROM l) SELECT series, min(idx) AS first, max(idx) AS last FROM m WHERE db > top - 10 GROUP BY series")
+@query("sig25_audible_span", f"WITH {A.BEATS_SQL}, l AS (SELECT series, idx, 20 * log10(v + 1e-9) AS db FROM beats), m AS (SELECT *, max(db) OVER (PARTITION BY series) AS top FROM l) SELECT series, min(idx) AS first, max(idx) AS last FROM m WHERE db > top - 40 GROUP BY series")
 def sig25(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     level = A.beats(spark, sf).withColumn("db", 20 * F.log10(F.col("v") + 1e-9))
     top = level.withColumn("top", F.max("db").over(Window.partitionBy("series")))
-    return top.where("db > top - 10").groupBy("series").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    return top.where("db > top - 40").groupBy("series").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
 
 
 @query("sig19_bit_fingerprint", f"WITH {A.BEATS_SQL}, d AS (SELECT series, idx, v - lag(v) OVER w - (lag(v) OVER w - lag(v, 2) OVER w) AS d2 FROM beats WINDOW w AS (PARTITION BY series ORDER BY idx)) SELECT series, idx, CASE WHEN d2 > 0 THEN 1 ELSE -1 END AS bit FROM d WHERE d2 IS NOT NULL")

@@ -168,13 +168,15 @@ def agg11(spark: SparkSession, sf: str) -> DataFrame:
     return _beats(spark, sf).where("idx % 4 = 0").groupBy("series").agg(F.round(rms, 6).alias("rms"), F.max(F.abs("v")).alias("peak"), F.round(20 * F.log10(rms / 100 + 1e-9), 6).alias("db"), F.round(F.greatest(F.lit(0.25), F.least(F.lit(4.0), 30 / (rms + 1e-9))), 6).alias("gain"))
 
 
-@query("agg12_structure", f"""{_B}, p AS (SELECT series, idx // 4 AS bar, sqrt(avg(v * v)) AS e FROM beats GROUP BY 1, 2), n AS (SELECT series, bar, e / greatest(max(e) OVER (PARTITION BY series), 1e-9) AS x FROM p)
-SELECT series, round(list_sort(list(x))[CAST(floor(count(*) / 2e0) AS INT) + 1], 6) AS mid, CAST(min(CASE WHEN x > 0.7 THEN bar END) AS BIGINT) AS intro, CAST(max(CASE WHEN x > 0.7 THEN bar END) AS BIGINT) AS outro, round(avg(CASE WHEN x > 0.7 THEN 1e0 ELSE 0e0 END), 6) AS sustained FROM n GROUP BY series""")
+@query("agg12_structure", f"""{_B}, p AS (SELECT series, idx // 4 AS bar, sqrt(avg(v * v)) AS e FROM beats GROUP BY 1, 2), n AS (SELECT series, bar, e / greatest(max(e) OVER (PARTITION BY series), 1e-9) AS x FROM p),
+m AS (SELECT series, count(*) AS n, list_sort(list(x))[CAST(floor(count(*) / 2e0) AS INT) + 1] AS mid FROM n GROUP BY series),
+b AS (SELECT series, any_value(n) AS n, any_value(mid) AS mid, min(CASE WHEN x >= 0.8e0 * mid THEN bar END) AS f, max(CASE WHEN x >= 0.8e0 * mid THEN bar END) AS l, avg(CASE WHEN x > 0.7e0 THEN 1e0 ELSE 0e0 END) AS sustained FROM n JOIN m USING (series) GROUP BY series),
+o AS (SELECT *, CASE WHEN ceil((l + 1) / 8e0) * 8 <= n THEN ceil((l + 1) / 8e0) * 8 WHEN n >= 8 THEN floor(n / 8e0) * 8 ELSE n END AS o FROM b)
+SELECT series, CAST(n AS BIGINT) AS bars, round(mid, 6) AS mid, CAST(CASE WHEN f < 4 THEN 0 ELSE f END AS BIGINT) AS intro, CAST(o AS BIGINT) AS outro,
+CAST(CASE WHEN n < 24 THEN greatest(0, n - 8) ELSE greatest(floor(n / 2e0), floor(least(o, n - 16) / 8e0) * 8) END AS BIGINT) AS mix_out, round(sustained, 6) AS sustained FROM o""")
 def agg12(spark: SparkSession, sf: str) -> DataFrame:
-    p = _beats(spark, sf).groupBy("series", F.floor(F.col("idx") / 4).alias("bar")).agg(F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("e"))
-    n = p.withColumn("x", F.col("e") / F.greatest(F.max("e").over(Window.partitionBy("series")), F.lit(1e-9)))
-    loud = F.when(F.col("x") > 0.7, F.col("bar"))
-    return n.groupBy("series").agg(F.round(R.upper_median(F.collect_list("x")), 6).alias("mid"), F.min(loud).alias("intro"), F.max(loud).alias("outro"), F.round(F.avg(F.when(F.col("x") > 0.7, 1.0).otherwise(0.0)), 6).alias("sustained"))
+    p = _beats(spark, sf).groupBy("series", F.floor(F.col("idx") / 4).alias("bar")).agg(F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("energy"))
+    return R.structure(p, "series").select("series", "bars", F.round("mid", 6).alias("mid"), "intro", "outro", "mix_out", F.round("sustained", 6).alias("sustained"))
 
 
 @query("agg13_robust_z", f"{_B}, m AS (SELECT series, median(v) AS med FROM beats GROUP BY series), d AS (SELECT b.*, med, abs(v - med) AS dev FROM beats b JOIN m USING (series)), a AS (SELECT series, median(dev) AS mad FROM d GROUP BY series) SELECT d.series, d.idx, round((v - med) / (1.4826e0 * mad + 1e-6), 6) AS z FROM d JOIN a USING (series)")

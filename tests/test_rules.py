@@ -228,3 +228,16 @@ def test_partners_without_what_was_tried(spark):
             left = sorted((r for r in every if r[0] == b and (r[0], r[1]) not in excluded), key=lambda r: (-r[3], r[1]))[:6]
             want += [(b, i + 1, r[1], r[3]) for i, r in enumerate(left)]
         assert got == sorted(want)
+
+
+def test_structure_of_tracks(spark):
+    """Derived by hand: loud bars reach 0.8 of the upper median, intro under bar 4 is none, outro and way out at phrases of 8."""
+    from crateflow.operators import series as R
+
+    quiet_ends = [0.1] * 6 + [1.0] * 20 + [0.1] * 6  # 32 bars: loud 6 to 25, outro 32, way out min(32, 16) = 16
+    late = [0.1] * 3 + [1.0] * 10  # 13 bars: loud 3 to 12, the phrase's end 16 is past the end, so 8
+    long = [1.0] * 50 + [0.2] * 50  # 100 bars: median 1.0 (upper), loud 0 to 49, outro 56, way out max(50, 56)
+    short = [0.5, 1.0]
+    rows = [(k, i, float(e)) for k, es in enumerate((quiet_ends, late, long, short)) for i, e in enumerate(es)]
+    got = {r.s: (r.bars, r.intro, r.outro, r.mix_out, round(r.sustained, 6)) for r in R.structure(spark.createDataFrame(rows, "s int, bar long, energy double"), "s").collect()}
+    assert got == {0: (32, 6, 32, 16, 0.625), 1: (13, 0, 8, 5, round(10 / 13, 6)), 2: (100, 0, 56, 56, 0.5), 3: (2, 0, 2, 0, 0.5)}
