@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -179,3 +180,23 @@ def nearest_choice(n: Column, choices: tuple[int, ...] = BAR_CHOICES) -> Column:
 def tempo_right(estimate: Column, truth: Column, factors: tuple[float, ...] = (1, 2, 0.5, 3, 1 / 3)) -> Column:
     """Whether a tempo is within 4 % of the truth or of one of its multiples."""
     return F.exists(F.array(*[F.lit(float(f)) for f in factors]), lambda f: F.abs(estimate - truth * f) <= 0.04 * truth * f)
+
+
+def mixer_controls(gain_a: Column, gain_b: Column) -> Column:
+    """Nine controls from the gains of two decks in three bands: crossfader from 0 to 1, three equalizer places of each deck
+    from -1 (30 dB down) to 0, two filters at rest. The crossfader is the place, of 201, whose levels are nearest the decks' loudest
+    bands, the first on a tie; an equalizer is relative to its deck, and at rest where the deck is all but silent."""
+    loud = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.array_max(g))) for g in (gain_a, gain_b)]
+
+    def missed(i: Column) -> Column:
+        turn = i * (math.pi / 400)
+        off = [F.least(F.lit(1.0), math.sqrt(2) * level) - x for level, x in zip((F.cos(turn), F.sin(turn)), loud)]
+        return F.struct((off[0] * off[0] + off[1] * off[1]).alias("error"), (i / 200).alias("place"))
+
+    fader = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(200)), missed))["place"]
+
+    def equalizer(g: Column, top: Column) -> Column:
+        db = lambda x: 20 * F.log10(F.least(F.lit(1.0), F.greatest(F.lit(1e-4), x / (top + 1e-6))))
+        return F.transform(g, lambda x: F.when(top > 0.05, F.greatest(F.lit(-1.0), db(x) / 30)).otherwise(0.0))
+
+    return F.concat(F.array(fader), equalizer(gain_a, loud[0]), equalizer(gain_b, loud[1]), F.array(F.lit(0.0), F.lit(0.0)))

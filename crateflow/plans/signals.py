@@ -6,13 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crateflow import adapters as A
+from crateflow.functions import music
 from crateflow.operators import planning as P
 from crateflow.operators import series as R
 from crateflow.operators import signals as G
+from crateflow.operators import transitions as T
 from crateflow.plans.core import query
 
 RATE = 64.0
@@ -214,33 +216,19 @@ def sig15_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return G.per_track(mixes, "mix", "vec_id", align, "mix long, part int, shift int, z double, first int, last int")
 
 
-@query("sig16_gains")
-def sig16(spark: SparkSession, sf: str) -> DataFrame:
-    def gains(x: np.ndarray) -> list[float]:
-        a, b = np.abs(x[:16]) + 0.1, np.abs(x[16:32]) + 0.1
-        fade = np.linspace(1, 0, 16)
-        return G.bounded_gains(a, b, fade * a + (1 - fade) * b)[0].tolist()
-
-    return _arrays(spark, sf).select("vec_id", G.array_map(gains, "array<double>", F.col("embedding")).alias("gains"))
-
-
 @query("sig16_band_gains")
 def sig16_bands(spark: SparkSession, sf: str) -> DataFrame:
     """Every 24 frames of a track as a transition of two of its parts, by a fader that moves from beat 6 to 18."""
-    names = [f"{p}_{x}" for p in ("gain_a", "gain_b") for x in ("low", "mid", "high")]
-    controls = ["crossfader", *(f"eq_{d}_{x}" for d in "ab" for x in ("low", "mid", "high"))]
-    band = np.repeat([0, 1, 2], 10)
-    fade = np.clip((18 - np.arange(24)) / 12, 0, 1)[:, None]
-
-    def gains(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.abs(np.stack(pdf["embedding"].to_numpy()).astype(float)) + 0.05
-        a, b, f = x[:, :30], x[:, 30:60], fade[: len(x)]
-        ga, gb, _ = G.band_gains(f * a + (1 - f) * b, a, b, band, slice(0, 6), slice(18, max(18, len(x))))
-        out = pd.DataFrame(np.round(np.concatenate((ga, gb, G.mixer_controls(ga, gb)), 1), 5), columns=names + controls)
-        return out.assign(part=key, beat=pdf["idx"].to_numpy() % 24)
-
-    parts = A.frames(spark, sf).withColumn("part", F.concat_ws(":", "track", F.floor(F.col("idx") / 24)))
-    return G.per_track(parts, "part", "idx", gains, "part string, beat int, " + ", ".join(f"{c} double" for c in names + controls))
+    x = F.transform("embedding", lambda v: F.abs(v.cast("double")) + 0.05)
+    fade = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (18 - F.col("beat")) / 12))
+    frames = A.frames(spark, sf).select(F.concat_ws(":", "track", F.floor(F.col("idx") / 24)).alias("transition"), (F.col("idx") % 24).alias("beat"), x.alias("x"))
+    rows = frames.select("transition", F.col("beat").alias("step"), F.slice("x", 1, 30).alias("a"), F.slice("x", 31, 30).alias("b"), fade.alias("fade"), (F.col("beat") < 6).alias("alone_a"), (F.col("beat") >= 18).alias("alone_b"))
+    rows = rows.withColumn("mix", F.zip_with("a", "b", lambda a, b: F.col("fade") * a + (1 - F.col("fade")) * b)).drop("fade")
+    got = T.band_gains(rows, [0] * 10 + [1] * 10 + [2] * 10)
+    gains = [F.round(F.col(f"gain_{d}")[i], 5).alias(f"gain_{d}_{x}") for d in "ab" for i, x in enumerate(("low", "mid", "high"))]
+    names = ["crossfader", *(f"eq_{d}_{x}" for d in "ab" for x in ("low", "mid", "high"))]
+    got = got.withColumn("_c", music.mixer_controls(F.col("gain_a"), F.col("gain_b")))
+    return got.select(F.col("transition").alias("part"), F.col("step").alias("beat"), *gains, *[F.round(F.col("_c")[i], 5).alias(n) for i, n in enumerate(names)])
 
 
 _HEARD = ["series", "idx AS beat", "CASE WHEN idx > n - 3 - series % 11 THEN 0e0 ELSE v / 330e0 END AS gain_a", "CASE WHEN idx < series % 7 THEN 0e0 ELSE v / 330e0 END AS gain_b", "idx + CAST(series % 5 AS INT) AS place"]
@@ -255,11 +243,42 @@ def sig17_windows(spark: SparkSession, sf: str) -> DataFrame:
     return R.audible_windows(b.selectExpr(*_HEARD), "series")
 
 
-@query("sig17_transition_examples", f"WITH {A.PLAYLISTS_SQL}, t AS (SELECT playlist, pos, track, lead(track) OVER w AS nxt, lead(pos) OVER w AS np FROM playlists WINDOW w AS (PARTITION BY playlist ORDER BY pos)) SELECT playlist, pos, CAST(s AS INT) AS step, round((s + 0.5e0) / 8, 6) AS p FROM t, (SELECT unnest(range(8)) AS s) WHERE np = pos + 1")
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Five series to a mix, each entering 40 beats after the one before: (pairs, mixes, tracks). A beat's powers are an
+    embedding's, its time and wave the events'; tracks fade in over 16 beats and out from beat 44 to 60."""
+    vectors = A.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.abs(v.cast("double")) + 0.05).alias("power"))
+    n = vectors.agg(F.count("*").alias("_n"))
+    beats = A.beats(spark, sf).crossJoin(F.broadcast(n)).select("series", "idx", "t", "v", F.pmod(F.col("series") * 37 + F.col("idx"), "_n").alias("vec_id"))
+    level = F.col("v") / 330
+    wave = F.array(level, level * 0.5, level * 0.3, level * level)
+    last = F.max("t").over(Window.partitionBy("series"))
+    tracks = beats.join(vectors, "vec_id").select(F.col("series").alias("track"), F.col("idx").alias("beat"), "t", F.floor(F.col("idx") / 4).alias("bar"), (F.col("idx") % 4).alias("place"), (last + 1).alias("duration"), wave.alias("wave"), "power")
+    shift = F.col("track") % 5 * 40
+    fade = F.least(F.lit(1.0), F.when(shift > 0, (F.col("beat") + 1) / 16).otherwise(1.0), F.greatest(F.lit(0.0), (60 - F.col("beat")) / 16))
+    placed = tracks.select(F.floor(F.col("track") / 5).alias("mix_id"), (F.col("beat") + shift).alias("beat"), F.transform("power", lambda p: p * fade).alias("power"))
+    each = placed.select("mix_id", "beat", F.posexplode("power")).groupBy("mix_id", "beat", "pos").agg(F.sum("col").alias("p"))
+    mixes = each.groupBy("mix_id", "beat").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("s")).select("mix_id", "beat", F.col("s.p").alias("power"))
+    size = tracks.groupBy("track").agg((F.max("beat") + 1).cast("int").alias("n"))
+    a, b = size.selectExpr("track AS track_a", "n AS n_a"), size.selectExpr("track AS track_b", "n AS n_b")
+    pairs = a.join(b, (F.col("track_b") == F.col("track_a") + 1) & (F.floor(F.col("track_b") / 5) == F.floor(F.col("track_a") / 5)))
+    at = (F.col("track_a") % 5 * 40).cast("int")
+    return (
+        pairs.select(
+            F.col("track_a").alias("transition"), F.floor(F.col("track_a") / 5).alias("mix_id"), "track_a", "track_b", at.alias("shift_a"), (at + 40).alias("shift_b"),
+            at.alias("begin_a"), (at + F.least("n_a", F.lit(58))).alias("end_a"), (at + 42).alias("begin_b"), (at + 40 + F.least("n_b", F.lit(58))).alias("end_b"),
+        ), mixes, tracks,
+    )
+
+
+#: Three bands of the 64 places of a power.
+_PLACES = [0] * 16 + [1] * 32 + [2] * 16
+
+
+@query("sig17_transition_examples")
 def sig17(spark: SparkSession, sf: str) -> DataFrame:
-    w = "OVER (PARTITION BY playlist ORDER BY pos)"
-    t = A.playlists(spark, sf).selectExpr("playlist", "pos", f"lead(pos) {w} AS np").where("np = pos + 1")
-    return t.select("playlist", "pos", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("step")).select("playlist", "pos", "step", F.round((F.col("step") + 0.5) / 8, 6).alias("p"))
+    got = T.examples(*_mixed(spark, sf), _PLACES)
+    digits = lambda name: F.transform(name, lambda r: F.transform(r, lambda v: F.round(v, 4))).alias(name)
+    return got.select("transition", "begin", "length", "whole", digits("x"), digits("y"), digits("power"), "mask")
 
 
 @query("sig18_synthetic_transitions")
