@@ -180,7 +180,7 @@ def sequence_of(source: str) -> list[dict]:
                 a = c.attributes
                 digest = a["src"][len(SCHEME) :] if a.get("src", "").startswith(SCHEME) else None
                 size = a.get("data-bytes", "")
-                out.append({"position": len(out), "kind": "media", "text": None, "digest": digest, "n_bytes": int(size) if size.isdecimal() else None, "caption": caption_in(figure) or a.get("alt") or None, "name": a.get("id")})
+                out.append({"position": len(out), "kind": "media", "text": None, "digest": digest, "n_bytes": int(size) if size.isdecimal() and len(size) < 19 else None, "caption": caption_in(figure) or a.get("alt") or None, "name": a.get("id")})
             elif c.tag == "figcaption" and figure is not None or not html_text.visible(c):
                 continue
             else:

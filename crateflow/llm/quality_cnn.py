@@ -184,8 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, most_per_class: i
         return train([], share)
     drawn = rows.where(of_class[0] if len(of_class) == 1 else of_class[0] | of_class[1])
     texts = docs.select(col(docs, id_col).cast("long").alias("j"), text_bytes(docs, text_col).alias("t"))
-    # about 2 * most_per_class rows of 12 bytes
-    got = texts.join(F.broadcast(drawn), F.col("j") == F.col("i")).select("i", "y", "t").collect()
+    # about 2 * most_per_class rows of 12 bytes; of an id with several texts the least is read
+    got = texts.join(F.broadcast(drawn), F.col("j") == F.col("i")).groupBy("i", "y").agg(F.min("t").alias("t")).collect()
     return train([(bytes(r["t"]), r["y"]) for r in sorted(got, key=lambda r: (r["i"], r["t"]))], min(max(share, 1e-3), 1 - 1e-3))
 
 

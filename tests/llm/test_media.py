@@ -64,3 +64,8 @@ def test_interleaving_keeps_order_and_captions(spark):
     described = spark.createDataFrame([("aa", 64)], "digest string, payload_bytes long")
     got = media.resolve(pages, described).orderBy("position").collect()
     assert [(r.page_id, r.position, r.payload_bytes) for r in got] == [(1, 2, 64), (1, 4, None)]
+
+
+def test_foreign_attributes():
+    got = media.sequence_of('<img src="a.png" data-bytes="99999999999999999999999"><img data-bytes="-1"><img data-bytes="12">')
+    assert [x["n_bytes"] for x in got] == [None, None, 12]
