@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from crateflow import adapters as A
 from crateflow.functions import music
+from crateflow.operators import labels as L
 from crateflow.operators import planning as P
 from crateflow.operators import series as R
 from crateflow.operators import signals as G
@@ -172,23 +173,6 @@ def sig13_beats(spark: SparkSession, sf: str) -> DataFrame:
     return G.per_track(tracks, "track", "vec_id", features, "track long, beat int, " + ", ".join(f"{k} array<double>" for k in kinds))
 
 
-@query("sig15_alignment")
-def sig15(spark: SparkSession, sf: str) -> DataFrame:
-    def align(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        z, start = [], []
-        for i in range(0, len(x) - 4, 4):
-            s = (x @ x[i : i + 4].mean(0)) - x.mean()
-            dev = np.median(np.abs(s - np.median(s))) + 1e-6
-            best = G.spaced_best(s, np.arange(len(s)), 3, 4)
-            z.append((s[best] - np.median(s)) / dev)
-            start.append(np.array(best))
-        pick = G.monotone_choice(z, start)
-        return pd.DataFrame([(key, i, int(start[i][c]) if c >= 0 else None) for i, c in enumerate(pick)], columns=["track", "part", "at"])
-
-    return G.per_track(A.frames(spark, sf), "track", "idx", align, "track int, part int, at int")
-
-
 @query("sig15_track_alignment")
 def sig15_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Every 64 vectors in a row as a mix of three overlapping parts of it, each with small errors: where each is played."""
@@ -299,37 +283,21 @@ def sig20(spark: SparkSession, sf: str) -> DataFrame:
     return G.per_track(A.beats(spark, sf), "series", "idx", measure, "series long, f double")
 
 
-@query("sig23_labels")
-def sig23(spark: SparkSession, sf: str) -> DataFrame:
-    def label(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.cumsum(0.48 + np.where(pdf["v"].to_numpy() > 95, 0.1, 0.0))
-        g = G.beat_grid(t, t[::4])
-        kind = "grid" if g["confidence"] > 0.8 else "free"
-        return pd.DataFrame([(key, kind, g["bpm"], len(t))], columns=["series", "kind", "bpm", "beats"])
-
-    return G.per_track(A.beats(spark, sf), "series", "idx", label, "series long, kind string, bpm double, beats int")
-
-
 @query("sig23_beat_labels")
 def sig23_beats(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of all series: beats half a second apart, with small errors, some far off and some missing; every third
     series drifts. The teacher of every fifth has its bars a beat later."""
-
-    def label(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v, i = pdf["v"].to_numpy(), pdf["idx"].to_numpy()
-        t = i * 0.5 + (v % 1 - 0.5) * 0.02 + np.where(v > 100, 0.1, 0.0)
-        if key % 3 == 0:
-            t = t + 0.0002 * i.astype(float) ** 2
-        keep = (i // 4) % 9 != 5
-        got = G.beat_labels(t[keep], t[::4])
-        if got is None:
-            return pd.DataFrame([(key, None, None, None, None, None, None, None)], columns=columns)
-        spans = [[[round(float(x), 6) for x in s] for s in spans] for spans in (got.mask, got.gaps)]
-        agree = G.teachers_agree(got, [t[int(key % 5 == 0) :: 4]])
-        return pd.DataFrame([(key, got.kind, round(got.bpm, 6), np.round(got.beats, 6).tolist(), np.round(got.down, 6).tolist(), *spans, agree)], columns=columns)
-
-    columns = ["series", "kind", "bpm", "beats", "down", "mask", "gaps", "agree"]
-    return G.per_track(A.beats(spark, sf), "series", "idx", label, "series long, kind string, bpm double, beats array<double>, down array<double>, mask array<array<double>>, gaps array<array<double>>, agree boolean")
+    i, v = F.col("idx"), F.col("v")
+    t = i * 0.5 + (v % 1 - 0.5) * 0.02 + F.when(v > 100, 0.1).otherwise(0.0) + F.when(F.col("series") % 3 == 0, 0.0002 * i * i).otherwise(0.0)
+    b = A.beats(spark, sf).select("series", "idx", t.alias("t"))
+    times = lambda kept: F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("idx", "t")))), lambda x: x["t"])
+    late = F.pmod(i - F.when(F.col("series") % 5 == 0, 1).otherwise(0), F.lit(4)) == 0
+    tracks = b.groupBy("series").agg(times(F.floor(i / 4) % 9 != 5).alias("beats"), times(i % 4 == 0).alias("down"), times(late).alias("teacher"))
+    labels = L.beat_labels(tracks)
+    agree = L.teachers_agree(labels, tracks.select("series", F.lit(0).alias("teacher"), F.col("teacher").alias("down")))
+    digits = lambda c: F.transform(c, lambda x: F.round(x, 6)).alias(c)
+    spans = lambda c: F.transform(c, lambda x: F.transform(x, lambda y: F.round(y, 6))).alias(c)
+    return labels.join(agree, "series").select("series", "kind", F.round("bpm", 6).alias("bpm"), digits("beats"), digits("down"), spans("mask"), spans("gaps"), "agree")
 
 
 @query("win05_longest_run", f"""WITH {A.BEATS_SQL}, t AS (SELECT series, idx, sum(CASE WHEN v > 90 THEN 0.67e0 ELSE 0.5e0 END) OVER w AS t, sum(CASE WHEN v > 90 AND idx > 0 THEN 1 ELSE 0 END) OVER w AS island FROM beats WINDOW w AS (PARTITION BY series ORDER BY idx))

@@ -122,20 +122,6 @@ def str01_idle(spark: SparkSession, sf: str) -> DataFrame:
     return S.watched(e, starts, 21600.0).withColumn("stopped", F.round("stopped", 3))
 
 
-@query("str02_paired_controllers")
-def str02(spark: SparkSession, sf: str) -> DataFrame:
-    e = A.table(spark, sf, "events").selectExpr("'d' || user_id % 3 AS device", "CAST(user_id % 16 AS INT) AS channel", "CAST(event_id % 8 + if(event_id % 2 = 0, 0, 32) AS INT) AS cc", "CAST(value AS INT) AS value", "event_id * 10.0D AS t_ms")
-    return S.paired_values(e)
-
-
-_FADER = [
-    "'d' || p % 3 AS device", "CAST(floor(p / 12) % 2 AS INT) AS channel", "CAST(p % 4 + 32 * (event_id % 2) AS INT) AS cc",
-    "CAST(floor(value) AS INT) % 128 AS value",
-    "CAST(p * 50 + CASE WHEN event_id % 2 = 0 THEN 0 WHEN p % 97 = 0 THEN 45 WHEN user_id % 7 = 0 THEN 20 ELSE 2 END AS DOUBLE) AS t_ms",
-]
-_PAIR = "CAST(floor(event_id / 2) AS BIGINT) AS p"
-
-
 @query("str02_learned_pairs", f"""WITH RECURSIVE m AS (SELECT device, channel, cc % 32 AS cc, cc >= 32 AS fine, value, t_ms FROM (SELECT {", ".join(_FADER)} FROM (SELECT *, {_PAIR} FROM events) WHERE event_id % 62 <> 1)),
 e AS (SELECT *, row_number() OVER (PARTITION BY device, channel, cc ORDER BY t_ms, fine, value) AS n FROM m),
 s AS (SELECT device, channel, cc, fine, t_ms, n, CASE WHEN NOT fine THEN value END AS hi, CASE WHEN NOT fine THEN t_ms END AS since, 0 AS streak, NOT fine AS opened, false AS wide, CASE WHEN NOT fine THEN value / 127e0 END AS v FROM e WHERE n = 1 UNION ALL

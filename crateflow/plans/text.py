@@ -126,33 +126,6 @@ def str_f15_notes(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "documents").select("doc_id", F.array_join(L.release_notes(body), "|").alias("lines"))
 
 
-@query("str_f16_noise")
-def str_f16(spark: SparkSession, sf: str) -> DataFrame:
-    return N.with_typos(A.messages(spark, sf), "text", seed=11)
-
-
-_BEFORE, _BEHIND = ["", "", "please ", "ok, "], ["", "!", " thanks"]
-
-
-def _draw_sql(k: int) -> str:
-    return f"(('0x' || substr(md5(coalesce(text, '') || ':11:{k}'), 1, 7))::INT / 268435456e0)"
-
-
-def _typo_sql(k: int, chance: float) -> str:
-    """A step of noise as SQL: `noisy` of the relation before, changed where the draw says so."""
-    return f"""(SELECT * EXCLUDE (noisy, words, long, place, word, j), CASE WHEN {_draw_sql(k)} < {chance} AND len(long) > 0 THEN array_to_string(list_transform(words, lambda w, i: CASE WHEN i <> place THEN w
- WHEN {_draw_sql(k + 3)} < 0.4e0 THEN word[:j] || word[j + 2] || word[j + 1] || word[j + 3:] WHEN {_draw_sql(k + 3)} < 0.7e0 THEN word[:j] || word[j + 2:] ELSE word[:j + 1] || word[j + 1:] END), ' ') ELSE noisy END AS noisy
- FROM (SELECT *, CAST(1 + floor({_draw_sql(k + 2)} * (length(word) - 2)) AS INT) AS j FROM (SELECT *, words[place] AS word FROM (SELECT *, long[CAST(floor({_draw_sql(k + 1)} * len(long)) AS INT) + 1] AS place FROM
- (SELECT *, list_filter(range(1, len(words) + 1), lambda i: length(words[i]) >= 5) AS long FROM (SELECT *, string_split(noisy, ' ') AS words FROM {{}}))))))"""
-
-
-def _phrase_sql(options: list[str], k: int) -> str:
-    return f"{options}[CAST(floor({_draw_sql(k)} * {len(options)}) AS INT) + 1]"
-
-
-_NOISY_SQL = f"WITH {A.MESSAGES_SQL} SELECT conv_id, turn, noisy FROM " + _typo_sql(6, 0.05).format(_typo_sql(2, 0.15).format(f"(SELECT *, {_phrase_sql(_BEFORE, 0)} || text || {_phrase_sql(_BEHIND, 1)} AS noisy FROM messages)"))
-
-
 @query("str_f16_noisy_messages", _NOISY_SQL)
 def str_f16_noisy(spark: SparkSession, sf: str) -> DataFrame:
     return N.noisy(A.messages(spark, sf), "text", 11, _BEFORE, _BEHIND).select("conv_id", "turn", "noisy")
