@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from crateflow.functions.text import chat_features, clean, fnv1a
 
-def phrases_found(text: Column, vocabulary: list[str] | tuple[str, ...]) -> Column:
-    """The phrases of the vocabulary in a text as whole words, longest first; what one has used is not found again."""
+def phrases_found(text: Column, vocabulary: list[str] | tuple[str, ...] | Column) -> Column:
+    """The phrases of the vocabulary (or of an array of phrases) in a text as whole words, longest first; what one has used
+    is not found again."""
     start = F.struct(F.concat(F.lit(" "), clean(text), F.lit(" ")).alias("t"), F.array().cast("array<string>").alias("f"))
-    words = F.array(*[F.lit(v) for v in sorted(vocabulary, key=lambda v: (-len(v), v))])
+    if isinstance(vocabulary, Column):
+        words = F.transform(F.array_sort(F.transform(vocabulary, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda x: x["v"])
+    else:
+        words = F.array(*[F.lit(v) for v in sorted(vocabulary, key=lambda v: (-len(v), v))])
 
     def take(acc: Column, v: Column) -> Column:
         key = F.concat(F.lit(" "), v, F.lit(" "))
@@ -89,15 +93,6 @@ def applied(actions: DataFrame, user: str, order: str) -> DataFrame:
     return folded.select(user, state.alias("state"), F.size("s.stack").alias("applied"), F.col("s.failed").alias("failed"))
 
 
-def with_typos(messages: DataFrame, column: str, seed: int) -> DataFrame:
-    """messages with `noisy`: one pair of neighbouring letters swapped, at a place drawn from a hash of the text."""
-    n = F.length(column)
-    at = (F.pmod(F.xxhash64(column, F.lit(seed)), F.greatest(n - 1, F.lit(1))) + 1).cast("int")
-    s = F.col(column)
-    swapped = F.concat(F.substring(s, F.lit(1), at - 1), F.substring(s, at + 1, F.lit(1)), F.substring(s, at, F.lit(1)), F.substring(s, at + 2, n))
-    return messages.withColumn("noisy", F.when(n > 1, swapped).otherwise(s))
-
-
 def _draw(column: str, seed: int, k: int) -> Column:
     """A number from 0 to 1 drawn from a text, a seed and a counter."""
     digits = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(column), F.lit("")), F.lit(str(seed)), F.lit(str(k)))), 1, 7)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crateflow import adapters as A
 from crateflow.operators import interpreter as I
+from crateflow.operators import listener as Y
 from crateflow.operators import requests as N
 from crateflow.plans import sqlparts as S
 from crateflow.plans.core import query
@@ -99,7 +100,7 @@ def _sql() -> str:
     bars = _number(f"regexp_extract(t, {_lit(I.BARS_ASKED)}, 1)")
     near = f"CAST(list_sort(list_transform([{', '.join(map(str, I.BARS))}], lambda b: {{'d': abs(b - {bars}), 'b': b}}))[1].b AS VARCHAR)"
     length = f"CASE WHEN {bars} IS NOT NULL AND NOT {_has(I.BARS_FOR_TRACKS)} THEN {near} ELSE {_first(I.MIX_LENGTHS)} END"
-    style = f"CASE WHEN NOT {_has(I.CLEAR)} OR {_has(I.STYLE_AFTER_CLEAR)} THEN {_first(I.STYLES)} END"
+    style = f"CASE WHEN NOT {_has(I.CLEAR)} OR {_has(I.STYLE_AFTER_CLEAR)} THEN coalesce({_first(I.STYLES)}, CASE WHEN {_has(I.FILTER_STYLE, f"regexp_replace(t, {_lit(I.FILTER_OF_TRACKS)}, ' ', 'g')")} THEN 'filter' WHEN {_has(I.AUTO_STYLE)} THEN 'auto' END) END"
     options = [f"'strategy=' || {_strategy('t')}", f"'style=' || ({style})", f"'bars=' || ({length})", _toggle(*I.TOGGLES[0]), f"CASE WHEN {often} THEN 'mashup=on' WHEN {pair} IS NULL AND NOT {any_mashup} THEN {_toggle(*I.TOGGLES[1])} END"]
     options += [f"'returnTempo=' || {_first(I.RETURN_TEMPO)}", f"'mode=' || {_first(I.MODES)}", f"'source=' || coalesce({_part(I.PLAYLIST)}, CASE WHEN {_has(I.WHOLE_LIBRARY)} THEN 'library' END)"]
     queue = [f"CASE WHEN {_has(I.QUEUE_CLEAR)} THEN 'clear' END", f"CASE WHEN {_has(I.QUEUE_SHUFFLE)} THEN 'shuffle' END", f"'remove=' || {_part(I.QUEUE_REMOVE)}", f"'next=' || {_part(I.QUEUE_NEXT)}"]
@@ -131,6 +132,21 @@ def nlu01(spark: SparkSession, sf: str) -> DataFrame:
     return _asked(spark, sf).select("conv_id", "turn", "n", "kind", "value")
 
 
+@query("nlu01_library_actions")
+def nlu01_library(spark: SparkSession, sf: str) -> DataFrame:
+    """The listeners' messages, each before a request for a track of the library by its words, read with the library's genres
+    and tracks: titles, artists and genres of `part`."""
+    n = F.count("*").alias("_n")
+    tracks = A.tracks(spark, sf).select("id", "title", "artist", "genre")
+    verbs = ("metti", "suona", "aggiungi", "dopo questo metti", "solo")
+    m = A.messages(spark, sf).crossJoin(F.broadcast(tracks.agg(n))).withColumn("_id", F.pmod(F.xxhash64("conv_id", "turn"), "_n") + 1)
+    named = tracks.select(F.col("id").alias("_id"), "title", F.lower("genre").alias("_genre"))
+    verb = F.element_at(F.array(*map(F.lit, verbs)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(verbs))) + 1).cast("int"))
+    request = F.concat(verb, F.lit(" "), F.when(verb == "solo", F.col("_genre")).otherwise(F.col("title")), F.lit(", "), F.coalesce("text", F.lit("")))
+    m = m.join(named, "_id").select("conv_id", "turn", request.alias("text"))
+    return Y.library_actions(m, ["conv_id", "turn"], "text", tracks)
+
+
 @query("nlu02_rules_over_model", f"""{_ACTIONS}, r AS (SELECT DISTINCT conv_id, turn, x.kind AS head FROM acts), g AS (SELECT conv_id, turn, h AS head FROM conversations, (SELECT unnest(['filters', 'option', 'control', 'talk']) AS h) WHERE role = 'user' AND (conv_id + turn + length(h)) % 3 = 0)
 SELECT conv_id, turn, head, 'rule' AS label FROM r UNION ALL SELECT conv_id, turn, head, 'model' FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = g.conv_id AND r.turn = g.turn AND (r.head = g.head OR g.head = 'talk'))""")
 def nlu02(spark: SparkSession, sf: str) -> DataFrame:
