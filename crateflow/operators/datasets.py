@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crateflow.operators.rounds import cut
+
 from crateflow.functions.text import chat_normal, fnv1a
 
 
@@ -47,28 +49,22 @@ def weighted_sample(df: DataFrame, weight: Column, n: int, key: str, seed: int)
 
 
 def stratified_with_caps(df: DataFrame, group: str, artist: str, key: str, per_group: int, per_artist: int) -> DataFrame:
-    """Groups are served in order; each takes its next per_group rows whose artist is not used up by all before it.
+    """Groups are served in order; each takes its next per_group rows, by key, whose artist is not used up by all before it.
 
-    What a group may take depends on all groups before, so the choice is sequential; but only rows that could still be
-    taken are read: per group the first per_artist rows of each artist, whatever the size of df, so
-    the one task that chooses holds (groups * artists * per_artist) rows at most.
+    Chosen in rounds, by offer and acceptance: every group offers its first per_group rows that have not been turned down, and
+    every artist keeps the first per_artist of what is offered, by group and key, and turns the others down for good. When none
+    is turned down, the offers are what serving the groups one after another gives. A round is two windows and a join; no task
+    holds more than a group's or an artist's offers. is_test marks every fourth row of a group. Keys are distinct in a group.
     """
     w = Window.partitionBy(group, artist).orderBy(key)
-    possible = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_artist).drop("_n")
-
-    def choose(pdf):
-        used: dict = {}
-        keep = []
-        for _, part in pdf.sort_values([group, key]).groupby(group, sort=True):
-            taken = 0
-            for i, a in zip(part.index, part[artist]):
-                if taken < per_group and used.get(a, 0) < per_artist:
-                    used[a] = used.get(a, 0) + 1
-                    taken += 1
-                    keep.append((i, taken % 4 == 0))
-        out = pdf.loc[[i for i, _ in keep]].copy()
-        out["is_test"] = [t for _, t in keep]
-        return out
-
-    schema = ", ".join(f"{c} {t}" for c, t in possible.dtypes) + ", is_test boolean"
-    return possible.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda pdf: choose(pdf.drop(columns="_one")), schema)
+    possible = cut(df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_artist).drop("_n"))
+    refused = None
+    while True:
+        left = possible if refused is None else possible.join(refused, [group, key], "left_anti")
+        place = F.row_number().over(Window.partitionBy(group).orderBy(key))
+        offers = cut(left.withColumn("_place", place).where(F.col("_place") <= per_group))
+        rank = F.row_number().over(Window.partitionBy(artist).orderBy(group, key))
+        worse = offers.withColumn("_rank", rank).where(F.col("_rank") > per_artist).select(group, key)
+        if worse.isEmpty():
+            return offers.withColumn("is_test", F.col("_place") % 4 == 0).drop("_place")
+        refused = cut(worse if refused is None else refused.unionByName(worse))

@@ -129,10 +129,40 @@ def noisy(messages: DataFrame, column: str, seed: int, before: list[str], behind
     return out
 
 
-def tuned_threshold(rows: DataFrame, grid: DataFrame, penalty: float = 3.0) -> DataFrame:
-    """The threshold of the grid with the best count of right answers less penalty times wrong ones, per head; rows are
-    (head, p, right). Thresholds are few and rows are counted once per threshold they reach."""
-    scored = rows.crossJoin(F.broadcast(grid)).where("p >= threshold")
-    s = scored.groupBy("head", "threshold").agg(F.sum(F.when(F.col("right"), 1.0).otherwise(-penalty)).alias("score"))
-    w = Window.partitionBy("head").orderBy(F.desc("score"), "threshold")
-    return s.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def tuned_thresholds(rows: DataFrame, clause_grid: tuple[float, ...], full_grid: tuple[float, ...], last: str = "talk", penalty: int = 3) -> DataFrame:
+    """(head, clause, full, score): for each head the pair of thresholds with the most right answers less penalty times wrong ones.
+
+    rows: message, head, truth, rule, clause_p, clause_label, full_p, full_label; labels are 0 or null for none. A rule's label stands
+    before the model's. The model gives the label of the surest clause if its probability reaches the first threshold, else
+    that of the whole message if it reaches the second. The head `last` counts only in messages in which no other head says
+    anything, unless a rule does: it is tuned after the others, with their thresholds. Of equal pairs the first of the grids is taken.
+
+    The scores of all pairs follow from one histogram of how many thresholds each row reaches, so rows are read once for
+    the heads that stand by themselves and once for the last. As those don't depend on each other, going through the heads
+    again changes nothing.
+    """
+    grids = rows.sparkSession.createDataFrame([(i, j, c, f) for i, c in enumerate(clause_grid) for j, f in enumerate(full_grid)], "i int, j int, clause double, full double")
+    gain = lambda label: F.when(F.coalesce(label, F.lit(0)) == 0, 0).when(label == F.col("truth"), 1).otherwise(-penalty)
+    reached = lambda p, grid: F.aggregate(F.array(*[F.lit(float(g)) for g in grid]), F.lit(0), lambda n, g: n + (F.coalesce(p, F.lit(-1.0)) >= g).cast("int"))
+
+    def best(some: DataFrame) -> DataFrame:
+        """Grids ascend: a row that reaches n thresholds reaches the first n."""
+        by_rule = F.col("rule") > 0
+        told = some.select(
+            "head", F.when(by_rule | (F.coalesce("clause_label", F.lit(0)) == 0), 0).otherwise(reached(F.col("clause_p"), clause_grid)).alias("c"), F.when(by_rule, 0).otherwise(reached(F.col("full_p"), full_grid)).alias("f"),
+            gain(F.col("clause_label")).alias("by_clause"), gain(F.col("full_label")).alias("by_full"), F.when(by_rule, gain(F.col("rule"))).otherwise(0).alias("by_rule"),
+        )
+        bins = told.groupBy("head", "c", "f").agg(*[F.sum(x).alias(x) for x in ("by_clause", "by_full", "by_rule")])
+        value = F.col("by_rule") + F.when(F.col("c") > F.col("i"), F.col("by_clause")).when(F.col("f") > F.col("j"), F.col("by_full")).otherwise(0)
+        scores = bins.crossJoin(F.broadcast(grids)).groupBy("head", "i", "j", "clause", "full").agg(F.sum(value).alias("score"))
+        top = F.max(F.struct("score", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"), "clause", "full")).alias("t")
+        return scores.groupBy("head").agg(top).select("head", "t.clause", "t.full", F.col("t.score").cast("long").alias("score"))
+
+    first = best(rows.where(F.col("head") != last))
+    known = rows.where(F.col("head") != last).join(F.broadcast(first.select("head", "clause", "full")), "head")  # a row for each head
+    by_clause = (F.coalesce("clause_label", F.lit(0)) > 0) & (F.col("clause_p") >= F.col("clause"))
+    says = F.when(F.col("rule") > 0, True).when(by_clause, True).otherwise((F.coalesce("full_label", F.lit(0)) > 0) & (F.coalesce("full_p", F.lit(-1.0)) >= F.col("full")))
+    speaking = known.where(F.coalesce(says, F.lit(False))).select("message").distinct().withColumn("_speaks", F.lit(True))
+    rest = rows.where(F.col("head") == last).join(speaking, "message", "left")
+    silenced = [F.when(F.col("_speaks").isNull(), F.col(c)).alias(c) for c in ("clause_label", "full_label")]
+    return first.unionByName(best(rest.select("message", "head", "truth", "rule", "clause_p", "full_p", *silenced)))

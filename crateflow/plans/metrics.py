@@ -111,11 +111,28 @@ def sig22(spark: SparkSession, sf: str) -> DataFrame:
 _GRID = "(SELECT range / 10e0 AS threshold FROM range(1, 9))"
 
 
-@query("nlu05_tuned_threshold", f"WITH r AS (SELECT event_type AS head, value / 100e0 AS p, user_id % 4 <> 0 AS ok FROM events), s AS (SELECT head, threshold, sum(CASE WHEN ok THEN 1e0 ELSE -3e0 END) AS score FROM r, {_GRID} WHERE p >= threshold GROUP BY 1, 2) SELECT head, threshold, score FROM s QUALIFY row_number() OVER (PARTITION BY head ORDER BY score DESC, threshold) = 1")
+_HEADS = ("filters", "option", "control", "talk")
+_CLAUSE_GRID, _FULL_GRID = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 1.01), (0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 1.01)
+#: Four events in a row are a message with its heads; a probability follows from an event's value.
+_JUDGED = [
+    "CAST(floor(event_id / 4) AS BIGINT) AS message", "event_id % 4 AS h", "CAST(user_id % 3 AS INT) AS truth", "CAST(CASE WHEN event_id % 7 = 0 THEN user_id % 3 ELSE 0 END AS INT) AS rule",
+    "1 - (value % 50) / 100e0 AS clause_p", "CAST(CASE WHEN event_id % 5 = 0 THEN NULL WHEN value % 10 < 7 THEN user_id % 3 ELSE 1 + event_id % 2 END AS INT) AS clause_label",
+    "1 - (value % 33) / 100e0 AS full_p", "CAST(CASE WHEN value % 9 < 7 THEN user_id % 3 ELSE 2 END AS INT) AS full_label",
+]
+_MERGED = "CASE WHEN rule > 0 THEN rule WHEN coalesce(clause_label, 0) > 0 AND clause_p >= tc THEN clause_label WHEN full_label > 0 AND full_p >= tf THEN full_label ELSE 0 END"
+_SCORED = "sum(CASE WHEN said = truth AND truth > 0 THEN 1 WHEN said > 0 AND said <> truth THEN -3 ELSE 0 END)"
+_PICK = "QUALIFY row_number() OVER (PARTITION BY head ORDER BY score DESC, tc, tf) = 1"
+
+
+@query("nlu05_tuned_threshold", f"""WITH r AS (SELECT *, {list(_HEADS)}[h + 1] AS head FROM (SELECT {", ".join(_JUDGED)} FROM events)), g AS (SELECT * FROM (SELECT unnest({list(_CLAUSE_GRID)}) AS tc), (SELECT unnest({list(_FULL_GRID)}) AS tf)),
+s AS (SELECT head, tc, tf, {_SCORED} AS score FROM (SELECT *, {_MERGED} AS said FROM r, g WHERE head <> 'talk') GROUP BY ALL), b AS (SELECT * FROM s {_PICK}),
+o AS (SELECT DISTINCT message FROM (SELECT r.*, {_MERGED} AS said FROM r JOIN b USING (head)) WHERE said > 0),
+t AS (SELECT head, tc, tf, {_SCORED} AS score FROM (SELECT *, CASE WHEN rule = 0 AND message IN (SELECT message FROM o) THEN 0 ELSE {_MERGED} END AS said FROM r, g WHERE head = 'talk') GROUP BY ALL), u AS (SELECT * FROM t {_PICK})
+SELECT head, CAST(tc AS DOUBLE) AS clause, CAST(tf AS DOUBLE) AS "full", CAST(score AS BIGINT) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM u)""")
 def nlu05(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.table(spark, sf, "events").select(F.col("event_type").alias("head"), (F.col("value") / 100.0).alias("p"), (F.col("user_id") % 4 != 0).alias("right"))
-    grid = spark.range(1, 9).select((F.col("id") / 10.0).alias("threshold"))
-    return N.tuned_threshold(rows, grid)
+    rows = A.table(spark, sf, "events").selectExpr(*_JUDGED)
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("h") + 1).cast("int"))
+    return N.tuned_thresholds(rows.withColumn("head", head), _CLAUSE_GRID, _FULL_GRID)
 
 
 @query("nlu06_systems_table", f"""WITH {_EVAL}, {_LONG}, s AS (SELECT 'rule' AS system, doc_id, head, truth, CASE WHEN head = 'quality' THEN guess ELSE 0 END AS guess FROM l UNION ALL SELECT 'model', doc_id, head, truth, guess FROM l UNION ALL SELECT 'both', doc_id, head, truth, coalesce(nullif(CASE WHEN head = 'quality' THEN guess ELSE 0 END, 0), guess) FROM l),

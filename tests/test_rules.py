@@ -241,3 +241,63 @@ def test_structure_of_tracks(spark):
     rows = [(k, i, float(e)) for k, es in enumerate((quiet_ends, late, long, short)) for i, e in enumerate(es)]
     got = {r.s: (r.bars, r.intro, r.outro, r.mix_out, round(r.sustained, 6)) for r in R.structure(spark.createDataFrame(rows, "s int, bar long, energy double"), "s").collect()}
     assert got == {0: (32, 6, 32, 16, 0.625), 1: (13, 0, 8, 5, round(10 / 13, 6)), 2: (100, 0, 56, 56, 0.5), 3: (2, 0, 2, 0, 0.5)}
+
+
+def test_capped_selection_is_that_of_serving_groups_in_turn(spark):
+    import random
+
+    from crateflow.operators import datasets
+
+    for seed, (n, groups, artists, per_group, per_artist) in enumerate([(300, 6, 9, 12, 2), (80, 8, 3, 5, 1), (200, 3, 60, 40, 3), (60, 12, 2, 4, 2), (0, 1, 1, 1, 1)]):
+        r = random.Random(seed)
+        rows = [(i, f"g{r.randrange(groups)}", f"a{min(r.randrange(artists), r.randrange(artists))}") for i in range(n)]
+        used, want = {}, {}
+        for g in sorted({x[1] for x in rows}):
+            taken = 0
+            for i, group, a in rows:
+                if group == g and taken < per_group and used.get(a, 0) < per_artist:
+                    used[a] = used.get(a, 0) + 1
+                    taken += 1
+                    want[i] = taken % 4 == 0
+        got = datasets.stratified_with_caps(spark.createDataFrame(rows, "id int, grp string, artist string"), "grp", "artist", "id", per_group, per_artist)
+        assert {x.id: x.is_test for x in got.collect()} == want
+
+
+def test_thresholds_are_those_of_two_passes_over_the_heads(spark):
+    import random
+
+    from crateflow.operators import requests
+
+    heads, clauses, fulls = ["talk", "a", "b", "c"], (0.5, 0.7, 0.9, 1.01), (0.6, 0.8, 1.01)
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = []
+        for m in range(120):
+            for h in heads:
+                y = r.choice([0, 0, 1, 2])
+                guess = lambda: y if r.random() < 0.7 else r.choice([0, 1, 2])  # noqa: B023, E731
+                rows.append((m, h, y, guess() if r.random() < 0.2 else 0, r.choice([None, r.random()]), guess(), round(r.random(), 2), guess()))
+        th = {h: (0.9, 1.01) for h in heads}
+
+        def said(th):
+            out = {}
+            for m, h, y, rule, pc, lc, pf, lf in rows:
+                out[m, h] = rule or (lc if lc and pc is not None and pc >= th[h][0] else lf if lf and pf >= th[h][1] else 0)
+            for m, h, y, rule, *_ in rows:
+                if h == "talk" and any(out[m, o] for o in heads if o != "talk"):
+                    out[m, h] = rule
+            return out
+
+        truth, scores = {(x[0], x[1]): x[2] for x in rows}, {}
+        for _ in range(2):
+            for h in heads:
+                best = None
+                for c in clauses:
+                    for f in fulls:
+                        got = said({**th, h: (c, f)})
+                        score = sum(1 if got[k] == truth[k] > 0 else -3 if got[k] and got[k] != truth[k] else 0 for k in got if k[1] == h)
+                        if best is None or score > best[0]:
+                            best = (score, c, f)
+                th[h], scores[h] = best[1:], best[0]
+        df = spark.createDataFrame(rows, "message int, head string, truth int, rule int, clause_p double, clause_label int, full_p double, full_label int")
+        assert {x.head: (x.clause, x.full, x.score) for x in requests.tuned_thresholds(df, clauses, fulls).collect()} == {h: (*th[h], scores[h]) for h in heads}
