@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from contextlib import contextmanager
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from crateflow import adapters as A
 from crateflow.plans.core import query
 from crateflow.sources import files
+from crateflow.sources.watch import NewFiles
 from crateflow.streaming import arrivals as S
 
 
@@ -113,6 +115,41 @@ def str01_stream(spark: SparkSession, sf: str) -> DataFrame:
         return _drained(S.settling(e, "1 second"))
 
 
+@query("src13_new_files", f"""WITH {A.HISTORY_SQL}, f AS (SELECT id % 40 AS k, count(*) AS n FROM history GROUP BY 1)
+SELECT k || CASE k % 4 WHEN 0 THEN '.mp3' WHEN 1 THEN '.flac' ELSE '.zip' END AS name, CAST(n AS BIGINT) AS size, k % 4 < 2 AS wanted FROM f WHERE k % 4 < 3 AND k % 3 > 0""")
+def src13(spark: SparkSession, sf: str) -> DataFrame:
+    """A file for each of 40 kinds of tracks, as large as the kind was played often, written by the executors while a stream looks at the folder.
+    Every third was there before, every fourth has the name of an unfinished download. The stream runs when the query is built."""
+    spark.dataSource.register(NewFiles)
+    folder = _place(spark, "arrivals").removeprefix("file:")
+    os.makedirs(folder)
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".mp3", ".flac", ".zip", ".mp3.part")]), (F.col("k") % 4 + 1).cast("int"))
+    sizes = A.history(spark, sf).groupBy((F.col("id") % 40).alias("k")).agg(F.count("*").alias("n")).select("k", F.concat(F.col("k").cast("string"), ending).alias("name"), "n")
+
+    def put(it):
+        for pdf in it:
+            for name, n in zip(pdf["name"], pdf["n"]):
+                with open(f"{folder}/{name}", "wb") as f:
+                    f.write(b"x" * n)
+            yield pdf[["n"]]
+
+    def write(rows: DataFrame) -> None:
+        rows.select("name", "n").mapInPandas(put, "n long").agg(F.sum("n")).collect()
+
+    write(sizes.where("k % 3 = 0"))
+    out = _place(spark, "stream")
+    stream = spark.readStream.format("new_files").option("path", folder).load().select("name", "size", "wanted")
+    q = stream.writeStream.option("checkpointLocation", _place(spark, "offsets")).trigger(processingTime="100 milliseconds").format("parquet").option("path", out).start()
+    try:
+        q.processAllAvailable()  # the first look
+        write(sizes.where("k % 3 > 0"))
+        q.processAllAvailable()
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 @query("str01_idle_stop", """WITH e AS (SELECT user_id AS folder, epoch_us(ts) / 1e6 AS t FROM events), s AS (SELECT folder, min(t) - 3600 AS t FROM e GROUP BY 1),
 a AS (SELECT folder, t, 1 AS n FROM e UNION ALL SELECT folder, t, 0 FROM s), x AS (SELECT folder, t FROM (SELECT folder, t, lag(t) OVER (PARTITION BY folder ORDER BY t, n) AS b FROM a) WHERE t - b > 21600)
 SELECT folder, CAST(sum(n) AS BIGINT) AS arrived, round(max(t) + 21600, 3) AS stopped FROM a WHERE t < coalesce((SELECT min(t) FROM x WHERE x.folder = a.folder), 1e12) GROUP BY folder""")

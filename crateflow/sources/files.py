@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 AUDIO = ("mp3", "m4a", "aac", "flac", "wav", "aif", "aiff", "ogg", "oga", "opus", "wma", "mp4", "alac", "webm")
-PARTIAL = ("crdownload", "part", "partial", "download", "tmp", "opdownload")
+PARTIAL = ("crdownload", "part", "partial", "download", "tmp", "temp", "opdownload")
 MOST_DEPTH = 24
 
 
