@@ -24,13 +24,13 @@ def _alias(v: Column, field: str) -> Column:
     return F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")) for name in ALIASES[field]])
 
 
-def entries(texts: DataFrame, column: str) -> DataFrame:
-    """(pos, artist, title, sec, warning) of every entry of the set-lists in a text column."""
-    v = texts.select(embedded_json(F.col(column)).alias("v"))
+def entries(texts: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, pos, artist, title, sec, warning) of every entry of the set-lists in a text column."""
+    v = texts.select(*keys, embedded_json(F.col(column)).alias("v"))
     lists = F.coalesce(*[F.try_variant_get("v", f"$.{name}", "array<variant>") for name in ALIASES["entries"]])
-    e = v.select(F.posexplode(lists).alias("pos", "e"))
+    e = v.select(*keys, F.posexplode(lists).alias("pos", "e"))
     title = _alias(F.col("e"), "title")
-    return e.select("pos", _alias(F.col("e"), "artist").alias("artist"), title.alias("title"), seconds_of(_alias(F.col("e"), "sec")).alias("sec"), F.when(title.isNull(), "no title").otherwise("").alias("warning"))
+    return e.select(*keys, "pos", _alias(F.col("e"), "artist").alias("artist"), title.alias("title"), seconds_of(_alias(F.col("e"), "sec")).alias("sec"), F.when(title.isNull(), "no title").otherwise("").alias("warning"))
 
 
 def cue_minutes(s: Column) -> Column:

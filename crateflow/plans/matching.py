@@ -158,11 +158,12 @@ def joi23(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(user, F.col("id") == F.col("u"), "left").join(profile, F.col("id") == F.col("p"), "left").select("id", F.coalesce("x", "y").alias("action"))
 
 
-@query("joi24_templates", "SELECT v || ' ' || o AS phrase FROM (VALUES ('play'), ('queue'), ('skip')) AS a(v), (VALUES ('this'), ('the next one'), ('something slower')) AS b(o)")
+@query("joi24_templates", "SELECT v || ' something from ' || r_name || ' by ' || n_name AS phrase FROM (SELECT unnest(['play', 'queue', 'skip']) AS v), region JOIN nation ON n_regionkey = r_regionkey")
 def joi24(spark: SparkSession, sf: str) -> DataFrame:
-    v = spark.createDataFrame([("play",), ("queue",), ("skip",)], "v string")
-    o = spark.createDataFrame([("this",), ("the next one",), ("something slower",)], "o string")
-    return v.crossJoin(o).select(F.format_string("%s %s", "v", "o").alias("phrase"))
+    """Templates filled with all values of their places."""
+    places = A.table(spark, sf, "nation").join(A.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    verbs = F.explode(F.array(*map(F.lit, ("play", "queue", "skip")))).alias("v")
+    return places.select("r_name", "n_name", verbs).select(F.format_string("%s something from %s by %s", "v", "r_name", "n_name").alias("phrase"))
 
 
 @query("src30_validate_mapping", "SELECT CAST(p_partkey AS BIGINT) AS id, regexp_matches(p_brand, '#[0-9]{2}$') AND p_size <= 40 AS accepted FROM part")

@@ -21,12 +21,12 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "other")
 
 
-@query("mus_f01_keys", f"WITH {A.KEYS_SQL} SELECT k.key, k.code, (k.tonic + 5) % 12 AS fifth, o.key AS shifted FROM keys k JOIN keys o ON o.tonic = (k.tonic + 3) % 12 AND o.minor = k.minor")
+@query("mus_f01_keys", f"WITH {A.KEYED_SQL} SELECT t.id, t.code, (k.tonic + 5) % 12 AS fifth, o.key AS shifted FROM keyed t JOIN keys k USING (key_idx) JOIN keys o ON o.tonic = (k.tonic + 3) % 12 AND o.minor = k.minor")
 def mus_f01(spark: SparkSession, sf: str) -> DataFrame:
-    k = A.keys(spark)
-    parsed = k.withColumn("p", wire.parse_key(F.col("key"))).where("p IS NOT NULL")
-    o = k.select(F.col("key").alias("shifted"), F.col("tonic").alias("t"), F.col("minor").alias("m"))
-    return parsed.join(o, (F.col("t") == (F.col("p.tonic") + 3) % 12) & (F.col("m") == F.col("p.minor"))).select("key", "code", ((F.col("p.tonic") + 5) % 12).alias("fifth"), "shifted")
+    """Every track's key read from its name, and its name three semitones up."""
+    parsed = A.keyed(spark, sf).withColumn("p", wire.parse_key(F.col("key"))).where("p IS NOT NULL")
+    o = F.broadcast(A.keys(spark).select(F.col("key").alias("shifted"), F.col("tonic").alias("t"), F.col("minor").alias("m")))  # 24 rows
+    return parsed.join(o, (F.col("t") == (F.col("p.tonic") + 3) % 12) & (F.col("m") == F.col("p.minor"))).select("id", "code", ((F.col("p.tonic") + 5) % 12).alias("fifth"), "shifted")
 
 
 @query("mus_f02_tempo_ratio", f"WITH {_PAIR_SQL} SELECT id, other, round({S.ratio('abpm', 'bbpm')}, 9) AS ratio FROM pair")
@@ -39,25 +39,30 @@ def mus_f03(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("id", "other", F.round(music.bpm_score(F.col("abpm"), F.col("bbpm")), 6).alias("score"))
 
 
-@query("mus_f04_key_score", f"WITH {A.KEYS_SQL} SELECT a.code AS a, b.code AS b, {S.key_score('a.camelot_n', 'a.camelot_l', 'b.camelot_n', 'b.camelot_l')} AS score FROM keys a, keys b")
+@query("mus_f04_key_score", f"WITH {A.KEYED_SQL}, {A.PLAYLISTS_SQL}, p AS (SELECT playlist, pos, track, lead(track) OVER (PARTITION BY playlist ORDER BY pos) AS nxt FROM playlists) SELECT playlist, pos, a.code AS a, b.code AS b, {S.key_score('a.camelot_n', 'a.camelot_l', 'b.camelot_n', 'b.camelot_l')} AS score FROM p JOIN keyed a ON a.id = track JOIN keyed b ON b.id = nxt")
 def mus_f04(spark: SparkSession, sf: str) -> DataFrame:
-    k = A.keys(spark)
-    a = k.select(F.col("code").alias("a"), F.col("camelot_n").alias("an"), F.col("camelot_l").alias("al"))
-    b = k.select(F.col("code").alias("b"), F.col("camelot_n").alias("bn"), F.col("camelot_l").alias("bl"))
-    return a.crossJoin(F.broadcast(b)).select("a", "b", music.key_score(F.col("an"), F.col("al"), F.col("bn"), F.col("bl")).alias("score"))
+    """How well the keys of neighbours in all playlists go together."""
+    t = A.keyed(spark, sf)
+    a, b = (t.select(F.col("id").alias(f"_{x}"), F.col("code").alias(x), F.col("camelot_n").alias(f"{x}n"), F.col("camelot_l").alias(f"{x}l")) for x in "ab")
+    p = A.playlists(spark, sf).selectExpr("playlist", "pos", "track", "lead(track) OVER (PARTITION BY playlist ORDER BY pos) AS nxt")
+    pairs = p.join(a, F.col("track") == F.col("_a")).join(b, F.col("nxt") == F.col("_b"))
+    return pairs.select("playlist", "pos", "a", "b", music.key_score(F.col("an"), F.col("al"), F.col("bn"), F.col("bl")).alias("score"))
 
 
 _WANT = "CASE s WHEN 'rise' THEN least(10e0, cur + CASE WHEN step % 2 = 0 THEN 1 ELSE 0 END) WHEN 'wave' THEN greatest(3e0, least(10e0, 6.5e0 + sin(step / 6e0 * 3.141592653589793e0 * 2) * 3)) WHEN 'chill' THEN least(cur, 5e0) WHEN 'peak' THEN 9e0 ELSE cur END"
 
 
-@query("mus_f05_target_energy", f"SELECT s AS strategy, CAST(energy AS INT) AS energy, CAST(step AS INT) AS step, round({_WANT}, 6) AS want FROM (SELECT *, CASE WHEN energy = 0 THEN 6e0 ELSE energy::DOUBLE END AS cur FROM (SELECT unnest(['steady','rise','wave','chill','peak']) AS s), (SELECT range AS energy FROM range(11)), (SELECT range AS step FROM range(12)))")
+@query("mus_f05_target_energy", f"SELECT event_id, s AS strategy, round({_WANT}, 6) AS want FROM (SELECT *, CASE WHEN energy = 0 THEN 6e0 ELSE energy::DOUBLE END AS cur FROM (SELECT event_id, ['steady','rise','wave','chill','peak'][user_id % 5 + 1] AS s, event_id % 11 AS energy, CAST(floor(value) AS BIGINT) % 12 AS step FROM events))")
 def mus_f05(spark: SparkSession, sf: str) -> DataFrame:
-    base = spark.range(11).select(F.col("id").cast("int").alias("energy")).crossJoin(F.broadcast(spark.range(12).select(F.col("id").cast("int").alias("step"))))
-    out = None
-    for s in ("steady", "rise", "wave", "chill", "peak"):
-        one = base.select(F.lit(s).alias("strategy"), "energy", "step", F.round(music.target_energy(s, F.col("energy"), F.col("step")), 6).alias("want"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The energy wanted after each event of a set; a user keeps to one strategy."""
+    base = A.table(spark, sf, "events").selectExpr("event_id", "user_id % 5 AS k", "CAST(event_id % 11 AS INT) AS energy", "CAST(CAST(floor(value) AS BIGINT) % 12 AS INT) AS step")
+    strategies = ("steady", "rise", "wave", "chill", "peak")
+    name, want = None, None
+    for k, s in enumerate(strategies):
+        value = music.target_energy(s, F.col("energy"), F.col("step")).cast("double")
+        name = F.when(F.col("k") == k, s) if name is None else name.when(F.col("k") == k, s)
+        want = F.when(F.col("k") == k, value) if want is None else want.when(F.col("k") == k, value)
+    return base.select("event_id", name.alias("strategy"), F.round(want, 6).alias("want"))
 
 
 @query("mus_f06_genre_similarity", f"WITH {A.TRACKS_SQL}, g AS (SELECT id, CASE WHEN id % 23 = 0 THEN '' ELSE genre || CASE WHEN id % 2 = 0 THEN ', Club' ELSE '/Radio Mix' END END AS g FROM tracks) SELECT a.id, b.id AS other, {S.genre_similarity('a.g', 'b.g')} AS s FROM g a JOIN g b ON b.id = (a.id * 13 + 7) % (SELECT count(*) FROM part)")
@@ -89,27 +94,31 @@ def mus_f08(spark: SparkSession, sf: str) -> DataFrame:
 _SWAP = f"CASE WHEN p < 0.5 THEN {S.ease('p / 0.5e0')} * 0.5e0 ELSE 0.5e0 + {S.ease('(p - 0.5e0) / 0.5e0')} * 0.5e0 END"
 
 
-@query("mus_f09_automation", f"""SELECT kind, CAST(i AS INT) AS i, round(CASE kind WHEN 'bassswap' THEN {_SWAP} WHEN 'filter' THEN {S.ease('(p - 0.15e0) / 0.85e0')} WHEN 'echo' THEN {S.ease('(p - 0.55e0) / 0.45e0')} WHEN 'cut' THEN CASE WHEN p >= 0.5 THEN 1e0 ELSE 0e0 END WHEN 'rapid' THEN CASE WHEN p >= 0.98 THEN 1e0 ELSE 0e0 END ELSE {S.ease('p')} END, 6) AS xf,
+@query("mus_f09_automation", f"""SELECT event_id, kind, CAST(i AS INT) AS i, round(CASE kind WHEN 'bassswap' THEN {_SWAP} WHEN 'filter' THEN {S.ease('(p - 0.15e0) / 0.85e0')} WHEN 'echo' THEN {S.ease('(p - 0.55e0) / 0.45e0')} WHEN 'cut' THEN CASE WHEN p >= 0.5 THEN 1e0 ELSE 0e0 END WHEN 'rapid' THEN CASE WHEN p >= 0.98 THEN 1e0 ELSE 0e0 END ELSE {S.ease('p')} END, 6) AS xf,
 CASE WHEN kind IN ('bassswap', 'rapid') AND p >= 0.5 THEN -1e0 ELSE 0e0 END AS out_low, round(CASE kind WHEN 'filter' THEN {S.ease('p / 0.9e0')} * 0.85e0 WHEN 'rapid' THEN {S.ease('p / 0.9e0')} * 0.6e0 ELSE 0e0 END, 6) AS out_filter, CASE WHEN kind = 'echo' AND p >= 0.6 THEN 0e0 ELSE 1e0 END AS out_level
-FROM (SELECT kind, i, i / 20e0 AS p FROM (SELECT unnest(['fade','bassswap','filter','echo','cut','rapid']) AS kind), (SELECT range AS i FROM range(21)))""")
+FROM (SELECT event_id, kind, i, i / 20e0 AS p FROM (SELECT event_id, ['fade','bassswap','filter','echo','cut','rapid'][user_id % 6 + 1] AS kind, CAST(floor(value) AS BIGINT) % 21 AS i FROM events))""")
 def mus_f09(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = spark.createDataFrame([(k,) for k in ("fade", "bassswap", "filter", "echo", "cut", "rapid")], "kind string")
-    grid = kinds.crossJoin(F.broadcast(spark.range(21).select(F.col("id").cast("int").alias("i"))))
+    """The controls at the place of a transition that each event tells."""
+    kinds = F.array(*map(F.lit, ("fade", "bassswap", "filter", "echo", "cut", "rapid")))
+    grid = A.table(spark, sf, "events").select("event_id", F.element_at(kinds, (F.col("user_id") % 6 + 1).cast("int")).alias("kind"), (F.floor("value") % 21).cast("int").alias("i"))
     s = music.transition_state(F.col("kind"), F.col("i") / 20.0)
-    return grid.select("kind", "i", F.round(s["xf"], 6).alias("xf"), s["out_low"].alias("out_low"), F.round(s["out_filter"], 6).alias("out_filter"), s["out_level"].alias("out_level"))
+    return grid.select("event_id", "kind", "i", F.round(s["xf"], 6).alias("xf"), s["out_low"].alias("out_low"), F.round(s["out_filter"], 6).alias("out_filter"), s["out_level"].alias("out_level"))
 
 
-@query("mus_f10_mixer_curves", """SELECT CAST(i AS INT) AS i, round(CASE WHEN x <= 0 THEN 1e0 ELSE 1e0 - x END, 6) AS linear_a, round(cos((x + 1) / 2 * 1.5707963267948966e0), 6) AS smooth_a, round(sin((x + 1) / 2 * 1.5707963267948966e0), 6) AS smooth_b, CASE WHEN x < 0.98 THEN 1e0 ELSE 0e0 END AS cut_a, round(((x + 1) / 2) * ((x + 1) / 2), 6) AS fader FROM (SELECT range AS i, range / 20e0 - 1 AS x FROM range(41))""")
+@query("mus_f10_mixer_curves", """SELECT event_id, round(CASE WHEN x <= 0 THEN 1e0 ELSE 1e0 - x END, 6) AS linear_a, round(cos((x + 1) / 2 * 1.5707963267948966e0), 6) AS smooth_a, round(sin((x + 1) / 2 * 1.5707963267948966e0), 6) AS smooth_b, CASE WHEN x < 0.98 THEN 1e0 ELSE 0e0 END AS cut_a, round(((x + 1) / 2) * ((x + 1) / 2), 6) AS fader FROM (SELECT event_id, (CAST(floor(value) AS BIGINT) % 41) / 20e0 - 1 AS x FROM events)""")
 def mus_f10(spark: SparkSession, sf: str) -> DataFrame:
-    g = spark.range(41).select(F.col("id").cast("int").alias("i"), (F.col("id") / 20.0 - 1).alias("x"))
+    g = A.table(spark, sf, "events").select("event_id", ((F.floor("value") % 41) / 20.0 - 1).alias("x"))
     c = wire.crossfader(F.col("x"))
-    return g.select("i", *[F.round(v, 6).alias(k) for k, v in c.items()])
+    return g.select("event_id", *[F.round(v, 6).alias(k) for k, v in c.items()])
 
 
-@query("mus_f11_energy_level", "SELECT CAST(d AS INT) AS db, CAST(s AS INT) AS share, CAST(floor(1 + 9 * (0.6e0 * greatest(0e0, least(1e0, (d + 24) / 16e0)) + 0.4e0 * greatest(0e0, least(1e0, s / 10e0))) + 0.5e0) AS INT) AS level FROM (SELECT -30 + range AS d FROM range(31)), (SELECT range AS s FROM range(11))")
+@query("mus_f11_energy_level", "SELECT series, round(d, 4) AS db, CAST(floor(1 + 9 * (0.6e0 * greatest(0e0, least(1e0, (d + 24) / 16e0)) + 0.4e0 * greatest(0e0, least(1e0, s))) + 0.5e0) AS INT) AS level FROM (SELECT user_id AS series, 20 * log10(sqrt(avg(value * value)) / 330 + 1e-9) AS d, avg(CASE WHEN value > 80 THEN 1e0 ELSE 0e0 END) AS s FROM events GROUP BY 1)")
 def mus_f11(spark: SparkSession, sf: str) -> DataFrame:
-    g = spark.range(31).select((F.col("id") - 30).cast("int").alias("db")).crossJoin(F.broadcast(spark.range(11).select(F.col("id").cast("int").alias("share"))))
-    return g.select("db", "share", music.energy_level(F.col("db"), F.col("share") / 10.0).alias("level"))
+    """The level of each series by its loudness and how much of it is loud."""
+    v = F.col("value")
+    db, share = 20 * F.log10(F.sqrt(F.avg(v * v)) / 330 + 1e-9), F.avg(F.when(v > 80, 1.0).otherwise(0.0))
+    g = A.table(spark, sf, "events").groupBy(F.col("user_id").alias("series")).agg(db.alias("d"), share.alias("s"))
+    return g.select("series", F.round("d", 4).alias("db"), music.energy_level(F.col("d"), F.col("s")).alias("level"))
 
 
 _BAR = "(240e0 / bpm)"

@@ -135,11 +135,11 @@ def win16(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("pre", F.explode(F.array(F.lit(0), F.lit(2), F.lit(4)))).where("n > pre").select("playlist", "pre", F.greatest(F.lit(0), F.col("n") - F.col("pre")).alias("len"))
 
 
-@query("win17_bar_encodings", "SELECT CAST(b AS INT) AS b, round(sin(2 * 3.141592653589793e0 * (b % 8) / 8e0), 6) + 0e0 AS sin8, round(cos(2 * 3.141592653589793e0 * (b % 16) / 16e0), 6) + 0e0 AS cos16, CASE WHEN b % 4 = 2 THEN 1 ELSE 0 END AS third, least(b / 32e0, 1e0) AS age FROM (SELECT range AS b FROM range(128))")
+@query("win17_bar_encodings", f"{_B} SELECT series, idx, round(sin(2 * 3.141592653589793e0 * (b % 8) / 8e0), 6) + 0e0 AS sin8, round(cos(2 * 3.141592653589793e0 * (b % 16) / 16e0), 6) + 0e0 AS cos16, CASE WHEN b % 4 = 2 THEN 1 ELSE 0 END AS third, least(b / 32e0, 1e0) AS age FROM (SELECT series, idx, idx // 4 AS b FROM beats)")
 def win17(spark: SparkSession, sf: str) -> DataFrame:
-    b = F.col("b")
+    b = F.floor(F.col("idx") / 4)
     turn = 2 * 3.141592653589793
-    return spark.range(128).select(F.col("id").cast("int").alias("b")).select("b", (F.round(F.sin(turn * F.pmod(b, F.lit(8)) / 8), 6) + 0.0).alias("sin8"), (F.round(F.cos(turn * F.pmod(b, F.lit(16)) / 16), 6) + 0.0).alias("cos16"), F.when(b % 4 == 2, 1).otherwise(0).alias("third"), F.least(b / 32.0, F.lit(1.0)).alias("age"))
+    return _beats(spark, sf).select("series", "idx", (F.round(F.sin(turn * F.pmod(b, F.lit(8)) / 8), 6) + 0.0).alias("sin8"), (F.round(F.cos(turn * F.pmod(b, F.lit(16)) / 16), 6) + 0.0).alias("cos16"), F.when(b % 4 == 2, 1).otherwise(0).alias("third"), F.least(b / 32.0, F.lit(1.0)).alias("age"))
 
 
 @query("win18_off_grid_runs", f"""{_B}, f AS (SELECT series, idx, v > 50 AS f FROM beats), g AS (SELECT series, idx, f, row_number() OVER (PARTITION BY series ORDER BY idx) - row_number() OVER (PARTITION BY series, f ORDER BY idx) AS g FROM f)

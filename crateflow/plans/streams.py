@@ -92,11 +92,13 @@ def src25(spark: SparkSession, sf: str) -> DataFrame:
     return files.todo(d.select("doc_id"), spark.read.parquet(path), d.where("doc_id % 5 = 0"), "doc_id")
 
 
-@query("src26_project_clips", "SELECT path, CAST(sec0 AS DOUBLE) AS sec0, CAST(period AS DOUBLE) AS period, consistent FROM (VALUES ('a.wav', 0.5, 0.5, true), ('b.wav', 1.0, 0.25, true)) AS v(path, sec0, period, consistent)")
+@query("src26_project_clips", """SELECT 's' || user_id || '.wav' AS path, round(min(event_id) / 8e0, 9) AS sec0, round((max(event_id) - min(event_id)) / 8e0 / (count(*) - 1), 9) AS period, true AS consistent FROM events GROUP BY user_id HAVING count(*) > 1""")
 def src26(spark: SparkSession, sf: str) -> DataFrame:
-    a = '<clip path="a.wav"><marker sec="0.5" beat="0"/><marker sec="8.5" beat="16"/></clip>'
-    b = '<clip path="b.wav"><marker sec="1.0" beat="0"/><marker sec="2.0" beat="4"/></clip>'
-    return files.project_clips(spark.createDataFrame([(f"<p>{a}{b}{a}</p>",)], "xml string"))
+    """A project file of each user with a clip whose markers are the user's first and last event, written twice."""
+    e = A.table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("z"), F.count("*").alias("n")).where("n > 1")
+    clip = F.format_string('<clip path="s%s.wav"><marker sec="%s" beat="0"/><marker sec="%s" beat="%s"/></clip>', F.col("user_id").cast("string"), (F.col("a") / 8).cast("string"), (F.col("z") / 8).cast("string"), (F.col("n") - 1).cast("string"))
+    got = files.project_clips(e.select(F.concat(F.lit("<p>"), clip, clip, F.lit("</p>")).alias("xml")))
+    return got.select("path", F.round("sec0", 9).alias("sec0"), F.round("period", 9).alias("period"), "consistent")
 
 
 @query("str01_settled_files", """WITH e AS (SELECT 'f' || user_id || '.mp3' AS name, CAST(trunc(value / 10) AS BIGINT) AS size, epoch_us(ts) / 1e6 AS t FROM events WHERE user_id % 5 <> 0), n AS (SELECT *, lead(size) OVER w AS ns, lead(t) OVER w AS nt FROM e WINDOW w AS (PARTITION BY name ORDER BY t))

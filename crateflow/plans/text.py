@@ -13,21 +13,18 @@ from crateflow.plans import sqlparts as S
 from crateflow.plans.core import query
 
 
-def _rows(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("NULL" if x is None else str(x) if not isinstance(x, str) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
-
-
-_TITLES = [(1, "Città di Vetro (Original Mix)"), (2, "Rock & Roll [Remastered 2011]"), (3, "Señorita feat. Nobody"), (4, "  ÀÉÎÕÜ -- Test_01 "), (5, ""), (6, None), (7, "Café del Mar (Live) ft. Someone Else")]
-
-
 @query("str_f01_fold", f"SELECT doc_id, md5({S.fold('text')}) AS folded FROM documents")
 def str_f01(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "documents").select("doc_id", F.md5(X.fold(F.col("text")).cast("binary")).alias("folded"))
 
 
-@query("str_f02_normal_titles", f"SELECT CAST(id AS INT) AS id, {S.normal('t')} AS n, {S.bare('t')} AS b FROM (VALUES {_rows(_TITLES)}) AS v(id, t)")
+_TITLE = "p_name || CASE p_partkey % 5 WHEN 0 THEN ' (feat. ' || p_brand || ')' WHEN 1 THEN ' - Radio Edit' WHEN 2 THEN ' [Remastered 2011]' WHEN 3 THEN ' ft. ' || p_brand ELSE ' & Señorita -- Città_01 ' END"
+
+
+@query("str_f02_normal_titles", f"SELECT id, {S.normal('t')} AS n, {S.bare('t')} AS b FROM (SELECT p_partkey AS id, {_TITLE} AS t FROM part)")
 def str_f02(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_TITLES, "id int, t string").select("id", X.normal(F.col("t")).alias("n"), X.bare(F.col("t")).alias("b"))
+    t = A.table(spark, sf, "part").selectExpr("p_partkey AS id", f"{_TITLE} AS t")
+    return t.select("id", X.normal(F.col("t")).alias("n"), X.bare(F.col("t")).alias("b"))
 
 
 @query("str_f03_page_titles", """SELECT page_id, trim(regexp_replace(regexp_replace(lower(regexp_extract(html, '<title>(.*?)</title>', 1)), '\\s*[(\\[](official|lyrics?|audio|video)[^)\\]]*[)\\]]|\\s*\\|.*$|\\s+\\(\\d\\)$', '', 'g'), '\\s+', ' ', 'g')) AS title FROM pages""")
@@ -65,34 +62,45 @@ def str_f07(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("conv_id", "turn").agg(F.sum(bucket).alias("total"), F.max(bucket).alias("top"))
 
 
-@query("str_f08_nearest_bars", "SELECT CAST(n AS INT) AS n, CAST(arg_min(c, abs(c - n) * 100 + o) AS INT) AS bars FROM (SELECT range AS n FROM range(1, 100)), (SELECT * FROM (VALUES (4, 0), (8, 1), (16, 2), (32, 3), (48, 4), (64, 5)) AS v(c, o)) GROUP BY n")
+@query("str_f08_nearest_bars", "SELECT event_id, CAST(arg_min(c, abs(c - n) * 100 + o) AS INT) AS bars FROM (SELECT event_id, 1 + CAST(floor(value) AS BIGINT) % 99 AS n FROM events), (SELECT * FROM (VALUES (4, 0), (8, 1), (16, 2), (32, 3), (48, 4), (64, 5)) AS v(c, o)) GROUP BY event_id, n")
 def str_f08(spark: SparkSession, sf: str) -> DataFrame:
     from crateflow.functions.music import nearest_choice
 
-    return spark.range(1, 100).select(F.col("id").cast("int").alias("n")).select("n", nearest_choice(F.col("n")).alias("bars"))
+    n = (1 + F.floor("value") % 99).cast("int")
+    return A.table(spark, sf, "events").select("event_id", nearest_choice(n).alias("bars"))
 
 
-_PHRASES = [(1, "voglio deep house e techno"), (2, "house, poi melodic techno"), (3, "niente"), (4, "Tech House!")]
-_VOCAB = ["melodic techno", "deep house", "tech house", "techno", "house"]
+#: Phrases of types of part, longest first; a text is a type and another's words around them.
+_VOCAB = ["economy anodized", "standard polished", "anodized steel", "polished brass", "plated copper", "burnished tin", "anodized", "polished", "economy", "copper", "steel", "brass"]
+_PHRASE = "lower(p_type) || ', poi ' || CASE p_partkey % 3 WHEN 0 THEN 'Steel e copper' WHEN 1 THEN 'anodized steel!' ELSE 'niente' END"
+_WORDS = "' ' || trim(regexp_replace(lower(t), '[^a-z]+', ' ', 'g')) || ' '"
 
 
-@query("str_f09_genres_in_phrase", "SELECT CAST(id AS INT) AS id, found FROM (VALUES (1, 'deep house,techno'), (2, 'melodic techno,house'), (3, ''), (4, 'tech house')) AS v(id, found)")
+@query("str_f09_genres_in_phrase", f"""SELECT id, ltrim(split_part(list_reduce(list_prepend({_WORDS} || '|', {_VOCAB}), lambda a, v: CASE WHEN contains(split_part(a, '|', 1), ' ' || v || ' ') THEN replace(split_part(a, '|', 1), ' ' || v || ' ', ' ') || '|' || split_part(a, '|', 2) || ',' || v ELSE a END), '|', 2), ',') AS found
+FROM (SELECT p_partkey AS id, {_PHRASE} AS t FROM part)""")
 def str_f09(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.createDataFrame(_PHRASES, "id int, t string")
+    p = A.table(spark, sf, "part").selectExpr("p_partkey AS id", f"{_PHRASE} AS t")
     return p.select("id", F.array_join(N.phrases_found(F.col("t"), _VOCAB), ",").alias("found"))
 
 
-_TIMES = [(1, "2:30"), (2, "1:02:03"), (3, "45"), (4, "0:45.5"), (5, "0:45,5"), (6, "fine"), (7, ""), (8, None), (9, "1:2:3:4")]
+#: A time as people write it, from an event's value: with minutes, with hours, plain, with a fraction, and words.
+_S = "CAST(floor(value) AS BIGINT)"
+_TIME = f"CASE event_id % 7 WHEN 0 THEN {_S} // 60 || ':' || lpad(CAST({_S} % 60 AS VARCHAR), 2, '0') WHEN 1 THEN '1:' || lpad(CAST({_S} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({_S} % 60 AS VARCHAR), 2, '0') WHEN 2 THEN ' ' || {_S} WHEN 3 THEN '0:' || lpad(CAST({_S} % 60 AS VARCHAR), 2, '0') || ',5' WHEN 4 THEN {_S} || '.25' WHEN 5 THEN 'fine' ELSE '1:2:3:' || {_S} END"
 
 
-@query("str_f10_times", "SELECT CAST(id AS INT) AS id, s FROM (VALUES (1, 150e0), (2, 3723e0), (3, 45e0), (4, 45.5e0), (5, 45.5e0), (6, NULL), (7, NULL), (8, NULL), (9, NULL)) AS v(id, s)")
+@query("str_f10_times", f"SELECT event_id, CASE event_id % 7 WHEN 0 THEN {_S} WHEN 1 THEN 3600 + {_S} WHEN 2 THEN {_S} WHEN 3 THEN {_S} % 60 + 0.5e0 WHEN 4 THEN {_S} + 0.25e0 END::DOUBLE AS s FROM events")
 def str_f10(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_TIMES, "id int, t string").select("id", X.seconds_of(F.col("t")).alias("s"))
+    t = A.table(spark, sf, "events").selectExpr("event_id", f"{_TIME.replace('//', 'DIV').replace('VARCHAR', 'STRING')} AS t")
+    return t.select("event_id", X.seconds_of(F.col("t")).alias("s"))
 
 
-@query("str_f11_cue_stamps", "SELECT CAST(id AS INT) AS id, m FROM (VALUES (1, 7e0), (2, 7.5e0), (3, 67.5e0), (4, NULL), (5, NULL)) AS v(id, m)")
+_CUE = f"CASE event_id % 5 WHEN 0 THEN '[' || lpad(CAST({_S} % 100 AS VARCHAR), 2, '0') || ']' WHEN 1 THEN '[' || lpad(CAST({_S} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({_S} % 60 AS VARCHAR), 2, '0') || ']' WHEN 2 THEN '[1:' || lpad(CAST({_S} // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({_S} % 60 AS VARCHAR), 2, '0') || '] ' WHEN 3 THEN '[??]' ELSE CAST({_S} AS VARCHAR) END"
+
+
+@query("str_f11_cue_stamps", f"SELECT event_id, round(CASE event_id % 5 WHEN 0 THEN {_S} % 100 WHEN 1 THEN {_S} / 60e0 WHEN 2 THEN 60 + {_S} / 60e0 END::DOUBLE, 9) AS m FROM events")
 def str_f11(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(1, "[07]"), (2, "[07:30]"), (3, "[1:07:30]"), (4, "[??]"), (5, "no")], "id int, t string").select("id", L.cue_minutes(F.col("t")).alias("m"))
+    t = A.table(spark, sf, "events").selectExpr("event_id", f"{_CUE.replace('//', 'DIV').replace('VARCHAR', 'STRING')} AS t")
+    return t.select("event_id", F.round(L.cue_minutes(F.col("t")), 9).alias("m"))
 
 
 @query("str_f12_label_split", f"WITH {A.TRACKS_SQL} SELECT id, artist, title FROM tracks")
@@ -102,15 +110,19 @@ def str_f12(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("id", artist.alias("artist"), title.alias("title"))
 
 
-@query("str_f13_truth", "SELECT CAST(id AS INT) AS id, b FROM (VALUES (1, true), (2, true), (3, false), (4, NULL), (5, true), (6, false), (7, NULL)) AS v(id, b)")
+@query("str_f13_truth", "SELECT event_id, [true, true, false, NULL, true, false, NULL, true, false][event_id % 9 + 1] AS b FROM events")
 def str_f13(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "Sì"), (2, "on"), (3, "NO"), (4, "forse"), (5, "1"), (6, " falso "), (7, None)]
-    return spark.createDataFrame(rows, "id int, t string").select("id", X.truth(F.col("t")).alias("b"))
+    """Settings as people write them; each event sets one."""
+    words = F.array(*[F.lit(x) for x in ("Sì", "on", "NO", "forse", "1", " falso ", None, "VERO", "off")])
+    return A.table(spark, sf, "events").select("event_id", X.truth(F.element_at(words, (F.col("event_id") % 9 + 1).cast("int"))).alias("b"))
+
 
+_VERSIONS = "p_size % 3 || '.' || p_partkey % 13 AS a, (p_partkey % 7) % 3 || CASE WHEN p_size % 2 = 0 THEN '.' ELSE '-' END || p_size % 13 || '.' || p_partkey % 2 AS b"
 
-@query("str_f14_versions", "SELECT CAST(id AS INT) AS id, newer FROM (VALUES (1, true), (2, false), (3, false), (4, true)) AS v(id, newer)")
+
+@query("str_f14_versions", "SELECT p_partkey AS id, (p_size % 3, p_partkey % 13, 0) > ((p_partkey % 7) % 3, p_size % 13, p_partkey % 2) AS newer FROM part")
 def str_f14(spark: SparkSession, sf: str) -> DataFrame:
-    v = spark.createDataFrame([(1, "1.10", "1.9"), (2, "2.0", "2.0.0"), (3, "1.2.3", "1.2.4"), (4, "3-1", "3.0.9")], "id int, a string, b string")
+    v = A.table(spark, sf, "part").selectExpr("p_partkey AS id", *_VERSIONS.split(", "))
     return v.select("id", (X.version_key(F.col("a")) > X.version_key(F.col("b"))).alias("newer"))
 
 
@@ -159,18 +171,30 @@ def str_f17(spark: SparkSession, sf: str) -> DataFrame:
     return A.tracks(spark, sf).select("id", F.sha2(t, 256).alias("sha"), F.substring(F.sha1(t), 1, 8).alias("short"))
 
 
-_SETLIST = 'Here you go:\n```json\n{"titolo": "Night", "brani": [{"artista": "A", "brano": "One", "bpm": "124", }, // first\n {"artist": "B", "title": "Two", "at": "1:30"}, {"x": 1}],}\n```\nEnjoy'
+#: A set-list of each playlist as people send them: prose around JSON with comments and commas too many, names of fields in two tongues.
+_ENTRY = ["'{\"artista\": \"A' || track || '\", \"brano\": \"T' || pos || '\", \"at\": \"' || pos || ':30\", }'", "'{\"artist\": \"B' || track || '\", \"title\": \"\"}'", "'{\"title\": \"T' || pos || '\"}'"]
+_ENTRY = f"CASE pos % 3 WHEN 0 THEN {_ENTRY[0]} WHEN 1 THEN {_ENTRY[1]} ELSE {_ENTRY[2]} END"
+
+
+def _setlists(spark: SparkSession, sf: str) -> DataFrame:
+    each = A.playlists(spark, sf).selectExpr("playlist", "pos", f"{_ENTRY} AS e").groupBy("playlist").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "e"))).getField("e"), ", // next\n ").alias("l"))
+    fence = F.when(F.col("playlist") % 2 == 0, F.lit("```json\n")).otherwise(F.lit(""))
+    end = F.when(F.col("playlist") % 2 == 0, F.lit("\n```\nEnjoy [it]")).otherwise(F.lit("\nEnjoy"))
+    key = F.when(F.col("playlist") % 3 == 0, "brani").otherwise("tracks")
+    return each.select("playlist", F.concat(F.lit("Here you go:\n"), fence, F.lit('{"titolo": "Set '), F.col("playlist").cast("string"), F.lit('", "'), key, F.lit('": ['), "l", F.lit("],}"), end).alias("t"))
 
 
-@query("src19_extract_json", "SELECT 'Night' AS title, CAST(3 AS INT) AS entries")
+@query("src19_extract_json", f"WITH {A.PLAYLISTS_SQL} SELECT playlist, 'Set ' || playlist AS title, CAST(count(*) AS INT) AS entries FROM playlists GROUP BY playlist")
 def src19(spark: SparkSession, sf: str) -> DataFrame:
-    v = spark.createDataFrame([(_SETLIST,)], "t string").select(L.embedded_json(F.col("t")).alias("v"))
-    return v.select(F.try_variant_get("v", "$.titolo", "string").alias("title"), F.size(F.try_variant_get("v", "$.brani", "array<variant>")).alias("entries"))
+    v = _setlists(spark, sf).select("playlist", L.embedded_json(F.col("t")).alias("v"))
+    lists = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("brani", "tracks")])
+    return v.select("playlist", F.try_variant_get("v", "$.titolo", "string").alias("title"), F.size(lists).alias("entries"))
 
 
-@query("src20_parse_setlist", "SELECT CAST(pos AS INT) AS pos, artist, title, sec, warning FROM (VALUES (0, 'A', 'One', NULL::DOUBLE, ''), (1, 'B', 'Two', 90e0, ''), (2, NULL, NULL, NULL, 'no title')) AS v(pos, artist, title, sec, warning)")
+@query("src20_parse_setlist", f"""WITH {A.PLAYLISTS_SQL} SELECT playlist, CAST(pos - 1 AS INT) AS pos, CASE pos % 3 WHEN 0 THEN 'A' || track WHEN 1 THEN 'B' || track END AS artist, CASE WHEN pos % 3 <> 1 THEN 'T' || pos END AS title,
+CASE WHEN pos % 3 = 0 THEN pos * 60 + 30e0 END AS sec, CASE WHEN pos % 3 = 1 THEN 'no title' ELSE '' END AS warning FROM playlists""")
 def src20(spark: SparkSession, sf: str) -> DataFrame:
-    return L.entries(spark.createDataFrame([(_SETLIST,)], "t string"), "t")
+    return L.entries(_setlists(spark, sf), "t", ("playlist",))
 
 
 @query("src21_library_lines", f"WITH {A.KEYED_SQL} SELECT id, concat_ws(' | ', artist, title, genre, CASE WHEN bpm > 0 THEN CAST(CAST(bpm AS BIGINT) AS VARCHAR) END, code) AS line FROM keyed")
@@ -178,13 +202,17 @@ def src21(spark: SparkSession, sf: str) -> DataFrame:
     return A.keyed(spark, sf).select("id", F.concat_ws(" | ", "artist", "title", "genre", F.when(F.col("bpm") > 0, F.col("bpm").cast("bigint").cast("string")), "code").alias("line"))
 
 
-_TRACKLIST = "# comment\n@ k1|First mix|p1|src\n[00] | A - One | 300 | u1\n[05:30] | B - Two | | u2\n@ k2|Second|p2|src\n[??] | C - Three | 200 | u3"
 
 
-@query("src22_tracklist", "SELECT key, CAST(cue AS DOUBLE) AS cue, label FROM (VALUES ('k1', 0, 'A - One'), ('k1', 5.5, 'B - Two'), ('k2', NULL, 'C - Three')) AS v(key, cue, label)")
+@query("src22_tracklist", f"WITH {A.PLAYLISTS_SQL} SELECT 'f' || playlist % 50 AS file, 'k' || playlist AS key, CASE pos % 3 WHEN 0 THEN pos::DOUBLE WHEN 1 THEN pos + 0.5e0 END AS cue, 'A' || track || ' - T' || pos AS label FROM playlists")
 def src22(spark: SparkSession, sf: str) -> DataFrame:
-    lines = spark.createDataFrame([("f", i, line) for i, line in enumerate(_TRACKLIST.split("\n"))], "file string, n int, line string")
-    return L.tracklist(lines).select("key", "cue", "label")
+    """Fifty files of tracklists, each with the headers and entries of its playlists in turn."""
+    p = A.playlists(spark, sf).withColumn("file", F.concat(F.lit("f"), (F.col("playlist") % 50).cast("string")))
+    stamp = F.when(F.col("pos") % 3 == 0, F.format_string("[%02d]", "pos")).when(F.col("pos") % 3 == 1, F.format_string("[%02d:30]", "pos")).otherwise("[??]")
+    entry = p.select("file", (F.col("playlist") * 1000 + F.col("pos")).alias("n"), F.concat(stamp, F.lit(" | A"), F.col("track").cast("string"), F.lit(" - T"), F.col("pos").cast("string"), F.lit(" | 300 | u")).alias("line"))
+    head = p.where("pos = 1").select("file", (F.col("playlist") * 1000).alias("n"), F.concat(F.lit("@ k"), F.col("playlist").cast("string"), F.lit("|Mix|p|src")).alias("line"))
+    notes = p.where("pos = 2").select("file", (F.col("playlist") * 1000 + 500).alias("n"), F.lit("# comment").alias("line"))
+    return L.tracklist(head.unionByName(entry).unionByName(notes)).select("file", "key", "cue", "label")
 
 
 @query("src23_tag_prefixes", f"WITH {A.TRACKS_SQL} SELECT id, array_to_string(list_filter(['genre---' || lower(genre), 'mood---' || (id % 3), 'genre---all'], lambda t: starts_with(t, 'genre---')), ',') AS genres FROM tracks")
