@@ -29,7 +29,8 @@ HISTORY_SQL = "history AS (SELECT event_id, CAST(event_id % (SELECT count(*) FRO
 PLAYLISTS_SQL = "playlists AS (SELECT l_orderkey AS playlist, l_partkey AS track, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS INT) AS pos FROM lineitem)"
 MASHUPS_SQL = f"{PLAYLISTS_SQL}, mashups AS (SELECT DISTINCT base, vocal FROM (SELECT lag(track) OVER (PARTITION BY playlist ORDER BY pos) AS base, track AS vocal FROM playlists) WHERE base IS NOT NULL AND base <> vocal)"
 BEATS_SQL = "beats AS (SELECT user_id AS series, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) AS INT) - 1 AS idx, epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id) AS t, value AS v FROM events)"
-FRAMES_SQL = "frames AS (SELECT label AS track, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) - 1 AS idx, vec_id, embedding FROM embeddings)"
+#: 64 vectors in a row are a track, so that a track's frames are few however many vectors there are.
+FRAMES_SQL = "frames AS (SELECT CAST(floor(vec_id / 64) AS INT) AS track, CAST(row_number() OVER (PARTITION BY floor(vec_id / 64) ORDER BY vec_id) AS INT) - 1 AS idx, vec_id, embedding FROM embeddings)"
 MESSAGES_SQL = "messages AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
 
 
@@ -74,7 +75,7 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").selectExpr("label AS track", "row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx", "vec_id", "embedding")
+    return table(spark, sf_dir, "embeddings").selectExpr("CAST(floor(vec_id / 64) AS INT) AS track", "row_number() OVER (PARTITION BY floor(vec_id / 64) ORDER BY vec_id) - 1 AS idx", "vec_id", "embedding")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,21 +114,21 @@ def sig07(spark: SparkSession, sf: str) -> DataFrame:
     return G.per_track(A.beats(spark, sf), "series", "idx", analyse, "series long, bpm double, phase double, confidence double, rms double, sustained double, bar_energy array<double>")
 
 
-@query("sig09_chunks", """WITH f AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, CAST(s AS INT) AS start FROM (SELECT label, n, unnest(list_concat(range(0, greatest(n - 24, 0), 20), [greatest(n - 24, 0)])) AS s FROM f)""")
+@query("sig09_chunks", f"""WITH {A.FRAMES_SQL}, f AS (SELECT track, count(*) AS n FROM frames GROUP BY track) SELECT track, CAST(s AS INT) AS start FROM (SELECT track, n, unnest(list_concat(range(0, greatest(n - 24, 0), 20), [greatest(n - 24, 0)])) AS s FROM f)""")
 def sig09(spark: SparkSession, sf: str) -> DataFrame:
-    n = A.table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    n = A.frames(spark, sf).groupBy("track").agg(F.count("*").alias("n"))
     last = F.greatest(F.col("n") - 24, F.lit(0))
     step = F.filter(F.sequence(F.lit(0).cast("long"), last, F.lit(20).cast("long")), lambda s: s < last)
-    return n.select("label", F.explode(F.array_append(step, last)).alias("s")).select("label", F.col("s").cast("int").alias("start"))
+    return n.select("track", F.explode(F.array_append(step, last)).alias("s")).select("track", F.col("s").cast("int").alias("start"))
 
 
-@query("sig09_chunk_merge", "SELECT label, frame, CAST(d - 1 AS INT) AS dim, round(embedding[d]::DOUBLE, 6) AS v FROM (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS frame, embedding FROM embeddings), (SELECT unnest(range(1, 65)) AS d)")
+@query("sig09_chunk_merge", f"WITH {A.FRAMES_SQL} SELECT track, idx AS frame, CAST(d - 1 AS INT) AS dim, round(embedding[d]::DOUBLE, 6) AS v FROM frames, (SELECT unnest(range(1, 65)) AS d)")
 def sig09b(spark: SparkSession, sf: str) -> DataFrame:
-    frames = A.frames(spark, sf).select(F.col("track").alias("label"), "idx", "embedding")
+    frames = A.frames(spark, sf).select("track", "idx", "embedding")
     starts = sig09(spark, sf)
-    parts = frames.join(starts, "label").where("idx >= start AND idx < start + 24")
-    kept = parts.groupBy("label", F.col("idx").alias("frame")).agg(F.min_by("embedding", "start").alias("e"))
-    return kept.select("label", "frame", F.posexplode("e").alias("dim", "v")).select("label", "frame", "dim", F.round(F.col("v").cast("double"), 6).alias("v"))
+    parts = frames.join(starts, "track").where("idx >= start AND idx < start + 24")
+    kept = parts.groupBy("track", F.col("idx").alias("frame")).agg(F.min_by("embedding", "start").alias("e"))
+    return kept.select("track", "frame", F.posexplode("e").alias("dim", "v")).select("track", "frame", "dim", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
 @query("sig10_beat_grid")
@@ -151,10 +151,10 @@ def sig12(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("series").agg((F.floor(first / 4) * 4).alias("entry_bar"))
 
 
-@query("sig13_pooled_features", "WITH f AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS idx, embedding FROM embeddings) SELECT label, CAST(idx // 4 AS BIGINT) AS beat, CAST(d - 1 AS INT) AS dim, round(avg(embedding[d]::DOUBLE), 6) AS mean FROM f, (SELECT unnest(range(1, 65)) AS d) GROUP BY 1, 2, 3")
+@query("sig13_pooled_features", f"WITH {A.FRAMES_SQL} SELECT track, CAST(idx // 4 AS BIGINT) AS beat, CAST(d - 1 AS INT) AS dim, round(avg(embedding[d]::DOUBLE), 6) AS mean FROM frames, (SELECT unnest(range(1, 65)) AS d) GROUP BY 1, 2, 3")
 def sig13(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.frames(spark, sf).select(F.col("track").alias("label"), F.floor(F.col("idx") / 4).alias("beat"), F.posexplode("embedding").alias("dim", "x"))
-    return f.groupBy("label", "beat", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    f = A.frames(spark, sf).select("track", F.floor(F.col("idx") / 4).alias("beat"), F.posexplode("embedding").alias("dim", "x"))
+    return f.groupBy("track", "beat", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
 @query("sig13_beat_features")
