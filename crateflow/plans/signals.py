@@ -70,13 +70,31 @@ def sig05(spark: SparkSession, sf: str) -> DataFrame:
     return _sounds(spark, sf, lambda x: G.tempo_of(G.onset_envelope(x, 500.0, 64, 8)), "bpm double, first_beat double, confidence double")
 
 
-@query("sig06_chroma")
+#: Frames of 32 vectors, 2048 samples, whose bins of 55 to 2000 Hz count for a pitch class.
+_BINS = "SELECT k, CAST(floor(n + 0.5e0) AS INT) % 12 AS pitch, 1 - 2 * abs(n - floor(n + 0.5e0)) AS w FROM (SELECT k, 69 + 12 * log2(k * 8000e0 / 2048 / 440) AS n FROM (SELECT unnest(range(15, 513)) AS k)) WHERE abs(n - floor(n + 0.5e0)) <= 0.35e0"
+
+
+def _chroma(spark: SparkSession, sf: str) -> DataFrame:
+    """(track, pitch, v): shares of pitch classes of a track's frames, added up; a frame is a row."""
+    f = A.frames(spark, sf).groupBy("track", F.floor(F.col("idx") / 32).alias("part")).agg(F.array_sort(F.collect_list(F.struct("idx", "embedding"))).alias("x")).where("size(x) = 32")
+    shares = f.select("track", G.array_map(lambda x: G.frame_chroma(x, SOUND), "array<double>", F.flatten("x.embedding")).alias("c"))
+    return shares.select("track", F.posexplode("c").alias("pitch", "v")).groupBy("track", "pitch").agg(F.sum("v").alias("v"))
+
+
+@query("sig06_chroma", f"""WITH {A.FRAMES_SQL}, b AS ({_BINS}), x AS (SELECT track, idx // 32 AS part, (idx % 32) * 64 + d - 1 AS i, embedding[d]::DOUBLE AS v FROM frames, (SELECT unnest(range(1, 65)) AS d)), w AS (SELECT track, part, list(v * (0.5e0 - 0.5e0 * cos(6.283185307179586e0 * i / 2047)) ORDER BY i) AS v FROM x GROUP BY 1, 2 HAVING count(*) = 2048),
+c AS (SELECT k, any_value(pitch) AS pitch, any_value(w) AS w, list(cos(6.283185307179586e0 * ((k * i) % 2048) / 2048) ORDER BY i) AS co, list(sin(6.283185307179586e0 * ((k * i) % 2048) / 2048) ORDER BY i) AS si FROM b, (SELECT unnest(range(2048)) AS i) GROUP BY k),
+m AS (SELECT track, part, pitch, sum(c.w * sqrt(pow(list_inner_product(v, co), 2) + pow(list_inner_product(v, si), 2))) AS e FROM w, c GROUP BY 1, 2, 3), s AS (SELECT *, sum(e) OVER (PARTITION BY track, part) AS total FROM m)
+SELECT track, pitch, round(sum(e / total), 5) AS v FROM s GROUP BY track, pitch""")
 def sig06(spark: SparkSession, sf: str) -> DataFrame:
-    def read(x: np.ndarray) -> tuple:
-        c = G.chroma(x, SOUND)
-        return (c, *G.key_of(c))
+    return _chroma(spark, sf).select("track", "pitch", F.round("v", 5).alias("v"))
 
-    return _sounds(spark, sf, read, "chroma array<double>, tonic int, is_minor boolean, fit double")
+
+@query("sig06_key")
+def sig06_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The key of each track by its pitch classes."""
+    whole = _chroma(spark, sf).groupBy("track").agg(F.array_sort(F.collect_list(F.struct("pitch", "v"))).getField("v").alias("c"))
+    key = G.array_map(lambda c: [float(x) for x in G.key_of(c)], "array<double>", F.col("c"))
+    return whole.select("track", key.alias("k")).select("track", F.col("k")[0].cast("int").alias("tonic"), (F.col("k")[1] > 0).alias("is_minor"), F.round(F.col("k")[2], 6).alias("fit"))
 
 
 query("sig08_log_mel")(_mapped(lambda x: G.log_mel(x, SOUND, 32, 16, 8).ravel(), "array<double>", "mel"))
@@ -103,15 +121,19 @@ def sig03(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sig07_full_analysis")
 def sig07(spark: SparkSession, sf: str) -> DataFrame:
-    def analyse(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf["v"].to_numpy()
-        bpm, phase, sure = G.tempo_of(G.Onsets(v, v, 8.0, 0.0))
-        rms = float(np.sqrt(np.mean(v * v)))
-        bars = np.array([np.sqrt(np.mean(v[i : i + 4] ** 2)) for i in range(0, len(v), 4)])
-        loud = bars / max(bars.max(), 1e-9) > 0.7
-        return pd.DataFrame([(key, bpm, phase, sure, rms, float(loud.mean()), [float(b) for b in bars[:: -(-len(bars) // 256)]])], columns=["series", "bpm", "phase", "confidence", "rms", "sustained", "bar_energy"])
+    """Tempo, loudness, energy level and structure of every series, its beats' values as the sound's envelope."""
 
-    return G.per_track(A.beats(spark, sf), "series", "idx", analyse, "series long, bpm double, phase double, confidence double, rms double, sustained double, bar_energy array<double>")
+    def tempo(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf["v"].to_numpy()
+        return pd.DataFrame([(key, *G.tempo_of(G.Onsets(v, v, 8.0, 0.0)))], columns=["series", "bpm", "phase", "confidence"])
+
+    beats = A.beats(spark, sf)
+    power = F.avg(F.col("v") * F.col("v"))
+    bars = beats.groupBy("series", F.floor(F.col("idx") / 4).alias("bar")).agg(F.sqrt(power).alias("energy"))
+    loud = beats.groupBy("series").agg(F.sqrt(power).alias("rms"))
+    found = G.per_track(beats, "series", "idx", tempo, "series long, bpm double, phase double, confidence double").join(loud, "series").join(R.structure(bars, "series"), "series")
+    level = music.energy_level(20 * F.log10(F.col("rms") / 330 + 1e-9), F.col("sustained"))
+    return found.select("series", "bpm", "phase", "confidence", "rms", level.alias("level"), "bars", "intro", "outro", "mix_out", "sustained")
 
 
 @query("sig09_chunks", f"""WITH {A.FRAMES_SQL}, f AS (SELECT track, count(*) AS n FROM frames GROUP BY track) SELECT track, CAST(s AS INT) AS start FROM (SELECT track, n, unnest(list_concat(range(0, greatest(n - 24, 0), 20), [greatest(n - 24, 0)])) AS s FROM f)""")
