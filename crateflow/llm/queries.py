@@ -86,4 +86,4 @@ QUERIES = {
         op9_crf_language, op10_quality_cnn, op11_spelling, op12_prefix_trie, op13_ppm,
     )
 }
-ORACLES: dict[str, str] = {"op7_substring": oracles.SUBSTRING}
+ORACLES: dict[str, str] = {"op7_substring": oracles.SUBSTRING, "op11_spelling": oracles.SPELLING, "op12_prefix_trie": oracles.PREFIX_TRIE}
