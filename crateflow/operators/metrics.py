@@ -37,12 +37,6 @@ def paired(rows: DataFrame, key: str, variant: str, value: str, a: str, b: str)
     return d.agg(F.median("d").alias("median"), F.avg("d").alias("mean"), F.count_if(F.col("d") > 0).alias("improved"), F.count("*").alias("n"))
 
 
-def best_of_grid(rows: DataFrame, grid: DataFrame, score: Column) -> DataFrame:
-    """The delta of a short grid with the largest mean score over rows; the least on a tie."""
-    s = rows.crossJoin(F.broadcast(grid)).groupBy("delta").agg(F.round(F.avg(score), 9).alias("score"))
-    return s.orderBy(F.desc("score"), "delta").limit(1)
-
-
 def ensemble(rows: DataFrame, keys: list[str], logit: str) -> DataFrame:
     """Mean of several models' probabilities, as a logit again."""
     p = F.avg(1 / (1 + F.exp(-F.col(logit))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateflow import adapters as A
+from crateflow.operators import calibration as C
 from crateflow.operators import metrics as M
 from crateflow.operators import requests as N
 from crateflow.plans.core import query
@@ -153,10 +154,27 @@ def nlu08(spark: SparkSession, sf: str) -> DataFrame:
     return _eval(spark, sf).groupBy(part.alias("part")).agg(F.round(F.avg((F.col("quality") == F.col("q")).cast("int")), 6).alias("first"), F.round(F.avg((F.col("quality") == 1).cast("int")), 6).alias("second"))
 
 
-@query("sig24_calibration", "WITH g AS (SELECT range / 100e0 - 0.2e0 AS delta FROM range(41)), s AS (SELECT delta, round(avg(-abs(value / 100e0 - 0.4e0 + delta)), 9) AS score FROM events, g GROUP BY delta) SELECT delta, score FROM s ORDER BY score DESC, delta LIMIT 1")
+_SHIFTS = [k / 4 - 3 for k in range(17)]
+#: Frames a quarter of a second apart, a beat at every second, a reference's event at every fourth beat.
+_FRAME, _BEAT, _EVENT = "idx * 0.25e0 AS t, (v - 100) / 40e0 AS score", "idx * 0.25e0 + 0.03e0 AS t", "idx * 0.25e0 + 0.01e0 AS t"
+
+
+@query("sig24_calibration", f"""WITH {A.BEATS_SQL}, fr AS (SELECT series, idx, {_FRAME} FROM beats), be AS (SELECT series, {_BEAT} FROM beats WHERE idx % 2 = 0), re AS (SELECT series, {_EVENT} FROM beats WHERE idx % 8 = series % 4 * 2),
+tp AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top FROM fr) WHERE score = top), pk AS (SELECT series, avg(t) AS t, max(score) AS score FROM (SELECT *, idx - row_number() OVER (PARTITION BY series ORDER BY idx) AS run FROM tp) GROUP BY series, run),
+nb AS (SELECT p.series, p.t, p.score, arg_min(b.t, (abs(b.t - p.t), b.t)) AS bt FROM pk p JOIN be b USING (series) GROUP BY ALL), g AS (SELECT unnest({_SHIFTS}) AS shift),
+e AS (SELECT DISTINCT shift, series, bt FROM nb, g WHERE score + shift > 0 AND bt >= 5), n AS (SELECT shift, series, count(*) AS n FROM e GROUP BY ALL), r AS (SELECT DISTINCT series, t FROM re WHERE t >= 5), w AS (SELECT series, count(*) AS w FROM r GROUP BY ALL),
+h AS (SELECT shift, e.series, count(DISTINCT r.t) AS h FROM e JOIN r ON e.series = r.series AND abs(r.t - bt) <= 0.07 GROUP BY ALL),
+f AS (SELECT shift, CASE WHEN coalesce(n, 0) + coalesce(w, 0) = 0 THEN 1e0 ELSE 2e0 * coalesce(h, 0) / (coalesce(n, 0) + coalesce(w, 0)) END AS f FROM (SELECT * FROM (SELECT DISTINCT series FROM re), g) LEFT JOIN n USING (shift, series) LEFT JOIN w USING (series) LEFT JOIN h USING (shift, series))
+SELECT CAST(shift AS DOUBLE) AS shift, round(avg(f), 6) AS score FROM f GROUP BY shift""")
 def sig24(spark: SparkSession, sf: str) -> DataFrame:
-    grid = spark.range(41).select((F.col("id") / 100.0 - 0.2).alias("delta"))
-    return M.best_of_grid(A.table(spark, sf, "events"), grid, -F.abs(F.col("value") / 100.0 - 0.4 + F.col("delta")))
+    b = A.beats(spark, sf)
+    frames, beats, events = b.selectExpr("series", "idx", *_parts(_FRAME)), b.where("idx % 2 = 0").selectExpr("series", *_parts(_BEAT)), b.where("idx % 8 = series % 4 * 2").selectExpr("series", *_parts(_EVENT))
+    got = C.agreement_by_shift(C.peaks(frames), beats, events, _SHIFTS)
+    return got.select("shift", F.round("score", 6).alias("score"))
+
+
+def _parts(sql: str) -> list[str]:
+    return sql.split(", ")
 
 
 @query("sig25_audible_span", f"WITH {A.BEATS_SQL}, l AS (SELECT series, idx, 20 * log10(v + 1e-9) AS db FROM beats), m AS (SELECT *, max(db) OVER (PARTITION BY series) AS top FROM l) SELECT series, min(idx) AS first, max(idx) AS last FROM m WHERE db > top - 40 GROUP BY series")
