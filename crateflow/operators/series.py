@@ -148,3 +148,14 @@ def structure(bars: DataFrame, key: str, phrase: int = 8) -> DataFrame:
     out = F.when(n < 24, F.greatest(F.lit(0), n - 8)).otherwise(F.greatest(F.floor(n / 2), phrases(F.least(outro, n - 16))))
     intro = F.when(F.col("first") < 4, 0).otherwise(F.col("first"))
     return whole.join(loud, key).select(key, "bars", "mid", intro.cast("long").alias("intro"), outro.cast("long").alias("outro"), out.cast("long").alias("mix_out"), "sustained")
+
+
+def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 4096) -> DataFrame:
+    """df with the place of each row among those of its key by a whole number that is distinct in the key, from 1: rows are
+    numbered within slices of that number, and slices by their counts, so that a key with many rows is no single task."""
+    cut = df.withColumn("_slice", F.floor(F.col(order) / width))
+    sizes = cut.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(order))
+    both = cut.withColumn("_own", own).join(sizes.select(key, "_slice", ahead.alias("_ahead")), [key, "_slice"])
+    return both.withColumn(name, (F.col("_ahead") + F.col("_own")).cast("long")).drop("_slice", "_own", "_ahead")

@@ -125,7 +125,8 @@ def joi10(spark: SparkSession, sf: str) -> DataFrame:
     t = A.tracks(spark, sf).select("id", "title", "artist", "genre", "duration")
     found = F.concat("title", F.when(F.col("id") % 10 == 0, " karaoke").otherwise(""))
     u = t.select(F.col("id").alias("fid"), found.alias("found"), "artist", "genre", F.col("duration").alias("fd"))
-    s = t.join(u, ["artist", "genre"]).select("id", "fid", M.result_score(F.col("title"), F.col("found"), F.col("duration"), F.col("fd")).alias("score")).where("score > 0")
+    pairs = M.search_candidates(t, u, ["artist", "genre"]).join(t.drop("artist", "genre"), "id").join(u.drop("artist", "genre"), "fid")
+    s = pairs.select("id", "fid", M.result_score(F.col("title"), F.col("found"), F.col("duration"), F.col("fd")).alias("score")).where("score > 0")
     best = s.groupBy("id").agg(F.max(F.struct("score", (-F.col("fid")).alias("n"))).alias("m"))
     return best.select("id", (-F.col("m.n")).alias("fid"), F.round("m.score", 6).alias("score"))
 
@@ -173,9 +174,9 @@ def src30(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), (F.col("p_brand").rlike("#[0-9]{2}$") & F.col("size").isNotNull()).alias("accepted"))
 
 
-@query("src31_newest_mapping", f"WITH {A.TRACKS_SQL}, o AS (SELECT id AS k, id % 50 AS a FROM tracks WHERE id % 2 = 0), n AS (SELECT id AS k, id % 50 AS a FROM tracks WHERE id % 7 = 0 AND id < 200) SELECT k, a, 'new' AS origin FROM n UNION ALL SELECT k, a, 'old' FROM o WHERE k NOT IN (SELECT k FROM n) AND a NOT IN (SELECT a FROM n)")
+@query("src31_newest_mapping", f"WITH {A.TRACKS_SQL}, o AS (SELECT id AS k, id % 50 AS a FROM tracks WHERE id % 2 = 0), n AS (SELECT id AS k, id % 50 AS a FROM tracks WHERE id % 7 = 0 AND id % 4 < 3) SELECT k, a, 'new' AS origin FROM n UNION ALL SELECT k, a, 'old' FROM o WHERE k NOT IN (SELECT k FROM n) AND a NOT IN (SELECT a FROM n)")
 def src31(spark: SparkSession, sf: str) -> DataFrame:
     t = A.tracks(spark, sf).selectExpr("id AS k", "id % 50 AS a")
-    old, new = t.where("k % 2 = 0"), t.where("k % 7 = 0 AND k < 200")
+    old, new = t.where("k % 2 = 0"), t.where("k % 7 = 0 AND k % 4 < 3")
     kept = old.join(new.select("k"), "k", "left_anti").join(new.select("a").distinct(), "a", "left_anti")
     return new.withColumn("origin", F.lit("new")).unionByName(kept.withColumn("origin", F.lit("old")))

@@ -25,9 +25,10 @@ def win01(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("win02_interleave", f"WITH {A.TRACKS_SQL}, q AS (SELECT id, id % 3 AS style, id % 5 = 0 AS done, row_number() OVER (PARTITION BY id % 3 ORDER BY id) AS rn FROM tracks) SELECT id, CAST(rn AS INT) AS rn FROM q ORDER BY done DESC, rn, CASE style WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END LIMIT 200")
 def win02(spark: SparkSession, sf: str) -> DataFrame:
-    q = A.tracks(spark, sf).selectExpr("id", "id % 3 AS style", "id % 5 = 0 AS done").withColumn("rn", F.row_number().over(R.over("style", "id")))
+    q = A.tracks(spark, sf).selectExpr("id", "id % 3 AS style", "id % 5 = 0 AS done")
+    q = R.numbered(q, "style", "id", "rn")
     rank = F.when(F.col("style") == 1, 0).when(F.col("style") == 0, 1).otherwise(2)
-    return q.orderBy(F.desc("done"), "rn", rank).limit(200).select("id", "rn")
+    return q.orderBy(F.desc("done"), "rn", rank).limit(200).select("id", F.col("rn").cast("int").alias("rn"))
 
 
 @query("win03_monotone_cues", f"{_B} SELECT series, idx, CASE WHEN m IS NULL OR v >= m THEN v END AS v FROM (SELECT *, max(v) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM beats)")
