@@ -60,7 +60,9 @@ def tracks_meant(phrases: DataFrame, tracks: DataFrame) -> DataFrame:
     words, are looked at: they are joined by those words. Phrases that mean none are left out."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(clean(F.col("q")), LEADING, ""), ARTICLE, ""), POLITE, "")
     q = phrases.select("q", F.trim(bare).alias("t")).where("length(t) >= 2").withColumn("w", F.split("t", " "))
-    t = tracks.select("id", clean(F.col("title")).alias("title"), clean(F.col("artist")).alias("artist")).withColumn("w", F.split("title", " "))
+    # tracks of one title and artist are one, by the smallest id, whatever the size of the library
+    t = tracks.select("id", clean(F.col("title")).alias("title"), clean(F.col("artist")).alias("artist")).groupBy("title", "artist").agg(F.min("id").alias("id"))
+    t = t.withColumn("w", F.split("title", " "))
     names = t.select("id", F.explode(F.array("title", "artist")).alias("key"))
     both = t.select("id", F.explode(F.array(F.concat_ws(" ", "artist", "title"), F.concat_ws(" ", "title", "artist"))).alias("key"))
     inside = t.crossJoin(F.broadcast(_sizes(q, "t"))).select("id", F.explode(runs(F.col("w"), F.col("sizes"))).alias("key"))
