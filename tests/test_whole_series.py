@@ -12,3 +12,18 @@ def test_a_table_that_is_a_folder_streams_as_a_file_does(spark, tmp_path):
     e.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     got = registry.QUERIES["str01_stream_settled"](spark, str(tmp_path))
     assert sorted(r.name for r in got.collect()) == [f"f{k}.mp3" for k in range(1, 7) if k != 5]
+
+
+def test_centred_matrix_is_that_of_the_whole_track(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 6))
+    spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.track, r.i, r.j): r.c for r in registry.QUERIES["sig14_double_centred"](spark, str(tmp_path)).collect()}
+    want = {}
+    for t in (0, 1):
+        s = x[t::2] @ x[t::2].T
+        c = s - s.mean(1, keepdims=True) - s.mean(0, keepdims=True) + s.mean()
+        want |= {(t, i, j): c[i, j] for i in range(75) for j in range(75)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    frames = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x[::2])], "track int, idx int, embedding array<double>")
+    assert {(r.track, r.i, r.j): r.c for r in series.double_centred(frames, 7).collect()} == {k: v for k, v in got.items() if k[0] == 0}
