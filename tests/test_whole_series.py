@@ -27,3 +27,11 @@ def test_centred_matrix_is_that_of_the_whole_track(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     frames = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x[::2])], "track int, idx int, embedding array<double>")
     assert {(r.track, r.i, r.j): r.c for r in series.double_centred(frames, 7).collect()} == {k: v for k, v in got.items() if k[0] == 0}
+
+
+def test_colours_are_compared_without_sorting(spark):
+    palette = spark.createDataFrame([(-3, 0, 0, 0), (7, 0, 0, 0), (2, 255, 255, 255)], "code int, r int, g int, b int")
+    colors = spark.createDataFrame([(1, 0, 0, 1), (2, 250, 250, 250), (2, 255, 255, 255), (3, 9, 9, 9), (4, None, 1, 1)], "id long, r int, g int, b int")
+    got = matching.nearest_color(colors, palette)
+    assert {r.id: r.code for r in got.collect()} == {1: -3, 2: 2, 3: -3, 4: -3}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
