@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from crateflow.operators import matching, series
+from crateflow.operators import matching, series, signals
 from crateflow.plans import registry
 
 
@@ -35,3 +35,11 @@ def test_colours_are_compared_without_sorting(spark):
     got = matching.nearest_color(colors, palette)
     assert {r.id: r.code for r in got.collect()} == {1: -3, 2: 2, 3: -3, 4: -3}
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_signs_are_full_but_for_the_last(spark):
+    rng = np.random.default_rng(1)
+    v = spark.createDataFrame([(i * 3, [int(b) for b in rng.choice([-1, 1], 12)]) for i in range(60)], "vec_id long, bits array<int>")
+    found = signals.similar_signs(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), 8, 0.75, block=20)
+    assert found.count() > 0
+    assert "pmod" not in found._jdf.queryExecution().analyzed().toString()  # not dealt by a hash into parts of a few rows each
