@@ -261,9 +261,10 @@ def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     tracks = beats.join(vectors, "vec_id").select(F.col("series").alias("track"), F.col("idx").alias("beat"), "t", F.floor(F.col("idx") / 4).alias("bar"), (F.col("idx") % 4).alias("place"), (last + 1).alias("duration"), wave.alias("wave"), "power")
     shift = F.col("track") % 5 * 40
     fade = F.least(F.lit(1.0), F.when(shift > 0, (F.col("beat") + 1) / 16).otherwise(1.0), F.greatest(F.lit(0.0), (60 - F.col("beat")) / 16))
-    placed = tracks.select(F.floor(F.col("track") / 5).alias("mix_id"), (F.col("beat") + shift).alias("beat"), F.transform("power", lambda p: p * fade).alias("power"))
-    each = placed.select("mix_id", "beat", F.posexplode("power")).groupBy("mix_id", "beat", "pos").agg(F.sum("col").alias("p"))
-    mixes = each.groupBy("mix_id", "beat").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("s")).select("mix_id", "beat", F.col("s.p").alias("power"))
+    # the fade is a column of its own: in a lambda `beat` would be the mix's, named beside it
+    placed = tracks.withColumn("fade", fade).select(F.floor(F.col("track") / 5).alias("mix_id"), (F.col("beat") + shift).alias("at"), "track", F.transform("power", lambda p: p * F.col("fade")).alias("power"))
+    each = placed.groupBy("mix_id", F.col("at").alias("beat")).agg(F.array_sort(F.collect_list(F.struct("track", "power")))["power"].alias("s"))
+    mixes = each.select("mix_id", "beat", F.aggregate(F.slice("s", 2, F.size("s")), F.get("s", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("power"))
     size = tracks.groupBy("track").agg((F.max("beat") + 1).cast("int").alias("n"))
     a, b = size.selectExpr("track AS track_a", "n AS n_a"), size.selectExpr("track AS track_b", "n AS n_b")
     pairs = a.join(b, (F.col("track_b") == F.col("track_a") + 1) & (F.floor(F.col("track_b") / 5) == F.floor(F.col("track_a") / 5)))

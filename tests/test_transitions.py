@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from crateflow.functions import music
+from crateflow.operators import signals
 from crateflow.operators import transitions as T
+from crateflow.plans import signals as plans
 
 ROWS = "transition int, step int, mix array<double>, a array<double>, b array<double>, alone_a boolean, alone_b boolean"
 
@@ -144,3 +146,53 @@ def test_pairs_that_give_no_example(spark):
     assert T.examples(far, mixes, tracks, [0, 0, 1, 1, 2, 2]).count() == 0
     assert T.examples(pairs, mixes, tracks.where("beat < 5"), [0, 0, 1, 1, 2, 2]).count() == 0
     assert T.examples(pairs.limit(0), mixes, tracks, [0, 0, 1, 1, 2, 2]).count() == 0
+
+
+def test_chains_solved_together_are_those_of_one_system_each():
+    rng = np.random.default_rng(2)
+    n, chains, smooth = 20, 30, 0.8
+    a, b = rng.random((2, n, chains, 4))
+    b[:, 3], a[:, 4], a[:9, 5], b[12:, 6] = 0, 0, 0, 0
+    m = a * rng.random((n, chains, 1)) * 2.5 + b * rng.random((n, chains, 1)) * 2.5
+    size = rng.integers(1, n + 1, chains)
+    terms = [(x * y).sum(2) * (np.arange(n)[:, None] < size) for x, y in ((a, a), (b, b), (a, b), (a, m), (b, m))]
+    got = signals.bounded_chains(tuple(terms), np.arange(1, n)[:, None] < size, smooth, 1.5)
+    assert (got == 1.5).any() and (got == 0).any()
+    for c, k in enumerate(size.tolist()):
+        aa, bb, ab, am, bm = (t[:k, c] for t in terms)
+        change = np.diff(np.eye(k), axis=0) * smooth
+        h = np.block([[np.diag(aa), np.diag(ab)], [np.diag(ab), np.diag(bb)]]) + np.kron(np.eye(2), change.T @ change) + 1e-9 * np.eye(2 * k)
+        assert got[:, :k, c].ravel() == pytest.approx(signals.bounded_least(h, np.concatenate((am, bm)), 1.5), abs=1e-9) and not got[:, k:, c].any()
+
+
+def test_gains_of_transitions_that_batches_cut(spark):
+    """Transitions of different lengths give what each gives alone, however few rows an Arrow batch holds."""
+    rng = np.random.default_rng(6)
+    rows = [(t, i, *(rng.random((3, 6)) + 0.05).tolist(), i < 3, i >= n - 3) for t, n in enumerate((9, 30, 1, 14, 2)) for i in range(n)]
+    df, bands = spark.createDataFrame(rows, ROWS).repartition(1), [0, 0, 1, 1, 2, 2]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    try:
+        spark.conf.set(key, 7)
+        got = {(r.transition, r.step): r for r in T.band_gains(df, bands).collect()}
+    finally:
+        spark.conf.set(key, usual)
+    assert len(got) == len(rows)
+    for t in range(5):
+        for r in T.band_gains(df.where(F.col("transition") == t), bands).collect():
+            for name in ("gain_a", "gain_b", "power_a", "power_mix"):
+                assert got[t, r.step][name] == pytest.approx(r[name], abs=1e-9)
+
+
+def test_mixes_hold_their_tracks_as_they_fade(spark):
+    sf = "/root/testdata/sf0.001"
+    _, mixes, tracks = plans._mixed(spark, sf)
+    want: dict = {}
+    for r in tracks.collect():
+        shift = r.track % 5 * 40
+        fade = min(1, (r.beat + 1) / 16 if shift else 1, max(0, (60 - r.beat) / 16))
+        at = r.track // 5, r.beat + shift
+        want[at] = want.get(at, 0) + np.array(r.power) * fade
+    got = {(r.mix_id, r.beat): r.power for r in mixes.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert plans.sig17(spark, sf).count() > 0
