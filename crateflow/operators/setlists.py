@@ -20,14 +20,16 @@ def embedded_json(text: Column) -> Column:
     return F.try_parse_json(F.regexp_replace(body, r",(\s*[}\]])", "$1"))
 
 
-def _alias(v: Column, field: str) -> Column:
-    return F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")) for name in ALIASES[field]])
+def _alias(e: Column, field: str) -> Column:
+    return F.coalesce(*[F.nullif(e[name], F.lit("")) for name in ALIASES[field]])
 
 
 def entries(texts: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, pos, artist, title, sec, warning) of every entry of the set-lists in a text column."""
+    """(keys, pos, artist, title, sec, warning) of every entry of the set-lists in a text column. All names of an entry's
+    fields are read from the variant at once, as strings; an entry that is no object has none of them."""
     v = texts.select(*keys, embedded_json(F.col(column)).alias("v"))
-    lists = F.coalesce(*[F.try_variant_get("v", f"$.{name}", "array<variant>") for name in ALIASES["entries"]])
+    kind = ", ".join(f"{name}: string" for field in ("artist", "title", "sec") for name in ALIASES[field])
+    lists = F.coalesce(*[F.try_variant_get("v", f"$.{name}", f"array<struct<{kind}>>") for name in ALIASES["entries"]])
     e = v.select(*keys, F.posexplode(lists).alias("pos", "e"))
     title = _alias(F.col("e"), "title")
     return e.select(*keys, "pos", _alias(F.col("e"), "artist").alias("artist"), title.alias("title"), seconds_of(_alias(F.col("e"), "sec")).alias("sec"), F.when(title.isNull(), "no title").otherwise("").alias("warning"))
