@@ -1,21 +1,25 @@
-"""Near copies at a similarity of 0.8 over five-word shingles, by fingerprints of sampled shingles, compared exactly.
-
-The pipeline's near-duplicate stage does not use the anchor-point covering of simhash.py, which cannot reach this
-threshold: at a Jaccard similarity of 0.8 the 64-bit SimHashes of all shingles differ in about nine bits (5 to
-13 for nine pairs in ten, measured), and a covering of that radius takes more replicas than can be borne. Instead, as in MinHash banding, a document
-is fingerprinted BANDS times, each time by the SimHash of the two shingles least in another order: two documents that
-share both have the same fingerprint, with a probability of about 0.64 a time at 0.8, so 0.9997 over BANDS times.
-Documents with an equal fingerprint of one band are compared shingle by shingle; what is linked is at 0.8 or more
-exactly.
-
-A band's group too large for one task is first dealt into parts with common pivots, which links the copies of one text.
-Where it has several components after that, its members meet by their rarest shingles: two at 0.8 or more
+"""Near copies at a similarity of 0.8 over five-word shingles: SimHashes met at anchor points, compared exactly.
+
+The SimHash of all of a text's shingles goes through the anchor-point covering of simhash.py. What links of two bits or
+fewer lead to is one set, in which texts are compared exactly: equal ones by a digest, others shingle by shingle. That
+gives the equal texts and the nearest copies; nothing that it has connected is asked for again.
+
+Two bits do not reach 0.8: at that Jaccard similarity the 64-bit SimHashes differ in about nine bits (5 to 13 for nine
+pairs in ten, measured), and a covering of such a radius takes more replicas than can be borne. So what the covering
+leaves apart also meets by SimHashes of samples, as in MinHash banding: BANDS times, each time that of the two shingles
+least in another order. Two documents that share both have the same fingerprint, with a probability of about 0.64 a time
+at 0.8, so 0.9997 over BANDS times. They are compared in the same way: what is linked is at 0.8 or more exactly.
+
+A group too large for one task is first dealt into parts with common pivots, which links the copies of one text.
+Where a band's has several components after that, its members meet by their rarest shingles: two at 0.8 or more
 share one of the rarest fifth of either's, in any common order of shingles. Those that share one are compared, part by
 part with every other part if they are many still.
 """
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from crateflow.llm.common import batches_of, col, stored, text_bytes
 from crateflow.llm.components import components
-from crateflow.llm.simhash import shingle_hashes, simhash
+from crateflow.llm.simhash import links, shingle_hashes, simhash
 
 BANDS, SAMPLE, WORDS, LEAST = 8, 2, 5, 0.8
 #: Documents that are compared in one group; a larger one is dealt into parts which all hold the same PIVOTS or so, and
@@ -49,19 +53,25 @@ def sampled(hashes: np.ndarray, bands: int = BANDS, sample: int = SAMPLE) -> np.
     return np.array(out, np.uint64)
 
 
+#: Columns of _fingerprints: band WHOLE has the SimHash of all shingles and the text's digest, the others those of samples.
+MARKS, WHOLE = "id long, sha binary, band int, fp long, size long", -1
+
+
 def _fingerprints(bands: int):
     def run(it):
         for b in batches_of(it, 1):
-            ids, fps, band, size = [], [], [], []
+            ids, shas, fps, band, size = [], [], [], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = shingle_hashes(t, WORDS)
                 f = sampled(h, bands)
-                ids += [d] * len(f)
-                fps.append(f)
-                band += range(len(f))
-                size += [len(h)] * len(f)
+                ids += [d] * (len(f) + 1)
+                shas += [sha256(t).digest(), *[None] * len(f)]
+                fps += [np.array([simhash(h)], np.uint64), f]
+                band += range(WHOLE, len(f))
+                size += [len(h)] * (len(f) + 1)
             f = np.concatenate(fps) if fps else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(f.view(np.int64)), pa.array(size, pa.int64())], ["id", "band", "fp", "size"])
+            columns = [pa.array(ids, pa.int64()), pa.array(shas, pa.binary()), pa.array(band, pa.int32()), pa.array(f.view(np.int64)), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "sha", "band", "fp", "size"])
 
     return run
 
@@ -161,32 +171,41 @@ def _apart(rows: DataFrame, shared: DataFrame, edges: DataFrame, least: float, m
     return met.where("low < high").select("ids").distinct()
 
 
-def groups(docs: DataFrame, least: float = LEAST, bands: int = BANDS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of the documents with an equal or near copy: the smallest id each is linked with.
-
-    Equal texts are one class from the start, named by their smallest id. Texts without a word are only equal to each
-    other. Rows with a null id are not compared. Groups of up to `most` classes and SHINGLES shingles are compared whole.
-    Larger ones are dealt into parts by a hash, each with the same PIVOTS or so of the group's own members: copies of one text
-    meet through those. What is in several components then is compared by its rarest shingles, exactly.
-    """
-    rows = docs.select(col(docs, id_col).cast("long").alias("id"), text_bytes(docs, text_col).alias("t")).where("id is not null")
-    named = stored(rows.select("id", F.sha2("t", 256).alias("sha")), "text-digests")
-    first = stored(named.groupBy("sha").agg(F.min("id").alias("first")), "text-classes")
-    member = stored(named.join(first.withColumnRenamed("sha", "_sha"), F.col("sha") == F.col("_sha")).select("id", "first"), "text-members")
-    fps = stored(rows.mapInArrow(_fingerprints(bands), "id long, band int, fp long, size long"), "band-fingerprints")
-    leaders = member.where("id = first").select(F.col("id").alias("_id")).distinct()
-    fps = fps.join(leaders, F.col("id") == F.col("_id"), "left_semi").distinct()
-    counts = fps.groupBy(F.col("band").alias("_b"), F.col("fp").alias("_f")).agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1")
-    parts = F.least(F.col("n"), F.ceil(F.greatest(F.col("n") / most, F.col("size") / SHINGLES))).cast("int")
-    counts = stored(counts.select("_b", "_f", "n", F.col("size").alias("_size"), parts.alias("parts")), "band-groups")
-    shared = fps.join(counts, (F.col("band") == F.col("_b")) & (F.col("fp") == F.col("_f"))).select("band", "fp", "id", "n", "_size", "parts")
+def _dealt(fps: DataFrame, most: int, tag: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the groups of fps (band, fp, id, size, label) that hold several labels: their sizes, their members and the sets
+    of ids to compare, each with the least and largest label in it. Groups of up to `most` and SHINGLES are one set."""
+    counts = fps.groupBy(F.col("band").alias("_b"), F.col("fp").alias("_f")).agg(F.count("*").alias("n"), F.sum("size").alias("_size"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
+    parts = F.least(F.col("n"), F.ceil(F.greatest(F.col("n") / most, F.col("_size") / SHINGLES))).cast("int")
+    counts = stored(counts.select("_b", "_f", "n", "_size", parts.alias("parts")), tag)
+    shared = fps.join(counts, (F.col("band") == F.col("_b")) & (F.col("fp") == F.col("_f"))).select("band", "fp", "id", "label", "n", "_size", "parts")
     parts = F.col("parts")
     draw = F.pmod(F.xxhash64("id", "fp"), F.lit(1 << 30))
     pivot = draw < (F.least(F.lit(float(PIVOTS)) / F.col("n"), F.lit(SHINGLES / 4) / F.col("_size")) * (1 << 30))
     own = F.when(pivot & (parts > 1), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), parts).cast("int")))
-    dealt = shared.select("band", "fp", "id", F.explode(own).alias("part"))
+    dealt = shared.select("band", "fp", "id", "label", F.explode(own).alias("part"))
+    sets = dealt.groupBy("band", "fp", "part").agg(F.sort_array(F.collect_set("id")).alias("ids"), F.min("label").alias("low"), F.max("label").alias("high"))
     # the same documents often meet in several bands: each set of them is compared once
-    sets = dealt.groupBy("band", "fp", "part").agg(F.sort_array(F.collect_set("id")).alias("ids")).where("size(ids) > 1").select("ids").distinct()
+    return counts, shared.drop("label"), sets.where("low < high").select("ids").distinct()
+
+
+def groups(docs: DataFrame, least: float = LEAST, bands: int = BANDS, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents with an equal or near copy: the smallest id each is linked with.
+
+    Texts whose SimHashes the anchor covering connects are one set. Equal ones in it are one class, named by their smallest
+    id, and its classes are compared. Texts without a word are only equal to each other. Rows with a null id are not
+    compared. Classes in different components then meet by the bands' fingerprints. Groups of up to `most` classes and
+    SHINGLES shingles are compared whole. Larger ones are dealt into parts by a hash, each with the same PIVOTS or so of
+    the group's own members: copies of one text meet through those. What of a band's group is in several components then
+    is compared by its rarest shingles, exactly.
+    """
+    rows = docs.select(col(docs, id_col).cast("long").alias("id"), text_bytes(docs, text_col).alias("t")).where("id is not null")
+    marks = stored(rows.mapInArrow(_fingerprints(bands), MARKS), "fingerprints")
+    whole = marks.where(F.col("band") == WHOLE).drop("band")
+    near = components(links(stored(whole.select("fp").distinct(), "fingerprint-kinds")))
+    covered = whole.join(near, F.col("fp") == F.col("node"), "left").select("id", "sha", "size", F.coalesce("label", "fp").alias("fp"))
+    covered = stored(covered, "covered")
+    first = stored(covered.groupBy("fp", "sha").agg(F.min("id").alias("first")).withColumnsRenamed({"fp": "_fp", "sha": "_sha"}), "text-classes")
+    member = stored(covered.join(first, (F.col("fp") == F.col("_fp")) & (F.col("sha") == F.col("_sha"))).select("id", "first", "fp", "size"), "text-members")
 
     def linked(sets: DataFrame) -> DataFrame:
         asked = sets.select(F.xxhash64("ids").alias("group"), F.explode("ids").alias("_id")).distinct()
@@ -194,9 +213,15 @@ def groups(docs: DataFrame, least: float = LEAST, bands: int = BANDS, most: int
         pairs = rows.join(asked, F.col("id") == F.col("_id")).select("group", "id", "t")
         return pairs.groupBy("group").applyInPandas(_compare(least), "a long, b long")
 
-    edges = linked(sets)
+    leaders = member.where("id = first")
+    one = leaders.where("size > 0").select(F.lit(WHOLE).alias("band"), "fp", "id", "size", F.col("id").alias("label")).distinct()
+    edges = stored(linked(_dealt(one, most, "covered-groups")[2]), "covered-links")
+    known = components(edges)
+    leaders = leaders.select("id").distinct().join(known, F.col("id") == F.col("node"), "left").select(F.col("id").alias("_id"), F.coalesce("label", "id").alias("label"))
+    fps = marks.where(F.col("band") != WHOLE).join(leaders, F.col("id") == F.col("_id")).select("band", "fp", "id", "size", "label").distinct()
+    counts, shared, sets = _dealt(fps, most, "band-groups")
+    edges = stored(edges.unionByName(linked(sets)), "links")
     if not counts.where("parts > 1").isEmpty():
-        edges = stored(edges, "links")
         edges = edges.unionByName(linked(_apart(rows, shared, edges, least, most)))
     found = components(edges)
     merged = member.join(found, F.col("first") == F.col("node"), "left").select(F.col("id").alias("doc_id"), F.coalesce("label", "first").alias("component_id"))

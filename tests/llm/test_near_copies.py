@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 from crateflow.llm import near_copies as N
+from crateflow.llm import simhash
 
 
 def _shingles(text):
@@ -129,3 +130,35 @@ def test_texts_of_one_id_stay_or_go_for_themselves(spark):
     rows = [(1, " ".join(words)), (2, " ".join(words + ["more"])), (2, "another text of its own entirely here"), (2, None), (3, "another text of its own entirely here"), (1, " ".join(words)), (None, "x")]
     got = N.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.text)[:7]) for r in got) == [("1", "w0 w1 w"), ("2", "None"), ("2", "another"), ("None", "x")]
+
+
+def _fingerprint(text):
+    return simhash.simhash(simhash.shingle_hashes(text.encode(), N.WORDS))
+
+
+def test_the_anchor_covering_alone_finds_copies_within_two_bits(spark):
+    """Without a band, equal texts and those at two bits or fewer are still found; an equal fingerprint alone links nothing."""
+    rng, rows, near, far = random.Random(17), [], [], []
+    for _ in range(60):
+        w = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(800, 3000))]
+        v = list(w)
+        for _ in range(rng.choice((0, 1, 1, 2, 3))):
+            v[rng.randrange(len(v))] = f"e{rng.randrange(9999)}"
+        n = len(rows)
+        rows += [(n, " ".join(w)), (n + 1, " ".join(v))]
+        bits = (_fingerprint(rows[n][1]) ^ _fingerprint(rows[n + 1][1])).bit_count()
+        (near if bits <= 2 else far).append((n, n + 1))
+    alike = [(len(rows) + i, " ".join(["x"] * 400 + [f"a{i}.{k}" for k in range(20)])) for i in range(30)]
+    assert len({_fingerprint(t) for _, t in alike}) == 1 and len(near) > 30 and far
+    for most in (500, 8):
+        frame = spark.createDataFrame(rows + alike, "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in N.groups(frame, bands=0, most=most).collect()}
+        assert all(got[a] == got[b] == a for a, b in near) and all(got[b] == b for _, b in far)
+        assert all(got[i] == i for i, _ in alike)
+        assert {r.doc_id: r.component_id for r in N.groups(frame, most=most).collect()} == _brute(rows + alike)
+
+
+def test_what_the_covering_has_connected_is_not_compared_again(spark):
+    rows = [(0, 5, 1, 9, 1), (0, 5, 2, 9, 1), (0, 6, 3, 9, 3), (0, 6, 4, 9, 4), (0, 6, 5, 9, 3), (1, 6, 1, 9, 1)]
+    _, shared, sets = N._dealt(spark.createDataFrame(rows, "band int, fp long, id long, size long, label long"), 500, "test-groups")
+    assert [r.ids for r in sets.collect()] == [[3, 4, 5]] and sorted(r.id for r in shared.collect()) == [3, 4, 5]
