@@ -67,6 +67,8 @@ class Settling(StatefulProcessor):
     start counts only when it changes; a file is ready once."""
 
     settle_ms = 1200
+    #: Milliseconds that the stream's clock is ahead of the messages': Spark's first watermark is 1970, and what is not after it counts as late.
+    ahead_ms = 1 << 40
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -84,17 +86,18 @@ class Settling(StatefulProcessor):
             if size and not known and at - since >= self.settle_ms:  # it was ready before this message
                 yield self._ready(key, size, since)
                 return
+            new = None if pd.isna(new) else int(new)  # an unknown size is a change, and never ready
             if size != new:
-                size, since, known = int(new), int(at), bool(start)
+                size, since, known = new, int(at), bool(start)
         if done:
             return
         self.state.update((size, since, known, False))
         if size and not known:
-            self.handle.registerTimer(since + self.settle_ms)
+            self.handle.registerTimer(since + self.settle_ms + self.ahead_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         size, since, known, done = self.state.get()
-        if size and not known and not done and since + self.settle_ms <= expiredTimerInfo.getExpiryTimeInMs():
+        if size and not known and not done and since + self.settle_ms + self.ahead_ms <= expiredTimerInfo.getExpiryTimeInMs():
             yield self._ready(key, size, since)
         else:
             yield pd.DataFrame(columns=["name", "size", "ready_ms"]).astype({"size": "int64", "ready_ms": "int64"})
@@ -105,10 +108,11 @@ class Settling(StatefulProcessor):
 
 def settling(files: DataFrame, late: str) -> DataFrame:
     """Files that settle, from a stream of (name, size, at timestamp, t_ms, at_start): partial downloads, hidden and other
-    files are left out; messages up to `late` behind are waited for."""
+    files are left out, as is what has no time; messages up to `late` behind are waited for, also those of a clock that starts at zero."""
     extension = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     wanted = extension.isin(*AUDIO) & ~F.col("name").rlike(r"^(\.|~\$)")
-    return files.where(wanted).withWatermark("at", late).groupBy("name").transformWithStateInPandas(Settling(), SETTLED, "append", "EventTime")
+    ahead = F.timestamp_millis(F.unix_millis("at") + Settling.ahead_ms)
+    return files.where(wanted & F.col("t_ms").isNotNull()).withColumn("at", ahead).withWatermark("at", late).groupBy("name").transformWithStateInPandas(Settling(), SETTLED, "append", "EventTime")
 
 
 def watched(arrivals: DataFrame, starts: DataFrame, timeout: float = 1800.0) -> DataFrame:
