@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crateflow import adapters as A
@@ -249,41 +249,73 @@ def sig17_windows(spark: SparkSession, sf: str) -> DataFrame:
     return R.audible_windows(b.selectExpr(*_HEARD), "series")
 
 
-def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Five series to a mix, each entering 40 beats after the one before: (pairs, mixes, tracks). A beat's powers are an
-    embedding's, its time and wave the events'; tracks fade in over 16 beats and out from beat 44 to 60."""
-    vectors = A.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.abs(v.cast("double")) + 0.05).alias("power"))
-    n = vectors.agg(F.count("*").alias("_n"))
-    beats = A.beats(spark, sf).crossJoin(F.broadcast(n)).select("series", "idx", "t", "v", F.pmod(F.col("series") * 37 + F.col("idx"), "_n").alias("vec_id"))
+def _track_beats(spark: SparkSession, sf: str) -> DataFrame:
+    """Beats of the series as tracks, each with the vector (vec_id) that tells its powers."""
+    n = A.table(spark, sf, "embeddings").agg(F.count("*").alias("_n"))
+    last = F.max("t").over(Window.partitionBy("series"))
+    beats = A.beats(spark, sf).withColumn("duration", last + 1).crossJoin(F.broadcast(n))
+    return beats.select(F.col("series").alias("track"), F.col("idx").alias("beat"), "t", "v", "duration", F.pmod(F.col("series") * 37 + F.col("idx"), "_n").alias("vec_id"))
+
+
+def _powers(x: Column) -> Column:
+    return F.transform(x, lambda v: F.abs(v.cast("double")) + 0.05)
+
+
+def _deck() -> dict[str, Column]:
+    """What an example tells of a track's beat, by its name."""
     level = F.col("v") / 330
     wave = F.array(level, level * 0.5, level * 0.3, level * level)
-    last = F.max("t").over(Window.partitionBy("series"))
-    tracks = beats.join(vectors, "vec_id").select(F.col("series").alias("track"), F.col("idx").alias("beat"), "t", F.floor(F.col("idx") / 4).alias("bar"), (F.col("idx") % 4).alias("place"), (last + 1).alias("duration"), wave.alias("wave"), "power")
+    return {"track": F.col("track"), "beat": F.col("beat"), "t": F.col("t"), "bar": F.floor(F.col("beat") / 4), "place": F.col("beat") % 4, "duration": F.col("duration"), "wave": wave}
+
+
+def _fade() -> Column:
     shift = F.col("track") % 5 * 40
-    fade = F.least(F.lit(1.0), F.when(shift > 0, (F.col("beat") + 1) / 16).otherwise(1.0), F.greatest(F.lit(0.0), (60 - F.col("beat")) / 16))
-    # the fade is a column of its own: in a lambda `beat` would be the mix's, named beside it
-    placed = tracks.withColumn("fade", fade).select(F.floor(F.col("track") / 5).alias("mix_id"), (F.col("beat") + shift).alias("at"), "track", F.transform("power", lambda p: p * F.col("fade")).alias("power"))
-    each = placed.groupBy("mix_id", F.col("at").alias("beat")).agg(F.array_sort(F.collect_list(F.struct("track", "power")))["power"].alias("s"))
-    mixes = each.select("mix_id", "beat", F.aggregate(F.slice("s", 2, F.size("s")), F.get("s", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("power"))
+    return F.least(F.lit(1.0), F.when(shift > 0, (F.col("beat") + 1) / 16).otherwise(1.0), F.greatest(F.lit(0.0), (60 - F.col("beat")) / 16))
+
+
+def _neighbours(tracks: DataFrame) -> DataFrame:
+    """Each track and the next of its mix, with where they were found in it."""
     size = tracks.groupBy("track").agg((F.max("beat") + 1).cast("int").alias("n"))
     a, b = size.selectExpr("track AS track_a", "n AS n_a"), size.selectExpr("track AS track_b", "n AS n_b")
     pairs = a.join(b, (F.col("track_b") == F.col("track_a") + 1) & (F.floor(F.col("track_b") / 5) == F.floor(F.col("track_a") / 5)))
     at = (F.col("track_a") % 5 * 40).cast("int")
-    return (
-        pairs.select(
-            F.col("track_a").alias("transition"), F.floor(F.col("track_a") / 5).alias("mix_id"), "track_a", "track_b", at.alias("shift_a"), (at + 40).alias("shift_b"),
-            at.alias("begin_a"), (at + F.least("n_a", F.lit(58))).alias("end_a"), (at + 42).alias("begin_b"), (at + 40 + F.least("n_b", F.lit(58))).alias("end_b"),
-        ), mixes, tracks,
+    return pairs.select(
+        F.col("track_a").alias("transition"), F.floor(F.col("track_a") / 5).alias("mix_id"), "track_a", "track_b", at.alias("shift_a"), (at + 40).alias("shift_b"),
+        at.alias("begin_a"), (at + F.least("n_a", F.lit(58))).alias("end_a"), (at + 42).alias("begin_b"), (at + 40 + F.least("n_b", F.lit(58))).alias("end_b"),
     )
 
 
+def _mixed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Five series to a mix, each entering 40 beats after the one before: (pairs, mixes, tracks). A beat's powers are an
+    embedding's, its time and wave the events'; tracks fade in over 16 beats and out from beat 44 to 60."""
+    vectors = A.table(spark, sf, "embeddings").select("vec_id", _powers(F.col("embedding")).alias("power"))
+    tracks = _track_beats(spark, sf).join(vectors, "vec_id").select(*[c.alias(k) for k, c in _deck().items()], "power")
+    shift = F.col("track") % 5 * 40
+    # the fade is a column of its own: in a lambda `beat` would be the mix's, named beside it
+    placed = tracks.withColumn("fade", _fade()).select(F.floor(F.col("track") / 5).alias("mix_id"), (F.col("beat") + shift).alias("at"), "track", F.transform("power", lambda p: p * F.col("fade")).alias("power"))
+    each = placed.groupBy("mix_id", F.col("at").alias("beat")).agg(F.array_sort(F.collect_list(F.struct("track", "power")))["power"].alias("s"))
+    mixes = each.select("mix_id", "beat", F.aggregate(F.slice("s", 2, F.size("s")), F.get("s", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("power"))
+    return _neighbours(tracks), mixes, tracks
+
+
+def _sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """_mixed's tables as (pairs, sets, tracks): the beats of all tracks of a mix are dealt together once, with the vectors as they are stored."""
+    tracks = _track_beats(spark, sf)
+    placed = tracks.withColumn("mix_id", F.floor(F.col("track") / 5)).withColumn("at", F.col("beat") + F.col("track") % 5 * 40)
+    placed = placed.join(A.table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    # as many tasks as are set, not as few as the bytes would allow: rows with powers are made of these there
+    dealt = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "mix_id")
+    deck = F.struct(*[c.alias(k) for k, c in _deck().items()])
+    return _neighbours(tracks), dealt.select("mix_id", "at", "track", _fade().alias("fade"), _powers(F.col("embedding")).alias("power"), deck.alias("deck")), tracks
+
+
 #: Three bands of the 64 places of a power.
 _PLACES = [0] * 16 + [1] * 32 + [2] * 16
 
 
 @query("sig17_transition_examples")
 def sig17(spark: SparkSession, sf: str) -> DataFrame:
-    got = T.examples(*_mixed(spark, sf), _PLACES)
+    got = T.set_examples(*_sets(spark, sf), _PLACES)
     digits = lambda name: F.transform(name, lambda r: F.transform(r, lambda v: F.round(v, 4))).alias(name)
     return got.select("transition", "begin", "length", "whole", digits("x"), digits("y"), digits("power"), "mask")
 
